@@ -75,17 +75,16 @@ def features(sizes: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int, max_fit_bytes: int, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict[int, list[bytes]]:
-    """At most ``max_per_class`` texts of each label, those of the smallest hash of the id: a bounded sample."""
+    """The texts, up to ``max_fit_bytes`` long, of the ``max_per_class`` ids of each label with the smallest hash: a bounded sample."""
     marked = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _k is not null").distinct()
+    chosen = [marked.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(max_per_class) for y in (0, 1)]
     own = docs.select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t")).where(F.col("_t").isNotNull() & F.octet_length("_t").between(1, max_fit_bytes))
-    out = {}
-    for y in (0, 1):
-        chosen = marked.where(F.col("_y") == y).join(own, "_k").orderBy(F.xxhash64("_k"), "_k", F.md5("_t")).limit(max_per_class)
-        out[y] = [bytes(r._t) for r in chosen.select("_t").collect()]
-    return out
+    found = own.join(F.broadcast(chosen[0].union(chosen[1])), "_k").collect()  # the broadcast side is 2 * max_per_class ids
+    found.sort(key=lambda r: (r._k, r._t))
+    return {y: [bytes(r._t) for r in found if r._y == y] for y in (0, 1)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_fit_bytes: int = 32768, dictionary_bytes: int = 112640, piece_bytes: int = 1024, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_fit_bytes: int = 16384, dictionary_bytes: int = 112640, piece_bytes: int = 1024, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
     """Fit on the labelled rows of ``docs``; see the module for the bounded sample."""
     counts = {r._y: r.n for r in labels.select(F.col(label).cast("int").alias("_y")).where("_y in (0, 1)").groupBy("_y").agg(F.count("*").alias("n")).collect()}
     return fit_texts(labelled_sample(docs, labels, max_per_class, max_fit_bytes, text, key, label), counts, dictionary_bytes, piece_bytes)
@@ -98,6 +97,7 @@ def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary
         return QualityModel(b"", b"", (), (), (), prior)
     trained, held = {}, {}
     for y, texts in sample.items():
+        texts = texts[::2] + texts[1::2]  # either half spans the whole sample
         half = len(texts) // 2
         trained[y] = _dictionary([t[:piece_bytes] for t in texts[:half]], dictionary_bytes)
         held[y] = texts[half:]
