@@ -225,8 +225,16 @@ def _knapsack(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), taken
 
 
-def plan(counts: np.ndarray, size: int, groups: int = 48, small_share: float = 1 / 8) -> Plan:
+#: Shares of the sequence above which a length counts as large; the one that needs fewest bins is kept.
+SHARES = (1 / 2, 1 / 3, 1 / 4)
+
+
+def plan(counts: np.ndarray, size: int, groups: int = 24, shares: tuple[float, ...] = SHARES) -> Plan:
     """Pack ``counts[l]`` documents of each length l (1 to ``size``) into bins of ``size``."""
+    return min((_plan(counts, size, groups, share) for share in shares), key=lambda p: p.bins)
+
+
+def _plan(counts: np.ndarray, size: int, groups: int, small_share: float) -> Plan:
     left = counts.astype(np.int64).copy()
     classes: list[Class] = []
     large = np.flatnonzero(left[:size])[::-1]
@@ -328,7 +336,7 @@ def _laid_out(classes: list[Class]) -> Plan:
 # ------------------------------------------------------------------ the operator
 
 
-def place(cut: DataFrame, size: int, key: str, groups: int = 48) -> DataFrame:
+def place(cut: DataFrame, size: int, key: str, groups: int = 24) -> DataFrame:
     """Sequence and offset of each row of ``cut`` (what pieces() gives, materialised)."""
     sums = cut.groupBy("length", "_task").agg((F.max("_nth") + 1).alias("_n"))
     counts = np.zeros(size + 1, dtype=np.int64)
@@ -353,7 +361,7 @@ def place(cut: DataFrame, size: int, key: str, groups: int = 48) -> DataFrame:
     return ranked.mapInArrow(run, f"`{key}` {cut.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, separator: int = 0, groups: int = 48, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, separator: int = 0, groups: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's pieces with the sequence that holds each and its offset there."""
     cut = materialise(pieces(docs, tokenizer_file, size, separator, key, text), "pieces")
     return place(cut, size, key, groups)
