@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, tokens
+from tessera.llm import packing, quality, tokens, topk
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
+#: Vectors without null or non-finite components.
+FINITE = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
 
 
 def held_out(key: str = "doc_id"):
@@ -23,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(FINITE)
+    whole = rows.withColumn("units", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))))
+    return topk.search(whole, F.col("vec_id") % 20 == 0, 20, "vec_id", "units")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048)
 
@@ -36,8 +44,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_packing, op8_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op4_topk, op5_packing, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_topk": """
+            with c as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
+                       where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+            p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+                  from c q, c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+            r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+            select query_id, rank, vec_id, score from r where rank <= 20""",
+    }
