@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, tokens, topk
+from tessera.llm import forest, packing, quality, tokens, topk
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -25,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(FINITE)
     whole = rows.withColumn("units", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))))
@@ -44,7 +48,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_topk, op5_packing, op8_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op4_topk, op5_packing, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
