@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, packing, quality, tokens, topk
+from tessera.llm import forest, packing, quality, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -29,6 +29,11 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory, root = warc.archive(spark, table(spark, sf_dir, "pages"))
+    return warc.read(directory, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(FINITE)
     whole = rows.withColumn("units", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))))
@@ -48,11 +53,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op4_topk, op5_packing, op8_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": """
+            with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+            d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+            m as (select *, max(page_id) over (partition by payload_digest) as last from d)
+            select page_id, payload_bytes, payload_digest,
+                   case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
+                   case when payload_bytes >= 1000 and last <> page_id then last end as refers_to from m""",
         "op4_topk": """
             with c as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
                        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
