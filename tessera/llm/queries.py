@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, jaccard, packing, quality, tokens, topk, warc
+from tessera.llm import forest, jaccard, packing, quality, substrings, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -44,6 +44,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove(table(spark, sf_dir, "documents"), length=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
@@ -57,7 +62,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op8_quality, op9_jaccard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op7_substrings, op8_quality, op9_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
