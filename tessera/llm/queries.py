@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, jaccard, packing, quality, substrings, tokens, topk, warc
+from tessera.llm import forest, jaccard, mixing, packing, quality, substrings, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -16,6 +16,39 @@ QUALITY_THRESHOLD = 0.3
 FINITE = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
 
 
+#: Bisection of the exponent (35 halvings for the entropy, then as many for the repetition), budgets, and the cut of the last pass.
+MIXING_SQL = """
+with recursive d as (select doc_id, source, coalesce(source, '') as s, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) as n from documents),
+s as (select s, sum(n)::double as t from d where n > 0 group by s),
+g as (select sum(t) as budget, 0.98 * ln(count(*)) as target from s),
+e(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double union all
+  select i + 1,
+    case when (select ln(sum(pow(t, (lo + hi) / 2))) - sum(pow(t, (lo + hi) / 2) * ((lo + hi) / 2) * ln(t)) / sum(pow(t, (lo + hi) / 2)) from s) >= (select target from g) then (lo + hi) / 2 else lo end,
+    case when (select ln(sum(pow(t, (lo + hi) / 2))) - sum(pow(t, (lo + hi) / 2) * ((lo + hi) / 2) * ln(t)) / sum(pow(t, (lo + hi) / 2)) from s) >= (select target from g) then hi else (lo + hi) / 2 end
+  from e where i < 35),
+r(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double union all
+  select i + 1,
+    case when (select (select budget from g) * max(pow(t, (lo + hi) / 2 - 1)) / sum(pow(t, (lo + hi) / 2)) from s) > 4 then (lo + hi) / 2 else lo end,
+    case when (select (select budget from g) * max(pow(t, (lo + hi) / 2 - 1)) / sum(pow(t, (lo + hi) / 2)) from s) > 4 then hi else (lo + hi) / 2 end
+  from r where i < 35),
+h as (select case when (select ln(sum(t)) - sum(t * ln(t)) / sum(t) from s) >= (select target from g) then 1.0 else (select lo from e where i = 35) end as a),
+x as (select case when a < 1 and (select (select budget from g) * max(pow(t, a - 1)) / sum(pow(t, a)) from s) > 4 then (select hi from r where i = 35) else a end as a from h),
+w as (select s, t, pow(t, (select a from x)) / (select sum(pow(t, (select a from x))) from s) as weight from s),
+b as (select s, t, weight, floor(weight * (select budget from g)) as budget from w),
+p as (select s, weight, floor(budget / t)::bigint as passes, least(4096, ceil(t / 65536))::bigint as blocks, (budget - floor(budget / t) * t)::bigint as rest from b),
+k as (select d.doc_id, d.source, d.n, p.*, (('0x' || substr(md5('17:block:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint % blocks) as block,
+      ('0x' || substr(md5('17:inner:' || passes || ':' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as inn from d left join p on d.s = p.s),
+bs as (select s, block, rest, ('0x' || substr(md5('17:pass:' || passes || ':' || s || ':' || block), 1, 15))::bigint as ord, sum(n) as t from k where n > 0 group by s, block, rest, ord),
+be as (select *, sum(t) over (partition by s order by ord, block rows unbounded preceding) as tail from bs),
+f as (select s, block, ord, rest, tail, t, tail <= rest as whole, row_number() over (partition by s, tail <= rest order by ord, block) as nth from be),
+ke as (select k.doc_id, k.source, k.n, k.weight, k.passes, f.whole, not f.whole and f.nth = 1 as cut, f.rest - f.tail + f.t as room,
+       sum(k.n) over (partition by k.s, k.block, k.n > 0 order by k.inn, coalesce(k.doc_id::varchar, '') range unbounded preceding) as upto
+       from k left join f on k.s = f.s and k.block = f.block)
+select doc_id, source, n::bigint as n_tokens, case when n > 0 then passes + (whole or (cut and upto <= room))::bigint else 0 end::bigint as copies, round(weight, 9) as weight from ke"""
+
+
 def held_out(key: str = "doc_id"):
     """Rows of the fifth that no model learns from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
@@ -61,8 +94,14 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=4, num=85))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs.select("doc_id", "source", "text"), mixing.words("text"), budget_share=1.0, entropy_share=0.98, repetition=4.0)
+    return out.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.round("_weight", 9).alias("weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op7_substrings, op8_quality, op9_jaccard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op7_substrings, op8_quality, op9_jaccard, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -74,6 +113,7 @@ def oracle_sql() -> dict[str, str]:
             select page_id, payload_bytes, payload_digest,
                    case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
                    case when payload_bytes >= 1000 and last <> page_id then last end as refers_to from m""",
+        "op10_mixing": MIXING_SQL,
         "op4_topk": """
             with c as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
                        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
