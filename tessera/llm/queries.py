@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, jaccard, mixing, packing, quality, substrings, tokens, topk, warc
+from tessera.llm import forest, jaccard, language, mixing, packing, quality, substrings, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -77,9 +77,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substrings.remove(table(spark, sf_dir, "documents"), length=200)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return kept.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op7_substrings, op8_quality, op9_jaccard, op10_mixing)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

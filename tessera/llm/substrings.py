@@ -228,11 +228,21 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def remove(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, kept (the bytes left), n_bytes, n_removed and n_spans (maximal removed runs)."""
-    own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).select("id", F.xxhash64("id", "t").alias("uid"), "t")
-    got = spans(own, length)
-    kind = docs.schema[key].dataType.simpleString()
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` with every byte of a UTF-8 character of which a byte is gone."""
+    character = np.cumsum((data & 0xC0) != 0x80)
+    hit = np.zeros(character[-1] + 1, dtype=bool)
+    hit[character[gone]] = True
+    return hit[character]
+
+
+def remove(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
+    """The rows of ``docs`` with _kept (the bytes left), _n_bytes, _n_removed and _n_spans (maximal removed runs).
+
+    With ``whole_characters``, what is left of a character that loses a byte goes too; the counts don't change."""
+    rest = [c for c in docs.columns if c != text]
+    own = docs.select(F.struct(*rest).alias("rest"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("uid", F.xxhash64("id", "t"))
+    got = spans(own.select("id", "uid", "t"), length)
 
     def run(batches):
         for batch in batches:
@@ -248,9 +258,11 @@ def remove(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str =
                 np.add.at(edge, low, 1)
                 np.add.at(edge, high + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                kept.append(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes())
                 removed.append(int(gone.sum())), runs.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["id", "kept", "n_bytes", "n_removed", "n_spans"])
+                bytes_ = np.frombuffer(data, dtype=np.uint8)
+                kept.append(bytes_[~(_whole_characters(bytes_, gone) if whole_characters else gone)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["rest", "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
-    joined = own.join(got, [own["id"].eqNullSafe(got["id"]), own["uid"] == got["uid"]], "left").select(own["id"], "t", "spans")
-    return joined.mapInArrow(run, f"id {kind}, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", key)
+    joined = own.join(got, [own["id"].eqNullSafe(got["id"]), own["uid"] == got["uid"]], "left").select("rest", "t", "spans")
+    out = joined.mapInArrow(run, f"rest {own.schema['rest'].dataType.simpleString()}, _kept binary, _n_bytes long, _n_removed long, _n_spans long")
+    return out.select("rest.*", "_kept", "_n_bytes", "_n_removed", "_n_spans")
