@@ -44,7 +44,7 @@ from tessera.plans.staging import materialise, release
 SMALL_MOST = 24
 #: Words whose hashes a Python process remembers.
 REMEMBERED = 400_000
-BITS = 1024
+BITS = 2048
 #: Ids up to which the documents to be checked are picked by a broadcast.
 BROADCAST_IDS = 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -263,50 +263,66 @@ def _entries(key, ids, first, edge) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(first), pa.array(edge)], ["key", "id", "first", "edge"])
 
 
-def _may_link(rule: Rule, n: Column, m: Column, bits: Column, other: Column) -> Column:
-    """Whether sizes and bitmaps allow two sets to link: each differing bit takes a differing element."""
-    apart = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    low, high = F.least(n, m), F.greatest(n, m)
-    return (rule.den * low >= rule.num * high) & ((rule.num + rule.den) * apart <= (rule.den - rule.num) * (n + m))
+def _words(bits: pa.Array) -> np.ndarray:
+    """Bitmaps as rows of 64-bit numbers."""
+    size = BITS // 8
+    return np.frombuffer(bits.buffers()[2], dtype=np.uint8)[bits.offset * size : (bits.offset + len(bits)) * size].reshape(-1, size).view(np.uint64)
 
 
-def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
-    """Of entries (key, id, component, n, bits) of lists not yet all linked, sorted by key: the pairs of different components that sizes and bitmaps allow."""
+def _apart(rule: Rule, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The differing bits of pairs of sets, each of which takes a differing element, and whether these and the sizes let the pair link."""
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return apart, (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)) & ((rule.num + rule.den) * apart <= (rule.den - rule.num) * (n + m))
+
+
+def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow."""
+    both = pairs
+    for x in "ab":
+        both = both.join(facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
 
     def run(batches):
-        def pairs(rows):
-            ids, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-            bits = np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64)
-            for i in range(len(rows) - 1):
-                low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-                j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (ids[i + 1 :] != ids[i]) & (rule.den * low >= rule.num * high))
-                if len(j):
-                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                    j = j[(rule.num + rule.den) * apart.astype(np.int64) <= (rule.den - rule.num) * (n[i] + n[j])]
-                if len(j):
-                    yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-
-        held, key = [], None
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != key:
-                    out += pairs(held)
-                    held, key = [], row[0]
-                held.append(row)
-            if out:
-                yield _pairs(out)
-        out = list(pairs(held))
-        if out:
-            yield _pairs(out)
+            a, b, n, m = (c.to_numpy() for c in batch.columns[:4])
+            _, good = _apart(rule, n, m, _words(batch.column(4)), _words(batch.column(5)))
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return open_entries.select("key", "id", "component", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+
+def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
+    """Of entries (key, id, component, n, bits) of lists not yet all linked, sorted by key: the pairs (a, b) of different components that sizes and bitmaps allow, and how many bits differ."""
+
+    def pairs(ids, comp, n, bits):
+        step = max(1, (1 << 20) // len(ids))
+        for low in range(0, len(ids) - 1, step):
+            i, j = np.meshgrid(np.arange(low, min(low + step, len(ids))), np.arange(len(ids)), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            some = (j > i) & (comp[i] != comp[j]) & (ids[i] != ids[j])
+            i, j = i[some], j[some]
+            apart, good = _apart(rule, n[i], n[j], bits[i], bits[j])
+            yield np.minimum(ids[i], ids[j])[good], np.maximum(ids[i], ids[j])[good], apart[good]
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [c.to_numpy() for c in batch.columns[:4]] + [_words(batch.column(4)).copy()]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            edges = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
+            yield from solve(held, edges)
+            held = [x[edges[-1] :] for x in held]  # the last list may go on
+        if held is not None:
+            yield from solve(held, np.array([0, len(held[0])]))
+
+    def solve(held, edges):
+        out = [x for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for x in pairs(*(c[a:b] for c in held[1:]))]
+        if out:
+            rows = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["a", "b", "apart"])
 
-def _pairs(out) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) for x in zip(*out))
-    both = np.unique(np.stack([a, b], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    return open_entries.select("key", "id", "component", "n", "bits").mapInArrow(run, "a long, b long, apart long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -357,25 +373,33 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     if counts:
         keyed = keyed.union(_small_keys(alone.where(F.col("n") <= SMALL_MOST), rule, rule.boundary(counts)))
     entries = shared_lists(keyed, parts)
-    words = F.array(*(F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(BITS // 64)))
-    facts = materialise(held.where("n > 0").join(entries.select("id").distinct(), "id", "left_semi").select("id", "n", words.alias("bits")).dropDuplicates(["id"]), "facts")
+    facts = materialise(held.where("n > 0").join(entries.select("id").distinct(), "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "facts")
     release(held)
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        fa, fb = (facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-        both = pairs.join(fa, "a").join(fb, "b")
-        return both.where(_may_link(rule, F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb"))).select("a", "b")
-
-    tried = materialise(allowed(entries.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()), "tried")
-    links = verified(tried, docs, rule, key, text)
-    component = materialise(components(links.select("a", "b")), "components")
+    pairs = entries.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    tried = materialise(_allowed(pairs, facts, rule), "tried")
+    component = materialise(components(verified(tried, docs, rule, key, text).select("a", "b")), "components")
+    # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
     placed = entries.select("key", "id").distinct().join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unlinked = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = placed.join(unlinked, "key").join(facts, "id").repartition(parts, "key").sortWithinPartitions("key", "id")
     missing = materialise(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), "missing")
-    if not missing.isEmpty():
-        links = links.union(verified(missing, docs, rule, key, text))
-        component = materialise(components(links.select("a", "b")), "components")
     release(entries, facts)
+    for turn in range(3):
+        ends = [component.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        apart = missing.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "apart", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        apart = materialise(apart, "apart")
+        if apart.isEmpty():
+            break
+        chosen = apart.select("a", "b", "ca", "cb")
+        if turn < 2:
+            best = F.min(F.struct("apart", "a", "b")).alias("m")
+            chosen = apart.select("*", F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(best).select("m.a", "m.b").distinct().join(chosen, ["a", "b"])
+        chosen = materialise(chosen, "chosen")
+        found = verified(chosen.select("a", "b"), docs, rule, key, text).join(chosen, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = materialise(components(found), "merged")
+        moved = component.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+        new = merged.join(component, "id", "left_anti").select("id", "component")  # single documents that were components of their own
+        component = materialise(moved.union(new), "components")
+        missing = materialise(apart.join(chosen, ["a", "b"], "left_anti").select("a", "b", "apart"), "missing")
     reached = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     return reached.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumnRenamed("id", key)
