@@ -364,7 +364,7 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = materialise(sets(docs, rule, key, text), "sets")
-    classes = held.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    classes = materialise(held.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")  # written, so that the join with a hot set can be split
     members = materialise(held.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     others = members.where("id <> rep").select("id").distinct()
     alone = held.where("n > 0").join(others, "id", "left_anti")

@@ -205,9 +205,9 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     """Of rows (id, uid, t): per document the first and last starts of windows that also start elsewhere."""
     spark = docs.sparkSession
     segments = materialise(_segments(docs, length), "segments")
-    keys = segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = materialise(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")  # written, so that the join with a hot key can be split
     shared = materialise(segments.join(keys, "key"), "shared")
-    release(segments)
+    release(segments, keys)
     place = F.struct("id", "uid", "first", "last", "anchor")
     distinct = materialise(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(place).alias("p")), "distinct")
     several = distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key")
