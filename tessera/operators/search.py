@@ -49,7 +49,10 @@ def pick_vectors(rows: DataFrame, ids: DataFrame, query: Sequence[float], k: int
 
 
 def _tf(found: Column, terms: Sequence[str]) -> list[Column]:
-    return [F.size(F.filter(found, lambda x, t=t: x == t)) for t in terms]
+    def equal(term: str):
+        return lambda x: x == F.lit(term)
+
+    return [F.size(F.filter(found, equal(t))) for t in terms]
 
 
 def bm25(rows: DataFrame, query: str, k: int, key: str, fields: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -52,5 +53,15 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of ids (a few dozen bytes each) up to which a side is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def picked(rows: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """``rows`` joined with the narrow rows ``ids`` (materialised): by a broadcast while these are few, else by a shuffle."""
+    few = ids.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
