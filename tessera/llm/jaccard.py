@@ -38,15 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.plans.staging import materialise, release
+from tessera.plans.staging import materialise, picked, release
 
 #: Sets of more shingles than this are large whatever the costs.
 SMALL_MOST = 24
 #: Words whose hashes a Python process remembers.
 REMEMBERED = 400_000
 BITS = 2048
-#: Ids up to which the documents to be checked are picked by a broadcast.
-BROADCAST_IDS = 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -328,9 +326,7 @@ def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     """Of candidate pairs (a, b) with a < b, materialised: those whose texts link, with the numbers of common and of all shingles."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(ids) if few else ids, "id")
-    texts = materialise(texts, "texts")
+    texts = materialise(picked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")), ids, ["id"]), "texts")
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -366,14 +362,15 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     held = materialise(sets(docs, rule, key, text), "sets")
     classes = materialise(held.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")  # written, so that the join with a hot set can be split
     members = materialise(held.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    others = members.where("id <> rep").select("id").distinct()
-    alone = held.where("n > 0").join(others, "id", "left_anti")
+    others = materialise(members.where("id <> rep").select("id").distinct(), "others")
+    alone = picked(held.where("n > 0"), others, ["id"], "left_anti")
     counts = {r.n: r["count"] for r in held.where(F.col("n").between(1, SMALL_MOST)).groupBy("n").count().collect()}  # SMALL_MOST rows at most
     keyed = alone.where(F.col("n") > SMALL_MOST).select("id", "keys")
     if counts:
         keyed = keyed.union(_small_keys(alone.where(F.col("n") <= SMALL_MOST), rule, rule.boundary(counts)))
     entries = shared_lists(keyed, parts)
-    facts = materialise(held.where("n > 0").join(entries.select("id").distinct(), "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "facts")
+    listed = materialise(entries.select("id").distinct(), "listed")
+    facts = materialise(picked(held.where("n > 0").select("id", "n", "bits"), listed, ["id"]).dropDuplicates(["id"]), "facts")
     release(held)
     pairs = entries.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
     tried = materialise(_allowed(pairs, facts, rule), "tried")
