@@ -16,8 +16,8 @@ most (a + b)(1 - t)/(1 + t) elements that only one of them holds. By size a set
 The boundary is the size at which the rows that both ways emit are fewest, from the counts of
 sets by size. Equal sets stand as one. Lists are sorted over the cluster, so that a long list spans
 tasks; each set is checked against the first of its list, then, in lists whose sets are not yet
-all linked, against every set of another component that the difference of two bitmaps (a lower bound
-of the differing elements) does not rule out. Checks count both texts' shingles exactly.
+all linked, against every set of another component that neither the number of lists both are in nor the
+difference of two bitmaps (lower bounds of the differing elements) rules out. Checks count both texts' shingles exactly.
 
 Defined results: a null text has no words; a text without words has the empty set, which links
 with nothing; one with fewer words than a shingle has one shingle, all its words. Rows with a null id take
@@ -45,6 +45,8 @@ SMALL_MOST = 24
 #: Words whose hashes a Python process remembers.
 REMEMBERED = 400_000
 BITS = 2048
+#: The space that keys of subsets name; and the empty blocks that stand for "any number".
+SUBSETS, ANY = 255, 1 << 30
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -95,7 +97,7 @@ class Rule:
         """Blocks of a class, and how many more these are than the differing elements allow for, less one."""
         most = self.starts[size_class + 1] - 1
         d = 2 * most * (self.den - self.num) // (self.den + self.num)
-        spare = 4 + d // 32
+        spare = 4 + d // 8
         return d + 1 + spare, spare
 
     def subset_sizes(self, n: int, boundary: int) -> list[int]:
@@ -144,9 +146,14 @@ class Shingler:
         return np.unique(mix(x))
 
 
-def block_keys(rule: Rule, s: np.ndarray) -> np.ndarray:
-    """The keys of a set's lists: its blocks in the space of its size class and of the next."""
-    at, out = rule.size_class(len(s)), []
+def _keyed(hashes: np.ndarray, space: int) -> np.ndarray:
+    """Keys whose low byte names the space of their list."""
+    return (hashes & ~np.uint64(255)) | np.uint64(space)
+
+
+def block_keys(rule: Rule, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The keys of a set's lists (its blocks in the space of its size class and of the next), and its empty blocks in either space."""
+    at, out, empty = rule.size_class(len(s)), [], []
     sums = np.zeros(len(s) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(mix(s, _M3), out=sums[1:])
@@ -155,10 +162,11 @@ def block_keys(rule: Rule, s: np.ndarray) -> np.ndarray:
             edges = np.searchsorted(s, (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64))
             edges = np.r_[0, edges, len(s)]
             full = edges[1:] > edges[:-1]
-            keys = mix(sums[edges[1:]] - sums[edges[:-1]] + _M1 * np.arange(1, k + 1, dtype=np.uint64) + _M2 * np.uint64(space + 1))
+            keys = _keyed(mix(sums[edges[1:]] - sums[edges[:-1]] + _M1 * np.arange(1, k + 1, dtype=np.uint64)), space)
+            empty.append(int(k - full.sum()))
             # sets that agree on too few full blocks both have more empty ones than there are to spare
-            out.append(keys if k - full.sum() > spare else keys[full])
-    return np.concatenate(out)
+            out.append(keys if empty[-1] > spare else keys[full])
+    return np.concatenate(out), empty
 
 
 def subset_keys(rule: Rule, s: np.ndarray, boundary: int) -> np.ndarray:
@@ -167,7 +175,7 @@ def subset_keys(rule: Rule, s: np.ndarray, boundary: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for c in rule.subset_sizes(len(s), boundary):
             left_out = np.array(list(itertools.combinations(range(len(s)), len(s) - c)), dtype=np.int64).reshape(math.comb(len(s), c), len(s) - c)
-            out.append(mix(own.sum() - own[left_out].sum(axis=1, dtype=np.uint64) + _M1 * np.uint64(c)))
+            out.append(_keyed(mix(own.sum() - own[left_out].sum(axis=1, dtype=np.uint64) + _M1 * np.uint64(c)), SUBSETS))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -190,18 +198,19 @@ def sets(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     def run(batches):
         shingler, none = Shingler(rule.words), np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            n, h1, h2, small, keys, maps = [], [], [], [], [], []
+            n, h1, h2, small, keys, maps, empty = [], [], [], [], [], [], []
             for t in batch.column(1):
                 s = shingler.sets(t.as_py())
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     h1.append(mix(s, _M3).sum(dtype=np.uint64)), h2.append(mix(s ^ _M1, _M2).sum(dtype=np.uint64))
                 small.append(s if len(s) <= SMALL_MOST else none)
-                keys.append(none if len(s) <= SMALL_MOST else block_keys(rule, s))
+                got = (none, [ANY, ANY]) if len(s) <= SMALL_MOST else block_keys(rule, s)
+                keys.append(got[0]), empty.append(got[1])
                 maps.append(bitmap(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), _lists(small), _lists(keys), pa.array(maps, pa.binary())], ["id", "n", "h1", "h2", "small", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), _lists(small), _lists(keys), pa.array(maps, pa.binary()), *(pa.array([e[i] for e in empty], pa.int32()) for i in (0, 1))], ["id", "n", "h1", "h2", "small", "keys", "bits", "e0", "e1"])
 
-    return own.mapInArrow(run, "id long, n long, h1 long, h2 long, small array<long>, keys array<long>, bits binary")
+    return own.mapInArrow(run, "id long, n long, h1 long, h2 long, small array<long>, keys array<long>, bits binary, e0 int, e1 int")
 
 
 def _small_keys(small: DataFrame, rule: Rule, boundary: int) -> DataFrame:
@@ -213,7 +222,7 @@ def _small_keys(small: DataFrame, rule: Rule, boundary: int) -> DataFrame:
                 if len(s) <= boundary:
                     got.append(subset_keys(rule, s, boundary))
                 if len(s) > boundary or rule.most(len(s)) > boundary:
-                    got.append(block_keys(rule, s))
+                    got.append(block_keys(rule, s)[0])
                 keys.append(np.concatenate(got))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys)], ["id", "keys"])
 
@@ -274,53 +283,79 @@ def _apart(rule: Rule, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarra
 
 
 def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps allow."""
+    """Of pairs (a, b, space, shared: lists of the space that both are in) those that may link, and how many bits differ.
+
+    Linked sets agree on all but as many blocks as they have differing elements; what agrees is a list of
+    both or empty in both. A pair that falls short of this in a space, by its size or by its bitmaps doesn't link."""
     both = pairs
     for x in "ab":
-        both = both.join(facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+        both = both.join(facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "e0", "e1", "bits"))), x)
 
     def run(batches):
         for batch in batches:
-            a, b, n, m = (c.to_numpy() for c in batch.columns[:4])
-            _, good = _apart(rule, n, m, _words(batch.column(4)), _words(batch.column(5)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
-    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+            if not len(batch):
+                continue
+            a, b, space, shared, n, m = (c.to_numpy() for c in batch.columns[:6])
+            empty = []
+            for size, own, following in ((n, 6, 7), (m, 8, 9)):
+                at = np.array([rule.size_class(int(x)) for x in size])
+                empty.append(np.where(at == space, batch.column(own).to_numpy(), batch.column(following).to_numpy()))
+            blocks = np.array([0 if x == SUBSETS else rule.blocks(int(x))[0] for x in space])
+            overlap = -(-rule.num * (n + m) // (rule.num + rule.den))
+            enough = shared >= blocks - (n + m - 2 * overlap) - np.minimum(*empty)
+            apart, good = _apart(rule, n, m, _words(batch.column(10)), _words(batch.column(11)))
+            good &= enough
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(apart[good])], ["a", "b", "apart"])
+
+    columns = ["a", "b", "space", "shared", "na", "nb", "e0a", "e1a", "e0b", "e1b", "bitsa", "bitsb"]
+    return both.select(*columns).mapInArrow(run, "a long, b long, apart long").distinct()
 
 
 def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
-    """Of entries (key, id, component, n, bits) of lists not yet all linked, sorted by key: the pairs (a, b) of different components that sizes and bitmaps allow, and how many bits differ."""
+    """Of entries (key, id, component, n) of lists not yet all linked, sorted by key: the pairs (a, b) of different components and fitting sizes by space, and how many lists both are in."""
 
-    def pairs(ids, comp, n, bits):
+    def pairs(key, ids, comp, n):
         step = max(1, (1 << 20) // len(ids))
         for low in range(0, len(ids) - 1, step):
             i, j = np.meshgrid(np.arange(low, min(low + step, len(ids))), np.arange(len(ids)), indexing="ij")
             i, j = i.ravel(), j.ravel()
-            some = (j > i) & (comp[i] != comp[j]) & (ids[i] != ids[j])
+            some = (j > i) & (comp[i] != comp[j]) & (ids[i] != ids[j]) & (rule.den * np.minimum(n[i], n[j]) >= rule.num * np.maximum(n[i], n[j]))
             i, j = i[some], j[some]
-            apart, good = _apart(rule, n[i], n[j], bits[i], bits[j])
-            yield np.minimum(ids[i], ids[j])[good], np.maximum(ids[i], ids[j])[good], apart[good]
+            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.full(len(i), key[0] & 255)
 
     def run(batches):
-        held = None
+        held, found, size = None, [], 0
+
+        def out():
+            rows, count = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(count)], ["a", "b", "space", "shared"])
+
+        def solve(edges):
+            nonlocal size
+            for x, y in zip(edges[:-1], edges[1:]):
+                if y - x > 1:
+                    for got in pairs(*(c[x:y] for c in held)):
+                        found.append(got)
+                        size += len(got[0])
+
         for batch in batches:
             if not len(batch):
                 continue
-            now = [c.to_numpy() for c in batch.columns[:4]] + [_words(batch.column(4)).copy()]
+            now = [c.to_numpy() for c in batch.columns]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             edges = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
-            yield from solve(held, edges)
+            solve(edges)
             held = [x[edges[-1] :] for x in held]  # the last list may go on
+            if size > 1 << 22:
+                yield out()
+                found, size = [], 0
         if held is not None:
-            yield from solve(held, np.array([0, len(held[0])]))
-
-    def solve(held, edges):
-        out = [x for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for x in pairs(*(c[a:b] for c in held[1:]))]
-        if out:
-            rows = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["a", "b", "apart"])
+            solve(np.array([0, len(held[0])]))
+        if found:
+            yield out()
 
-    return open_entries.select("key", "id", "component", "n", "bits").mapInArrow(run, "a long, b long, apart long").distinct()
+    got = open_entries.select("key", "id", "component", "n").mapInArrow(run, "a long, b long, space long, shared long")
+    return got.groupBy("a", "b", "space").agg(F.sum("shared").alias("shared"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -370,16 +405,17 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
         keyed = keyed.union(_small_keys(alone.where(F.col("n") <= SMALL_MOST), rule, rule.boundary(counts)))
     entries = shared_lists(keyed, parts)
     listed = materialise(entries.select("id").distinct(), "listed")
-    facts = materialise(picked(held.where("n > 0").select("id", "n", "bits"), listed, ["id"]).dropDuplicates(["id"]), "facts")
+    facts = materialise(picked(held.where("n > 0").select("id", "n", "e0", "e1", "bits"), listed, ["id"]).dropDuplicates(["id"]), "facts")
     release(held)
-    pairs = entries.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
-    tried = materialise(_allowed(pairs, facts, rule), "tried")
+    space = F.col("key").bitwiseAND(255).alias("space")
+    firsts = entries.where("id <> first").groupBy(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), space).agg(F.count("*").alias("shared"))
+    tried = materialise(_allowed(firsts, facts, rule).select("a", "b"), "tried")  # those that share enough of the lists that one of them leads; the rest is tried below
     component = materialise(components(verified(tried, docs, rule, key, text).select("a", "b")), "components")
     # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
     placed = entries.select("key", "id").distinct().join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unlinked = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = placed.join(unlinked, "key").join(facts, "id").repartition(parts, "key").sortWithinPartitions("key", "id")
-    missing = materialise(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), "missing")
+    rest = placed.join(unlinked, "key").join(facts.select("id", "n"), "id").repartition(parts, "key").sortWithinPartitions("key", "id")
+    missing = materialise(_allowed(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), facts, rule), "missing")
     release(entries, facts)
     for turn in range(3):
         ends = [component.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
