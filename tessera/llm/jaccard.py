@@ -414,7 +414,8 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
     placed = entries.select("key", "id").distinct().join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unlinked = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = placed.join(unlinked, "key").join(facts.select("id", "n"), "id").repartition(parts, "key").sortWithinPartitions("key", "id")
+    # written first: Spark takes a repartition by the key of a join below it for done, and then may split a skewed key of that join over tasks
+    rest = materialise(placed.join(unlinked, "key").join(facts.select("id", "n"), "id"), "rest").repartition(parts, "key").sortWithinPartitions("key", "id")
     missing = materialise(_allowed(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), facts, rule), "missing")
     release(entries, facts)
     for turn in range(3):
