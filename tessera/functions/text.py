@@ -48,7 +48,7 @@ def normalize_name(name: Column) -> Column:
     out = F.regexp_replace(out, r"(?<=[一-鿿])\s+(?=[一-鿿])", "")
     out = F.regexp_replace(strip(out), r"^([\"'])(.*)\1$", "$2")
     out = strip(F.regexp_replace(out, r"[“”‘’]", ""))
-    return F.when(out.rlike(r"^[0-9]+$") & (F.length(out) < 3), "").when(out.rlike(r"^[0-9.]+$") & (F.length(out) < 6), "").otherwise(out)
+    return F.when(out.rlike(r"^[0-9]+$") & (F.length(out) < 3), "").when(out.rlike(r"^[0-9]*\.[0-9.]*$") & (F.length(out) < 6), "").otherwise(out)
 
 
 def summary(content: Column, most: int = 250) -> Column:

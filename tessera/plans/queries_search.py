@@ -244,7 +244,7 @@ def x2_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
 
 
-@query("""select p_partkey, case when regexp_matches(n, '^[0-9]+$') and length(n) < 3 then '' when regexp_matches(n, '^[0-9.]+$') and length(n) < 6 then '' else n end as name
+@query("""select p_partkey, case when regexp_matches(n, '^[0-9]+$') and length(n) < 3 then '' when regexp_matches(n, '^[0-9]*\\.[0-9.]*$') and length(n) < 6 then '' else n end as name
 from (select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then p_size::varchar else p_size || '.5' end as n from part)""")
 def x3_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = F.col("p_partkey") % 3
