@@ -92,6 +92,13 @@ class Rule:
 
         return bisect.bisect_right(self.starts, n) - 1
 
+    def agreeing(self, n: int, empty: int, space: int) -> int:
+        """The least number of lists of a space that a set of n elements, ``empty`` of its blocks there empty, shares with any set that it links with."""
+        if space == SUBSETS:
+            return 1
+        largest = min(self.most(n), self.starts[space + 1] - 1)
+        return max(1, self.blocks(space)[0] - self.differing(n, largest) - empty)
+
     @functools.lru_cache(maxsize=512)
     def blocks(self, size_class: int) -> tuple[int, int]:
         """Blocks of a class, and how many more these are than the differing elements allow for, less one."""
@@ -282,6 +289,36 @@ def _apart(rule: Rule, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarra
     return apart, (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)) & ((rule.num + rule.den) * apart <= (rule.den - rule.num) * (n + m))
 
 
+def _needed(facts: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (id, space, least): in how many lists of a space a set is with any that it links with."""
+
+    def run(batches):
+        for batch in batches:
+            rows = ([], [], [])
+            for i, n, e0, e1 in zip(*(c.to_pylist() for c in batch.columns)):
+                at = rule.size_class(n)
+                for space, empty in ((at, e0), (at + 1, e1), (SUBSETS, ANY)):
+                    for column, x in zip(rows, (i, space, rule.agreeing(n, empty, space))):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "space", "least"])
+
+    return facts.select("id", "n", "e0", "e1").mapInArrow(run, "id long, space long, least long")
+
+
+def _thinned(entries: DataFrame, facts: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
+    """Entries (key, id, first) without those of sets that are in too few lists of a space to link there (as are those that share a passage alone), materialised."""
+    needed = materialise(_needed(facts, rule), "needed")
+    for _ in range(rounds):
+        placed = entries.select("key", "id", F.col("key").bitwiseAND(255).alias("space"))
+        keep = materialise(placed.groupBy("id", "space").agg(F.count("*").alias("lists")).join(needed, ["id", "space"]).where("lists >= least").select("id", "space"), "keep")
+        kept = materialise(picked(placed, keep, ["id", "space"]).select("key", "id").distinct(), "kept")
+        firsts = materialise(kept.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
+        before, entries = entries, materialise(kept.join(firsts, "key"), "entries")
+        release(before, keep, kept, firsts)
+    release(needed)
+    return entries
+
+
 def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b, space, shared: lists of the space that both are in) those that may link, and how many bits differ.
 
@@ -315,7 +352,7 @@ def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
     """Of entries (key, id, component, n) of lists not yet all linked, sorted by key: the pairs (a, b) of different components and fitting sizes by space, and how many lists both are in."""
 
     def pairs(key, ids, comp, n):
-        step = max(1, (1 << 20) // len(ids))
+        step = max(1, (1 << 18) // len(ids))
         for low in range(0, len(ids) - 1, step):
             i, j = np.meshgrid(np.arange(low, min(low + step, len(ids))), np.arange(len(ids)), indexing="ij")
             i, j = i.ravel(), j.ravel()
@@ -346,7 +383,7 @@ def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
             edges = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
             solve(edges)
             held = [x[edges[-1] :] for x in held]  # the last list may go on
-            if size > 1 << 22:
+            if size > 1 << 19:
                 yield out()
                 found, size = [], 0
         if held is not None:
@@ -407,12 +444,13 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     listed = materialise(entries.select("id").distinct(), "listed")
     facts = materialise(picked(held.where("n > 0").select("id", "n", "e0", "e1", "bits"), listed, ["id"]).dropDuplicates(["id"]), "facts")
     release(held)
+    entries = _thinned(entries, facts, rule)
     space = F.col("key").bitwiseAND(255).alias("space")
     firsts = entries.where("id <> first").groupBy(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), space).agg(F.count("*").alias("shared"))
     tried = materialise(_allowed(firsts, facts, rule).select("a", "b"), "tried")  # those that share enough of the lists that one of them leads; the rest is tried below
     component = materialise(components(verified(tried, docs, rule, key, text).select("a", "b")), "components")
     # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
-    placed = entries.select("key", "id").distinct().join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = entries.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unlinked = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     # written first: Spark takes a repartition by the key of a join below it for done, and then may split a skewed key of that join over tasks
     rest = materialise(placed.join(unlinked, "key").join(facts.select("id", "n"), "id"), "rest").repartition(parts, "key").sortWithinPartitions("key", "id")

@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained, one on text labelled good and one on tex
 bad. A text is compressed with either; how much shorter the good dictionary makes it, divided
 by the longer of the two sizes, is the evidence. A logistic curve fitted on labelled rows that
 trained neither dictionary turns this normalised difference (beside the compressed share of the
-text, as a text that repeats itself shrinks with any dictionary) into a probability.
+text, as a text that repeats itself shrinks with any dictionary) into a probability. Evidence is kept to the range it had
+on those rows, so that a text of which a dictionary holds a part isn't judged by how little is left of it.
 
 Fitting reads a bounded sample: at most ``max_per_class`` labelled rows of each class, chosen
 by a hash of the id, of texts up to ``max_fit_bytes`` bytes. Scoring reads every whole text.
@@ -36,6 +37,8 @@ class QualityModel:
     weights: tuple[float, ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
     prior: float
 
 
@@ -55,7 +58,7 @@ class Scorer:
         if not self.pair or not texts:
             return np.full(len(texts), m.prior)
         sizes = np.array([self.sizes(t) for t in texts], dtype=float)
-        x = (features(sizes) - np.array(m.mean)) / np.array(m.scale)
+        x = (np.clip(features(sizes), m.low, m.high) - np.array(m.mean)) / np.array(m.scale)
         out = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -50, 50)))
         out[sizes[:, 2] == 0] = m.prior
         return out
@@ -94,7 +97,7 @@ def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     if min(len(sample.get(0, ())), len(sample.get(1, ()))) < 4:
-        return QualityModel(b"", b"", (), (), (), prior)
+        return QualityModel(b"", b"", (), (), (), (), (), prior)
     trained, held = {}, {}
     for y, texts in sample.items():
         texts = texts[::2] + texts[1::2]  # either half spans the whole sample
@@ -110,7 +113,7 @@ def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary
     mean[0], scale[0] = 0, 1
     scale[scale == 0] = 1
     w = _logistic((x - mean) / scale, y, weight * len(y) / weight.sum())
-    return QualityModel(trained[1], trained[0], tuple(w), tuple(mean), tuple(scale), prior)
+    return QualityModel(trained[1], trained[0], tuple(w), tuple(mean), tuple(scale), tuple(x.min(0)), tuple(x.max(0)), prior)
 
 
 def _dictionary(pieces: list[bytes], most: int) -> bytes:
