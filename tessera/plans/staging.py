@@ -32,6 +32,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage there."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, label)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -39,6 +40,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def bound_batches(spark: SparkSession, most: int = 2000) -> None:
+    """At most ``most`` rows in an Arrow batch: whole texts can be long, and a batch stands in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more."""
     for df in frames:
