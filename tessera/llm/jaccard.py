@@ -43,7 +43,7 @@ from tessera.plans.staging import materialise, picked, release
 #: Sets of more shingles than this are large whatever the costs.
 SMALL_MOST = 24
 #: Words whose hashes a Python process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 BITS = 2048
 #: The space that keys of subsets name; and the empty blocks that stand for "any number".
 SUBSETS, ANY = 255, 1 << 30
@@ -216,6 +216,7 @@ def sets(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
                 keys.append(got[0]), empty.append(got[1])
                 maps.append(bitmap(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), _lists(small), _lists(keys), pa.array(maps, pa.binary()), *(pa.array([e[i] for e in empty], pa.int32()) for i in (0, 1))], ["id", "n", "h1", "h2", "small", "keys", "bits", "e0", "e1"])
+        pa.default_memory_pool().release_unused()
 
     return own.mapInArrow(run, "id long, n long, h1 long, h2 long, small array<long>, keys array<long>, bits binary, e0 int, e1 int")
 
@@ -319,53 +320,72 @@ def _thinned(entries: DataFrame, facts: DataFrame, rule: Rule, rounds: int = 2)
     return entries
 
 
-def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (a, b, space, shared: lists of the space that both are in) those that may link, and how many bits differ.
+def _shortfall(rule: Rule, space: np.ndarray, n: np.ndarray, m: np.ndarray, empty: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """In how many lists of a space two sets of n and m elements are, at least, if they link.
+
+    They agree on all but as many blocks as they have differing elements; what agrees is a list of both or
+    empty in both. empty: each set's empty blocks in the space of its size class and of the next."""
+    starts = np.array(rule.starts)
+    own = [np.where(np.searchsorted(starts, size, side="right") - 1 == space, e0, e1) for size, (e0, e1) in zip((n, m), empty)]
+    blocks = np.zeros(len(space), dtype=np.int64)
+    for x in np.unique(space):
+        blocks[space == x] = 0 if x == SUBSETS else rule.blocks(int(x))[0]
+    overlap = -(-rule.num * (n + m) // (rule.num + rule.den))
+    return np.maximum(1, blocks - (n + m - 2 * overlap) - np.minimum(*own))
+
 
-    Linked sets agree on all but as many blocks as they have differing elements; what agrees is a list of
-    both or empty in both. A pair that falls short of this in a space, by its size or by its bitmaps doesn't link."""
-    both = pairs
+def _with(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     for x in "ab":
-        both = both.join(facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "e0", "e1", "bits"))), x)
+        pairs = pairs.join(facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in columns)), x)
+    return pairs
+
+
+def _enough(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b, space, shared: lists of the space that both are in) those in enough lists to link."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, space, shared, n, m, *empty = (c.to_numpy() for c in batch.columns)
+            good = shared >= _shortfall(rule, space, n, m, [(empty[0], empty[1]), (empty[2], empty[3])])
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    columns = ["a", "b", "space", "shared", "na", "nb", "e0a", "e1a", "e0b", "e1b"]
+    return _with(pairs, facts, "n", "e0", "e1").select(*columns).mapInArrow(run, "a long, b long").distinct()
+
+
+def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b) those that sizes and bitmaps allow to link, and how many bits differ."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            a, b, space, shared, n, m = (c.to_numpy() for c in batch.columns[:6])
-            empty = []
-            for size, own, following in ((n, 6, 7), (m, 8, 9)):
-                at = np.array([rule.size_class(int(x)) for x in size])
-                empty.append(np.where(at == space, batch.column(own).to_numpy(), batch.column(following).to_numpy()))
-            blocks = np.array([0 if x == SUBSETS else rule.blocks(int(x))[0] for x in space])
-            overlap = -(-rule.num * (n + m) // (rule.num + rule.den))
-            enough = shared >= blocks - (n + m - 2 * overlap) - np.minimum(*empty)
-            apart, good = _apart(rule, n, m, _words(batch.column(10)), _words(batch.column(11)))
-            good &= enough
+            a, b, n, m = (c.to_numpy() for c in batch.columns[:4])
+            apart, good = _apart(rule, n, m, _words(batch.column(4)), _words(batch.column(5)))
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(apart[good])], ["a", "b", "apart"])
 
-    columns = ["a", "b", "space", "shared", "na", "nb", "e0a", "e1a", "e0b", "e1b", "bitsa", "bitsb"]
-    return both.select(*columns).mapInArrow(run, "a long, b long, apart long").distinct()
+    return _with(pairs, facts, "n", "bits").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, apart long")
 
 
 def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
-    """Of entries (key, id, component, n) of lists not yet all linked, sorted by key: the pairs (a, b) of different components and fitting sizes by space, and how many lists both are in."""
+    """Of entries (key, id, component, n, e0, e1) of lists not yet all linked, sorted by key: the pairs (a, b) of different components that are in enough lists of a space to link."""
 
-    def pairs(key, ids, comp, n):
+    def pairs(key, ids, comp, n, e0, e1):
         step = max(1, (1 << 18) // len(ids))
         for low in range(0, len(ids) - 1, step):
             i, j = np.meshgrid(np.arange(low, min(low + step, len(ids))), np.arange(len(ids)), indexing="ij")
             i, j = i.ravel(), j.ravel()
             some = (j > i) & (comp[i] != comp[j]) & (ids[i] != ids[j]) & (rule.den * np.minimum(n[i], n[j]) >= rule.num * np.maximum(n[i], n[j]))
             i, j = i[some], j[some]
-            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.full(len(i), key[0] & 255)
+            space = np.full(len(i), key[0] & 255)
+            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), space, _shortfall(rule, space, n[i], n[j], [(e0[i], e1[i]), (e0[j], e1[j])])
 
     def run(batches):
         held, found, size = None, [], 0
 
         def out():
             rows, count = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(count)], ["a", "b", "space", "shared"])
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), pa.array(count)], ["a", "b", "space", "needed", "shared"])
 
         def solve(edges):
             nonlocal size
@@ -391,8 +411,8 @@ def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
         if found:
             yield out()
 
-    got = open_entries.select("key", "id", "component", "n").mapInArrow(run, "a long, b long, space long, shared long")
-    return got.groupBy("a", "b", "space").agg(F.sum("shared").alias("shared"))
+    got = open_entries.select("key", "id", "component", "n", "e0", "e1").mapInArrow(run, "a long, b long, space long, needed long, shared long")
+    return got.groupBy("a", "b", "space", "needed").agg(F.sum("shared").alias("shared")).where("shared >= needed").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -447,14 +467,16 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     entries = _thinned(entries, facts, rule)
     space = F.col("key").bitwiseAND(255).alias("space")
     firsts = entries.where("id <> first").groupBy(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), space).agg(F.count("*").alias("shared"))
+    firsts = materialise(_enough(firsts, facts, rule), "firsts")
     tried = materialise(_allowed(firsts, facts, rule).select("a", "b"), "tried")  # those that share enough of the lists that one of them leads; the rest is tried below
     component = materialise(components(verified(tried, docs, rule, key, text).select("a", "b")), "components")
     # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
     placed = entries.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unlinked = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     # written first: Spark takes a repartition by the key of a join below it for done, and then may split a skewed key of that join over tasks
-    rest = materialise(placed.join(unlinked, "key").join(facts.select("id", "n"), "id"), "rest").repartition(parts, "key").sortWithinPartitions("key", "id")
-    missing = materialise(_allowed(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), facts, rule), "missing")
+    rest = materialise(placed.join(unlinked, "key").join(facts.select("id", "n", "e0", "e1"), "id"), "rest").repartition(parts, "key").sortWithinPartitions("key", "id")
+    often = materialise(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), "often")
+    missing = materialise(_allowed(often, facts, rule), "missing")
     release(entries, facts)
     for turn in range(3):
         ends = [component.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
