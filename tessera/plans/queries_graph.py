@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lists
 from tessera.functions.text import content_id
-from tessera.operators import graph, merge, retrieval, search, store
+from tessera.operators import edit, graph, merge, retrieval, search, store
 from tessera.plans.queries_search import CHUNKS, COSINE, first_vector
 from tessera.plans.registry import query
 from tessera.plans.staging import new_path, table
@@ -450,3 +450,52 @@ def e2e_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = got["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("name"), "position")
     relations = got["relations"].select(F.lit("relation").alias("kind"), F.concat_ws("-", "src", "tgt").alias("name"), "position")
     return entities.unionByName(relations).unionByName(got["chunks"].select(F.lit("chunk").alias("kind"), F.concat_ws(":", "chunk", "reference_id").alias("name"), "position"))
+
+
+@query(f"with {E}, a as (select 's' || s_suppkey as src, 'p1' as tgt from supplier) select a.src, a.tgt, e.src is not null as has from a left join e on e.src = least(a.src, a.tgt) and e.tgt = greatest(a.src, a.tgt)")
+def f6_has_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.lit("p1").alias("tgt"))
+    return edit.has_pairs(asked, edges(spark, sf_dir))
+
+
+@query("select c_custkey from customer where c_name in (select c_name from customer where c_nationkey = 3) and c_nationkey in (1, 3)")
+def f10_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return edit.conflicts(c.where("c_nationkey = 3"), c.where("c_nationkey in (1, 3)"), ["c_name"]).select("c_custkey")
+
+
+@query(f"""with {N}, {E}, m as (select case when src = 's3' then 'zz' else src end as src, case when tgt = 's3' then 'zz' else tgt end as tgt, weight from e) select least(src, tgt) as src, greatest(src, tgt) as tgt, weight from m""")
+def m8_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit.rename(nodes(spark, sf_dir), edges(spark, sf_dir), "s3", "zz")[1].select("src", "tgt", "weight")
+
+
+@query(f"with {E} select src, tgt, weight from e where not (src = 'p1' and tgt in (select 's' || s_suppkey from supplier where s_nationkey < 12))")
+def m7_delete_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "supplier").where("s_nationkey < 12").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.lit("p1").alias("tgt"))
+    return edit.delete_relations(edges(spark, sf_dir), gone).select("src", "tgt", "weight")
+
+
+@query(f"""with {N}, w as (select 's' || s_suppkey as src, 'x' || s_nationkey as tgt from supplier), lost as (select tgt as entity_id, min(src || '~' || tgt) as description from w group by tgt)
+select entity_id, entity_type, description from n union all select entity_id, 'UNKNOWN', description from lost""")
+def m3_import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = nodes(spark, sf_dir)
+    wired = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("x"), "s_nationkey").alias("tgt"), F.lit(1.0).alias("weight"))
+    wired = wired.withColumn("description", F.concat_ws("~", "src", "tgt"))
+    return edit.import_graph(held, edges(spark, sf_dir), held.limit(0), wired)[0]
+
+
+@query("select vec_id, case when label <> 4 then embedding[1] end as first from embeddings")
+def m14_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit.reset(table(spark, sf_dir, "embeddings"), F.col("label") == 4, "embedding").select("vec_id", F.try_element_at("embedding", F.lit(1)).alias("first"))
+
+
+@query(f"""with {E} select 'rel-' || md5(src || tgt) as id, 'k' || chr(9) || src || chr(9) || tgt || chr(10) || weight::bigint as content from e""")
+def x1_relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).select(edit.relation_row(F.col("tgt"), F.col("src"), F.lit("k"), F.col("weight").cast("long").cast("string")).alias("r")).select("r.*")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey % 5 <> 0 or l_orderkey % 10 in (0)")
+def s22_replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    gone = rows.where("l_orderkey % 10 = 5").select("l_orderkey").distinct()
+    return edit.replace_document(rows.join(gone, "l_orderkey", "left_anti"), rows.where("l_orderkey % 10 = 0"), "l_orderkey")
