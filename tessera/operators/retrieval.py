@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, search
+from tessera.plans.staging import materialise
 
 #: Results kept for one query at most, so that ordering them in one task is bounded.
 TOP = 10_000
@@ -146,9 +147,10 @@ def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, vector: Sequ
     out: dict[str, DataFrame] = {}
     if entity_lanes:
         named = round_robin(entity_lanes, ["entity_id"]).join(nodes, "entity_id")
-        out["entities"] = within_budget(named, ["position"], "tokens", q.max_entity_tokens).drop("embedding")
+        # both lists feed two more lanes each: written once instead of planned and searched again
+        out["entities"] = materialise(within_budget(named, ["position"], "tokens", q.max_entity_tokens).drop("embedding"), "entities")
         joined = round_robin(relation_lanes, ["src", "tgt"]).join(edges, ["src", "tgt"])
-        out["relations"] = within_budget(joined, ["position"], "tokens", q.max_relation_tokens).drop("embedding")
+        out["relations"] = materialise(within_budget(joined, ["position"], "tokens", q.max_relation_tokens).drop("embedding"), "relations")
         by_entity = chunks_of(out["entities"], "entity_id", "position", "sources")
         as_items = out["relations"].select(F.concat_ws("\t", "src", "tgt").alias("item"), F.col("position").alias("rank"), "sources")
         by_relation = relation_chunks(as_items, by_entity)
