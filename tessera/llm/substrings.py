@@ -220,11 +220,14 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = _parts(chosen, length).repartition(n, "shard").sortWithinPartitions("shard", "key", "content")
     found = materialise(_sorted_shards(parts, length), "found")
-    whole = distinct.where("n > 1").select("key", "content", F.lit(0).cast("long").alias("low"), (F.col("p.last") - F.col("p.first")).cast("long").alias("high"))
-    marked = found.union(whole)
-    out = shared.join(marked, ["key", "content"]).groupBy("id", "uid").agg(F.collect_list(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("spans"))
+    # one row per segment, so that the join back makes no more rows than there are copies of segments
+    whole = distinct.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("p.last") - F.col("p.first")).cast("long").alias("high"))).alias("runs"))
+    part = found.join(whole, ["key", "content"], "left_anti").groupBy("key", "content").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    marked = materialise(part.union(whole), "marked")
+    placed = F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("low"), (F.col("first") + r["high"]).alias("high")))
+    out = shared.join(marked, ["key", "content"]).groupBy("id", "uid").agg(F.flatten(F.collect_list(placed)).alias("spans"))
     out = materialise(out, "spans")
-    release(shared, distinct, wanted, found)
+    release(shared, distinct, wanted, found, marked)
     return out
 
 
