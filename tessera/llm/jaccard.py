@@ -368,9 +368,9 @@ def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
-    """Of entries (key, id, component, n, e0, e1) of lists not yet all linked, sorted by key: the pairs (a, b) of different components that are in enough lists of a space to link."""
+    """Of entries (key, id, component, n, e0, e1, lists: of its space) of lists not yet all linked, sorted by key: the pairs (a, b) of different components that are in enough lists of a space to link."""
 
-    def pairs(key, ids, comp, n, e0, e1):
+    def pairs(key, ids, comp, n, e0, e1, lists):
         step = max(1, (1 << 18) // len(ids))
         for low in range(0, len(ids) - 1, step):
             i, j = np.meshgrid(np.arange(low, min(low + step, len(ids))), np.arange(len(ids)), indexing="ij")
@@ -378,7 +378,9 @@ def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
             some = (j > i) & (comp[i] != comp[j]) & (ids[i] != ids[j]) & (rule.den * np.minimum(n[i], n[j]) >= rule.num * np.maximum(n[i], n[j]))
             i, j = i[some], j[some]
             space = np.full(len(i), key[0] & 255)
-            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), space, _shortfall(rule, space, n[i], n[j], [(e0[i], e1[i]), (e0[j], e1[j])])
+            needed = _shortfall(rule, space, n[i], n[j], [(e0[i], e1[i]), (e0[j], e1[j])])
+            some = needed <= np.minimum(lists[i], lists[j])
+            yield np.minimum(ids[i], ids[j])[some], np.maximum(ids[i], ids[j])[some], space[some], needed[some]
 
     def run(batches):
         held, found, size = None, [], 0
@@ -411,7 +413,7 @@ def _pairs_in_lists(open_entries: DataFrame, rule: Rule) -> DataFrame:
         if found:
             yield out()
 
-    got = open_entries.select("key", "id", "component", "n", "e0", "e1").mapInArrow(run, "a long, b long, space long, needed long, shared long")
+    got = open_entries.select("key", "id", "component", "n", "e0", "e1", "lists").mapInArrow(run, "a long, b long, space long, needed long, shared long")
     return got.groupBy("a", "b", "space", "needed").agg(F.sum("shared").alias("shared")).where("shared >= needed").select("a", "b").distinct()
 
 
@@ -473,8 +475,13 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
     placed = entries.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unlinked = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    closed = materialise(placed.join(unlinked, "key").select("key", "id"), "open")
+    left = _thinned(closed, facts, rule)  # a set may be in too few open lists to link with another component
+    spaced = left.select("key", "id", F.col("key").bitwiseAND(255).alias("space"))
+    lists = spaced.groupBy("id", "space").agg(F.count("*").alias("lists"))
+    rest = spaced.join(lists, ["id", "space"]).join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(facts.select("id", "n", "e0", "e1"), "id").drop("space")
     # written first: Spark takes a repartition by the key of a join below it for done, and then may split a skewed key of that join over tasks
-    rest = materialise(placed.join(unlinked, "key").join(facts.select("id", "n", "e0", "e1"), "id"), "rest").repartition(parts, "key").sortWithinPartitions("key", "id")
+    rest = materialise(rest, "rest").repartition(parts, "key").sortWithinPartitions("key", "id")
     often = materialise(_pairs_in_lists(rest, rule).join(tried, ["a", "b"], "left_anti"), "often")
     missing = materialise(_allowed(often, facts, rule), "missing")
     release(entries, facts)
