@@ -340,19 +340,6 @@ def _with(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _enough(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (a, b, space, shared: lists of the space that both are in) those in enough lists to link."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, space, shared, n, m, *empty = (c.to_numpy() for c in batch.columns)
-            good = shared >= _shortfall(rule, space, n, m, [(empty[0], empty[1]), (empty[2], empty[3])])
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
-    columns = ["a", "b", "space", "shared", "na", "nb", "e0a", "e1a", "e0b", "e1b"]
-    return _with(pairs, facts, "n", "e0", "e1").select(*columns).mapInArrow(run, "a long, b long").distinct()
-
-
 def _allowed(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b) those that sizes and bitmaps allow to link, and how many bits differ."""
 
@@ -467,10 +454,9 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -
     facts = materialise(picked(held.where("n > 0").select("id", "n", "e0", "e1", "bits"), listed, ["id"]).dropDuplicates(["id"]), "facts")
     release(held)
     entries = _thinned(entries, facts, rule)
-    space = F.col("key").bitwiseAND(255).alias("space")
-    firsts = entries.where("id <> first").groupBy(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), space).agg(F.count("*").alias("shared"))
-    firsts = materialise(_enough(firsts, facts, rule), "firsts")
-    tried = materialise(_allowed(firsts, facts, rule).select("a", "b"), "tried")  # those that share enough of the lists that one of them leads; the rest is tried below
+    # each set with the one that leads most of its lists; whatever this misses is tried below
+    leads = entries.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("shared")).groupBy("id").agg(F.max(F.struct("shared", "first"))["first"].alias("first"))
+    tried = materialise(_allowed(leads.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct(), facts, rule).select("a", "b"), "tried")
     component = materialise(components(verified(tried, docs, rule, key, text).select("a", "b")), "components")
     # lists that still hold several components: every pair that may link is tried, the likeliest of each component first
     placed = entries.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
