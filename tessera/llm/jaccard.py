@@ -97,7 +97,9 @@ class Rule:
         if space == SUBSETS:
             return 1
         largest = min(self.most(n), self.starts[space + 1] - 1)
-        return max(1, self.blocks(space)[0] - self.differing(n, largest) - empty)
+        # one more element in the partner is one more or (where the overlap rises, never twice in a row) one less that differs
+        differing = max(self.differing(n, largest), self.differing(n, largest - 1))
+        return max(1, self.blocks(space)[0] - differing - empty)
 
     @functools.lru_cache(maxsize=512)
     def blocks(self, size_class: int) -> tuple[int, int]:

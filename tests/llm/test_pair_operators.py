@@ -151,6 +151,25 @@ def test_boundaries_and_overlaps(num):
     assert rule.boundary({5: 10, 20: 10}) in range(1, jaccard.SMALL_MOST + 1)
 
 
+@pytest.mark.parametrize(("words", "num"), [(4, 85), (5, 80), (2, 60), (4, 95)])
+def test_sets_that_link_share_as_many_lists_as_are_asked_for(words, num):
+    rule = jaccard.Rule(words, num)
+    for a in range(1, 700):
+        for b in range(rule.least(a), rule.most(a) + 1):
+            for space in {rule.size_class(a), rule.size_class(a) + 1} & {rule.size_class(b), rule.size_class(b) + 1}:
+                assert rule.agreeing(a, 0, space) <= max(1, rule.blocks(space)[0] - rule.differing(a, b))
+
+
+def test_jaccard_join_links_sizes_where_the_overlap_rises(spark):
+    texts = []
+    for i in range(150):  # 25 and 27 shingles, 24 in common: 24 / 28
+        shared = [f"s{i}x{j}" for j in range(27)]
+        texts += [" ".join([*shared, f"a{i}"]), " ".join([*shared, f"b{i}", f"c{i}", f"d{i}"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, jaccard.Rule(4, 85)).collect()}
+    assert got == {i: ((25, i) if i % 2 == 0 else (27, i - 1)) for i in range(300)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_arrays(seed):
     r = random.Random(seed)
