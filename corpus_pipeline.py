@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, packing, quality, substrings
 from tessera.llm.queries import QUALITY_THRESHOLD, held_out
-from tessera.plans.staging import materialise, release, table
+from tessera.plans.staging import materialise, picked, release, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that shared five-word shingles link (Jaccard 0.8 or more), the one with the smallest id."""
-    groups = jaccard.join(docs.select("doc_id", "text"), jaccard.Rule(words=5, num=80))
-    others = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that shared five-word shingles link (Jaccard 0.8 or more), the one with the smallest id.
+
+    Every row counts by itself: of a repeated row one stays, and rows with a null id take part (they stay only where no
+    linked row has an id). Texts without words link with nothing and stay."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that each read gives the same numbers
+    groups = jaccard.join(rows.select("_row", "text"), jaccard.Rule(words=5, num=80), key="_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    kept = materialise(groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row"), "kept")
+    return picked(rows, kept, ["_row"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,3 +249,18 @@ def test_pipeline(spark, tmp_path):
         assert passage not in seen["repeated_passages"][i].text and seen["repeated_passages"][i].n_chars == len(seen["repeated_passages"][i].text)
     assert seen["repeated_passages"][11].text == rows[11][1]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    near = b.replace(b.split()[0], "other", 1)
+    rows = [(1, a), (1, a), (5, b), (2, b), (None, b), (None, near), (None, c), (None, c), (3, d), (4, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = [(1, a), (2, b), (3, d), (4, ""), (6, None), (None, c)]
+    assert sorted(((x.doc_id, x.text) for x in once.collect()), key=repr) == sorted(want, key=repr)
+    left = corpus_pipeline.repeated_passages(spark, once, "").collect()
+    assert sorted(((x.doc_id, x.text or "") for x in left), key=repr) == sorted(((i, t or "") for i, t in want), key=repr)
