@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tessera.functions import lists
 from tessera.functions.text import content_id
 from tessera.operators import edit, graph, merge, retrieval, search, store
+from tessera.plans import registry
 from tessera.plans.queries_search import CHUNKS, COSINE, first_vector
 from tessera.plans.registry import query
-from tessera.plans.staging import new_path, table
+from tessera.plans.staging import new_path, numbered, table
 from tessera.streaming import status as streams
 
 
@@ -192,6 +193,27 @@ def v14_polling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.weighted_polling(each, 12, 3).select("item", "chunk", "place")
 
 
+# over all parts, beside the three above, whose SQL takes the first 40 parts and 5 suppliers
+_ALL_ITEMS = _ITEMS.replace(" where l_partkey <= 40", "")
+
+
+def _all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"])
+    got = numbered(table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(source.alias("sources")), "l_partkey")
+    return got.select(F.concat(F.lit("p"), "l_partkey").alias("item"), F.col("rank").cast("int").alias("rank"), "sources")
+
+
+@query(registry.SQL["r5_entity_chunks"].replace(_ITEMS, _ALL_ITEMS))
+def r5_entity_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.chunks_of(_all_items(spark, sf_dir), "item", "rank", "sources")
+
+
+@query(registry.SQL["v14_polling"].replace(_ITEMS, _ALL_ITEMS))
+def v14_polling_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _all_items(spark, sf_dir).select("item", "rank", F.posexplode("sources").alias("p", "chunk")).select("item", "rank", "chunk", (F.col("p") + 1).alias("place"))
+    return retrieval.weighted_polling(each, 12, 3).select("item", "chunk", "place")
+
+
 @query(f"with {X} select 'p' || l_partkey as name, count(*) as mentions, count(distinct l_orderkey) as chunks from lineitem group by all")
 def a1_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("name")).agg(F.count("*").alias("mentions"), F.countDistinct("l_orderkey").alias("chunks"))

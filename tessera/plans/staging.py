@@ -71,5 +71,17 @@ def picked(rows: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi
     return rows.join(F.broadcast(ids) if few else ids, on, how)
 
 
+def numbered(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """``rows``, materialised, with their place from 0 in the order: places within ordered parts plus the rows of the parts before."""
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())  # part << 33 | place
+    own = materialise(own.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "ordered")
+    before, total = [], 0
+    for r in sorted(own.groupBy("_part").count().collect()):  # a row a part
+        before.append((r._part, total))
+        total += r["count"]
+    offsets = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    return own.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

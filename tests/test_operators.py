@@ -201,3 +201,21 @@ def test_stream_windows_and_once(spark, tmp_path):
     q = status.windowed(source, "t", "0 seconds", "5 minutes", None).writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("win").collect()) == [1, 2]
+
+
+def test_numbered_gives_places_over_all_parts(spark):
+    from tessera.plans.staging import numbered
+
+    rows = spark.range(0, 30011, 1, 7).select(F.col("id"), (F.col("id") * 7919 % 30011).alias("x"))
+    got = numbered(rows, F.desc("x"), name="place")
+    assert got.columns == ["id", "x", "place"] and got.count() == 30011 and got.where("place <> 30010 - x").isEmpty()
+    assert numbered(rows.limit(0), "x").count() == 0
+
+
+def test_relation_chunks_of_more_items_than_registered(spark):
+    from tessera.operators import retrieval
+
+    relations = spark.createDataFrame([(f"r{i}", i, [i, i + 1, 900]) for i in range(100)], "item string, rank int, sources array<long>")
+    entity = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "chunk long")
+    got = {r.chunk: (r["rank"], r.occurrences) for r in retrieval.relation_chunks(relations, entity).collect()}
+    assert got == {900: (0, 100), 100: (99, 1)} | {i: (i - 1, 2) for i in range(1, 100, 2)}
