@@ -8,7 +8,8 @@ text, as a text that repeats itself shrinks with any dictionary) into a probabil
 on those rows, so that a text of which a dictionary holds a part isn't judged by how little is left of it.
 
 Fitting reads a bounded sample: at most ``max_per_class`` labelled rows of each class, chosen
-by a hash of the id, of texts up to ``max_fit_bytes`` bytes. Scoring reads every whole text.
+by a hash of the id, of texts up to ``max_fit_bytes`` bytes; dictionaries are trained on pieces of these
+whole texts. Scoring reads every whole text.
 
 Defined results: a null text counts as empty; an empty text gets the score of the prior; a
 label other than 0 or 1, or a null one, is no label; an id labelled twice counts once for each
@@ -102,7 +103,7 @@ def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary
     for y, texts in sample.items():
         texts = texts[::2] + texts[1::2]  # either half spans the whole sample
         half = len(texts) // 2
-        trained[y] = _dictionary([t[:piece_bytes] for t in texts[:half]], dictionary_bytes)
+        trained[y] = _dictionary([t[at : at + piece_bytes] for t in texts[:half] for at in range(0, len(t), piece_bytes)], dictionary_bytes)
         held[y] = texts[half:]
     pair = [_compressor(trained[1]), _compressor(trained[0])]
     sizes = np.array([[len(pair[0].compress(t)), len(pair[1].compress(t)), len(t)] for y in (0, 1) for t in held[y]], dtype=float)

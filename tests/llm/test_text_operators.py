@@ -106,6 +106,14 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([(got[i] >= 0.3) == y for i, _, y in rows if i % 5 == 0]) > 0.95
 
 
+def test_quality_dictionaries_hold_what_stands_late_in_texts():
+    r = random.Random(3)
+    marks = {1: b" careful harvest of northern orchards begins", 0: b" limited bargain voucher expires at midnight"}
+    sample = {y: [bytes(r.randrange(97, 123) for _ in range(1500)) + mark * 3 for _ in range(80)] for y, mark in marks.items()}
+    model = quality.fit_texts(sample, {0: 80, 1: 80}, dictionary_bytes=8192)
+    assert marks[1] in model.good and marks[0] in model.bad
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
