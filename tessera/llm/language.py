@@ -67,16 +67,17 @@ class TextModel:
         return p / p.sum()
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500, most_bytes: int = 16384, languages: int = 200) -> TextModel:
-    """Fit on at most ``per_language`` texts (of ``most_bytes`` or less), those of the smallest hash of the id, of each of the ``languages`` most frequent: a bounded sample."""
-    thin = labelled.select(F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h"), F.col(key).alias("k")).where("l is not null")
-    names = sorted(r.l for r in thin.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect())
-    chosen = thin.where(F.col("l").isin(names)).withColumn("nth", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("nth") <= per_language).select("k", "l")
-    own = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(F.octet_length("t").between(1, most_bytes))
-    sample = own.join(F.broadcast(chosen), ["k", "l"]).select("l", "t").collect()  # languages * per_language texts at most, of most_bytes
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500, most_bytes: int = 16384) -> TextModel:
+    """Fit on at most ``per_language`` texts of each language, those of the smallest hash of the id among texts of 1 to ``most_bytes`` bytes: a bounded sample. A label without such a text is no language."""
+    own = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(F.octet_length("t").between(1, most_bytes) & F.col("l").isNotNull())
+    thin = own.select("k", "l", F.xxhash64("k").alias("h"))
+    chosen = thin.withColumn("nth", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("nth") <= per_language).select("k", "l")
+    sample = own.join(F.broadcast(chosen), ["k", "l"]).select("l", "t").collect()  # per_language texts a language at most, of most_bytes
+    names = sorted({r.l for r in sample})
+    at = {name: i for i, name in enumerate(names)}
     count = np.ones((BUCKETS, len(names)))
     for r in sample:
-        count[:, names.index(r.l)] += trigrams(r.t)
+        count[:, at[r.l]] += trigrams(r.t)
     return TextModel(tuple(names), np.log(count / count.sum(axis=0)))
 
 

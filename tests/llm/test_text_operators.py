@@ -231,3 +231,10 @@ def test_archives_come_back(spark):
 def test_url_keys_sort_by_reversed_host():
     assert warc.url_key("https://Blog.example.com/A?b") == "com,example,blog)/a?b"
     assert warc.url_key("http://a.b:8080") == "b,a:8080)/"
+
+
+def test_every_label_with_a_usable_text_is_a_language(spark):
+    rows = [(i, f"l{i:03}", f"word{i} text") for i in range(230)] + [(1000 + i, "long", "x" * 20) for i in range(9)] + [(2000, "long", "usable"), (3000, "none", "y" * 20), (3001, None, "z")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), per_language=2, most_bytes=15)
+    assert model.languages == (*(f"l{i:03}" for i in range(230)), "long")
+    assert len(set(model.log_share[:, -1])) > 1
