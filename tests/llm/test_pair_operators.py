@@ -145,19 +145,43 @@ def test_boundaries_and_overlaps(num):
             fits = b <= rule.most(a)
             c = rule.overlap(a, b)
             assert fits == (c <= a) and (not fits or 100 * c >= num * (a + b - c)) and 100 * (c - 1) < num * (a + b - c + 1)
-            if fits:
-                i, j = rule.size_class(a), rule.size_class(b)
-                assert j in (i, i + 1) and rule.differing(a, b) < rule.blocks(j)[0] - rule.blocks(j)[1]
     assert rule.boundary({5: 10, 20: 10}) in range(1, jaccard.SMALL_MOST + 1)
 
 
-@pytest.mark.parametrize(("words", "num"), [(4, 85), (5, 80), (2, 60), (4, 95)])
-def test_sets_that_link_share_as_many_lists_as_are_asked_for(words, num):
-    rule = jaccard.Rule(words, num)
-    for a in range(1, 700):
-        for b in range(rule.least(a), rule.most(a) + 1):
-            for space in {rule.size_class(a), rule.size_class(a) + 1} & {rule.size_class(b), rule.size_class(b) + 1}:
-                assert rule.agreeing(a, 0, space) <= max(1, rule.blocks(space)[0] - rule.differing(a, b))
+def test_shingles_are_those_of_words():
+    r = random.Random(4)
+    words = ["a", "Bc", "é", "twelve-bytes", "x" * 16, "y" * 63, "z" * 64, "Q" * 65, "q" * 65, "long" * 90, "\x85", "\xa0"]
+    texts = [r.choice(["", " ", "\t"]).join([" \n\x0b".join(r.choice(words) for _ in range(r.randrange(0, 9)))] * r.choice([1, 2])).encode() for _ in range(400)] + [b"", b"  ", b"one", b"one"]
+    flat, n = jaccard.Shingler(3).sets(texts)
+    end, by_hash = np.cumsum(n), {}
+    for t, a, b in zip(texts, end - n, end):
+        w = t.lower().split()
+        want = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        assert len(want) == b - a and (np.diff(flat[a:b].astype(object)) > 0).all()
+        by_hash.setdefault(frozenset(want), set()).add(flat[a:b].tobytes())
+    assert all(len(x) == 1 for x in by_hash.values()) and len({x for v in by_hash.values() for x in v}) == len(by_hash)
+
+
+@pytest.mark.parametrize("blocks", [1 << 20, 400])
+def test_jaccard_join_of_long_lists_and_many_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(jaccard, "ENTRIES", blocks)
+    r = random.Random(7)
+    base, texts = [f"w{i}" for i in range(90)], []
+    for _ in range(150):  # copies that differ from each other twice as much as from the first
+        t = list(base)
+        for _ in range(r.randrange(0, 4)):
+            t[r.randrange(len(t))] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, jaccard.Rule(4, 85), long=16).collect()}
+    assert got == linked_by_hand(texts, 4, 85)
+
+
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white")
+    rows = [(5, a), (5, b), (3, b), (9, a), (2, c), (8, c), (8, ""), (7, None), (7, "solo word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(df, jaccard.Rule(4, 85)).collect()) == [(2, 2, 2), (3, 3, 3), (5, 3, 3), (7, 1, 7), (8, 2, 2), (9, 2, 3)]
 
 
 def test_jaccard_join_links_sizes_where_the_overlap_rises(spark):
