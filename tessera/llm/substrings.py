@@ -18,7 +18,8 @@ bytes are dealt out by content:
 
 Defined results: a null text is empty. Rows with the same id and text are separate copies, and so
 repeats of each other; rows with the same id and different texts are separate documents. Extra
-columns are ignored; an empty table gives no rows.
+columns pass through, but for those named as the results, which these replace; an empty table gives no rows. Texts are read
+whole, half a million windows at a time.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from tessera.plans.staging import materialise, release
 
 GRAM, CLASS = 32, 28
 #: Windows that are looked at together, of one text; bytes that are sorted together, if one shard's part is not longer.
-AT_ONCE, SORTED = 1 << 19, 1 << 21
+AT_ONCE, SORTED = 1 << 19, 1 << 19
 #: Ids up to which documents are picked by a broadcast.
 BROADCAST_IDS = 2_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -210,7 +211,7 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     release(segments, keys)
     place = F.struct("id", "uid", "first", "last", "anchor")
     distinct = materialise(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(place).alias("p")), "distinct")
-    several = distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key")
+    several = materialise(distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key"), "several")  # as keys
     wanted = distinct.join(several, "key").groupBy("p.id", "p.uid").agg(F.collect_list(F.struct("key", "content", "p.first", "p.last", "p.anchor")).alias("wanted"))
     wanted = materialise(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
@@ -227,7 +228,7 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     placed = F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("low"), (F.col("first") + r["high"]).alias("high")))
     out = shared.join(marked, ["key", "content"]).groupBy("id", "uid").agg(F.flatten(F.collect_list(placed)).alias("spans"))
     out = materialise(out, "spans")
-    release(shared, distinct, wanted, found, marked)
+    release(shared, distinct, several, wanted, found, marked)
     return out
 
 
@@ -243,7 +244,7 @@ def remove(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str =
     """The rows of ``docs`` with _kept (the bytes left), _n_bytes, _n_removed and _n_spans (maximal removed runs).
 
     With ``whole_characters``, what is left of a character that loses a byte goes too; the counts don't change."""
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "_kept", "_n_bytes", "_n_removed", "_n_spans")]
     own = docs.select(F.struct(*rest).alias("rest"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("uid", F.xxhash64("id", "t"))
     got = spans(own.select("id", "uid", "t"), length)
 

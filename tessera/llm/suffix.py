@@ -1,43 +1,43 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in vector form.
 
 ``suffix_array`` classifies suffixes as smaller or larger than the next, sorts the substrings between
-leftmost smaller suffixes by one induction, names them, sorts the string of names (by the same
-procedure while its alphabet is small, else by doubling the names' ranks) and induces the whole
-array from that order. An induction goes through the symbols in order; all suffixes of
-a symbol's bucket that are known at the time place their predecessors at once, so a step is a few array
-operations and a run of one symbol takes as many steps as it is long.
+leftmost smaller suffixes by one induction, names them, sorts the string of names by the same
+procedure and induces the whole array from that order. An induction goes through the buckets of the symbols in
+order. Symbols with many suffixes are taken one by one: all suffixes of the bucket that are known at the time
+place their predecessors at once, so a run of one symbol takes as many steps as it is long. Symbols with few
+are taken in groups of neighbours: the group's suffixes in their order, with those that they place within the group
+put in until there are no more, place the others at once. So large alphabets of names take few steps, too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are sorted by induction.
-INDUCED = 1024
+#: Suffixes up to which neighbouring symbols are taken as a group.
+GROUP = 4096
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``text`` (whole numbers from 0) in order; a suffix that is a prefix of another comes first."""
     if not len(text):
         return np.zeros(0, dtype=np.int64)
-    t = np.r_[text.astype(np.int64) + 1, 0]
+    t = np.zeros(len(text) + 1, dtype=np.int32)
+    t[:-1] = text
+    t[:-1] += 1
     return _sorted(t, int(t.max()) + 1)[1:]
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the next; the last counts as smaller."""
     n = len(t)
-    differs = np.r_[np.flatnonzero(t[1:] != t[:-1]), n - 1]
-    at = differs[np.searchsorted(differs, np.arange(n))]
-    return (at == n - 1) | (t[at] < t[np.minimum(at + 1, n - 1)])
+    last = np.flatnonzero(np.append(t[1:] != t[:-1], True))  # of each run
+    return np.repeat(np.append(t[last[:-1]] < t[last[:-1] + 1], True), np.diff(last, prepend=-1))
 
 
 def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
     n = len(t)
     if n == 1:
-        return np.zeros(1, dtype=np.int64)
-    if symbols > INDUCED:
-        return _doubled(t)
+        return np.zeros(1, dtype=np.int32)
     smaller = _smaller(t)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     sa = _induced(t, symbols, smaller, lms)
@@ -55,40 +55,32 @@ def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
 def _named(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names (from 0, in order) of the substrings between leftmost smaller suffixes, by place in the text."""
     n = len(t)
-    span = np.zeros(n, dtype=np.int64)
-    span[lms] = np.diff(np.r_[lms, n - 1])
-    a, b = order[:-1], order[1:]
-    differ = span[a] != span[b]
+    span = np.zeros(n, dtype=np.int32)
+    span[lms] = np.diff(np.append(lms, n - 1))
+    differ = span[order[:-1]] != span[order[1:]]
     live, d = np.flatnonzero(~differ), 0
-    while len(live):
-        unequal = t[np.minimum(a[live] + d, n - 1)] != t[np.minimum(b[live] + d, n - 1)]
-        differ[live[unequal]] = True
-        live = live[~unequal & (span[a[live]] > d)]
+    a, b = order[:-1][live], order[1:][live]
+    while len(live):  # up to the first symbol of the next, which lies in the text
+        equal = t[a + d] == t[b + d]
+        differ[live[~equal]] = True
+        equal &= span[a] > d
+        live, a, b = live[equal], a[equal], b[equal]
         d += 1
     name = np.cumsum(np.r_[0, differ])
-    where = np.zeros(n, dtype=np.int64)
+    where = np.zeros(n, dtype=np.int32)
     where[order] = name
     return where[lms], int(name[-1]) + 1
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by sorting on pairs of ranks of doubling width."""
-    n, width = len(t), 1
-    order = np.argsort(t, kind="stable")
-    rank = np.zeros(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.r_[0, t[order][1:] != t[order][:-1]])
-    while rank[order[-1]] < n - 1:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - width] = rank[width:] + 1
-        # only suffixes that share their rank with another are sorted again
-        tied = np.bincount(rank, minlength=n)[rank[order]] > 1
-        some = order[tied]
-        order[tied] = some[np.argsort(rank[some] * (n + 1) + after[some], kind="stable")]
-        pair_new = np.r_[True, (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])]
-        new = np.zeros(n, dtype=np.int64)
-        new[order] = np.cumsum(pair_new) - 1
-        rank, width = new, 2 * width
-    return order
+def _groups(count: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of used symbols: those of many suffixes alone, neighbours of few together."""
+    used = np.flatnonzero(count)
+    many = count[used] > GROUP // 8
+    window = start[used] // GROUP
+    new = np.ones(len(used), dtype=bool)
+    new[1:] = many[1:] | many[:-1] | (window[1:] != window[:-1])
+    first = np.flatnonzero(new)
+    return list(zip(used[first].tolist(), (used[np.r_[first[1:], len(used)] - 1] + 1).tolist()))
 
 
 def _induced(t: np.ndarray, symbols: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -96,17 +88,15 @@ def _induced(t: np.ndarray, symbols: int, smaller: np.ndarray, lms: np.ndarray)
     n = len(t)
     count = np.bincount(t, minlength=symbols)
     start = np.r_[0, np.cumsum(count)]
-    sa = np.full(n, -1, dtype=np.int64)
-    by = np.argsort(t[lms], kind="stable")
+    sa = np.full(n, -1, dtype=np.int32)
+    by = np.argsort(t[lms].astype(np.uint16 if symbols < 1 << 16 else t.dtype), kind="stable")
     seeds, seed_at = lms[by], np.r_[0, np.cumsum(np.bincount(t[lms], minlength=symbols))]
     head, tail = start[:-1].copy(), start[1:].copy()
+    narrow = np.uint16 if symbols < 1 << 16 else t.dtype  # short keys are sorted by counting
 
-    def place(found: np.ndarray, up: bool) -> None:
-        before = found[found > 0] - 1
-        before = before[smaller[before] != up]
+    def put(before: np.ndarray, symbol: np.ndarray, up: bool) -> None:
         if not len(before):
             return
-        symbol = t[before]
         if len(before) == 1:
             c = symbol[0]
             if up:
@@ -116,36 +106,72 @@ def _induced(t: np.ndarray, symbols: int, smaller: np.ndarray, lms: np.ndarray)
                 tail[c] -= 1
                 sa[tail[c]] = before[0]
             return
-        order = np.argsort(symbol, kind="stable")
+        order = np.argsort(symbol.astype(narrow, copy=False), kind="stable")
         symbol, before = symbol[order], before[order]
-        first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-        size = np.diff(np.r_[first, len(symbol)])
-        nth = np.arange(len(symbol)) - np.repeat(first, size)
-        each = symbol[first]
+        new = np.ones(len(symbol) + 1, dtype=bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=new[1:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(first)
+        each = symbol[first[:-1]]
         if up:
-            sa[head[symbol] + nth] = before
+            sa[np.arange(len(symbol)) + np.repeat(head[each] - first[:-1], size)] = before
             head[each] += size
         else:
-            sa[tail[symbol] - 1 - nth] = before
+            sa[np.repeat(tail[each] - 1 + first[:-1], size) - np.arange(len(symbol))] = before
             tail[each] -= size
 
-    used = np.flatnonzero(count)
-    for c in used:  # larger suffixes, from the front of each bucket
-        at = start[c]
-        while at < head[c]:
-            end = head[c]
+    def placed_by(found: np.ndarray, up: bool) -> np.ndarray:
+        before = found[found > 0] - 1
+        return before[smaller[before] != up]
+
+    def place(found: np.ndarray, up: bool) -> None:
+        before = placed_by(found, up)
+        put(before, t[before], up)
+
+    def group(a: int, b: int, own: np.ndarray, others: np.ndarray, up: bool) -> None:
+        """own: suffixes of the kind that is placed, others: of the other kind, both of the symbols from a to b - 1 and in the order in which they are met."""
+        inner = own[:0]
+        while True:
+            items = np.concatenate([own, inner, others])
+            symbol = t[items]
+            symbol = symbol - a if up else b - 1 - symbol
+            items = items[np.argsort(symbol.astype(np.uint16) if b - a < 1 << 16 else symbol, kind="stable")]
+            before = placed_by(items, up)
+            symbol = t[before]
+            within = symbol < b if up else symbol >= a
+            if np.count_nonzero(within) == len(inner):
+                break
+            inner = before[within]
+        put(inner, t[inner], up)
+        put(before[~within], symbol[~within], up)
+
+    ranges = _groups(count, start)
+    for a, b in ranges:  # larger suffixes, from the front of each bucket
+        if b - a > 1:
+            own = sa[start[a] : start[b]]
+            group(a, b, own[own >= 0], seeds[seed_at[a] : seed_at[b]], True)
+            continue
+        at = start[a]
+        while at < head[a]:
+            end = head[a]
             place(sa[at:end], True)
             at = end
-        place(seeds[seed_at[c] : seed_at[c + 1]], True)
-    for c in used[::-1]:  # smaller suffixes, from the back
-        if c == 0:
+        place(seeds[seed_at[a] : seed_at[b]], True)
+    for a, b in ranges[::-1]:  # smaller suffixes, from the back
+        if a == 0 and b == 1:
+            continue
+        if b - a > 1:
+            both = sa[start[a] : start[b]][::-1]
+            both = both[both >= 0]
+            kind = smaller[both]
+            group(a, b, both[kind], both[~kind], False)
             continue
-        at = start[c + 1]
-        while at > tail[c]:
-            end = tail[c]
+        at = start[b]
+        while at > tail[a]:
+            end = tail[a]
             place(sa[end:at][::-1], False)
             at = end
-        place(sa[start[c] : head[c]][::-1], False)
+        place(sa[start[a] : head[a]][::-1], False)
     sa[0] = n - 1
     return sa
 
