@@ -16,8 +16,8 @@ and the documents of one block.
 
 Defined results: a null source is the source ''. Rows with no tokens (null or below one) are never
 taken. Equal ids of a source are taken together or not at all. A null id hashes as ''. A budget over
-what the repetition limit allows in proportion leaves the exponent at 1. Extra columns pass through;
-an empty table gives no rows.
+what the repetition limit allows in proportion leaves the exponent at 1. Extra columns pass through, but for
+those named as the results, which these replace; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,12 +79,13 @@ def mix(docs: DataFrame, tokens: Column, budget_share: float = 1.0, entropy_shar
 
     The mix holds ``budget_share`` of all tokens. Its sources' entropy is to be ``entropy_share`` of that of
     equal shares; without it, weights are as equal as ``repetition`` (passes over a source) allows."""
-    named = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_tokens", tokens)
+    rest = [c for c in docs.columns if c not in ("_tokens", "_copies", "_weight")]
+    named = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), tokens.alias("_tokens"))
     thin = materialise(named.select("_source", "_key", "_tokens").where("_tokens > 0"), "tokens")
     sources = materialise(thin.groupBy("_source").agg(F.sum("_tokens").cast("double").alias("T")), "sources")
     whole = sources.agg(F.sum("T").alias("t"), F.count("*").alias("n")).first()
     if not whole.n:
-        return named.select(docs["*"], F.coalesce("_tokens", F.lit(0)).alias("_tokens"), F.lit(0).cast("long").alias("_copies"), F.lit(None).cast("double").alias("_weight"))
+        return named.select("row.*", F.coalesce("_tokens", F.lit(0)).alias("_tokens"), F.lit(0).cast("long").alias("_copies"), F.lit(None).cast("double").alias("_weight"))
     budget = whole.t * budget_share
     a = exponent(sources, budget, None if entropy_share is None else entropy_share * math.log(whole.n), repetition)
     z = sources.agg(F.sum(F.pow("T", F.lit(a)))).first()[0]
@@ -108,4 +109,4 @@ def mix(docs: DataFrame, tokens: Column, budget_share: float = 1.0, entropy_shar
     before = (F.col("_order") < F.col("_cut._order")) | ((F.col("_order") == F.col("_cut._order")) & (F.col("_block") < F.col("_cut._block")))
     inside = (F.col("_block") == F.col("_cut._block")) & F.col("_last").isNotNull() & (F.struct("_inner", "_key") <= F.col("_last"))
     copies = F.when(F.col("_tokens") > 0, F.col("_passes") + F.coalesce((before | inside).cast("long"), F.lit(0))).otherwise(0)
-    return taken.select(*(docs[c] for c in docs.columns), F.coalesce("_tokens", F.lit(0)).alias("_tokens"), copies.cast("long").alias("_copies"), "_weight")
+    return taken.select("row.*", F.coalesce("_tokens", F.lit(0)).alias("_tokens"), copies.cast("long").alias("_copies"), "_weight")

@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import bound_batches
+
 LEVEL = 3
 
 
@@ -138,6 +140,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the score (0 to 1) of every row's whole text."""
     spark = docs.sparkSession
+    bound_batches(spark)
+    keep = tuple(c for c in keep if c != "score")
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of at most dictionary_bytes
     kept = docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_t"))
 

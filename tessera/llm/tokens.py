@@ -11,7 +11,8 @@ Where no longer piece of a better rank begins or ends with the joined one, joini
 make a pair that should come before its other places; then all of them are joined in the round.
 
 Defined results: a null or empty text has no tokens. The model file's strings for special
-tokens are ordinary text. Extra columns are ignored.
+tokens are ordinary text. Repeated rows are counted one by one, a null id as any other; extra columns are ignored; an
+empty table gives no rows. Texts are read whole, a long one takes about forty times its size in the task.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import bound_batches
+
 BLANK = "▁"
 #: Counted pre-tokens that a Python process remembers; longer ones than LONG characters are not kept.
 REMEMBERED, LONG = 300_000, 48
@@ -182,6 +185,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_bytes, n_tokens and whether these are more than ``limit``, for every whole text."""
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
 
     def run(batches):
