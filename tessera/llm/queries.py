@@ -63,8 +63,9 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, root = warc.archive(spark, table(spark, sf_dir, "pages"))
-    return warc.read(directory, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    directory, root = warc.archive(spark, pages)
+    return warc.lookup(warc.wanted(pages), directory, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

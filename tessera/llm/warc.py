@@ -8,14 +8,16 @@ archives under names of its own; only names in rows that Spark committed are eve
 Index: a capture's key is its URL with the host reversed (com,example,blog)/path, then its id.
 Captures are sorted by key over the cluster, and each stretch of ``per_block`` lines is one
 compressed block in an index file. The directory is sparse: one row per block with its first
-key, file, offset and length. A lookup binary-searches the directory, range-reads one block,
-binary-searches its lines, and range-reads the records they name.
+capture, file, offset and length. A lookup binary-searches the directory, range-reads one block,
+binary-searches its lines, and range-reads the records they name. Many lookups are dealt by block, so that
+a block is read once.
 
 Files are written and read with pyarrow's file systems, from the URI of the shared folder.
 
 Defined results: a null page text is an empty payload. A null URL is the URL ``about:blank``; a
-malformed one is kept as it is, with an empty host. A null id takes no part. Pages with
-the same id are separate records; if they share the largest id and the payload, each is a response. Line breaks in URLs are percent-encoded. Extra columns are ignored; an empty
+malformed one is kept as it is, with an empty host. A null id is smaller than any other and named '' in the record; of
+equal payloads without any id each is a response. Pages with
+the same id are separate records; if they share the largest id and the payload, each is a response, and a lookup of one finds all. Line breaks in URLs are percent-encoded. Extra columns are ignored; an empty
 table gives an empty archive.
 """
 
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.staging import materialise, new_path
+from tessera.plans.staging import BROADCAST_ROWS, materialise, new_path, picked
 
 LEAST, PER_BLOCK, ARCHIVE_BYTES = 1000, 1000, 256 << 20
 _CAPTURE = "key string, id long, file string, offset long, length long"
@@ -54,12 +56,12 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + path.lower()
 
 
-def record(page: int, url: str | None, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
     """One WARC record, uncompressed. A revisit keeps the response's headers and leaves its payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {quote(url or 'about:blank', safe=_SAFE)}", f"WARC-Date: {_DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Target-URI: {quote(url or 'about:blank', safe=_SAFE)}", f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
@@ -74,7 +76,7 @@ _SAFE = "".join(map(chr, range(33, 127)))
 class Read:
     """What a record says, and its payload (none for a revisit)."""
 
-    page: int
+    page: int | None
     url: str
     type: str
     digest: str
@@ -92,7 +94,7 @@ def parse(raw: bytes) -> Read:
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-    of = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    of = lambda x: int(x[10:-1]) if x[10:-1] else None
     declared = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     if fields["WARC-Type"] == "revisit":
         return Read(of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], "revisit", declared, size, of(fields["WARC-Refers-To"]), None)
@@ -126,12 +128,12 @@ class _Files:
 
 
 def roles(pages: DataFrame, key: str, url: str, text: str, least: int) -> DataFrame:
-    """Rows (id, url, payload, digest, refers_to): which record each page becomes."""
-    own = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("payload"))
+    """Rows (id, url, payload, digest, refers_to): which record each page becomes. Decided without the payloads, by the digests that several pages have."""
+    own = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("payload"))
     sized = own.withColumn("digest", F.sha1("payload"))
     latest = sized.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = sized.join(latest, "digest", "left")
-    return joined.select("id", "url", "payload", "digest", F.when(F.col("last") != F.col("id"), F.col("last")).alias("refers_to"))
+    joined = picked(sized, materialise(latest, "repeated"), ["digest"], "left")
+    return joined.select("id", "url", "payload", "digest", F.when(~F.col("last").eqNullSafe(F.col("id")), F.col("last")).alias("refers_to"))
 
 
 def write(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", text: str = "html", least: int = LEAST) -> DataFrame:
@@ -163,12 +165,12 @@ def write(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", t
 
 
 def index(captures: DataFrame, root: str, per_block: int = PER_BLOCK) -> DataFrame:
-    """Write the sorted captures as compressed blocks under ``root``; the directory (first key, file, offset, length, captures), materialised."""
+    """Write the sorted captures as compressed blocks under ``root``; the directory (first key and id, file, offset, length, captures), materialised."""
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
 
     def run(batches):
-        files, out, name, at, lines, first = _Files(root), None, "", 0, [], None
+        files, out, at, lines, first = _Files(root), None, 0, [], None
         mine = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.cdx.gz"
 
         def block():
@@ -177,13 +179,13 @@ def index(captures: DataFrame, root: str, per_block: int = PER_BLOCK) -> DataFra
                 out = files.create(mine)
             packed = _gzip("".join(lines).encode(), 6)
             out.write(packed)
-            row = pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, mine, at, len(packed), len(lines))], ["first", "file", "offset", "length", "captures"])
+            row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*first, mine, at, len(packed), len(lines)), (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3))], ["first", "first_id", "file", "offset", "length", "captures"])
             at, lines, first = at + len(packed), [], None
             return row
 
         for batch in batches:
             for key, page, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
-                first = key if first is None else first
+                first = (key, page) if first is None else first
                 lines.append(json.dumps([key, page, file, offset, length], ensure_ascii=True) + "\n")
                 if len(lines) == per_block:
                     yield block()
@@ -192,7 +194,7 @@ def index(captures: DataFrame, root: str, per_block: int = PER_BLOCK) -> DataFra
         if out:
             out.close()
 
-    return materialise(ordered.mapInArrow(run, "first string, file string, offset long, length long, captures long"), "directory")
+    return materialise(ordered.mapInArrow(run, "first string, first_id long, file string, offset long, length long, captures long"), "directory")
 
 
 def captures_of(files: _Files, file: str, offset: int, length: int) -> list[tuple]:
@@ -200,45 +202,92 @@ def captures_of(files: _Files, file: str, offset: int, length: int) -> list[tupl
     return [tuple(json.loads(x)) for x in zlib.decompress(files.read(file, offset, length), 31).decode().splitlines()]
 
 
-class Lookup:
-    """Reads captures of single URLs by way of the directory."""
+def _order(key: str, page: int | None) -> tuple:
+    """Sorts captures as Spark does, a null id first."""
+    return key, page is not None, page or 0
 
-    def __init__(self, directory: DataFrame, root: str):
-        rows = directory.orderBy("first", "file", "offset").collect()  # one row per block: a lookup service holds these
-        self.rows, self.first, self.files, self.root = rows, [r["first"] for r in rows], _Files(root), root
 
-    def records(self, url: str) -> list[Read]:
-        """Every record of the URL's key, by id."""
-        key, out = url_key(url), []
-        at = max(0, bisect.bisect_left(self.first, key) - 1)
-        while at < len(self.rows) and self.first[at] <= key:
-            block = captures_of(self.files, self.rows[at]["file"], self.rows[at]["offset"], self.rows[at]["length"])
-            low = bisect.bisect_left(block, key, key=lambda c: c[0])
-            while low < len(block) and block[low][0] == key:
-                _, _, file, offset, length = block[low]
-                out.append(parse(zlib.decompress(self.files.read(file, offset, length), 31)))
-                low += 1
-            at += 1
-        return sorted(out, key=lambda r: r.page)
+_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read(directory: DataFrame, root: str, texts: bool = False) -> DataFrame:
-    """Every capture, by range reads through the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, the payload."""
-    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = directory.select("file", "offset", "length").repartition(parts, "file", "offset")
+def _batch(got: list[Read], texts: bool) -> pa.RecordBatch:
+    columns = [pa.array([r.page for r in got], pa.int64()), pa.array([r.url for r in got], pa.string()), pa.array([r.size for r in got], pa.int64()), pa.array([r.digest for r in got], pa.string()), pa.array([r.type for r in got], pa.string()), pa.array([r.refers_to for r in got], pa.int64())]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r.payload for r in got], pa.binary())] if texts else columns, [*names, "payload"] if texts else names)
 
+
+def wanted(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """The captures (key, id) of pages."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(url_key, batch.column(1).to_pylist()), pa.string()), batch.column(0)], ["key", "id"])
+
+    return pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url")).mapInArrow(run, "key string, id long")
+
+
+def lookup(captures: DataFrame, directory: DataFrame, root: str, texts: bool = False) -> DataFrame:
+    """The records of captures (key, id): page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, the payload.
+
+    Each capture's block is found by binary search in the sparse directory, its line by binary search in the block. A directory of more
+    than BROADCAST_ROWS blocks isn't sent to the tasks; then the captures of all blocks are joined with those asked for."""
+    spark = captures.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = captures.distinct()
+    if directory.count() > BROADCAST_ROWS:
+        own = asked.select(F.col("key").alias("k"), F.col("id").alias("i"))
+        lines = _captures(directory, root).join(own, F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+        return _records(lines.repartition(parts, "file").sortWithinPartitions("file", "offset"), root, texts)
+    rows = sorted(((*_order(r["first"], r["first_id"]), r["file"], r["offset"], r["length"]) for r in directory.collect()))  # a row a block, BROADCAST_ROWS at most
+    shared = spark.sparkContext.broadcast(([r[:3] for r in rows], [r[3:] for r in rows]))
+
+    def find(batches):
+        firsts, places = shared.value
+        for batch in batches:
+            out = []
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = _order(key, page)
+                low, high = bisect.bisect_left(firsts, own), bisect.bisect_right(firsts, own)
+                out += [(*places[at], key, page) for at in range(max(0, low - 1), high)]  # equal captures may begin in the block before
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["file", "offset", "length", "key", "id"])
+
+    def fetch(batches):
+        files, last, block = _Files(root), None, []
+        for batch in batches:
+            got = []
+            for file, offset, length, key, page in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, offset) != last:
+                    last, block = (file, offset), captures_of(files, file, offset, length)
+                at = bisect.bisect_left(block, _order(key, page), key=lambda c: _order(*c[:2]))
+                while at < len(block) and block[at][0] == key and block[at][1] == page:
+                    got.append(tuple(block[at][2:]))
+                    at += 1
+            records = [parse(zlib.decompress(files.read(*place), 31)) for place in sorted(got)]
+            yield _batch(records, texts)
+
+    found = asked.mapInArrow(find, "file string, offset long, length long, key string, id long")
+    return found.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(fetch, _RECORD + ", payload binary" * texts)
+
+
+def _captures(directory: DataFrame, root: str) -> DataFrame:
     def run(batches):
         files = _Files(root)
         for batch in batches:
             for block in zip(*(c.to_pylist() for c in batch.columns)):
-                got = [parse(zlib.decompress(files.read(*place), 31)) for place in sorted(c[2:] for c in captures_of(files, *block))]
-                columns = [pa.array([r.page for r in got], pa.int64()), pa.array([r.url for r in got], pa.string()), pa.array([r.size for r in got], pa.int64()), pa.array([r.digest for r in got], pa.string()), pa.array([r.type for r in got], pa.string()), pa.array([r.refers_to for r in got], pa.int64())]
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                if texts:
-                    columns, names = [*columns, pa.array([r.payload for r in got], pa.binary())], [*names, "payload"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return blocks.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*captures_of(files, *block)), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "id", "file", "offset", "length"])
+
+    return directory.select("file", "offset", "length").mapInArrow(run, _CAPTURE)
+
+
+def _records(captures: DataFrame, root: str, texts: bool) -> DataFrame:
+    def run(batches):
+        files = _Files(root)
+        for batch in batches:
+            places = zip(*(batch.column(batch.schema.names.index(x)).to_pylist() for x in ("file", "offset", "length")))
+            yield _batch([parse(zlib.decompress(files.read(*place), 31)) for place in places], texts)
+
+    return captures.mapInArrow(run, _RECORD + ", payload binary" * texts)
 
 
 def archive(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least: int = LEAST, per_block: int = PER_BLOCK) -> tuple[DataFrame, str]:
