@@ -8,7 +8,7 @@ blocks are merged by rank.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no part, as
 query or candidate; vectors of different lengths are compared on none of each other (no score).
-A query meets every row but those with its own id; equal scores go by smaller id. A query id
+A query meets every row but those with its own id, so an id that occurs twice is two candidates; equal scores go by smaller id. A query id
 that occurs twice is answered once, by its first vector in order of components. Extra columns are
 ignored; an empty table gives no rows.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import materialise
 
 #: Rows of a block: of candidates, of queries.
-CANDIDATES, QUERIES = 16384, 512
+CANDIDATES, QUERIES = 4096, 512
 _BLOCK = "block long, part int, width int, n int, ids binary, vectors binary"
 
 
@@ -59,20 +59,14 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
 
 
 def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Scores (queries by candidates), one term after another."""
-    scores = np.zeros((len(queries), n), dtype=queries.dtype)
+    """Scores (candidates by queries), one term after another: a posting's row takes its weight times that of every query with the term."""
+    scores = np.zeros((n, len(queries)), dtype=queries.dtype)
     for term, (where, weight) in enumerate(postings):
-        if not len(where):
-            continue
         rows = np.flatnonzero(queries[:, term])
-        if 2 * len(where) > n:  # a posting for most candidates: its list with the gaps as zeros costs less than the scatter
-            dense = np.zeros(n, dtype=queries.dtype)
-            dense[where] = weight
-            for q in rows:
-                scores[q] += queries[q, term] * dense
-        else:
-            for q in rows:
-                scores[q, where] += queries[q, term] * weight
+        if len(where) and len(rows) == len(queries):
+            scores[where] += weight[:, None] * queries[None, :, term]
+        elif len(where) and len(rows):
+            scores[where[:, None], rows[None]] += weight[:, None] * queries[rows, term][None]
     return scores
 
 
@@ -95,11 +89,11 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str) ->
     usable = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("vector"), is_query.alias("_q")).where("id is not null and vector is not null and not exists(vector, x -> x is null)")
     asked = usable.where("_q").groupBy("id").agg(F.min("vector").alias("vector"))
     held = materialise(blocks(usable.select("id", "vector"), CANDIDATES), "candidate-blocks")
-    groups = max(1, held.count())
+    groups = 2 * max(1, held.count())
     group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
-    left = held.select(F.lit(0).alias("_"), group.alias("g"), "width", F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    left = held.select(group.alias("g"), F.col("width").alias("w"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors")).repartition(groups, "g")
     right = materialise(blocks(asked, QUERIES), "query-blocks").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = left.join(right, ["g", "width"]).select("width", "c_ids", "c_vectors", "q_ids", "q_vectors")
+    pairs = left.join(right.repartition(groups, "g"), "g").where("w = width").select("width", "c_ids", "c_vectors", "q_ids", "q_vectors")
 
     def run(batches):
         last, postings, ids = None, [], None
@@ -117,11 +111,12 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str) ->
                 out = []
                 for low in range(0, len(q_ids), 64):
                     scores = accumulate(asked[low : low + 64].astype(kind), postings, len(ids))
+                    scores = np.ascontiguousarray(scores.T)
                     for q, own in enumerate(q_ids[low : low + 64]):
                         at = best(scores[q], ids, own, k)
                         out.append((np.full(len(at), own), ids[at], scores[q][at].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, id long, score long").distinct()
+    found = pairs.mapInArrow(run, "query_id long, id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
