@@ -1,14 +1,15 @@
 """Approximate nearest neighbours: a forest of random-projection trees under one priority queue.
 
 Fitting takes a bounded sample of the vectors. Each node of each tree projects onto the
-difference of two of its sample vectors and splits at the median, so leaves hold equal shares
-of the sample; every row, sampled or not, is then routed to one leaf of each tree. A query walks all
+difference of two of its sample vectors and splits at the median, so a tree's ``leaves`` hold equal shares
+of the sample, whatever its size; every row, sampled or not, is then routed to one leaf of each tree. A query walks all
 trees from one heap: the node with the least sum of squared margins crossed comes first, whatever its tree,
 until the leaves taken hold a set share of the rows. The vectors of these leaves are measured exactly
 against the query; each task keeps the k nearest of each query it meets, and these lists are merged.
 
 Equal vectors stand as one row of the index with the k + 1 smallest of their ids (as many as one
-answer can name), so copies neither fill a leaf nor hide other neighbours.
+answer can name), so copies neither fill a leaf nor hide other neighbours. A leaf of many rows is dealt to several
+tasks, each of which its queries visit.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part;
 nor do those whose width differs from that of most sampled vectors. A query never meets its own
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.plans.staging import materialise
 
+#: Rows of a leaf in one task.
+CROWDED = 4096
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -69,9 +73,9 @@ class Forest:
         return out
 
 
-def grow(sample: np.ndarray, trees: int, leaf: int, seed: int = 7) -> Forest:
-    """Fit the trees on a sample; leaves hold about ``leaf`` of its rows."""
-    depth = max(0, int(np.ceil(np.log2(max(len(sample), 1) / leaf))))
+def grow(sample: np.ndarray, trees: int, leaves: int, seed: int = 7) -> Forest:
+    """Fit the trees, of ``leaves`` leaves (a power of two; fewer where there are fewer rows), on a sample."""
+    depth = int(np.log2(max(1, min(leaves, len(sample)))))
     rng = np.random.default_rng(seed)
     inner, width = (1 << depth) - 1, sample.shape[1]
     normals, cuts = np.zeros((trees, inner, width)), np.zeros((trees, inner))
@@ -95,29 +99,31 @@ def grow(sample: np.ndarray, trees: int, leaf: int, seed: int = 7) -> Forest:
     return Forest(normals, cuts, depth)
 
 
-def fit(rows: DataFrame, trees: int = 16, leaf: int = 64, sample: int = 32768, seed: int = 7) -> Forest | None:
+def fit(rows: DataFrame, trees: int = 16, leaves: int = 512, sample: int = 32768, seed: int = 7) -> Forest | None:
     """Fit on the ``sample`` rows (id long, vector array<double>) with the smallest hash: a bounded sample."""
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow().column(0).to_pylist()
+    n = rows.count()
+    near = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.2 * sample / max(n, 1))))  # few more than are asked for go to one task
+    got = near.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id").limit(sample).select("vector").toArrow().column(0).to_pylist()
     if not got:
         return None
     widths, n = np.unique([len(v) for v in got], return_counts=True)
     width = int(widths[np.argmax(n)])
-    return grow(np.array([v for v in got if len(v) == width], dtype=float), trees, leaf, seed)
+    return grow(np.array([v for v in got if len(v) == width], dtype=float), trees, leaves, seed)
 
 
-def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, trees: int = 16, leaf: int = 64, sample: int = 32768, least: int = 8000, share: float = 0.6) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, trees: int = 16, leaves: int = 512, sample: int = 32768, share: float = 0.75, crowded: int = CROWDED) -> DataFrame:
     """query_id, rank (from 1), ``key`` and score (distance) of the k nearest found of each row that ``is_query`` marks.
 
-    A query takes leaves, copies over the trees counted, until they hold ``share`` of the rows and ``least`` at least."""
+    A query takes leaves, copies over the trees counted, until they hold ``share`` of the rows. ``crowded``: rows of a leaf in one task."""
     spark = rows.sparkSession
     own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("_q"))
     usable = own.where("id is not null and vector is not null and exists(vector, x -> x <> 0) and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    few = usable.select("id", "vector").withColumn("_n", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("_n") <= k + 1)
+    few = usable.select("id", "vector").distinct().withColumn("_n", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("_n") <= k + 1)
     points = materialise(few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "vector"), "points")
-    forest = fit(points.select("id", "vector"), trees, leaf, sample)
+    forest = fit(points.select("id", "vector"), trees, leaves, sample)
     if forest is None:
         return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    shared = spark.sparkContext.broadcast(forest)  # trees * sample / leaf nodes
+    shared = spark.sparkContext.broadcast(forest)  # trees * leaves nodes
     width = forest.normals.shape[2]
 
     def route(batches):
@@ -135,15 +141,18 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, tre
 
     routed = materialise(points.where(F.size("vector") == width).mapInArrow(route, "id long, ids array<long>, vector array<double>, leaves array<int>"), "routed")
     members = routed.select("id", "ids", "vector", F.posexplode("leaves").alias("tree", "leaf"))
+    leaves = 1 << forest.depth
     sizes = np.zeros((trees, 1 << forest.depth), dtype=np.int64)
-    for r in members.groupBy("tree", "leaf").count().collect():  # at most trees * sample / leaf rows
+    for r in members.groupBy("tree", "leaf").count().collect():  # at most trees * leaves rows
         sizes[r.tree, r.leaf] = r["count"]
-    counted, per_query = sizes, max(least, int(share * sizes[0].sum()))
+    counted, per_query = sizes, max(k, int(share * sizes[0].sum()))
     asked = usable.where(F.col("_q") & (F.size("vector") == width)).groupBy("id").agg(F.min("vector").alias("vector"))
     visits = asked.mapInArrow(paths, "tree int, leaf int, id long, vector array<double>")
-    both = members.select("tree", "leaf", F.lit(0).alias("kind"), "id", "ids", "vector").unionByName(visits.select("tree", "leaf", F.lit(1).alias("kind"), "id", F.array("id").alias("ids"), "vector"))
+    desks = F.array(*(F.lit(int(max(1, -(-n // crowded)))) for n in sizes.ravel()))[F.col("tree") * leaves + F.col("leaf")] if sizes.max() > crowded else F.lit(1)  # tasks of each leaf
+    dealt = members.select("tree", "leaf", F.pmod(F.xxhash64("id"), desks).cast("int").alias("desk"), F.lit(0).alias("kind"), "id", "ids", "vector")
+    both = dealt.unionByName(visits.select("tree", "leaf", F.explode(F.sequence(F.lit(0), desks - 1)).alias("desk"), F.lit(1).alias("kind"), "id", F.array("id").alias("ids"), "vector"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = both.repartition(parts, "tree", "leaf").sortWithinPartitions("tree", "leaf", "kind").mapInArrow(lambda batches: _rerank(batches, width, k), "query_id long, id long, score double")
+    found = both.repartition(parts, "tree", "leaf", "desk").sortWithinPartitions("tree", "leaf", "desk", "kind").mapInArrow(lambda batches: _rerank(batches, width, k), "query_id long, id long, score double")
     nearest = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "id")
     return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
@@ -191,14 +200,14 @@ class Nearest:
 
 
 def _rerank(batches, width: int, k: int, queries_at_once: int = 20_000):
-    """Of rows sorted by (tree, leaf, kind): the queries' k nearest among the members of their leaves, measured in double precision."""
+    """Of rows sorted by (tree, leaf, desk, kind): the queries' k nearest among the members of their leaves, measured in double precision."""
     leaf, ids, points, nearest = None, [], [], Nearest(k)
     for batch in batches:
         names = batch.schema.names
-        tree, at, kind, key = (batch.column(names.index(x)).to_numpy() for x in ("tree", "leaf", "kind", "id"))
+        tree, at, desk, kind, key = (batch.column(names.index(x)).to_numpy() for x in ("tree", "leaf", "desk", "kind", "id"))
         vectors = batch.column(names.index("vector")).flatten().to_numpy().reshape(len(batch), width)
         named = batch.column(names.index("ids")).to_pylist()
-        place = tree.astype(np.int64) << 32 | at
+        place = tree.astype(np.int64) << 48 | at.astype(np.int64) << 28 | desk
         edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]), True]) if len(batch) else []
         for a, b in zip(edges[:-1], edges[1:]):
             if place[a] != leaf:
