@@ -70,7 +70,10 @@ class TextModel:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500, most_bytes: int = 16384) -> TextModel:
     """Fit on at most ``per_language`` texts of each language, those of the smallest hash of the id among texts of 1 to ``most_bytes`` bytes: a bounded sample. A label without such a text is no language."""
     own = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(F.octet_length("t").between(1, most_bytes) & F.col("l").isNotNull())
-    thin = own.select("k", "l", F.xxhash64("k").alias("h"))
+    thin = own.select("k", "l", F.pmod(F.xxhash64("k"), F.lit(1 << 40)).alias("h"))
+    often = own.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_language + 100)
+    # of frequent languages only hashes that may be among the smallest, so that few rows meet in a task
+    thin = thin.join(F.broadcast(often), "l", "left").where(F.col("n").isNull() | (F.col("h") * F.col("n") < (1 << 40) * (1.3 * per_language + 50)))
     chosen = thin.withColumn("nth", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("nth") <= per_language).select("k", "l")
     sample = own.join(F.broadcast(chosen), ["k", "l"]).select("l", "t").collect()  # per_language texts a language at most, of most_bytes
     names = sorted({r.l for r in sample})
