@@ -24,7 +24,7 @@ def vectors(spark, n=600, width=16, seed=2):
 def test_neighbours_find_nearly_all(spark):
     rows, df = vectors(spark)
     got = collections.defaultdict(list)
-    for r in forest.search(df, F.col("vec_id") % 20 == 0, 5, "vec_id", "embedding", leaf=16, least=300).collect():
+    for r in forest.search(df, F.col("vec_id") % 20 == 0, 5, "vec_id", "embedding", crowded=2).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     good = [(i, np.array(v)) for i, v in rows if i < 9000]
     hits = total = 0
@@ -40,6 +40,29 @@ def test_neighbours_find_nearly_all(spark):
     assert copies == [7, 600, 601, 602, 603]  # ties go to smaller ids, and copies hide nobody
 
 
+def test_neighbours_as_registered_against_all_distances(spark):
+    from tessera.llm.queries import op2_neighbours
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    got = collections.defaultdict(set)
+    for r in op2_neighbours(spark, "/root/testdata/sf0.01").collect():
+        assert r.score == pytest.approx(np.sqrt(((x[ids == r.query_id][0] - x[ids == r.vec_id][0]) ** 2).sum()), abs=1e-12)
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        apart = np.where(ids == ids[i], np.inf, ((x - x[i]) ** 2).sum(axis=1))
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, apart))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * (ids % 100 == 0).sum()
+
+
+def test_neighbours_beyond_a_repeated_row(spark):
+    rows = [(5, [1.0, 0.0])] * 20 + [(i, [1.0, 0.0]) for i in (6, 7, 8, 9)] + [(100, [1.0, 0.1])] + [(i, [9.0, float(i)]) for i in range(20, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.rank, r.vec_id) for r in forest.search(df, F.col("vec_id") == 100, 6, "vec_id", "embedding", share=1.0).collect())
+    assert [i for _, i in got[:5]] == [5, 6, 7, 8, 9]
+
+
 def test_neighbours_of_few(spark):
     _, df = vectors(spark, n=10)
     few = df.where("vec_id < 3")
@@ -49,7 +72,7 @@ def test_neighbours_of_few(spark):
 
 def test_top_k_is_exact(spark):
     r = random.Random(6)
-    rows = [(i, [r.choice([0, 0, 0, r.randrange(-9, 9)]) for _ in range(12)]) for i in range(400)] + [(500, None), (501, [1, None]), (502, [1, 2]), (520, [10**9] * 12), (40, [3] * 12)]
+    rows = [(i, [r.choice([0, 0, 0, r.randrange(-9, 9)]) for _ in range(12)]) for i in range(400)] + [(500, None), (501, [1, None]), (502, [1, 2]), (520, [10**9] * 12), (40, [3] * 12)] + [(77, [5] * 12)] * 3
     df = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("rank", F.lit(0))
     got = collections.defaultdict(list)
     for x in topk.search(df, F.col("vec_id") % 20 == 0, 7, "vec_id", "v").collect():
@@ -62,7 +85,7 @@ def test_top_k_is_exact(spark):
         best = {}
         for j, v in rows:
             if v and None not in v and j != i and len(v) == len(q):
-                best.setdefault(j, set()).add(sum(a * b for a, b in zip(q, v)))
+                best.setdefault(j, []).append(sum(a * b for a, b in zip(q, v)))
         want = sorted(((s, j) for j, all_ in best.items() for s in all_), key=lambda x: (-x[0], x[1]))[:7]
         assert [(n, j, s) for n, (s, j) in enumerate(want, 1)] == sorted(got[i])
     assert topk.search(df.limit(0), F.col("vec_id") == 0, 5, "vec_id", "v").count() == 0
@@ -288,3 +311,73 @@ def test_pipeline_keeps_one_of_repeated_rows_and_null_ids(spark):
     assert sorted(((x.doc_id, x.text) for x in once.collect()), key=repr) == sorted(want, key=repr)
     left = corpus_pipeline.repeated_passages(spark, once, "").collect()
     assert sorted(((x.doc_id, x.text or "") for x in left), key=repr) == sorted(((i, t or "") for i, t in want), key=repr)
+
+
+def crowded(spark, rows):
+    """Documents with columns named as those that operators use themselves."""
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", *(f"{k} as `{c}`" for k, c in enumerate(["score", "_t", "_kept", "_n_bytes", "_tokens", "_copies", "_weight", "_row", "row", "id", "uid", "rest", "spans", "component_id", "_copy", "_source", "_key"])))
+
+
+def test_every_stage_against_a_loop(spark, tmp_path):
+    import corpus_pipeline
+
+    from tests.llm.test_text_operators import mix_by_hand
+
+    r = random.Random(77)
+    words = [f"w{i}é" for i in range(900)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passage, rows = prose(50), []
+    for i in range(90):
+        t = prose(r.choice([3, 30, 90])) + (" " + passage if i % 9 == 0 else "")
+        rows.append((i, t, r.choice(["a", "a", "a", "b", None])))
+        if i % 10 == 3:
+            rows.append((300 + i, t.replace(" ", "  ", 1), "b"))
+        if i % 15 == 4:
+            rows += [(i, t, "a"), (None, t, "a")]
+    rows += [(500, None, "a"), (501, "", None), (501, "", None)]
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = crowded(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    from tessera.llm import quality
+    from tessera.llm.queries import QUALITY_THRESHOLD, held_out
+
+    model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").where(~held_out()))
+    scores = quality.Scorer(model).scores([(t or "").encode() for _, t, _ in rows])
+    out = stages["quality_classifier"](spark, docs, str(tmp_path))
+    key = lambda x: (x is None, x or 0)
+    assert out.columns == docs.columns and sorted((x.doc_id for x in out.collect()), key=key) == sorted((i for (i, *_), p in zip(rows, scores) if p >= QUALITY_THRESHOLD), key=key)
+
+    out = stages["near_duplicates"](spark, docs, "")
+    groups = collections.defaultdict(list)
+    for at, (_, g) in linked_by_hand([t for _, t, _ in rows], 5, 80).items():
+        groups[g].append(rows[at][0])
+    assert out.columns == docs.columns and sorted((x.doc_id for x in out.collect()), key=key) == sorted((min(g, key=key) for g in groups.values()), key=key)
+
+    out = stages["repeated_passages"](spark, docs, "")
+    data = [(t or "").encode() for _, t, _ in rows]
+    seen = collections.Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
+    want = []
+    for (i, *_), t in zip(rows, data):
+        gone = np.zeros(len(t), dtype=bool)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        left, at = "", 0
+        for c in t.decode():
+            size = len(c.encode())
+            left, at = left + ("" if gone[at : at + size].any() else c), at + size
+        want.append((i, left, len(left)))
+    assert out.columns == docs.columns and sorted(((x.doc_id, x.text, x.n_chars) for x in out.collect()), key=repr) == sorted(want, key=repr)
+
+    own = [(i, s, len((t or "").encode().split())) for i, t, s in rows if i is not None]
+    out = stages["source_weights"](spark, docs.where("doc_id is not null"), "")
+    copies = mix_by_hand(own, 0.98, 2.0)
+    assert out.columns == docs.columns and collections.Counter(x.doc_id for x in out.collect()) == collections.Counter({i: 0 for i in ()}) + collections.Counter(x for i, _, n in own if n for x in [i] * copies[i])
+    packed = stages["packed_sequences"](spark, docs, "").collect()
+    assert collections.Counter(x.doc_id for x in packed) == collections.Counter(i for i, *_ in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

@@ -208,24 +208,36 @@ def test_mixing_without_tokens(spark):
     assert mixing.mix(df.limit(0), F.col("n").cast("long")).count() == 0
 
 
-def test_archives_come_back(spark):
+def test_archives_come_back(spark, monkeypatch):
     long = "x" * 999 + "é"
     pages = [(1, "http://b.example.com/1?q", long), (5, "http://a.example.com/", long), (3, "http://a.example.com/", long), (4, "http://c.example.org:8080/ü\n", "short"), (6, "http://c.example.org/", "short"), (7, None, None), (8, "http://[bad/", "z" * 5000), (None, "http://x/", "y")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("offset", F.lit(0))
     directory, root = warc.archive(spark, df, per_block=2)
-    got = {r.page_id: r for r in warc.read(directory, root, texts=True).collect()}
-    assert sorted(got) == [1, 3, 4, 5, 6, 7, 8]
-    for page, _, text in pages[:-1]:
+    every = warc.lookup(warc.wanted(df), directory, root, texts=True).collect()
+    got = {r.page_id: r for r in every}
+    assert len(every) == len(got) == len(pages) and set(got) == {p for p, *_ in pages}
+    for page, _, text in pages:
         data = (text or "").encode()
         r = got[page]
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 5) if page in (1, 3) else ("response", None))
         assert r.payload == (None if page in (1, 3) else data)
-    look = warc.Lookup(directory, root)
-    assert [r.page for r in look.records("http://a.example.com/")] == [3, 5] and look.records("http://nowhere.example/") == []
-    assert directory.count() >= 3
+    assert directory.count() >= 4
+    one = spark.createDataFrame([(warc.url_key("http://a.example.com/"), 3), (warc.url_key("http://a.example.com/"), 4), ("nowhere", None)], "key string, id long")
+    assert [r.page_id for r in warc.lookup(one, directory, root).collect()] == [3]
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, warc.lookup(warc.wanted(df), directory, root, texts=True).collect())) == sorted(map(str, every))
     empty, root = warc.archive(spark, df.limit(0))
-    assert warc.read(empty, root).count() == 0
+    assert warc.lookup(warc.wanted(df), empty, root).count() == 0
+
+
+def test_archives_of_repeated_ids_and_payloads_without_ids(spark):
+    big, other = "x" * 1200, "y" * 1200
+    pages = [(2, "http://h/", big)] * 3 + [(1, "http://h/", big), (None, "http://h/", big), (None, "http://i/", other), (None, "http://j/", other)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    directory, root = warc.archive(spark, df, per_block=1)
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.lookup(warc.wanted(df), directory, root).collect())
+    assert got == {(2, "response", None): 3, (1, "revisit", 2): 1, (None, "revisit", 2): 1, (None, "response", None): 2}
 
 
 def test_url_keys_sort_by_reversed_host():
@@ -238,3 +250,54 @@ def test_every_label_with_a_usable_text_is_a_language(spark):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), per_language=2, most_bytes=15)
     assert model.languages == (*(f"l{i:03}" for i in range(230)), "long")
     assert len(set(model.log_share[:, -1])) > 1
+
+
+def test_language_against_a_loop(spark):
+    r = random.Random(11)
+    docs = spark.createDataFrame([(i, mixed_words(l, r, 40), l) for i in range(40) for l in ("en", "fr", "de")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    pages = []
+    for i in range(90):
+        l = r.choice(["en", "fr", "de"])
+        host = r.choice(["a.x.org", "b.x.org", "shop.com", "c.net", ""])
+        mark = r.choice([l, l, "en", "xx", None])
+        pages.append((i, f"http://{host}/p{i}" if host else None, (f'<html lang="{mark}">' if mark else "<html>") + (mixed_words(l, r, r.randrange(0, 6)) if i % 7 else "")))
+    pages += [pages[5], pages[5], (200, "http://a.x.org/", None)]
+    got = collections.Counter((x.page_id, x.declared, x.text_lang, x.lang, round(x.posterior, 9)) for x in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect())
+    seen = []
+    for i, url, page in pages:
+        host = (url or "//").split("/")[2].lower()
+        found = language._DECLARED.search(page or "")
+        parts = host.split(".")
+        seen.append((i, host, (parts[-1], ".".join(parts[-2:])), found[1] if found else "", model.probabilities(language.visible(page or ""))))
+    total, n = sum(x[4] for x in seen), len(model.languages)
+    want = collections.Counter()
+    for i, host, (suffix, site), code, p in seen:
+        prior = (total + 1) / (len(seen) + n)
+        for own in ([x for x in seen if x[2][0] == suffix], [x for x in seen if x[2] == (suffix, site)], [x for x in seen if x[1] == host]):
+            prior = (np.maximum(sum(x[4] for x in own) - p, 0) + language.STRENGTH * prior) / (len(own) - 1 + language.STRENGTH)
+        declared = (np.maximum(sum(x[4] for x in seen if x[3] == code) - p, 0) + 1) / (total - p + len({x[3] for x in seen}))
+        joint = np.maximum(p, 1e-12) * declared * prior
+        want[i, code, model.languages[int(p.argmax())], model.languages[int(joint.argmax())], round(float(joint.max() / joint.sum()), 9)] += 1
+    assert got == want
+
+
+def test_quality_scores_against_plain_compression(spark):
+    import zstandard
+
+    r = random.Random(21)
+    texts = [" ".join(r.choice(["calm", "sea", "tall", "reed", "WIN!!", "$$$", "free"][: 4 if i % 3 else 7]) for _ in range(r.randrange(5, 200))) for i in range(160)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (900, "x " * 200_000), (901, None)], "doc_id long, text string").withColumn("_t", F.lit(1))
+    labels = spark.createDataFrame([(i, int(bool(i % 3))) for i in range(120)], "doc_id long, quality int")
+    m = quality.fit(docs, labels)
+    got = quality.score(docs, m).collect()
+    assert len(got) == 163
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False).compress(t))
+    for x in got:
+        t = "x " * 200_000 if x.doc_id == 900 else (texts + [None])[min(x.doc_id, 160)]
+        t = (t or "").encode()
+        a, b = size(m.good, t), size(m.bad, t)
+        left = np.log((min(a, b) + 8) / (len(t) + 8))
+        f = np.clip([1, (b - a) / max(a, b), (b - a) / (len(t) + 64), left, left**2], m.low, m.high)
+        want = 1 / (1 + np.exp(-np.dot((f - np.array(m.mean)) / np.array(m.scale), m.weights))) if t else m.prior
+        assert x.score == pytest.approx(want, abs=0.02)
