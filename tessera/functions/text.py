@@ -39,18 +39,43 @@ def sanitize(text: Column) -> Column:
     return strip(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F￾￿]", ""))
 
 
-def normalize_name(name: Column) -> Column:
-    """An extracted name: markup and full-width forms gone, outer quotes dropped; too short numbers become ''."""
-    wide = "".join(chr(0xFEE0 + c) for c in range(33, 127)) + "　"
-    narrow = "".join(map(chr, range(33, 127))) + " "
-    out = F.regexp_replace(name, r"(?i)</?(p|br)\s*/?>", "")
-    out = F.regexp_replace(F.translate(out, wide, narrow), " ", " ")
-    out = F.regexp_replace(out, r"(?<=[一-鿿])\s+(?=[一-鿿])", "")
-    out = F.regexp_replace(strip(out), r"^([\"'])(.*)\1$", "$2")
-    out = strip(F.regexp_replace(out, r"[“”‘’]", ""))
+#: Full-width forms and dashes, and what they become (fixed values); quotes that may enclose a name, opening and closing.
+WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９－＋／＊（）—　"
+NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-+/*()- "
+ENCLOSING = ('""', "''", "“”", "‘’", "《》")
+_HAN, _LATIN = "[一-龥]", r"[a-zA-Z0-9()\[\]@#$%!&*\-=+_]"
+
+
+def normalize_name(name: Column, inner_quotes: bool = True) -> Column:
+    """An extracted name: paragraph and line-break tags gone, full-width forms narrowed, no blanks beside Chinese characters, enclosing quotes dropped; too short numbers become ''.
+
+    ``inner_quotes``: also without typographic quotes and those that touch Chinese characters."""
+    out = F.regexp_replace(name, r"(?i)</p\s*>|<p\s*>|<p/>|</br\s*>|<br\s*>|<br/>", "")
+    out = F.translate(out, WIDE, NARROW)
+    for before, after in ((_HAN, _HAN), (_HAN, _LATIN), (_LATIN, _HAN)):
+        out = F.regexp_replace(out, rf"(?U)(?<={before})\s+(?={after})", "")
+    for first, last in ENCLOSING:
+        out = F.regexp_replace(out, rf"(?s)^{first}([^{first}{last}]*){last}$", "$1")
+    if inner_quotes:
+        out = F.regexp_replace(out, rf"[“”‘’]|['\"]+(?={_HAN})|(?<={_HAN})['\"]+", "")
+        out = F.regexp_replace(F.translate(out, "\xa0", " "), r"(?<=[^\d])\u202F", " ")
+    out = strip(out)
     return F.when(out.rlike(r"^[0-9]+$") & (F.length(out) < 3), "").when(out.rlike(r"^[0-9]*\.[0-9.]*$") & (F.length(out) < 6), "").otherwise(out)
 
 
+def truncated(name: Column, most: int = 256) -> Column:
+    """An identifier cut to ``most`` characters."""
+    return F.substring(name, 1, most)
+
+
+def facts(said: Column) -> Column:
+    """The non-empty facts of a model's JSON answer ({"facts": [...]}), fenced or amid other text; none if there is no such list."""
+    bare = F.regexp_replace(F.regexp_replace(strip(F.coalesce(said, F.lit(""))), r"^```(?:json)?\s*", ""), r"\s*```\s*$", "")
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    found = [F.from_json(F.get_json_object(x, "$.facts"), "array<string>") for x in (bare, inner)]
+    return F.filter(F.transform(F.coalesce(*found, F.array().cast("array<string>")), strip), lambda x: x != "")
+
+
 def summary(content: Column, most: int = 250) -> Column:
     return F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit("..."))).otherwise(content)
 
@@ -70,9 +95,8 @@ def is_number(text: Column) -> Column:
 
 
 def without_thoughts(text: Column) -> Column:
-    """Without a leading <think> block, or what stands before a closing tag that nothing opened."""
-    lead = F.regexp_replace(text, r"(?s)^\s*<think>.*?</think>", "")
-    return strip(F.when(lead != text, lead).otherwise(F.regexp_replace(text, r"(?s)^(?!.*<think>).*</think>", "")))
+    """Without a leading <think> block or, where the text begins otherwise, all up to the last closing tag."""
+    return strip(F.regexp_replace(text, r"(?s)^(<think>.*?</think>|.*</think>)", ""))
 
 
 def cache_key(mode: Column, kind: Column, *parts: Column) -> Column:

@@ -4,48 +4,64 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Headings, table rows and articles (fixed patterns).
-HEADING, ARTICLE = re.compile(r"^(#{1,6})\s+(.*)$"), re.compile(r"^\s*(?:#+\s*)?(Điều\s+\d+\.?.*)$")
+from tessera.functions.tokenizers import Tokenizer, Words
+from tessera.plans.staging import bound_batches
 
+#: Headings, articles of laws, and a sentence's end before a capital (fixed patterns).
+HEADING, ARTICLE = re.compile(r"^(#{1,6})\s+(.*)$"), re.compile(r"Điều\s+\d+")
+SENTENCE = re.compile(r"(?<=[.?!])\s+(?=[A-ZĐÁÀẢÃẠÂẦẤẨẪẬĂẰẮẲẴẶÉÈẺẼẸÊỀẾỂỄỆÍÌỈĨỊÓÒỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÚÙỦŨỤƯỪỨỬỮỰÝỲỶỸỴ])")
 
-def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 
+def windows(text: str | None, size: int, overlap: int, tail: bool, tokenizer: Tokenizer) -> Iterator[tuple[int, str]]:
+    """(tokens, content) of windows every size - overlap tokens; ``tail``: also the one that lies within the overlap of the last."""
+    tokens = tokenizer.encode(text or "")
+    step = size - min(overlap, size - 1)
+    last = len(tokens) - 1 if tail else max(len(tokens) - 1 - (size - step), 0)
+    for s in range(0, last + 1 if tokens else 0, step):
+        part = tokens[s : s + size]
+        yield len(part), tokenizer.decode(part).strip()
 
-def windows(words: Column, size: int, overlap: int, tail: bool = True) -> Column:
-    """Windows of words every size - overlap of them; ``tail``: also the one that lies within the overlap of the last."""
-    n, step = F.size(words), size - min(overlap, size - 1)
-    last = n - 1 if tail else F.greatest(n - 1 - F.lit(size - step), F.lit(0))
-    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(F.least(F.lit(size), n - s).alias("tokens"), F.array_join(F.slice(words, s + 1, F.lit(size)), " ").alias("content")))
 
+def _chunked(docs: DataFrame, key: str, text: str, cut: Callable[[str | None], Iterable[tuple[int, str]]]) -> DataFrame:
+    """Rows (key, chunk_order_index, tokens, content): each text is read once, whatever the number of its chunks."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            at, nth, tokens, content = [], [], [], []
+            for i, t in enumerate(batch.column(1)):
+                for n, (count, said) in enumerate(cut(t.as_py())):
+                    at.append(i), nth.append(n), tokens.append(count), content.append(said)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(nth, pa.int32()), pa.array(tokens, pa.int32()), pa.array(content, pa.string())], [key, "chunk_order_index", "tokens", "content"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk_order_index int, tokens int, content string")
 
-def window_chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text", tail: bool = True) -> DataFrame:
-    got = docs.select(key, F.posexplode(windows(word_list(F.col(text)), size, overlap, tail)).alias("chunk_order_index", "c"))
-    return got.select(key, "chunk_order_index", "c.tokens", "c.content")
 
+def window_chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text", tail: bool = True, tokenizer: Tokenizer = Words()) -> DataFrame:
+    return _chunked(docs, key, text, lambda t: windows(t, size, overlap, tail, tokenizer))
 
-def split_chunks(docs: DataFrame, mark: str, size: int, overlap: int, only: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def split_chunks(docs: DataFrame, mark: str, size: int, overlap: int, only: bool = False, key: str = "doc_id", text: str = "text", tokenizer: Tokenizer = Words()) -> DataFrame:
     """Pieces between marks (a regular expression), those over ``size`` windowed; with ``only``, these are an error."""
-    pieces = F.split(F.coalesce(F.col(text), F.lit("")), mark)
 
-    def one(piece: Column) -> Column:
-        w = word_list(piece)
-        whole = F.array(F.struct(F.size(w).alias("tokens"), F.array_join(w, " ").alias("content")))
-        if only:
-            over = F.raise_error(F.concat(F.lit("a piece exceeds the limit of tokens: "), F.size(w).cast("string"))).cast("array<struct<tokens:int,content:string>>")
-            return F.when(F.size(w) > size, over).otherwise(whole)
-        return F.when(F.size(w) > size, windows(w, size, overlap)).otherwise(whole)
+    def cut(t: str | None) -> Iterator[tuple[int, str]]:
+        for piece in re.split(mark, t or ""):
+            tokens = tokenizer.encode(piece)
+            if len(tokens) <= size:
+                yield len(tokens), tokenizer.decode(tokens).strip()
+            elif only:
+                raise ValueError(f"a piece exceeds the limit of tokens: {len(tokens)}")
+            else:
+                yield from windows(piece, size, overlap, True, tokenizer)
 
-    got = docs.select(key, F.posexplode(F.flatten(F.transform(pieces, one))).alias("chunk_order_index", "c"))
-    return got.select(key, "chunk_order_index", "c.tokens", "c.content")
+    return _chunked(docs, key, text, cut)
 
 
 def count_words(text: str) -> int:
@@ -148,87 +164,65 @@ def markdown_parts(text: str, child: int = 256, table: int = 256, count: Callabl
 
 
 def legal_route(text: Column) -> Column:
-    """How a legal text is split: by articles, by second-level headings, by any heading or by paragraphs."""
+    """How a legal text is split: by articles at the beginning of a line, by second-level headings, by any heading or by paragraphs."""
     t = F.coalesce(text, F.lit(""))
     n = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
-    return F.when(n(r"(?m)^\s*(?:#+\s*)?Điều\s+\d+") >= 2, "articles").when(n(r"(?m)^##\s+\S") >= 3, "headings2").when(n(r"(?m)^#{1,6}\s+\S") >= 1, "headings").otherwise("paragraphs")
+    return F.when(n(r"(?m)^Điều\s+\d+") >= 2, "articles").when(n("(?m)^## ") >= 3, "headings2").when(n(r"(?m)^#{1,6}\s+\S") >= 1, "headings").otherwise("paragraphs")
 
 
-def paragraph_windows(text: str, most: int = 1500, overlap: int = 200) -> list[str]:
-    """Paragraphs packed up to ``most`` characters; each window begins with the last ``overlap`` characters of the one before."""
-    out, held = [], ""
-    for p in blocks(text):
-        if held and len(held) + 2 + len(p) > most:
-            out.append(held)
-            held = held[-overlap:] + "\n\n" + p
-        else:
-            held = f"{held}\n\n{p}" if held else p
-    return [*out, held] if held else out
+def _paragraphs(text: str) -> list[str]:
+    return [p for p in re.split(r"\n\s*\n+", text) if p.strip()]
 
 
-def legal_chunks(text: str, most: int = 2500, least: int = 200) -> list[tuple[str, str, list[str], int]]:
-    """(content, label, heading path, first line) of a legal text: split by its route, long ones cut, short ones joined to the one before of equal label."""
-    lines = text.splitlines()
+def _filled(pieces: Iterable[str], target: int, overlap: int = 0) -> list[str]:
+    """Pieces joined by blank lines while their lengths sum to ``target``; each begins with the last ``overlap`` characters of the one before."""
+    out, held = [], []
+    for p in pieces:
+        if held and sum(map(len, held)) + len(p) > target:
+            out.append("\n\n".join(held))
+            held = [out[-1][-overlap:]] if overlap else []
+        held.append(p)
+    return [*out, "\n\n".join(held)] if held else out
+
+
+def legal_chunks(text: str, target: int = 1500, overlap: int = 200, most: int = 2500, least: int = 200) -> list[tuple[str, str | None, list[str], int]]:
+    """(content, label, heading path, first line) of a legal text: split by its route; those over ``most`` characters are filled anew up to ``target``, those under ``least`` joined to the one before of equal label.
+
+    What stands before the first article or heading has no label, as have windows of paragraphs, whose line is 0. An
+    article's path is that of the headings above it, of any level."""
+    lines, stack, paths = text.splitlines(), [], []
+    for x in lines:  # the headings that each line is under, itself included
+        h = HEADING.match(x)
+        if h and h[2].strip():
+            stack = [p for p in stack if p[0] < len(h[1])] + [(len(h[1]), h[2].strip())]
+        paths.append(list(stack))
+    headed = [i for i, x in enumerate(lines) if paths[i] and (i == 0 or paths[i] != paths[i - 1] or HEADING.match(x)) and HEADING.match(x)]
     articles = [i for i, x in enumerate(lines) if ARTICLE.match(x)]
-    level2 = [x for x in lines if re.match(r"^##\s+\S", x)]
-    raw: list[tuple[str, str, list[str], int]] = []
     if len(articles) >= 2:
-        path: list[tuple[int, str]] = []
-        edges = [0, *articles, len(lines)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            body = "\n".join(lines[a:b]).strip()
-            if body:
-                m = ARTICLE.match(lines[a]) if a in articles else None
-                raw.append((body, m[1].strip() if m else "preamble", [t for _, t in path], a + 1))
-            for x in lines[a:b]:
-                h = HEADING.match(x)
-                if h and not ARTICLE.match(x):
-                    path = [p for p in path if p[0] < len(h[1])] + [(len(h[1]), h[2].strip())]
-    elif any(HEADING.match(x) for x in lines):
-        deepest = 2 if len(level2) >= 3 else 3
-        cut = [i for i, x in enumerate(lines) if (h := HEADING.match(x)) and len(h[1]) <= deepest]
-        path = []
-        for a, b in zip([0, *cut], [*cut, len(lines)]):
-            h = HEADING.match(lines[a]) if a in cut and a < len(lines) else None
-            if h:
-                path = [p for p in path if p[0] < len(h[1])] + [(len(h[1]), h[2].strip())]
-            body = "\n".join(lines[a:b]).strip()
-            if body:
-                raw.append((body, path[-1][1] if path and h else "preamble", [t for _, t in path] if h else [], a + 1))
+        cut, label = articles, lambda i: ARTICLE.match(lines[i])[0]
+    else:
+        deepest = 2 if sum(x.startswith("## ") for x in lines) >= 3 else 3
+        cut, label = [i for i in headed if paths[i][-1][0] <= deepest], lambda i: paths[i][-1][1]
+    raw: list[tuple[str, str | None, list[str], int]] = []
+    if len(articles) >= 2 or headed:
+        if cut:
+            raw.append(("\n".join(lines[: cut[0]]).strip(), None, [t for _, t in paths[0]] if len(articles) >= 2 else [], 1))
+        raw += [("\n".join(lines[a:b]).rstrip(), label(a), [t for _, t in paths[a]], a + 1) for a, b in zip(cut, [*cut[1:], len(lines)])]
     else:
-        raw = [(w, "window", [], 1) for w in paragraph_windows(text)]
-    out: list[tuple[str, str, list[str], int]] = []
-    for body, label, heads, line in raw:
-        for piece in _cut(body, most):
-            if out and len(piece) < least and out[-1][1] == label and len(out[-1][0]) + 2 + len(piece) <= most:
-                out[-1] = (f"{out[-1][0]}\n\n{piece}", *out[-1][1:])
+        raw = [(w, None, [], 0) for w in _filled(map(str.strip, _paragraphs(text)), target, overlap)]
+    out: list[tuple[str, str | None, list[str], int]] = []
+    for body, name, heads, line in raw:
+        pieces = _paragraphs(body) if len(body) > most else []
+        if len(pieces) == 1:
+            pieces = [x for x in SENTENCE.split(body) if x.strip()]
+        for piece in _filled(pieces, target) if pieces else [body] if body.strip() else []:
+            if out and len(piece) < least and out[-1][1] == name and len(out[-1][0]) + len(piece) <= most:
+                out[-1] = (f"{out[-1][0].rstrip()}\n\n{piece.lstrip()}", *out[-1][1:])
             else:
-                out.append((piece, label, heads, line))
+                out.append((piece, name, heads, line))
     return out
 
 
-def _cut(body: str, most: int) -> list[str]:
-    if len(body) <= most:
-        return [body]
-    parts = blocks(body)
-    if len(parts) < 2:
-        parts = re.split(r"(?<=[.!?;])\s+", body)
-    out, held = [], ""
-    for p in parts:
-        while len(p) > most:
-            if held:
-                out.append(held)
-                held = ""
-            out.append(p[:most])
-            p = p[most:]
-        if held and len(held) + 2 + len(p) > most:
-            out.append(held)
-            held = p
-        else:
-            held = f"{held}\n\n{p}" if held else p
-    return [*out, held] if held else out
-
-
 def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text", child: int = 256, table: int = 256) -> DataFrame:
     """Parent-child chunks of markdown texts; ids are hashes of document, place and content."""
 
@@ -262,10 +256,14 @@ def chunk_legal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ordinal int, content string, section_label string, heading_path array<string>, start_line int")
 
 
+#: How field marks <|#|> come back damaged, in order of repair (fixed patterns).
+DAMAGED = (r"<\|#+\|?>", r"<\|?#+\|>", r"<\|+#+\|+>", r"<\|\s*#\s*\|>", r"<\\?\|#\\?\|>", r"<[|:]#[|:]>", r"<\|#\|(?!>)", r"(?<!<)\|#\|>")
+
+
 def records(output: Column, row_mark: str = "\n", field_mark: str = "<|#|>", end: str = "<|COMPLETE|>") -> Column:
     """Fields of the records of an extraction output; damaged field marks and missing line breaks before a record are repaired."""
     clean = F.replace(F.coalesce(output, F.lit("")), F.lit(end), F.lit(row_mark))
-    clean = F.regexp_replace(clean, r"<\|?#+\|?>|<\|#\|\|>|<\\?\|#\\?\|>", field_mark)
+    clean = F.regexp_replace(clean, "|".join(DAMAGED), field_mark)
     clean = F.regexp_replace(clean, r"(?<!^)(?<!\n)(entity|relation)(?=<\|#\|>)", "\n$1")
     rows = F.filter(F.transform(F.split(clean, row_mark), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(rows, lambda r: F.transform(F.split(r, r"<\|#\|>"), lambda x: F.trim(x)))

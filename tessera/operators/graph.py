@@ -105,6 +105,11 @@ def whole_graph(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return kept, induced(edges, kept.select("node"))
 
 
+def everything(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All nodes and all edges, once each."""
+    return nodes.dropDuplicates(["entity_id"]), edges.dropDuplicates(["src", "tgt"])
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "tgt"), "tgt", "left_semi")
 

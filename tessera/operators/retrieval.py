@@ -9,12 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, search
-from tessera.plans.staging import materialise
-
-#: Results kept for one query at most, so that ordering them in one task is bounded.
-TOP = 10_000
-
+from tessera.operators import edit, graph, search
+from tessera.plans.staging import materialise, numbered
 
 @dataclass(frozen=True)
 class Query:
@@ -26,15 +22,19 @@ class Query:
     max_entity_tokens: int = 6000
     max_relation_tokens: int = 8000
     max_total_tokens: int = 30000
-    low: tuple[str, ...] = ()
-    high: tuple[str, ...] = ()
+    system_tokens: int = 0
+    query_tokens: int = 0
     threshold: float = 0.2
     related_chunks: int = 5
-    model: Callable | None = field(default=None, compare=False)
+    pick: str = "weight"  # chunks of entities and relations: by falling quotas, or "vector" by similarity to the query
+    rerank: Callable[[Column], Column] | None = field(default=None, compare=False)  # from contents to scores
+    least_score: float = 0.0
 
     def __post_init__(self):
         if self.mode not in ("local", "global", "hybrid", "mix", "naive", "bypass"):
             raise ValueError(f"no mode {self.mode!r}")
+        if self.pick not in ("weight", "vector"):
+            raise ValueError(f"no way {self.pick!r} to pick chunks")
 
 
 def round_robin(lanes: Sequence[DataFrame], keys: list[str], rank: str = "rank") -> DataFrame:
@@ -44,7 +44,8 @@ def round_robin(lanes: Sequence[DataFrame], keys: list[str], rank: str = "rank")
         part = lane.select(*keys, F.col(rank).alias("_r"), F.lit(i).alias("_l"))
         every = part if every is None else every.unionByName(part)
     first = every.groupBy(*keys).agg(F.min(F.struct("_r", "_l")).alias("_p"))
-    return first.orderBy("_p").limit(TOP).select(*keys, F.row_number().over(W.orderBy("_p")).alias("position"))
+    placed = numbered(first.select(*keys, "_p._r", "_p._l"), "_r", "_l", name="position")
+    return placed.select(*keys, (F.col("position") + 1).cast("int").alias("position"))
 
 
 def within_budget(rows: DataFrame, order: list[str | Column], tokens: str, most: int, group: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +76,7 @@ def weighted_polling(items: DataFrame, most: int, least: int) -> DataFrame:
     sizes = items.groupBy("item", "rank").agg(F.count("*").alias("n"))
     count = sizes.count()
     if not count:
-        return items.select("item", "chunk").limit(0)
+        return items.select("item", "rank", "chunk", "place").limit(0)
     quota = F.lit(most) if count == 1 else F.bround(F.lit(float(most)) - F.col("rank") * (float(most - least) / (count - 1)))
     planned = sizes.withColumn("quota", quota.cast("int"))
     spare = planned.agg(F.sum(F.greatest(F.col("quota") - F.col("n"), F.lit(0)))).first()[0]
@@ -89,8 +90,8 @@ def references(chunks: DataFrame, path: str = "file_path", order: str = "positio
     """Chunks with the number of their file among the files, by how many chunks these have and then by first place; '' for unknown sources."""
     known = chunks.where(F.col(path).isNotNull() & ~F.col(path).isin("", "unknown_source"))
     counts = known.groupBy(path).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    numbered = counts.orderBy(F.desc("n"), "first").limit(TOP).withColumn("reference_id", F.row_number().over(W.orderBy(F.desc("n"), "first")).cast("string"))
-    return chunks.join(numbered.select(path, "reference_id"), path, "left").withColumn("reference_id", F.coalesce("reference_id", F.lit("")))
+    placed = numbered(counts.select(path, (-F.col("n")).alias("n"), "first"), "n", "first", name="reference_id")
+    return chunks.join(placed.select(path, (F.col("reference_id") + 1).cast("string").alias("reference_id")), path, "left").withColumn("reference_id", F.coalesce("reference_id", F.lit("")))
 
 
 def context(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
@@ -101,7 +102,7 @@ def context(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
 
 def rerank(rows: DataFrame, score: Column, least: float, k: int, key: str) -> DataFrame:
     """Rows by a reranker's score, those under ``least`` left out."""
-    return rows.withColumn("rerank_score", F.round(score, 6)).where(F.col("rerank_score") >= least).orderBy(F.desc("rerank_score"), key).limit(k)
+    return rows.withColumn("rerank_score", score).where(F.col("rerank_score") >= least).orderBy(F.desc("rerank_score"), key).limit(k)
 
 
 def keyword_sets(query: str, low: Sequence[str], high: Sequence[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -118,8 +119,8 @@ def local(nodes: DataFrame, edges: DataFrame, vector: Sequence[float], q: Query)
     hits = search.top_vectors(nodes, vector, q.top_k, "entity_id", "embedding", above=q.threshold)
     ranked = hits.withColumn("rank", F.row_number().over(W.orderBy(F.desc("similarity"), "entity_id")) - 1)
     with_degree = ranked.join(graph.degrees(edges).withColumnRenamed("node", "entity_id"), "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    related = graph.related_edges(hits.select(F.col("entity_id").alias("node")), edges).orderBy(F.desc("edge_degree"), F.desc("weight"), "src", "tgt").limit(TOP)
-    return with_degree, related.withColumn("rank", F.row_number().over(W.orderBy(F.desc("edge_degree"), F.desc("weight"), "src", "tgt")) - 1)
+    related = graph.related_edges(hits.select(F.col("entity_id").alias("node")), edges.select("src", "tgt", "weight"))
+    return with_degree, numbered(related.withColumns({"_d": -F.col("edge_degree"), "_w": -F.col("weight")}), "_d", "_w", "src", "tgt", name="rank").drop("_d", "_w")
 
 
 def global_(edges: DataFrame, vector: Sequence[float], q: Query) -> tuple[DataFrame, DataFrame]:
@@ -130,19 +131,33 @@ def global_(edges: DataFrame, vector: Sequence[float], q: Query) -> tuple[DataFr
     return ranked, ends.select(F.col("node").alias("entity_id"), "rank")
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, vector: Sequence[float], q: Query) -> dict[str, DataFrame]:
-    """Entities, relations and chunks of a query in its mode; each with ``position``.
+def _picked_chunks(lane: DataFrame, chunks: DataFrame, vector: Sequence[float], q: Query) -> DataFrame:
+    """The chunks (chunk, rank) that a lane of ranked items brings."""
+    items = lane.select("item", F.col("rank"), "chunk", "place")
+    if q.pick == "vector":
+        few = q.related_chunks * items.select("item").distinct().count() // 2
+        near = search.pick_vectors(chunks, items, vector, few, "chunk", "embedding")
+        return numbered(near.withColumn("_s", -F.col("similarity")), "_s", "chunk").select("chunk", "rank")
+    ranked = numbered(items.groupBy("item").agg(F.min("rank").alias("_r")), "_r", "item", name="_nth").select("item", F.col("_nth").cast("int").alias("rank"))
+    got = weighted_polling(items.drop("rank").join(ranked, "item"), q.related_chunks, 1)
+    placed = got.select("chunk", *(c for c in got.columns if c in ("rank", "place")))
+    return numbered(placed.withColumnRenamed("rank", "_r"), "_r", "place").select("chunk", "rank")
+
 
+def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, vector: Sequence[float], q: Query, low: Sequence[float] | None = None, high: Sequence[float] | None = None) -> dict[str, DataFrame]:
+    """Entities, relations and chunks of a query in its mode; each with ``position``. A bypassed query has none.
+
+    ``low`` and ``high`` are the vectors of its keywords for entities and for relations (the query's own where there are none).
     nodes: entity_id, embedding, sources, tokens. edges: src, tgt, weight, embedding, sources, tokens. chunks: chunk, embedding, content, tokens, file_path."""
     entity_lanes, relation_lanes, chunk_lanes = [], [], []
     if q.mode in ("local", "hybrid", "mix"):
-        found, related = local(nodes, edges, vector, q)
+        found, related = local(nodes, edges, low or vector, q)
         entity_lanes.append(found.select("entity_id", "rank")), relation_lanes.append(related.select("src", "tgt", "rank"))
     if q.mode in ("global", "hybrid", "mix"):
-        found, ends = global_(edges, vector, q)
+        found, ends = global_(edges, high or vector, q)
         relation_lanes.append(found.select("src", "tgt", "rank")), entity_lanes.append(ends)
     if q.mode in ("mix", "naive"):
-        near = search.top_vectors(chunks, vector, q.chunk_top_k, "chunk", "embedding", above=q.threshold)
+        near = search.top_vectors(chunks.select("chunk", "embedding"), vector, q.chunk_top_k, "chunk", "embedding", above=q.threshold)
         chunk_lanes.append(near.select("chunk", (F.row_number().over(W.orderBy(F.desc("similarity"), "chunk")) - 1).alias("rank")))
     out: dict[str, DataFrame] = {}
     if entity_lanes:
@@ -151,14 +166,54 @@ def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, vector: Sequ
         out["entities"] = materialise(within_budget(named, ["position"], "tokens", q.max_entity_tokens).drop("embedding"), "entities")
         joined = round_robin(relation_lanes, ["src", "tgt"]).join(edges, ["src", "tgt"])
         out["relations"] = materialise(within_budget(joined, ["position"], "tokens", q.max_relation_tokens).drop("embedding"), "relations")
-        by_entity = chunks_of(out["entities"], "entity_id", "position", "sources")
+        by_entity = materialise(chunks_of(out["entities"], "entity_id", "position", "sources"), "owned")
         as_items = out["relations"].select(F.concat_ws("\t", "src", "tgt").alias("item"), F.col("position").alias("rank"), "sources")
-        by_relation = relation_chunks(as_items, by_entity)
-        for lane in (by_entity, by_relation):
-            few = lane.where(F.col("place") <= q.related_chunks)
-            order = W.orderBy("rank", "place")
-            chunk_lanes.append(few.orderBy("rank", "place").limit(TOP).select("chunk", (F.row_number().over(order) - 1).alias("rank")))
+        by_relation = materialise(relation_chunks(as_items, by_entity), "owned")
+        chunk_lanes += [_picked_chunks(lane, chunks, vector, q) for lane in (by_entity, by_relation)]
     if chunk_lanes:
-        merged = round_robin(chunk_lanes, ["chunk"]).join(chunks, "chunk").where(F.col("position") <= q.chunk_top_k)
-        out["chunks"] = references(within_budget(merged, ["position"], "tokens", q.max_total_tokens).drop("embedding"))
+        merged = round_robin(chunk_lanes, ["chunk"]).join(chunks.drop("embedding"), "chunk")
+        if q.rerank:
+            scored = rerank(merged.withColumnRenamed("position", "_found"), q.rerank(F.col("content")), q.least_score, q.chunk_top_k, "_found")
+            merged = scored.withColumn("position", F.row_number().over(W.orderBy(F.desc("rerank_score"), "_found"))).drop("_found")  # chunk_top_k rows
+        merged = merged.where(F.col("position") <= q.chunk_top_k)
+        used = sum(out[x].agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] for x in ("entities", "relations") if x in out)
+        left = edit.chunk_budget(q.max_total_tokens, q.system_tokens, used, q.query_tokens)
+        out["chunks"] = references(materialise(within_budget(merged, ["position"], "tokens", left), "chunks"))
+    return out
+
+
+#: What an answer shows of each kind, and what stands for what is missing (fixed values).
+SHOWN = {
+    "entities": {"entity_name": "", "entity_type": "UNKNOWN", "description": "", "source_id": "", "file_path": "unknown_source", "created_at": ""},
+    "relationships": {"src_id": "", "tgt_id": "", "description": "", "keywords": "", "weight": 1.0, "source_id": "", "file_path": "unknown_source", "created_at": ""},
+    "chunks": {"reference_id": "", "content": "", "file_path": "unknown_source", "chunk_id": ""},
+}
+
+
+def envelope(kind: str, rows: DataFrame, order: str = "position") -> DataFrame:
+    """Rows of an answer (kind, position, value: JSON) with the fields that are shown of their kind and defaults for what they lack."""
+    fields = [F.coalesce(F.col(c).cast("double" if isinstance(v, float) else "string"), F.lit(v)).alias(c) if c in rows.columns else F.lit(v).alias(c) for c, v in SHOWN[kind].items()]
+    return rows.select(F.lit(kind).alias("kind"), F.col(order).cast("int").alias("position"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def survivors(originals: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Original rows of what a budget has left."""
+    return originals.join(kept.select(*keys).distinct(), keys, "left_semi")
+
+
+def provenance(lanes: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """Chunks (chunk, tags): by which lanes (C: vectors, E: entities, R: relations) each came, with its place there; and how many of each are counted by ``processed``."""
+    every = None
+    for tag, lane in lanes:
+        part = lane.select("chunk", F.concat(F.lit(tag), (F.col("rank") + 1).cast("string")).alias("t"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("tags"))
+
+
+def processed(found: dict[str, DataFrame], kept: dict[str, DataFrame]) -> DataFrame:
+    """Rows (kind, found, kept): how many of each kind a search found and a budget left."""
+    parts = [found[k].agg(F.lit(k).alias("kind"), F.count("*").alias("found")).crossJoin(kept[k].agg(F.count("*").alias("kept"))) for k in sorted(found)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out

@@ -2,7 +2,7 @@
 
 A search over a table with one query is a projection and a top-k: no row leaves its partition except the
 k best. Statistics of a corpus (document count, mean length, document frequencies of the query's terms) are one
-aggregated row.
+aggregated row. Scores are exact where rows are ordered and cut by them; rounding is for whoever shows them.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-
-DIGITS = 6
+from tessera.plans.staging import materialise
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,7 +32,7 @@ def vector(values: Sequence[float]) -> Column:
 
 def top_vectors(rows: DataFrame, query: Sequence[float], k: int, key: str, column: str, above: float | None = None, at_least: float | None = None) -> DataFrame:
     """The k rows nearest by cosine, with ``similarity``; ``above`` is a strict threshold, ``at_least`` one that admits equality."""
-    scored = rows.where(F.col(column).isNotNull()).withColumn("similarity", F.round(cosine(F.col(column), vector(query)), DIGITS)).where("similarity is not null")
+    scored = rows.where(F.col(column).isNotNull()).withColumn("similarity", cosine(F.col(column), vector(query))).where("similarity is not null")
     if above is not None:
         scored = scored.where(F.col("similarity") > above)
     if at_least is not None:
@@ -48,19 +47,31 @@ def pick_vectors(rows: DataFrame, ids: DataFrame, query: Sequence[float], k: int
     return top_vectors(found if not missing else found.limit(0), query, k, key, column).select(key, "similarity")
 
 
-def _tf(found: Column, terms: Sequence[str]) -> list[Column]:
+def query_terms(rows: DataFrame, query: str) -> list[str]:
+    return sorted(set(rows.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
+
+
+def _cut(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, t_field: the tokens of each field). They come out of a generator, as Spark would put the expression in each place that uses them."""
+    return rows.select(key, F.inline(F.array(F.struct(*(tokens(F.col(f)).alias(f"t_{f}") for f in fields)))))
+
+
+def term_counts(rows: DataFrame, terms: Sequence[str], key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, len_field, tf_field_i): the length of each field and how often it holds each term, materialised. Texts are read once."""
+
     def equal(term: str):
         return lambda x: x == F.lit(term)
 
-    return [F.size(F.filter(found, equal(t))) for t in terms]
+    cut = _cut(rows, key, fields)
+    hits = F.struct(*(F.size(f"t_{f}").alias(f"len_{f}") for f in fields), *(F.filter(f"t_{f}", lambda x: x.isin(list(terms))).alias(f"h_{f}") for f in fields))
+    few = cut.select(key, F.inline(F.array(hits)))
+    return materialise(few.select(key, *(f"len_{f}" for f in fields), *(F.size(F.filter(f"h_{f}", equal(t))).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms))), "terms")
 
 
 def bm25(rows: DataFrame, query: str, k: int, key: str, fields: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k rows with the best BM25 score; of several fields the best weighted one counts."""
-    spark = rows.sparkSession
-    terms = sorted(set(spark.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
-    held = rows.select(key, *(tokens(F.col(f)).alias(f"t_{f}") for f in fields))
-    held = held.select(key, *(F.size(f"t_{f}").alias(f"len_{f}") for f in fields), *(c.alias(f"tf_{f}_{i}") for f in fields for i, c in enumerate(_tf(F.col(f"t_{f}"), terms))))
+    terms = query_terms(rows, query)
+    held = term_counts(rows, terms, key, list(fields))
     stats = held.agg(F.count("*").alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields), *(F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms)))).first()
     scores = []
     for f, weight in fields.items():
@@ -71,14 +82,13 @@ def bm25(rows: DataFrame, query: str, k: int, key: str, fields: dict[str, float]
             score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"len_{f}") / F.lit(stats[f"avg_{f}"] or 1.0)))
         scores.append(score * weight)
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return held.select(key, F.round(best, DIGITS).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    return held.select(key, best.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
 def text_rank(rows: DataFrame, query: str, k: int, key: str, text: str) -> DataFrame:
     """Share of a text's words that are words of the query (any of them)."""
-    terms = sorted(set(rows.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
-    found = rows.select(key, tokens(F.col(text)).alias("t")).withColumn("hits", F.size(F.filter("t", lambda x: x.isin(terms))))
-    return found.where("hits > 0").select(key, F.round(F.col("hits") / F.size("t"), DIGITS).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
+    found = _cut(rows, key, [text]).withColumn("hits", F.size(F.filter(f"t_{text}", lambda x: x.isin(query_terms(rows, query)))))
+    return found.where("hits > 0").select(key, (F.col("hits") / F.size(f"t_{text}")).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
 
 
 def hybrid(rows: DataFrame, query: Sequence[float], text_query: str, k: int, key: str, column: str, text: str, alpha: float = 0.5) -> DataFrame:
@@ -86,7 +96,7 @@ def hybrid(rows: DataFrame, query: Sequence[float], text_query: str, k: int, key
     near = top_vectors(rows, query, k, key, column).select(key, "similarity")
     said = text_rank(rows, text_query, k, key, text)
     both = near.join(said, key, "full")
-    score = F.round(alpha * F.coalesce("similarity", F.lit(0.0)) + (1 - alpha) * F.coalesce("rank", F.lit(0.0)), DIGITS)
+    score = alpha * F.coalesce("similarity", F.lit(0.0)) + (1 - alpha) * F.coalesce("rank", F.lit(0.0))
     return both.select(key, score.alias("score")).distinct().orderBy(F.desc("score"), key).limit(k)
 
 
@@ -101,7 +111,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy(rows: DataFrame, query: str, k: int, key: str, text: str, least: float = 0.3) -> DataFrame:
-    scored = rows.select(key, F.round(trigram_similarity(F.col(text), F.lit(query)), DIGITS).alias("similarity"))
+    scored = rows.select(key, trigram_similarity(F.col(text), F.lit(query)).alias("similarity"))
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(k)
 
 
@@ -115,7 +125,7 @@ def fuse(lanes: Sequence[tuple[DataFrame, str, float]], key: str, k: int, consta
     for p in parts[1:]:
         every = every.unionByName(p)
     sums = every.groupBy(key).agg(F.sum(F.col("w") / (constant + F.col("r"))).alias("s"), *(F.min(f"r{j}").alias(f"r{j}") for j in range(len(lanes))))
-    return sums.select(key, F.round("s", 9).alias("score"), *(f"r{j}" for j in range(len(lanes)))).orderBy(F.desc("score"), *(F.asc_nulls_last(f"r{j}") for j in range(len(lanes))), key).limit(k).select(key, "score")
+    return sums.select(key, F.col("s").alias("score"), *(f"r{j}" for j in range(len(lanes)))).orderBy(F.desc("score"), *(F.asc_nulls_last(f"r{j}") for j in range(len(lanes))), key).limit(k).select(key, "score")
 
 
 def one_per_parent(rows: DataFrame, k: int, parent: str, parent_text: str, score: str, key: str) -> DataFrame:
@@ -133,4 +143,4 @@ def best_per_base(rows: DataFrame, base: str, per_base: int, score: str, key: st
 
 def scores_by_document(rows: DataFrame, doc: str, score: str, position: str) -> DataFrame:
     """Chunk scores by document: best, mean and that of its first chunk."""
-    return rows.groupBy(doc).agg(F.max(score).alias("max_score"), F.round(F.avg(score), DIGITS).alias("mean_score"), F.min_by(score, position).alias("first_score"))
+    return rows.groupBy(doc).agg(F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.min_by(score, position).alias("first_score"))

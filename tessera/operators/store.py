@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_id, sanitize, summary
+from tessera.plans.staging import materialise, picked
 
 STATES = ("pending", "processing", "preprocessed", "processed", "failed")
 SORTABLE = ("created_at", "updated_at", "id", "file_path")
@@ -38,9 +41,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str, created: str) -> DataFrame:
 def enqueue(docs: DataFrame, existing: DataFrame, order: str, text: str, path: str) -> DataFrame:
     """Documents to be processed: sanitised, the first of equal contents; copies of these or of known documents are failed rows of their own."""
     clean = docs.withColumn("content", sanitize(F.col(text))).where("content <> ''").withColumn("id", content_id("doc-", F.col("content")))
-    nth = clean.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(order)))
-    known = existing.select("id").distinct().withColumn("_known", F.lit(True))
-    marked = nth.join(known, "id", "left").withColumn("_dup", (F.col("_n") > 1) | F.col("_known").isNotNull())
+    # decided on thin rows, so that a content of many copies moves none of its texts
+    first = clean.groupBy("id").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).join(existing.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
+    odd = materialise(first.where("_n > 1 or _known"), "copied")
+    marked = picked(clean, odd, ["id"], "left").withColumn("_dup", F.coalesce(F.col("_known"), F.col(order) > F.col("_first"), F.lit(False)))
     return marked.select(
         F.when(F.col("_dup"), content_id("dup-", F.concat_ws("-", "id", F.col(order).cast("string")))).otherwise(F.col("id")).alias("id"), F.when(F.col("_dup"), "failed").otherwise("pending").alias("status"),
         summary(F.col("content")).alias("content_summary"), F.length("content").alias("content_length"), F.col(path).alias("file_path"), F.col(order).alias("pos"),
@@ -114,3 +118,69 @@ def guarded(rows: DataFrame, text: str, blocked: list[str], longest: int = 10_00
     for phrase in reversed(blocked):
         reason = F.when(low.contains(phrase.lower()), F.lit(f"blocked: {phrase}")).otherwise(reason)
     return rows.withColumn("refused", F.when(F.length(text) > longest, "too long").otherwise(reason))
+
+
+def exists(rows: DataFrame) -> bool:
+    return not rows.isEmpty()
+
+
+def projected(rows: DataFrame, defaults: dict[str, object], times: Sequence[str] = ()) -> DataFrame:
+    """Rows with defaults for what is null and times as seconds of the epoch."""
+    shown = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()} | {c: F.unix_timestamp(c) for c in times}
+    return rows.select(*(shown[c].alias(c) if c in shown else c for c in rows.columns))
+
+
+def by_status(rows: DataFrame, states: Sequence[str], status: str = "status") -> DataFrame:
+    return rows.where(F.col(status).isin(list(states)))
+
+
+def by_track(rows: DataFrame, track: str, column: str = "track_id") -> DataFrame:
+    return rows.where(F.col(column) == track)
+
+
+def by_path(rows: DataFrame, path: str, order: Sequence[str], column: str = "file_path") -> DataFrame:
+    """The first row of a path; there may be several."""
+    return rows.where(F.col(column) == path).orderBy(*order).limit(1)
+
+
+def children_of(rows: DataFrame, parents: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Rows of some parents, in order of parent, time and id."""
+    return rows.join(parents.select(key).distinct(), key, "left_semi").orderBy(key, *order)
+
+
+def picked_vectors(rows: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:
+    """Vectors of asked ids; ids that have none are absent."""
+    return rows.where(F.col(column).isNotNull()).select(key, column).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def total_for_paging(rows: DataFrame, size: int) -> DataFrame:
+    """How many rows and pages there are."""
+    return rows.agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).alias("pages"))
+
+
+def usage(calls: DataFrame, group: Sequence[str], *tokens: str) -> DataFrame:
+    """Calls and sums of token counts."""
+    sums = [F.sum(F.coalesce(t, F.lit(0))).alias(t) for t in tokens]
+    return calls.groupBy(*group).agg(F.count("*").alias("calls"), *sums, F.sum(sum((F.coalesce(t, F.lit(0)) for t in tokens), F.lit(0))).alias("total_tokens"))
+
+
+def put_cache(cache: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """The cache with new answers; those that say what is there already, or nothing, change nothing."""
+    came = new.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_new"))
+    both = cache.select(key, value).join(came, key, "full")
+    return both.select(key, F.coalesce("_new", value).alias(value), F.coalesce(~F.col("_new").eqNullSafe(F.col(value)) & F.col("_new").isNotNull(), F.lit(False)).alias("written"))
+
+
+def clear_cache(cache: DataFrame, modes: Sequence[str], kinds: Sequence[str] = ()) -> DataFrame:
+    """What is left of a cache (ids mode:type:hash) without some modes, or without these only of some types."""
+    parts = F.split("id", ":")
+    gone = (F.size(parts) == 3) & parts[0].isin(list(modes))
+    return cache.where(~(gone & parts[1].isin(list(kinds)) if kinds else gone))
+
+
+def custom_chunks(docs: DataFrame, text: str, chunks: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents given with their chunks, but for known ones; and the chunks by id, in order, blank ones left out and equal ones of a document once."""
+    own = docs.withColumn("id", content_id("doc-", sanitize(F.col(text)))).join(known.select("id").distinct(), "id", "left_anti")
+    each = own.select(F.col("id").alias("full_doc_id"), F.posexplode(chunks).alias("pos", "raw")).withColumn("content", sanitize(F.col("raw"))).where("content <> ''")
+    first = each.groupBy("full_doc_id", "content").agg(F.min("pos").alias("chunk_order_index"))
+    return own, first.select(content_id("chunk-", F.col("content")).alias("id"), "full_doc_id", "chunk_order_index", "content")

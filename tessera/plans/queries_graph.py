@@ -13,9 +13,9 @@ from tessera.functions import lists
 from tessera.functions.text import content_id
 from tessera.operators import edit, graph, merge, retrieval, search, store
 from tessera.plans import registry
-from tessera.plans.queries_search import CHUNKS, COSINE, first_vector
+from tessera.plans.queries_search import CHUNKS, EXACT, first_vector
 from tessera.plans.registry import query
-from tessera.plans.staging import new_path, numbered, table
+from tessera.plans.staging import materialise, new_path, numbered, table
 from tessera.streaming import status as streams
 
 
@@ -444,17 +444,21 @@ def stream_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.last_state(chunk_status(spark, sf_dir), "user_id", "status", "ts")
 
 
-_MIX = f"""with {CHUNKS}, s as (select vec_id, label, {COSINE} as similarity from embeddings), near as (select vec_id, similarity, row_number() over (order by similarity desc, vec_id) as r from (select * from s where similarity > 0.2 order by similarity desc, vec_id limit 20))
-select c.doc_id, c.chunk_order_index, near.similarity from near join chunks c on c.doc_id = near.vec_id where c.chunk_order_index = 0"""
+_MIX = f"""with {CHUNKS}, near as (select vec_id, {EXACT} as similarity from embeddings where {EXACT} > 0.2 order by similarity desc, vec_id limit 20),
+c as (select c.doc_id, c.chunk_order_index, near.similarity, sum(c.tokens) over (order by near.similarity desc, c.doc_id, c.chunk_order_index rows unbounded preceding) as t from near join chunks c on c.doc_id = near.vec_id)
+select doc_id, chunk_order_index, round(similarity, 6) as similarity from c where t <= 6000"""
 
 
 @query(_MIX)
 def r4_naive_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of the nearest documents, as many as the budget of tokens holds."""
     from tessera.operators import chunking
 
-    near = search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 20, "vec_id", "embedding", above=0.2)
-    chunks = chunking.window_chunks(table(spark, sf_dir, "documents"), 100, 20).where("chunk_order_index = 0")
-    return chunks.join(near.select(F.col("vec_id").alias("doc_id"), "similarity"), "doc_id").select("doc_id", "chunk_order_index", "similarity")
+    near = search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 20, "vec_id", "embedding", above=0.2).select(F.col("vec_id").alias("doc_id"), "similarity")
+    near = F.broadcast(materialise(near, "near"))  # twenty rows
+    chunks = chunking.window_chunks(table(spark, sf_dir, "documents").join(near, "doc_id", "left_semi"), 100, 20).join(near, "doc_id")
+    kept = retrieval.within_budget(chunks, [F.desc("similarity"), "doc_id", "chunk_order_index"], "tokens", 6000)
+    return kept.select("doc_id", "chunk_order_index", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -463,11 +467,14 @@ def e2e_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import chunking
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    chunks = chunking.window_chunks(table(spark, sf_dir, "documents"), 100, 20).where("chunk_order_index = 0").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    chunks = chunks.select(F.col("doc_id").alias("chunk"), "embedding", "content", "tokens", F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file_path"))
-    part = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("sources"))
-    ents = vectors.join(part, F.col("vec_id") == F.col("l_partkey")).select(F.concat(F.lit("p"), "vec_id").alias("entity_id"), "embedding", F.slice("sources", 1, 20).alias("sources"), F.lit(50).alias("tokens"))
-    rel = edges(spark, sf_dir).withColumn("vec_id", F.regexp_extract("src", r"\d+", 0).cast("long")).join(vectors, "vec_id").select("src", "tgt", "weight", "embedding", F.array("vec_id").alias("sources"), F.lit(40).alias("tokens"))
+    windows = chunking.window_chunks(table(spark, sf_dir, "documents"), 100, 20)
+    chunks = windows.select(F.concat_ws("-", "doc_id", "chunk_order_index").alias("chunk"), "doc_id", "content", "tokens", F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file_path"))
+    chunks = materialise(chunks, "chunks").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id").drop("doc_id")
+    source = F.concat_ws("-", "l_orderkey", F.col("l_linenumber") - 1)
+    part = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(source)).alias("sources"))
+    ents = vectors.join(part, F.col("vec_id") == F.col("l_partkey")).select(F.concat(F.lit("p"), "vec_id").alias("entity_id"), "embedding", "sources", F.lit(50).alias("tokens"))
+    wired = edges(spark, sf_dir).withColumn("vec_id", F.regexp_extract("src", r"\d+", 0).cast("long")).join(vectors, "vec_id")
+    rel = wired.select("src", "tgt", "weight", "embedding", F.array(F.concat_ws("-", "vec_id", F.lit(0))).alias("sources"), F.lit(40).alias("tokens"))
     got = retrieval.retrieve(ents, rel, chunks, first_vector(spark, sf_dir), retrieval.Query(mode="mix"))
     entities = got["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("name"), "position")
     relations = got["relations"].select(F.lit("relation").alias("kind"), F.concat_ws("-", "src", "tgt").alias("name"), "position")
@@ -521,3 +528,128 @@ def s22_replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     gone = rows.where("l_orderkey % 10 = 5").select("l_orderkey").distinct()
     return edit.replace_document(rows.join(gone, "l_orderkey", "left_anti"), rows.where("l_orderkey % 10 = 0"), "l_orderkey")
+
+
+@query("select count(*) > 0 as there, (select count(*) from region where r_regionkey = 99) > 0 as none from region")
+def f5_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "region")
+    return spark.createDataFrame([(store.exists(rows), store.exists(rows.where("r_regionkey = 99")))], "there boolean, none boolean")
+
+
+@query("select event_id, coalesce(case when user_id % 3 = 0 then event_type end, 'none') as event_type, floor(epoch(ts))::bigint as ts from events")
+def f8_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.col("event_type")).alias("event_type"), "ts")
+    return store.projected(rows, {"event_type": "none"}, ["ts"])
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.concat(F.lit("t"), F.col("o_custkey") % 9).alias("track_id"), F.concat(F.lit("f"), F.col("o_custkey")).alias("file_path"), F.col("o_orderdate").alias("created_at"))
+
+
+@query("""with s as (select o_orderkey, o_orderstatus as status, 't' || o_custkey % 9 as track_id, 'f' || o_custkey as file_path, o_orderdate as created_at from orders), p as (select o_orderkey from s where file_path = 'f7' order by created_at, o_orderkey limit 1)
+select 'status' as way, o_orderkey from s where status in ('F', 'P') union all select 'track', o_orderkey from s where track_id = 't4' union all select 'path', o_orderkey from p""")
+def f9_status_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _status(spark, sf_dir)
+    ways = {"status": store.by_status(rows, ["F", "P"]), "track": store.by_track(rows, "t4"), "path": store.by_path(rows, "f7", ["created_at", "o_orderkey"])}
+    out = None
+    for way, got in ways.items():
+        part = got.select(F.lit(way).alias("way"), "o_orderkey")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("select l_orderkey, l_linenumber, l_shipdate from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '2-HIGH')")
+def f11_chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "orders").where("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return store.children_of(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), docs, "l_orderkey", ["l_shipdate", "l_linenumber"])
+
+
+@query("select vec_id, embedding[1]::double as first, len(embedding)::int as width from embeddings where vec_id in (select o_orderkey from orders)")
+def v20_vectors_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("vec_id"))
+    return store.picked_vectors(table(spark, sf_dir, "embeddings"), ids, "vec_id", "embedding").select("vec_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("width"))
+
+
+@query("select count(*) as total, ceil(count(*) / 50)::bigint as pages from orders where o_orderstatus = 'F'")
+def a19_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.total_for_paging(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), 50)
+
+
+@query("""with u as (select role, length(text) as prompt_tokens, case when turn % 2 = 0 then turn end as completion_tokens from conversations)
+select role, count(*) as calls, sum(prompt_tokens)::bigint as prompt_tokens, sum(coalesce(completion_tokens, 0))::bigint as completion_tokens, (sum(prompt_tokens) + sum(coalesce(completion_tokens, 0)))::bigint as total_tokens from u group by role""")
+def a22_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "conversations").select("role", F.length("text").alias("prompt_tokens"), F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("completion_tokens"))
+    return store.usage(calls, ["role"], "prompt_tokens", "completion_tokens")
+
+
+@query("""with c as (select distinct event_id % 500 as id, 'v' || (event_id % 500) as value from events where event_id % 500 < 300), n as (select distinct event_id % 500 as id, case when event_id % 500 % 3 = 0 then 'w' when event_id % 500 % 3 = 1 then 'v' || (event_id % 500) end as value from events where event_id % 500 >= 200)
+select coalesce(c.id, n.id) as id, coalesce(n.value, c.value) as value, n.value is not null and n.value is distinct from c.value as written from c full join n on n.id = c.id where coalesce(n.value, c.value) is not null""")
+def m15_cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("id")).distinct()
+    said = F.concat(F.lit("v"), "id")
+    new = ids.where("id >= 200").withColumn("value", F.when(F.col("id") % 3 == 0, "w").when(F.col("id") % 3 == 1, said))
+    return store.put_cache(ids.where("id < 300").withColumn("value", said), new, "id", "value")
+
+
+@query("select lang || ':' || source || ':' || md5(text) as id from documents where not (lang = 'fr' and source in ('src1', 'src2'))")
+def m12_cache_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = table(spark, sf_dir, "documents").select(F.concat_ws(":", "lang", "source", F.md5("text")).alias("id"))
+    return store.clear_cache(cache, ["fr"], ["src1", "src2"])
+
+
+@query(f"""with {N} select entity_id as name, entity_type as kind from n union all select src, tgt from (with {E} select src, tgt from e)""")
+def g12_whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = graph.everything(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return every[0].select(F.col("entity_id").alias("name"), F.col("entity_type").alias("kind")).unionByName(every[1].select(F.col("src").alias("name"), F.col("tgt").alias("kind")))
+
+
+@query(f"""with {E}, k as (select src, tgt from e order by weight desc, src, tgt limit 100) select x.src, x.tgt, x.source_id from (select least(src, tgt) as src, greatest(src, tgt) as tgt, source_id from x) x join k on k.src = x.src and k.tgt = x.tgt""")
+def r9_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = edges(spark, sf_dir).orderBy(F.desc("weight"), "src", "tgt").limit(100)
+    return retrieval.survivors(graph.canonical(extractions(spark, sf_dir)), kept, ["src", "tgt"]).select("src", "tgt", "source_id")
+
+
+@query("""select 'chunks' as kind, item_id::int as position, '{"reference_id":"' || item_id || '","content":' || to_json(text) || ',"file_path":"unknown_source","chunk_id":""}' as value from benchmark""")
+def r12_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").alias("reference_id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("file_path"))
+    return retrieval.envelope("chunks", rows, "item_id")
+
+
+@query("""with l as (select 'C' as tag, vec_id as chunk, row_number() over (order by vec_id) as r from embeddings where label = 1 union all select 'E', vec_id, row_number() over (order by vec_id desc) from embeddings where vec_id % 3 = 0)
+select chunk, string_agg(tag || r, ',' order by tag || r) as tags from l group by chunk""")
+def r13_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk"), "label", (-F.col("vec_id")).alias("back"))
+    return retrieval.provenance([("C", numbered(rows.where("label = 1"), "chunk")), ("E", numbered(rows.where("chunk % 3 = 0"), "back"))])
+
+
+@query("select 'orders' as kind, (select count(*) from orders) as found, (select count(*) from orders where o_totalprice > 100000) as kept union all select 'parts', (select count(*) from part), (select count(*) from part where p_size = 7)")
+def r14_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {"orders": table(spark, sf_dir, "orders"), "parts": table(spark, sf_dir, "part")}
+    return retrieval.processed(found, {"orders": found["orders"].where("o_totalprice > 100000"), "parts": found["parts"].where("p_size = 7")})
+
+
+@query("select substr(text, 1, 256) as name, doc_id from documents")
+def x9_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.text import truncated
+
+    return table(spark, sf_dir, "documents").select("doc_id", truncated(F.col("text")).alias("name"))
+
+
+@query("""select conv_id, turn, case when turn % 4 = 3 then '' else trim(role || ' a') || '|b' end as facts from conversations""")
+def x12_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.text import facts
+
+    body = F.concat(F.lit('{"facts": [" '), F.coalesce("role", F.lit("")), F.lit(' a ", "", "b"]}'))
+    four = F.col("turn") % 4
+    said = F.when(four == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(four == 1, body).when(four == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise("no facts")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(facts(said), "|").alias("facts"))
+
+
+@query("""with d as (select doc_id, 'doc-' || md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as id, text from documents where doc_id % 10 <> 3),
+u as (select id, min(doc_id) as doc_id from d group by id), known as (select 'doc-' || md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as id from documents where doc_id % 10 = 3)
+select id as full_doc_id, 0 as chunk_order_index, 'chunk-' || md5('part') as id from u where id not in (select id from known) union all select id, 2, 'chunk-' || md5('rest') from u where id not in (select id from known)""")
+def m4_custom_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where("doc_id % 10 = 3").select(content_id("doc-", F.regexp_replace("text", r"^\s+|\s+$", "")).alias("id"))
+    given = docs.where("doc_id % 10 <> 3").dropDuplicates(["text"]).withColumn("parts", F.array(F.lit("part"), F.lit("  "), F.lit("rest"), F.lit(" part")))
+    return store.custom_chunks(given, "text", "parts", known)[1].select("id", "full_doc_id", "chunk_order_index")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, text
-from tessera.operators import chunking, search, store
+from tessera.operators import chunking, retrieval, search, store
 from tessera.plans.registry import query
 from tessera.plans.staging import table
 from tessera.sources import parsers
@@ -20,62 +20,64 @@ chunks as (select doc_id, (s // 80)::int as chunk_order_index, least(100, len(ws
   from (select doc_id, ws, unnest(range(0, len(ws), 80)) as s from w))"""
 
 
+def rounded(column: str, digits: int = 6) -> Column:
+    return F.round(column, digits).alias(column)
+
+
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
-COSINE = "round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6)"
+EXACT = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
+COSINE = f"round({EXACT}, 6)"
 
 
-@query(f"select vec_id, {COSINE} as similarity from embeddings order by similarity desc, vec_id limit 10")
+@query(f"select vec_id, {COSINE} as similarity from embeddings order by {EXACT} desc, vec_id limit 10")
 def v1_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding").select("vec_id", "similarity")
+    return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding").select("vec_id", rounded("similarity"))
 
 
-@query(f"select * from (select vec_id, label, {COSINE} as similarity from embeddings) where similarity > 0.2 order by similarity desc, vec_id limit 40")
+@query(f"select vec_id, label, {COSINE} as similarity from embeddings where {EXACT} > 0.2 order by {EXACT} desc, vec_id limit 40")
 def v2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 40, "vec_id", "embedding", above=0.2).select("vec_id", "label", "similarity")
+    return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 40, "vec_id", "embedding", above=0.2).select("vec_id", "label", rounded("similarity"))
 
 
-@query(f"select * from (select vec_id, {COSINE} as similarity from embeddings) where similarity >= 0.2 order by similarity desc, vec_id limit 40")
+@query(f"select vec_id, {COSINE} as similarity from embeddings where {EXACT} >= 0.2 order by {EXACT} desc, vec_id limit 40")
 def v3_inclusive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 40, "vec_id", "embedding", at_least=0.2).select("vec_id", "similarity")
+    return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 40, "vec_id", "embedding", at_least=0.2).select("vec_id", rounded("similarity"))
 
 
-@query(f"select vec_id, {COSINE} as similarity from embeddings where label = 3 order by similarity desc, vec_id limit 5")
+@query(f"select vec_id, {COSINE} as similarity from embeddings where label = 3 order by {EXACT} desc, vec_id limit 5")
 def f2_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_vectors(table(spark, sf_dir, "embeddings").where("label = 3"), first_vector(spark, sf_dir), 5, "vec_id", "embedding").select("vec_id", "similarity")
+    return search.top_vectors(table(spark, sf_dir, "embeddings").where("label = 3"), first_vector(spark, sf_dir), 5, "vec_id", "embedding").select("vec_id", rounded("similarity"))
 
 
 RANK = f"""t as (select doc_id, {TOKENS.format("text")} as ts from documents),
 q as (select list_distinct({TOKENS.format(f"'{ASKED}'")}) as q),
 r as (select doc_id, len(list_filter(ts, lambda x: list_contains(q.q, x))) as hits, len(ts) as n from t, q),
-said as (select doc_id, round(hits / n, 6) as rank from r where hits > 0 order by rank desc, doc_id limit 20)"""
+said as (select doc_id, hits / n as rank from r where hits > 0 order by rank desc, doc_id limit 20)"""
 
 
-@query(f"with {RANK} select doc_id, rank from said")
+@query(f"with {RANK} select doc_id, round(rank, 6) as rank from said")
 def v6_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_rank(table(spark, sf_dir, "documents"), ASKED, 20, "doc_id", "text")
+    return search.text_rank(table(spark, sf_dir, "documents"), ASKED, 20, "doc_id", "text").select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"""with {RANK}, near as (select doc_id, {COSINE} as similarity from documents join embeddings on vec_id = doc_id order by similarity desc, doc_id limit 20)
-select doc_id, round(0.5 * coalesce(similarity, 0) + 0.5 * coalesce(rank, 0), 6) as score from near full join said using (doc_id) order by score desc, doc_id limit 20""")
+@query(f"""with {RANK}, near as (select doc_id, {EXACT} as similarity from documents join embeddings on vec_id = doc_id order by similarity desc, doc_id limit 20),
+f as (select doc_id, 0.5 * coalesce(similarity, 0) + 0.5 * coalesce(rank, 0) as score from near full join said using (doc_id)) select doc_id, round(score, 6) as score from f order by f.score desc, doc_id limit 20""")
 def v5_hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, vectors = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "embeddings")
-    near = search.top_vectors(vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), first_vector(spark, sf_dir), 20, "vec_id", "embedding")
-    said = search.text_rank(docs, ASKED, 20, "doc_id", "text")
-    both = near.select(F.col("vec_id").alias("doc_id"), "similarity").join(said, "doc_id", "full")
-    return both.select("doc_id", F.round(0.5 * F.coalesce("similarity", F.lit(0.0)) + 0.5 * F.coalesce("rank", F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    return search.hybrid(docs, first_vector(spark, sf_dir), ASKED, 20, "doc_id", "embedding", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
 TRIGRAMS = "list_distinct(flatten(list_transform(" + TOKENS + ", lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 @query(f"""with t as (select p_partkey, {TRIGRAMS.format("p_name")} as a, {TRIGRAMS.format(f"'{NAME}'")} as b from part),
-s as (select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) as similarity from t)
-select * from s where similarity >= 0.3 order by similarity desc, p_partkey limit 20""")
+s as (select p_partkey, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as exact from t)
+select p_partkey, round(exact, 6) as similarity from s where exact >= 0.3 order by exact desc, p_partkey limit 20""")
 def v7_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuzzy(table(spark, sf_dir, "part"), NAME, 20, "p_partkey", "p_name")
+    return search.fuzzy(table(spark, sf_dir, "part"), NAME, 20, "p_partkey", "p_name").select("p_partkey", rounded("similarity"))
 
 
 def _bm25_sql(name: str, rows: str, key: str, column: str) -> str:
@@ -83,29 +85,28 @@ def _bm25_sql(name: str, rows: str, key: str, column: str) -> str:
 {name}_s as (select count(*) as n, avg(len(ts)) as avgdl from {name}_t),
 {name}_f as (select {key}, q.term, len(list_filter(ts, lambda x: x = q.term)) as tf, len(ts) as dl from {name}_t, (select unnest(list_distinct({TOKENS.format(f"'{ASKED}'")})) as term) q),
 {name}_d as (select term, count(*) filter (where tf > 0) as df from {name}_f group by term),
-{name} as (select {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from {name}_f join {name}_d using (term), {name}_s group by {key})"""
+{name} as (select {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) order by term) as exact from {name}_f join {name}_d using (term), {name}_s group by {key})"""
 
 
-@query(f"with {_bm25_sql('m', 'documents', 'doc_id', 'text')} select doc_id, score from m where score > 0 order by score desc, doc_id limit 40")
+@query(f"with {_bm25_sql('m', 'documents', 'doc_id', 'text')} select doc_id, round(exact, 6) as score from m where exact > 0 order by exact desc, doc_id limit 40")
 def v8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), ASKED, 40, "doc_id", {"text": 1.0})
+    return search.bm25(table(spark, sf_dir, "documents"), ASKED, 40, "doc_id", {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _FIELDS = "(select doc_id, text, source || ' ' || lang || ' that' as heading from documents)"
 
 
 @query(f"""with {_bm25_sql('a', _FIELDS, 'doc_id', 'text')}, {_bm25_sql('b', _FIELDS, 'doc_id', 'heading')},
-g as (select doc_id, round(greatest(a.score, 2 * b.score), 5) as score from a join b using (doc_id)) select * from g where score > 0 order by score desc, doc_id limit 40""")
+g as (select doc_id, greatest(a.exact, 2 * b.exact) as exact from a join b using (doc_id)) select doc_id, round(exact, 5) as score from g where exact > 0 order by exact desc, doc_id limit 40""")
 def v8_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang", F.lit("that")).alias("heading"))
-    got = search.bm25(docs, ASKED, 1_000_000, "doc_id", {"text": 1.0, "heading": 2.0})
-    return got.withColumn("score", F.round("score", 5)).orderBy(F.desc("score"), "doc_id").limit(40)
+    return search.bm25(docs, ASKED, 40, "doc_id", {"text": 1.0, "heading": 2.0}).select("doc_id", F.round("score", 5).alias("score"))
 
 
 _FUSED = f"""{_bm25_sql('m', 'documents', 'doc_id', 'text')},
-l1 as (select doc_id, row_number() over (order by score desc, doc_id) as r from (select * from m where score > 0 order by score desc, doc_id limit 40)),
-l2 as (select doc_id, row_number() over (order by similarity desc, doc_id) as r from (select vec_id as doc_id, {COSINE} as similarity from embeddings order by similarity desc, doc_id limit 40)),
-f as (select doc_id, round(coalesce(1.5 / (60 + l1.r), 0) + coalesce(1.0 / (60 + l2.r), 0), 9) as score, l1.r as r1, l2.r as r2 from l1 full join l2 using (doc_id))"""
+l1 as (select doc_id, row_number() over (order by exact desc, doc_id) as r from (select * from m where exact > 0 order by exact desc, doc_id limit 40)),
+l2 as (select doc_id, row_number() over (order by similarity desc, doc_id) as r from (select vec_id as doc_id, {EXACT} as similarity from embeddings order by similarity desc, doc_id limit 40)),
+f as (select doc_id, coalesce(1.5::double / (60 + l1.r), 0) + coalesce(1.0::double / (60 + l2.r), 0) as score, l1.r as r1, l2.r as r2 from l1 full join l2 using (doc_id))"""
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -114,49 +115,48 @@ def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.fuse([(lexical, "score", 1.5), (near, "similarity", 1.0)], "doc_id", k)
 
 
-@query(f"with {_FUSED} select doc_id, score from f order by score desc, r1 nulls last, r2 nulls last, doc_id limit 10")
+@query(f"with {_FUSED} select doc_id, round(score, 9) as score from f order by f.score desc, r1 nulls last, r2 nulls last, doc_id limit 10")
 def v10_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 10)
+    return _fused(spark, sf_dir, 10).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""with {_FUSED}, k as (select f.doc_id, score, md5(text) as parent_key from f join documents d on d.doc_id = f.doc_id where text <> ''),
 o as (select *, row_number() over (partition by parent_key order by score desc, doc_id) as n from k)
-select doc_id, parent_key, score from o where n = 1 order by score desc, doc_id limit 10""")
+select doc_id, parent_key, round(score, 9) as score from o where n = 1 order by o.score desc, doc_id limit 10""")
 def v11_dedupe_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: BM25 and cosine lanes, fused by rank, one hit per parent text, ten best."""
     hits = _fused(spark, sf_dir, 80)
     found = hits.join(table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("parent_id")), "doc_id")
-    return search.one_per_parent(found, 10, "parent_id", "text", "score", "doc_id").select("doc_id", "parent_key", "score")
+    return search.one_per_parent(found, 10, "parent_id", "text", "score", "doc_id").select("doc_id", "parent_key", F.round("score", 9).alias("score"))
 
 
-@query(f"""with s as (select vec_id, label, {COSINE} as similarity from embeddings), b as (select *, row_number() over (partition by label order by similarity desc, vec_id) as n from s)
-select label, vec_id, similarity from b where n <= 10""")
+@query(f"""with s as (select vec_id, label, {EXACT} as similarity from embeddings), b as (select *, row_number() over (partition by label order by similarity desc, vec_id) as n from s)
+select label, vec_id, round(similarity, 6) as similarity from b where n <= 10""")
 def v12_multi_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").withColumn("similarity", F.round(search.cosine(F.col("embedding"), search.vector(first_vector(spark, sf_dir))), 6))
-    return search.best_per_base(rows, "label", 10, "similarity", "vec_id").select("label", "vec_id", "similarity")
+    rows = table(spark, sf_dir, "embeddings").withColumn("similarity", search.cosine(F.col("embedding"), search.vector(first_vector(spark, sf_dir))))
+    return search.best_per_base(rows, "label", 10, "similarity", "vec_id").select("label", "vec_id", rounded("similarity"))
 
 
-@query(f"select vec_id, {COSINE} as similarity from embeddings where vec_id between 100 and 199 order by similarity desc, vec_id limit 12")
+@query(f"select vec_id, {COSINE} as similarity from embeddings where vec_id between 100 and 199 order by {EXACT} desc, vec_id limit 12")
 def v13_vector_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return search.pick_vectors(rows, spark.range(100, 200).withColumnRenamed("id", "vec_id"), first_vector(spark, sf_dir), 12, "vec_id", "embedding")
+    return search.pick_vectors(rows, spark.range(100, 200).withColumnRenamed("id", "vec_id"), first_vector(spark, sf_dir), 12, "vec_id", "embedding").select("vec_id", rounded("similarity"))
 
 
 @query(f"""with q as (select list_distinct({TOKENS.format("text")}) as q from benchmark where item_id = 0),
-s as (select doc_id, round(len(list_intersect((select q from q), {TOKENS.format("text")})) / len((select q from q)), 6) as rerank_score from documents)
-select * from s where rerank_score >= 0.1 order by rerank_score desc, doc_id limit 20""")
+s as (select doc_id, len(list_intersect((select q from q), {TOKENS.format("text")})) / len((select q from q)) as exact from documents)
+select doc_id, round(exact, 6) as rerank_score from s where exact >= 0.1 order by exact desc, doc_id limit 20""")
 def v15_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first().text
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = docs.withColumn("rerank_score", F.round(hooks.overlap_score(asked, F.col("text")), 6))
-    return scored.where("rerank_score >= 0.1").select("doc_id", "rerank_score").orderBy(F.desc("rerank_score"), "doc_id").limit(20)
+    return retrieval.rerank(docs, hooks.overlap_score(asked, F.col("text")), 0.1, 20, "doc_id").select("doc_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(f"""with {CHUNKS}, s as (select doc_id, chunk_order_index as i, tokens::double as score from chunks)
 select doc_id, max(score) as max_score, round(avg(score), 6) as mean_score, arg_min(score, i) as first_score from s group by doc_id""")
 def v16_rerank_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.window_chunks(table(spark, sf_dir, "documents"), 100, 20).withColumn("score", F.col("tokens").cast("double"))
-    return search.scores_by_document(chunks, "doc_id", "score", "chunk_order_index")
+    return search.scores_by_document(chunks, "doc_id", "score", "chunk_order_index").withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query(f"with {CHUNKS} select doc_id, chunk_order_index, tokens, content from chunks")
@@ -192,7 +192,7 @@ def c8_legal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with t as (select doc_id, case when doc_id % 4 = 0 then chr(10) || 'Điều 1. ' || text || chr(10) || 'Điều 2. x' when doc_id % 4 = 1 then '## a' || chr(10) || '## b' || chr(10) || '## c' || chr(10) || text when doc_id % 4 = 2 then '# a' || chr(10) || text else text end as t from documents)
-select doc_id, case when len(regexp_extract_all(t, '(?m)^\\s*(?:#+\\s*)?Điều\\s+\\d+')) >= 2 then 'articles' when len(regexp_extract_all(t, '(?m)^##\\s+\\S')) >= 3 then 'headings2'
+select doc_id, case when len(regexp_extract_all(t, '(?m)^Điều\\s+\\d+')) >= 2 then 'articles' when len(regexp_extract_all(t, '(?m)^## ')) >= 3 then 'headings2'
   when len(regexp_extract_all(t, '(?m)^#{1,6}\\s+\\S')) >= 1 then 'headings' else 'paragraphs' end as route from t""")
 def c7_legal_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, four = F.lit("\n"), F.col("doc_id") % 4
@@ -211,7 +211,8 @@ def c11_rerank_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_orderkey, l_linenumber, src, tgt, replace(k, '，', ',') as keywords, l_quantity as weight from r""")
 def c12_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("relation<|#|>p"), F.col("l_partkey"), F.lit("<|##|>s"), F.col("l_suppkey"), F.lit("<|#|>"), F.col("l_returnflag"), F.lit("，"), F.col("l_linestatus"), F.lit("<|#|>"), F.col("l_quantity").cast("decimal(12,2)"), F.lit("\n<|COMPLETE|>"))
-    got = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(chunking.records(line)).alias("f")).select("l_orderkey", "l_linenumber", chunking.relation_record(F.col("f")).alias("r")).where("r is not null")
+    fields = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(chunking.records(line)).alias("f"))
+    got = fields.select("l_orderkey", "l_linenumber", F.explode(F.array(chunking.relation_record(F.col("f")))).alias("r")).where("r is not null")
     return got.select("l_orderkey", "l_linenumber", "r.src", "r.tgt", "r.keywords", "r.weight")
 
 
@@ -244,11 +245,10 @@ def x2_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
 
 
-@query("""select p_partkey, case when regexp_matches(n, '^[0-9]+$') and length(n) < 3 then '' when regexp_matches(n, '^[0-9]*\\.[0-9.]*$') and length(n) < 6 then '' else n end as name
-from (select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then p_size::varchar else p_size || '.5' end as n from part)""")
+@query("""select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then case when p_size < 100 then '' else p_size::varchar end else p_size || '．5-(名A)' end as name from part""")
 def x3_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = F.col("p_partkey") % 3
-    raw = F.when(three == 0, F.concat(F.lit('"'), "p_name", F.lit('"<br/>'))).when(three == 1, F.concat(F.lit("<p>"), F.col("p_size").cast("string"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("．５")))
+    raw = F.when(three == 0, F.concat(F.lit('"'), "p_name", F.lit('"<br/>'))).when(three == 1, F.concat(F.lit("<p>"), F.col("p_size").cast("string"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("．５—（名 A）")))
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_name(raw).alias("name"))
 
 

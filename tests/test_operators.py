@@ -19,7 +19,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values()) or ("",)], names).select(column).first()[0]
 
 
-@pytest.mark.parametrize(("name", "want"), [("<p>Alpha<br/>", "Alpha"), ("ＡＢＣ１２３", "ABC123"), ('"Quoted"', "Quoted"), ("12", ""), ("1.2.3", ""), ("123", "123"), ("中 文", "中文"), ("  x ", "x")])
+@pytest.mark.parametrize(("name", "want"), [("<p>Alpha<br/>", "Alpha"), ("ＡＢＣ１２３", "ABC123"), ('"Quoted"', "Quoted"), ("12", ""), ("1.2.3", ""), ("123", "123"), ("中 文", "中文"), ("  x ", "x"), ("中 a b 文", "中a b文"), ("１．２", "1．2"), ("\'a\'b\'", "\'a\'b\'"), ("《书》", "书"), ("“x”y", "xy"), ("中\"文", "中文"), ("a—b－c", "a-b-c"), ("</P ><br>n", "n")])
 def test_names(spark, name, want):
     assert one(spark, text.normalize_name(F.col("n")), n=name) == want
 
@@ -29,6 +29,8 @@ def test_sanitize_and_thoughts(spark):
     assert one(spark, text.without_thoughts(F.col("t")), t="<think>x</think> y") == "y"
     assert one(spark, text.without_thoughts(F.col("t")), t="left</think>right") == "right"
     assert one(spark, text.without_thoughts(F.col("t")), t="plain") == "plain"
+    assert one(spark, text.without_thoughts(F.col("t")), t="a<think>b</think>c") == "c"
+    assert one(spark, text.without_thoughts(F.col("t")), t="<think>a</think>b</think>c") == "b</think>c"
 
 
 def test_pair_key_has_no_direction(spark):
@@ -83,6 +85,22 @@ def test_windows_emit_the_tail(spark):
     assert [r.tokens for r in chunking.window_chunks(docs, 5, 2, tail=False).orderBy("chunk_order_index").collect()] == [5, 5, 5]
 
 
+def test_tokenizers_keep_or_drop_what_stands_between(spark):
+    from tessera.functions import tokenizers
+
+    docs = spark.createDataFrame([(1, "one  two\nthree four\n\nfive ")], "doc_id int, text string")
+    got = [r.content for r in chunking.window_chunks(docs, 3, 1, tokenizer=tokenizers.Pieces()).orderBy("chunk_order_index").collect()]
+    assert got == ["one  two\nthree", "three four\n\nfive", "five"]
+    t = "a\n b  "
+    assert tokenizers.Pieces().decode(tokenizers.Pieces().encode(t)) == t and tokenizers.Words().encode(t) == ["a", "b"]
+
+
+def test_scores_are_not_rounded_before_they_are_cut(spark):
+    rows = spark.createDataFrame([(1, [0.2 - 1e-8, (1 - (0.2 - 1e-8) ** 2) ** 0.5]), (2, [0.2 + 1e-8, (1 - (0.2 + 1e-8) ** 2) ** 0.5])], "id int, v array<double>")
+    assert [r.id for r in search.top_vectors(rows, [1.0, 0.0], 5, "id", "v", at_least=0.2).collect()] == [2]
+    assert [r.id for r in search.top_vectors(rows, [1.0, 0.0], 1, "id", "v").collect()] == [2]
+
+
 def test_split_only_raises_over_the_limit(spark):
     docs = spark.createDataFrame([(1, "a b c|d")], "doc_id int, text string")
     assert [r.content for r in chunking.split_chunks(docs, r"\|", 3, 0, only=True).orderBy("chunk_order_index").collect()] == ["a b c", "d"]
@@ -110,8 +128,17 @@ def test_long_tables_go_by_row():
 def test_legal_chunks():
     law = "intro\n\nĐiều 1. First\n" + "x " * 120 + "\n\nĐiều 2. Second\n" + "y. " * 1200
     got = chunking.legal_chunks(law)
-    assert [g[1] for g in got][:2] == ["preamble", "Điều 1. First"] and all(len(g[0]) <= 2500 for g in got) and got[1][3] == 3
+    assert [(g[1], g[3]) for g in got][:3] == [(None, 1), ("Điều 1", 3), ("Điều 2", 6)]
     assert "".join(c for c in law if c.strip()) == "".join(c for g in got for c in g[0] if c.strip())
+    assert [g[1] for g in chunking.legal_chunks("  Điều 1 x\n# Điều 2 y")] == [None, "Điều 2 y"]  # neither line begins with an article
+    under = chunking.legal_chunks("# Law\n#### Deep\nĐiều 1. a\nĐiều 2. b")
+    assert [(g[1], g[2]) for g in under] == [(None, ["Law"]), ("Điều 1", ["Law", "Deep"]), ("Điều 2", ["Law", "Deep"])]
+    levels = chunking.legal_chunks("x\n# A\n## B\nbody\n## C\nmore")
+    assert [(g[1], g[2], g[3]) for g in levels] == [(None, [], 1), ("A", ["A"], 2), ("B", ["A", "B"], 3), ("C", ["A", "C"], 5)]
+    said = ["p" * 900, "q" * 700, "r" * 100]
+    assert chunking.legal_chunks("\n\n".join(said)) == [(said[0], None, [], 0), ("\n\n".join([said[0][-200:], *said[1:]]), None, [], 0)]
+    long = chunking.legal_chunks("# H\n" + "\n\n".join(["a" * 1000, "b" * 1000, "c" * 600, "d" * 100]))
+    assert [len(g[0]) for g in long] == [1004, 1000, 702] and {g[1] for g in long} == {"H"}
 
 
 def test_round_robin(spark):
@@ -219,3 +246,31 @@ def test_relation_chunks_of_more_items_than_registered(spark):
     entity = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "chunk long")
     got = {r.chunk: (r["rank"], r.occurrences) for r in retrieval.relation_chunks(relations, entity).collect()}
     assert got == {900: (0, 100), 100: (99, 1)} | {i: (i - 1, 2) for i in range(1, 100, 2)}
+
+
+def test_facts(spark):
+    said = ['{"facts": ["a", " b ", "", 3]}', '```json\n{"facts": ["x"]}\n```', 'so {"facts": ["y"]} it is', '{"facts": "no"}', "nothing", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    assert [r.f for r in rows.select("i", text.facts(F.col("t")).alias("f")).orderBy("i").collect()] == [["a", "b", "3"], ["x"], ["y"], [], [], []]
+
+
+def test_a_retrieval_keeps_to_its_budgets(spark):
+    v = lambda x: [x, (1 - x * x) ** 0.5]
+    nodes = spark.createDataFrame([("a", v(1.0), ["c1", "c2"], 10), ("b", v(0.9), ["c2", "c3"], 10), ("z", v(0.1), ["c9"], 10)], "entity_id string, embedding array<double>, sources array<string>, tokens int")
+    edges = spark.createDataFrame([("a", "b", 2.0, v(0.5), ["c4"], 10), ("b", "z", 1.0, v(0.95), ["c5"], 10)], "src string, tgt string, weight double, embedding array<double>, sources array<string>, tokens int")
+    chunks = spark.createDataFrame([(f"c{i}", v(i / 10), f"text {i}", 20, f"f{i % 2}") for i in range(10)], "chunk string, embedding array<double>, content string, tokens int, file_path string")
+    q = retrieval.Query(mode="mix", top_k=2, chunk_top_k=6, max_total_tokens=340, system_tokens=0)
+    got = {k: d.orderBy("position").collect() for k, d in retrieval.retrieve(nodes, edges, chunks, [1.0, 0.0], q).items()}
+    assert [r.entity_id for r in got["entities"]] == ["a", "b", "z"] and {(r.src, r.tgt) for r in got["relations"]} == {("a", "b"), ("b", "z")}
+    assert sum(r.tokens for r in got["chunks"]) <= 340 - 200 - 50 and [r.chunk for r in got["chunks"]][:2] == ["c9", "c1"] or [r.chunk for r in got["chunks"]][0] == "c9"
+    assert retrieval.retrieve(nodes, edges, chunks, [1.0, 0.0], retrieval.Query(mode="bypass")) == {}
+    naive = retrieval.retrieve(nodes, edges, chunks, [1.0, 0.0], retrieval.Query(mode="naive", chunk_top_k=3, rerank=lambda c: F.when(c == "text 7", 1.0).otherwise(0.5)))
+    assert set(naive) == {"chunks"} and [r.chunk for r in naive["chunks"].orderBy("position").collect()] == ["c7", "c9", "c8"]
+    high = retrieval.retrieve(nodes, edges, chunks, [1.0, 0.0], retrieval.Query(mode="global", top_k=1, pick="vector"), high=[0.5, 0.75**0.5])
+    assert [(r.src, r.tgt) for r in high["relations"].collect()] == [("a", "b")] and high["chunks"].count() > 0
+
+
+def test_keywords_of_a_query():
+    assert retrieval.keyword_sets("short", (), ()) == (("short",), ()) and retrieval.keyword_sets("q", ("l",), ("h",)) == (("l",), ("h",))
+    with pytest.raises(ValueError, match="long query"):
+        retrieval.keyword_sets("x" * 50, (), ())
