@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 #: Separator of lists kept in one string (fixed value).
 SEP = "<SEP>"
+#: White space of any kind.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -28,7 +30,7 @@ def content_id(prefix: str, content: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space (of any kind) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def sanitize(text: Column) -> Column:

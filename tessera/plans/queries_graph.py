@@ -475,6 +475,7 @@ def e2e_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents = vectors.join(part, F.col("vec_id") == F.col("l_partkey")).select(F.concat(F.lit("p"), "vec_id").alias("entity_id"), "embedding", "sources", F.lit(50).alias("tokens"))
     wired = edges(spark, sf_dir).withColumn("vec_id", F.regexp_extract("src", r"\d+", 0).cast("long")).join(vectors, "vec_id")
     rel = wired.select("src", "tgt", "weight", "embedding", F.array(F.concat_ws("-", "vec_id", F.lit(0))).alias("sources"), F.lit(40).alias("tokens"))
+    ents, rel = materialise(ents, "entities"), materialise(rel, "relations")
     got = retrieval.retrieve(ents, rel, chunks, first_vector(spark, sf_dir), retrieval.Query(mode="mix"))
     entities = got["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("name"), "position")
     relations = got["relations"].select(F.lit("relation").alias("kind"), F.concat_ws("-", "src", "tgt").alias("name"), "position")
