@@ -26,6 +26,8 @@ from tessera.plans.staging import materialise
 
 #: Rows of a block: of candidates, of queries.
 CANDIDATES, QUERIES = 4096, 512
+#: Candidates whose scores with a block of queries stay in a core's cache.
+STRIPE = 128
 _BLOCK = "block long, part int, width int, n int, ids binary, vectors binary"
 
 
@@ -58,15 +60,31 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK)
 
 
-def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Scores (candidates by queries), one term after another: a posting's row takes its weight times that of every query with the term."""
+def postings(held: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Of stripes of STRIPE candidates: for each term the candidates that have it, and their weights."""
+    out = []
+    for low in range(0, len(held), STRIPE):
+        part = held[low : low + STRIPE]
+        out.append([(where := np.flatnonzero(part[:, t]), part[where, t][:, None]) for t in range(held.shape[1])])
+    return out
+
+
+def accumulate(queries: np.ndarray, stripes: list[list[tuple[np.ndarray, np.ndarray]]], n: int) -> np.ndarray:
+    """Scores (candidates by queries), a stripe and one term after another: each posting adds its weight times that of every query of the block to its row."""
+    weights = np.ascontiguousarray(queries.T)
+    asked = np.flatnonzero(weights.any(axis=1))
     scores = np.zeros((n, len(queries)), dtype=queries.dtype)
-    for term, (where, weight) in enumerate(postings):
-        rows = np.flatnonzero(queries[:, term])
-        if len(where) and len(rows) == len(queries):
-            scores[where] += weight[:, None] * queries[None, :, term]
-        elif len(where) and len(rows):
-            scores[where[:, None], rows[None]] += weight[:, None] * queries[rows, term][None]
+    rows, products = np.empty((STRIPE, len(queries)), dtype=queries.dtype), np.empty((STRIPE, len(queries)), dtype=queries.dtype)  # used again and again, so that no memory is asked for
+    for k, terms in enumerate(stripes):
+        own = scores[k * STRIPE : (k + 1) * STRIPE]
+        for t in asked:
+            where, weight = terms[t]
+            if len(where):
+                row, product = rows[: len(where)], products[: len(where)]
+                np.take(own, where, axis=0, out=row, mode="clip")
+                np.multiply(weight, weights[t], out=product)
+                row += product
+                own[where] = row
     return scores
 
 
@@ -96,25 +114,23 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str) ->
     pairs = left.join(right.repartition(groups, "g"), "g").where("w = width").select("width", "c_ids", "c_vectors", "q_ids", "q_vectors")
 
     def run(batches):
-        last, postings, ids = None, [], None
+        last, lists, ids = None, {}, None
         for batch in batches:
             for row in batch.to_pylist():
                 width = row["width"]
                 if row["c_ids"] != last:
                     last, ids = row["c_ids"], np.frombuffer(row["c_ids"], dtype="<i8")
-                    held = np.frombuffer(row["c_vectors"], dtype="<i8").reshape(len(ids), width)
+                    held, lists = np.frombuffer(row["c_vectors"], dtype="<i8").reshape(len(ids), width), {}
                 q_ids = np.frombuffer(row["q_ids"], dtype="<i8")
                 asked = np.frombuffer(row["q_vectors"], dtype="<i8").reshape(len(q_ids), width)
                 most = float(np.abs(held.astype(float)).max(initial=0)) * float(np.abs(asked.astype(float)).max(initial=0)) * width
                 kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # sums of whole numbers below these are exact
-                postings = [(w := np.flatnonzero(held[:, t]), held[w, t].astype(kind)) for t in range(width)]
-                out = []
-                for low in range(0, len(q_ids), 64):
-                    scores = accumulate(asked[low : low + 64].astype(kind), postings, len(ids))
-                    scores = np.ascontiguousarray(scores.T)
-                    for q, own in enumerate(q_ids[low : low + 64]):
-                        at = best(scores[q], ids, own, k)
-                        out.append((np.full(len(at), own), ids[at], scores[q][at].astype(np.int64)))
+                if kind not in lists:
+                    lists[kind] = postings(held.astype(kind))
+                scores, out = np.ascontiguousarray(accumulate(asked.astype(kind), lists[kind], len(ids)).T), []
+                for q, own in enumerate(q_ids):
+                    at = best(scores[q], ids, own, k)
+                    out.append((np.full(len(at), own), ids[at], scores[q][at].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, id long, score long")
