@@ -49,6 +49,34 @@ ke as (select k.doc_id, k.source, k.n, k.weight, k.passes, f.whole, not f.whole
 select doc_id, source, n::bigint as n_tokens, case when n > 0 then passes + (whole or (cut and upto <= room))::bigint else 0 end::bigint as copies, round(weight, 9) as weight from ke"""
 
 
+#: Shingles by their MD5, all pairs of documents that share one, and what links reach.
+JACCARD_SQL = """
+with recursive t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents where doc_id is not null),
+d as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as g from t),
+e as materialized (select doc_id, len(g)::bigint as n, md5_number(unnest(g)) as s from d where len(g) > 0),
+p as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as c from e a join e b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+l as materialized (select a, b from p where 100 * c >= 85 * (n + m - c)),
+y as materialized (select a, b from l union all select b, a from l),
+r(doc_id, x) as (select a, b from y union select r.doc_id, y.b from r join y on y.a = r.x),
+k as (select doc_id, min(x) as x from r group by doc_id)
+select d.doc_id, coalesce(len(g), 0)::bigint as n_shingles, least(d.doc_id, k.x) as component_id from d left join k on k.doc_id = d.doc_id"""
+
+
+#: Strings by their MD5; starts that lie within 200 bytes of the one before belong to one run.
+SUBSTRINGS_SQL = """
+with h as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+s as (select doc_id, x, unnest(range(0, length(x) // 2 - 199)) as i from h),
+w as materialized (select doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) as k from s),
+r as (select k from w group by k having count(*) > 1),
+c as (select doc_id, i, coalesce(lag(i) over (partition by doc_id order by i) + 200, -1) as past from w semi join r on w.k = r.k),
+q as (select doc_id, i, sum((i > past)::int) over (partition by doc_id order by i rows unbounded preceding) as span from c),
+p as (select doc_id, span, min(i) as first, max(i) + 200 as past from q group by doc_id, span),
+m as (select doc_id, count(*) as spans, sum(past - first)::bigint as gone, list({'first': first, 'past': past} order by first) as a from p group by doc_id),
+b as (select h.doc_id, x, coalesce(gone, 0) as gone, coalesce(spans, 0) as spans, a from h left join m on m.doc_id = h.doc_id),
+o as (select *, case when a is null then x else array_to_string(list_transform(range(0, len(a) + 1), lambda j: substr(x, 2 * case when j = 0 then 0 else a[j].past end + 1, 2 * (case when j = len(a) then length(x) // 2 else a[j + 1].first end - case when j = 0 then 0 else a[j].past end))), '') end as kept from b)
+select doc_id, (length(x) // 2)::bigint as n_bytes, gone::bigint as n_removed, spans::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from o"""
+
+
 def held_out(key: str = "doc_id"):
     """Rows of the fifth that no model learns from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
@@ -122,6 +150,8 @@ def oracle_sql() -> dict[str, str]:
                    case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
                    case when payload_bytes >= 1000 and last <> page_id then last end as refers_to from m""",
         "op10_mixing": MIXING_SQL,
+        "op7_substrings": SUBSTRINGS_SQL,
+        "op9_jaccard": JACCARD_SQL,
         "op4_topk": """
             with c as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
                        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
