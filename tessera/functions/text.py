@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented letters and what they fold to (fixed values).
 ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -33,11 +37,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def sanitize(text: Column) -> Column:
-    """Stripped, without control characters other than tab and line breaks, non-characters and C1 controls; common entities unescaped."""
+    """Stripped, without control characters other than tab and line breaks, non-characters and C1 controls; HTML entities unescaped.
+
+    Only texts that hold an ampersand are sent to Python, as only there all names of entities are known."""
     out = strip(text)
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
+    out = F.coalesce(_unescaped(F.when(out.contains("&"), out)), out)
     return strip(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F￾￿]", ""))
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
 from tessera.functions.tokenizers import Tokenizer, Words
 from tessera.plans.staging import bound_batches
 
@@ -256,17 +257,29 @@ def chunk_legal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ordinal int, content string, section_label string, heading_path array<string>, start_line int")
 
 
-#: How field marks <|#|> come back damaged, in order of repair (fixed patterns).
-DAMAGED = (r"<\|#+\|?>", r"<\|?#+\|>", r"<\|+#+\|+>", r"<\|\s*#\s*\|>", r"<\\?\|#\\?\|>", r"<[|:]#[|:]>", r"<\|#\|(?!>)", r"(?<!<)\|#\|>")
+#: The mark between fields, and how it comes back damaged, in order of repair (fixed patterns).
+MARK = "<|#|>"
+DAMAGED = (
+    r"<\|#\|*?#\|>", r"<\|\\#\|>", r"<\|+>", r"<.?\|#\|.?>", r"<\|?#\|?>", r"<[^|]#\|>|<\|#[^|]>", r"<\|#\|+(?!>)",
+    r"<\|#:(?!>)", r"<\|+#>", r"<\|\|(?!>)", r"(?<!<)\|#\|>", r"<\|#\|>\|", r"\|\|#\|\|",
+)
 
 
-def records(output: Column, row_mark: str = "\n", field_mark: str = "<|#|>", end: str = "<|COMPLETE|>") -> Column:
-    """Fields of the records of an extraction output; damaged field marks and missing line breaks before a record are repaired."""
-    clean = F.replace(F.coalesce(output, F.lit("")), F.lit(end), F.lit(row_mark))
-    clean = F.regexp_replace(clean, "|".join(DAMAGED), field_mark)
-    clean = F.regexp_replace(clean, r"(?<!^)(?<!\n)(entity|relation)(?=<\|#\|>)", "\n$1")
-    rows = F.filter(F.transform(F.split(clean, row_mark), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(rows, lambda r: F.transform(F.split(r, r"<\|#\|>"), lambda x: F.trim(x)))
+def repaired(record: Column) -> Column:
+    """A record with its damaged field marks mended; one that holds none of their characters beside whole marks stays as it is."""
+    out = record
+    for pattern in DAMAGED:
+        out = F.regexp_replace(out, pattern, MARK)
+    return F.when(F.replace(record, F.lit(MARK), F.lit("")).rlike("[<|>]"), out).otherwise(record)
+
+
+def records(output: Column, end: str = "<|COMPLETE|>") -> Column:
+    """Non-empty fields of the records of an extraction output. A field mark that stands for a line break before a record is
+    taken for one, and damaged field marks are mended record by record."""
+    clean = F.regexp_replace(F.coalesce(output, F.lit("")), "|".join(map(re.escape, (end, end.lower()))), "\n")
+    clean = F.regexp_replace(clean, r"<\|#\|>(entity|relation(?:ship)?)(?=<\|#\|>)", "\n$1")
+    rows = F.filter(F.transform(F.split(clean, "\n"), strip), lambda x: x != "")
+    return F.transform(rows, lambda r: F.filter(F.transform(F.split(repaired(r), r"<\|#\|>"), strip), lambda x: x != ""))
 
 
 def entity_record(fields: Column) -> Column:

@@ -20,9 +20,14 @@ def majority(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFr
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), "first", value)).alias(value))
 
 
-def ordered_distinct(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Distinct values of each key as an array, in order of first occurrence."""
+def ordered_distinct(rows: DataFrame, keys: list[str], value: str, order: str, most: int | None = None, keep: str = "FIFO") -> DataFrame:
+    """Distinct values of each key as an array, in order of first occurrence; with ``most`` the last (FIFO) or first (KEEP) so many.
+
+    What the cap drops is ranked away before it meets in a row, in map tasks already, so that a hub's array stays small."""
     first = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.min(order).alias("_o"))
+    if most is not None:
+        by = [F.desc("_o"), F.desc(value)] if keep == "FIFO" else [F.asc("_o"), F.asc(value)]
+        first = first.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("_n") <= most).drop("_n")
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o"), F.col(value).alias("v")))), lambda x: x["v"]).alias(value))
 
 
@@ -41,7 +46,7 @@ def relations(rows: DataFrame) -> DataFrame:
     """Relations by unordered pair: weights summed, keywords merged, source ids kept in order, self relations left out."""
     pairs = rows.where("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
     sums = pairs.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), lists.keywords(F.collect_set("keywords")).alias("keywords"))
-    sources = ordered_distinct(pairs, ["src", "tgt"], "source_id", "pos").select("src", "tgt", lists.cap(F.col("source_id")).alias("source_ids"))
+    sources = ordered_distinct(pairs, ["src", "tgt"], "source_id", "pos", lists.MOST_SOURCES).withColumnRenamed("source_id", "source_ids")
     return sums.join(sources, ["src", "tgt"], "left")
 
 
@@ -49,7 +54,7 @@ def entities(rows: DataFrame) -> DataFrame:
     """Entities by name: majority type, merged descriptions, sources in order."""
     kind = majority(rows, ["name"], "type", "pos")
     said = descriptions(rows, ["name"], "description", "at", "pos")
-    sources = ordered_distinct(rows, ["name"], "source_id", "pos").select("name", lists.cap(F.col("source_id")).alias("source_ids"))
+    sources = ordered_distinct(rows, ["name"], "source_id", "pos", lists.MOST_SOURCES).withColumnRenamed("source_id", "source_ids")
     return kind.join(said, "name", "left").join(sources, "name", "left")
 
 
@@ -60,6 +65,14 @@ def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return first.join(nodes.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit("UNKNOWN").alias("entity_type"), F.col("e.description").alias("description"))
 
 
+def with_edge_sources(nodes: DataFrame, edges: DataFrame, most: int = lists.MOST_SOURCES) -> DataFrame:
+    """Nodes with the sources of their edges (``source_ids``) after their own: distinct, the last ``most``; nodes without edges stay as they are."""
+    said = edges.select("src", "tgt", F.posexplode("source_ids").alias("at", "source")).select(F.explode(F.array("src", "tgt")).alias("entity_id"), F.struct(F.lit(1).alias("late"), "src", "tgt", "at").alias("pos"), "source")
+    own = nodes.select("entity_id", F.posexplode("source_ids").alias("at", "source")).select("entity_id", F.struct(F.lit(0).alias("late"), F.lit("").alias("src"), F.lit("").alias("tgt"), "at").alias("pos"), "source")
+    got = ordered_distinct(own.unionByName(said), ["entity_id"], "source", "pos", most)
+    return nodes.drop("source_ids").join(got.withColumnRenamed("source", "source_ids"), "entity_id", "left")
+
+
 def longest(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The longest value of each key; of equally long ones the first."""
     return rows.groupBy(*keys).agg(F.min_by(value, F.struct(-F.length(value), F.col(order))).alias(value))
@@ -104,7 +117,3 @@ def without_document(rows: DataFrame, sources: str, gone: DataFrame) -> DataFram
     marked = each.join(gone.select("source").distinct().withColumn("gone", F.lit(True)), "source", "left")
     left = F.transform(F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "source")))), lambda x: x["source"])
     return marked.groupBy("id").agg(left.alias("remaining"), F.count("gone").alias("lost")).select("id", F.when(F.size("remaining") == 0, "delete").when(F.col("lost") > 0, "rebuild").otherwise("keep").alias("action"), "remaining")
-
-
-def last_by(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

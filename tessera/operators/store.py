@@ -73,11 +73,14 @@ def status_counts(rows: DataFrame, status: str) -> DataFrame:
     return counts.unionByName(counts.agg(F.lit("all").alias(status), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(status, "n"))
 
 
-def progress(chunks: DataFrame, doc: str, status: str, done: str = "Succeed") -> DataFrame:
-    """Finished chunks, their percentage, and the document's state when all are settled."""
+def progress(chunks: DataFrame, doc: str, status: str, done: str = "Succeed", before: DataFrame | None = None) -> DataFrame:
+    """Finished chunks, their percentage, and the document's state when all are settled; a percentage of ``before`` (document, progress) is never undercut."""
     sums = chunks.groupBy(doc).agg(F.count("*").alias("total"), F.count_if(F.col(status) == done).alias("succeeded"), F.count_if(F.col(status) == "Failed").alias("failed"))
     final = F.when(F.col("succeeded") == F.col("total"), "Succeed").when(F.col("succeeded") + F.col("failed") == F.col("total"), "Failed").otherwise("Processing")
-    return sums.withColumn("progress", F.expr("succeeded * 100 div total")).withColumn("state", final)
+    got = sums.withColumn("progress", F.expr("succeeded * 100 div total")).withColumn("state", final)
+    if before is None:
+        return got
+    return got.join(before.select(doc, F.col("progress").alias("_old")), doc, "left").withColumn("progress", F.greatest("progress", "_old")).drop("_old")
 
 
 def counts_with_zero(groups: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:

@@ -132,11 +132,12 @@ def r3_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.round_robin(lanes, ["id"])
 
 
-_ITEMS = "i as (select 'p' || l_partkey as item, dense_rank() over (order by l_partkey) - 1 as rank, l_orderkey as chunk, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) - 1 as pos from lineitem where l_partkey <= 40)"
+_ITEMS = "i as (select 'p' || l_partkey as item, dense_rank() over (order by l_partkey) - 1 as rank, l_orderkey as chunk, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) - 1 as pos from lineitem where l_partkey in (select p_partkey from part order by p_retailprice desc, p_partkey limit 40))"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey <= 40")
+    found = F.broadcast(table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(40).select(F.col("p_partkey").alias("l_partkey")))
+    rows = table(spark, sf_dir, "lineitem").join(found, "l_partkey", "left_semi")
     source = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"])
     got = rows.groupBy("l_partkey").agg(source.alias("sources"))  # forty items
     return got.select(F.concat(F.lit("p"), "l_partkey").alias("item"), (F.row_number().over(W.orderBy("l_partkey")) - 1).alias("rank"), "sources")
@@ -151,12 +152,13 @@ def r5_entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunks_of(_items(spark, sf_dir), "item", "rank", "sources")
 
 
-@query(f"""with {_ITEMS}, i2 as (select 'r' || l_suppkey as item, dense_rank() over (order by l_suppkey) - 1 as rank, l_orderkey as chunk from lineitem where l_suppkey <= 5),
+@query(f"""with {_ITEMS}, i2 as (select 'r' || l_suppkey as item, dense_rank() over (order by l_suppkey) - 1 as rank, l_orderkey as chunk from lineitem where l_suppkey in (select s_suppkey from supplier order by s_acctbal desc, s_suppkey limit 5)),
 o as (select chunk, min(rank) as rank, count(distinct item) as occurrences from i2 group by chunk) select chunk, rank::int as rank, occurrences from o where chunk not in (select chunk from i)""")
 def r6_relation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey <= 5")
+    found = F.broadcast(table(spark, sf_dir, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(5).select(F.col("s_suppkey").alias("l_suppkey")))
+    rows = table(spark, sf_dir, "lineitem").join(found, "l_suppkey", "left_semi")
     source = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"])
-    relations = rows.groupBy("l_suppkey").agg(source.alias("sources")).select(F.concat(F.lit("r"), "l_suppkey").alias("item"), F.col("l_suppkey").cast("int").alias("rank"), "sources")
+    relations = rows.groupBy("l_suppkey").agg(source.alias("sources")).select(F.concat(F.lit("r"), "l_suppkey").alias("item"), (F.row_number().over(W.orderBy("l_suppkey")) - 1).alias("rank"), "sources")  # five items
     entity = retrieval.chunks_of(_items(spark, sf_dir), "item", "rank", "sources")
     return retrieval.relation_chunks(relations, entity).select("chunk", "rank", "occurrences")
 
@@ -193,8 +195,8 @@ def v14_polling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.weighted_polling(each, 12, 3).select("item", "chunk", "place")
 
 
-# over all parts, beside the three above, whose SQL takes the first 40 parts and 5 suppliers
-_ALL_ITEMS = _ITEMS.replace(" where l_partkey <= 40", "")
+# over all parts, beside the three above, which take what a retrieval found: its best 40 parts and 5 suppliers
+_ALL_ITEMS = _ITEMS.replace(" where l_partkey in (select p_partkey from part order by p_retailprice desc, p_partkey limit 40)", "")
 
 
 def _all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,13 +244,13 @@ def a3_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_MENTIONS}, f as (select name, source_id, min(pos) as o from m group by all), r as (select name, source_id, o, row_number() over (partition by name order by o desc) as k from f) select name, string_agg(source_id, ',' order by o) as sources from r where k <= 20 group by name")
 def a6_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = merge.ordered_distinct(mentions(spark, sf_dir), ["name"], "source_id", "pos")
-    return got.select("name", F.array_join(lists.cap(F.col("source_id"), 20), ",").alias("sources"))
+    got = merge.ordered_distinct(mentions(spark, sf_dir), ["name"], "source_id", "pos", 20)
+    return got.select("name", F.array_join("source_id", ",").alias("sources"))
 
 
 @query(f"with {_MENTIONS}, f as (select name, source_id, min(pos) as o from m group by all), g as (select name, list(source_id order by o) as a from f group by name) select name, array_to_string(case when len(a) > 10 then list_append(a[1:10], '...truncated...(KEEP Old)') else a end, ',') as paths from g")
 def a8_path_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = merge.ordered_distinct(mentions(spark, sf_dir), ["name"], "source_id", "pos")
+    got = merge.ordered_distinct(mentions(spark, sf_dir), ["name"], "source_id", "pos", 11, "KEEP")  # one more than the cap tells that it was reached
     return got.select("name", F.array_join(lists.cap_paths(F.col("source_id"), 10, "KEEP"), ",").alias("paths"))
 
 
@@ -272,6 +274,25 @@ def a12_document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.by_document(rows, "doc", "name").select("doc", F.array_join("names", ",").alias("names"))
 
 
+@query("select l_orderkey as doc, string_agg(distinct 's' || l_suppkey || '-p' || l_partkey, ',' order by 's' || l_suppkey || '-p' || l_partkey) as pairs from lineitem group by l_orderkey")
+def a12_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("s"), "l_suppkey", F.lit("-p"), "l_partkey").alias("pair"))
+    return merge.by_document(rows, "doc", "pair").select("doc", F.array_join("names", ",").alias("pairs"))
+
+
+@query(f"""with {_MENTIONS}, n as (select distinct 'p' || l_partkey as entity_id from lineitem where l_linenumber = 1), s as (select 'p' || l_partkey as entity_id, 0 as late, '' as src, l_orderkey::varchar as source, min(l_orderkey) as nr from lineitem where l_linenumber = 1 group by all
+union all select 'p' || l_partkey, 1, 's' || l_suppkey, l_orderkey::varchar, min(l_orderkey) from lineitem where 'p' || l_partkey in (select entity_id from n) group by all),
+f as (select entity_id, source, min({{'late': late, 'src': src, 'nr': nr}}) as o from s group by all), r as (select *, row_number() over (partition by entity_id order by o desc, source desc) as k from f)
+select entity_id, string_agg(source, ',' order by o, source) as sources from r where k <= 20 group by entity_id""")
+def a11_edge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the orders that name them first, and those of their relations after them; the last twenty."""
+    rows = table(spark, sf_dir, "lineitem")
+    order = F.transform(F.array_sort(F.collect_set("l_orderkey")), lambda x: x.cast("string")).alias("source_ids")
+    named = rows.where("l_linenumber = 1").groupBy(F.concat(F.lit("p"), "l_partkey").alias("entity_id")).agg(order)
+    wired = rows.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt")).agg(order)
+    return merge.with_edge_sources(named, wired, 20).select("entity_id", F.array_join("source_ids", ",").alias("sources"))
+
+
 @query(f"with {_MENTIONS}, r as (select name, description, row_number() over (partition by name order by length(description) desc, pos) as k from m) select name, description from r where k = 1")
 def a13_longest_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.longest(mentions(spark, sf_dir), ["name"], "description", "pos")

@@ -201,9 +201,11 @@ def docx_markdown(data: bytes) -> str:
 def xlsx_markdown(data: bytes) -> str:
     s, book, out = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", zipfile.ZipFile(io.BytesIO(data)), []
     strings = ["".join(t.text or "" for t in e.iter(f"{s}t")) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-    for i, name in enumerate(e.get("name") for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{s}sheet")):
-        rows = []
-        for r in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i + 1}.xml")).iter(f"{s}row"):
+    parts = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in book.namelist() else {}
+    related = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    for i, e in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{s}sheet")):
+        name, part, rows = e.get("name"), parts.get(e.get(related), f"worksheets/sheet{i + 1}.xml"), []
+        for r in ElementTree.fromstring(book.read(part[1:] if part.startswith("/") else f"xl/{part}")).iter(f"{s}row"):
             cells: list[str] = []
             for c in r.iter(f"{s}c"):
                 letters = re.match("[A-Z]+", c.get("r") or "A")[0]

@@ -274,3 +274,53 @@ def test_keywords_of_a_query():
     assert retrieval.keyword_sets("short", (), ()) == (("short",), ()) and retrieval.keyword_sets("q", ("l",), ("h",)) == (("l",), ("h",))
     with pytest.raises(ValueError, match="long query"):
         retrieval.keyword_sets("x" * 50, (), ())
+
+
+@pytest.mark.parametrize("mark", ["<|##|>", "<|#||#|>", "<|#|||#|>", r"<|\#|>", "<|>", "<||>", "<X|#|>", "<|#|Y>", "<||#||>", "<#>", "<#|>", "<|#>", "<X#|>", "<|#X>", "<|#|", "<|#||", "<|#:", "<||#>", "<||", "|#|>", "<|#|>|", "||#||"])
+def test_damaged_field_marks(spark, mark):
+    raw = f"entity<|#|>Oak{mark}tree<|#|>tall"
+    assert one(spark, chunking.records(F.col("t")), t=raw) == [["entity", "Oak", "tree", "tall"]]
+
+
+def test_records_that_a_field_mark_parts(spark):
+    raw = "entity<|#|>My entity<|#|>a<|#|>b<|#|>relation<|#|>x<|#|>y<|#|>k<|#|>d<|complete|>entity<|#|>c<|#|>t<|#|>u"
+    got = one(spark, chunking.records(F.col("t")), t=raw)
+    assert got == [["entity", "My entity", "a", "b"], ["relation", "x", "y", "k", "d"], ["entity", "c", "t", "u"]]
+
+
+def test_sanitize_knows_all_entities(spark):
+    assert one(spark, text.sanitize(F.col("t")), t="&eacute;&#x4e2d;&#20013; &hellip;&nbsp;&lt;") == "é中中 …\xa0<"
+    assert spark.createDataFrame([(None,)], "t string").select(text.sanitize(F.col("t"))).first()[0] is None
+
+
+def test_progress_never_falls(spark):
+    chunks = spark.createDataFrame([(1, "Succeed"), (1, "Failed"), (2, "Succeed"), (2, "x")], "doc int, status string")
+    before = spark.createDataFrame([(1, 70), (3, 9)], "doc int, progress int")
+    assert sorted((r.doc, r.progress) for r in store.progress(chunks, "doc", "status", before=before).collect()) == [(1, 70), (2, 50)]
+
+
+def test_caps_hold_before_and_after_collecting(spark):
+    rows = spark.createDataFrame([("k", f"s{i % 7}", i) for i in range(30)], "k string, v string, o int")
+    for most in (1, 3, 9):
+        for keep in ("FIFO", "KEEP"):
+            whole = merge.ordered_distinct(rows, ["k"], "v", "o").select(lists.cap(F.col("v"), most, keep)).first()[0]
+            assert merge.ordered_distinct(rows, ["k"], "v", "o", most, keep).first().v == whole
+
+
+def test_edge_sources_come_after_a_nodes_own(spark):
+    nodes = spark.createDataFrame([("a", ["2", "1"]), ("b", None)], "entity_id string, source_ids array<string>")
+    edges = spark.createDataFrame([("a", "b", ["1", "3"]), ("a", "c", ["4"])], "src string, tgt string, source_ids array<string>")
+    got = {r.entity_id: r.source_ids for r in merge.with_edge_sources(nodes, edges).collect()}
+    assert got == {"a": ["2", "1", "3", "4"], "b": ["1", "3"]}
+
+
+def test_sheets_are_found_by_relation():
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="A" r:id="r2"/><sheet name="B" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><x Id="r1" Target="worksheets/sheet1.xml"/><x Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>')
+        for n in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1"><v>{n}</v></c></row></sheetData></worksheet>')
+    said = parsers.xlsx_markdown(book.getvalue())
+    assert said.index("## A") < said.index("2") < said.index("## B")
