@@ -58,6 +58,20 @@ def entities(rows: DataFrame) -> DataFrame:
     return kind.join(said, "name", "left").join(sources, "name", "left")
 
 
+def rebuilt(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities anew from the extractions that are left after a deletion: of each source the longest description (the first, then the least of equals) counts, the type is the
+    most frequent of these, descriptions stand in order of sources.
+
+    Ends of edges (src, tgt, description, source_id, pos) that no extraction names any more are UNKNOWN, with their edges' descriptions and sources."""
+    best = F.min_by(F.struct("type", "description"), F.struct(-F.coalesce(F.length("description"), F.lit(0)), "pos", "description", "type"))
+    told = rows.groupBy("name", "source_id").agg(best.alias("best"), F.min("pos").alias("pos")).select("name", "source_id", "best.*", "pos")
+    ends = edges.select(F.explode(F.array("src", "tgt")).alias("name"), "source_id", F.lit("UNKNOWN").alias("type"), "description", "pos")
+    every = told.unionByName(ends.join(rows.select("name").distinct(), "name", "left_anti"))
+    said = ordered_distinct(every, ["name"], "description", "pos").select("name", F.array_join("description", SEP).alias("description"))
+    sources = ordered_distinct(every, ["name"], "source_id", "pos", lists.MOST_SOURCES).withColumnRenamed("source_id", "source_ids")
+    return majority(every, ["name"], "type", "pos").join(said, "name", "left").join(sources, "name", "left")
+
+
 def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """UNKNOWN nodes for ends of edges that no node stands for, each with the description of its first edge."""
     ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_id"), "src", "tgt", "description")

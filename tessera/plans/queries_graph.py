@@ -393,6 +393,20 @@ def m6_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.entities(left).select("name", "type", F.size("source_ids").alias("sources"))
 
 
+@query(f"""with {_MENTIONS}, k as (select m.*, m.source_id::bigint as o from m where m.source_id::bigint not in (select o_orderkey from orders where o_orderpriority = '1-URGENT')),
+x as (select 's' || l_suppkey as name, l_orderkey::varchar as source_id, 'UNKNOWN' as type, l_returnflag || l_linestatus || l_quantity::int as description, l_orderkey * 10 + l_linenumber as pos from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderpriority = '1-URGENT')),
+t as (select name, source_id, arg_min(type, {{'l': -length(description), 'p': pos, 'd': description, 't': type}}) as type, arg_min(description, {{'l': -length(description), 'p': pos, 'd': description, 't': type}}) as description, min(pos) as pos from k group by name, source_id union all select name, source_id, type, description, pos from x),
+c as (select name, type, count(*) as n, min(pos) as first from t group by all), r as (select name, type, row_number() over (partition by name order by n desc, first, type) as nth from c),
+d as (select name, description, min(pos) as first from t group by all), e as (select name, string_agg(description, '<SEP>' order by first, description) as description from d group by name),
+s as (select name, least(300, count(distinct source_id))::int as sources from t group by name) select name, type, description, sources from r join e using (name) join s using (name) where nth = 1""")
+def m6_rebuilt_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("source_id"))
+    left = mentions(spark, sf_dir).join(gone, "source_id", "left_anti")
+    said = F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int")).alias("description")
+    wired = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"), said, F.col("l_orderkey").cast("string").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return merge.rebuilt(left, wired.join(gone, "source_id", "left_anti")).select("name", "type", "description", F.size("source_ids").alias("sources"))
+
+
 @query(f"""with {E}, r as (select case when src like 'p%' and right(src, 1) = '3' then 'p3' else src end as src, tgt, weight from e), n as (select least(src, tgt) as src, greatest(src, tgt) as tgt, weight from r where src <> tgt)
 select src, tgt, max(weight) as weight from n group by all""")
 def m10_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,3 +324,10 @@ def test_sheets_are_found_by_relation():
             z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1"><v>{n}</v></c></row></sheetData></worksheet>')
     said = parsers.xlsx_markdown(book.getvalue())
     assert said.index("## A") < said.index("2") < said.index("## B")
+
+
+def test_rebuilding_takes_the_longest_of_each_source_and_falls_back_to_edges(spark):
+    rows = spark.createDataFrame([("a", "t", "xx", "1", 1), ("a", "u", "yyy", "1", 2), ("a", "u", "z", "2", 3), ("a", "t", None, "3", 4)], "name string, type string, description string, source_id string, pos int")
+    edges = spark.createDataFrame([("a", "b", "e2", "9", 8), ("b", "c", "e1", "2", 3)], "src string, tgt string, description string, source_id string, pos int")
+    got = {r.name: (r.type, r.description, r.source_ids) for r in merge.rebuilt(rows, edges).collect()}
+    assert got == {"a": ("u", "yyy<SEP>z", ["1", "2", "3"]), "b": ("UNKNOWN", "e1<SEP>e2", ["2", "9"]), "c": ("UNKNOWN", "e1", ["2"])}
