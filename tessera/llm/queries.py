@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, jaccard, language, mixing, packing, quality, substrings, tokens, topk, warc
+from tessera.llm import forest, jaccard, language, mining, mixing, packing, quality, substrings, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -134,10 +134,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.round("_weight", 9).alias("weight"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").where(FINITE)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("units"))
+    return mining.mine(whole, F.col("vec_id") % 50 == 0, "vec_id", "label", "units", positives=5, negatives=3, low=50, high=95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -152,6 +159,16 @@ def oracle_sql() -> dict[str, str]:
         "op10_mixing": MIXING_SQL,
         "op7_substrings": SUBSTRINGS_SQL,
         "op9_jaccard": JACCARD_SQL,
+        "op13_hard_negatives": """
+            with c as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+                       where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+            p as (select q.vec_id as anchor_id, c.vec_id, c.label = q.label as same, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+                  from c q, c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+            g as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as nth from p where same qualify nth <= 5),
+            w as (select g.anchor_id, g.vec_id as positive_id, n.vec_id as negative_id, g.score as positive_score, n.score as negative_score
+                  from g join p n on n.anchor_id = g.anchor_id where not n.same and 50 * g.score <= 100 * n.score and 100 * n.score <= 95 * g.score)
+            select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id)::int as rank, negative_id, positive_score, negative_score
+            from w qualify rank <= 3""",
         "op4_topk": """
             with c as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
                        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
