@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, jaccard, language, mining, mixing, packing, quality, substrings, tokens, topk, warc
+from tessera.llm import forest, jaccard, language, lines, mining, mixing, packing, quality, substrings, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -134,6 +134,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.round("_weight", 9).alias("weight"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = lines.LineStore.new(spark, least=3, shortest=20)
+    store.insert(docs)
+    kept = store.strip(docs)
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").where(FINITE)
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -144,7 +152,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing, op13_hard_negatives)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing, op12_line_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -159,6 +167,13 @@ def oracle_sql() -> dict[str, str]:
         "op10_mixing": MIXING_SQL,
         "op7_substrings": SUBSTRINGS_SQL,
         "op9_jaccard": JACCARD_SQL,
+        "op12_line_dedup": """
+            with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
+            l as (select r, doc_id, unnest(a) as line, generate_subscripts(a, 1) as i from d),
+            k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from l),
+            g as (select k, max(doc_id) as last from k where length(k) >= 20 group by k having count(distinct doc_id) + max((doc_id is null)::int) >= 3),
+            m as (select k.*, g.k is not null and k.doc_id is distinct from g.last as gone from k left join g on k.k = g.k)
+            select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by r""",
         "op13_hard_negatives": """
             with c as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
                        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
