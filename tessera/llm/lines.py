@@ -287,7 +287,7 @@ class LineStore:
 
         def without(segment, out):
             if not len(segment) or not len(out):
-                return pd.DataFrame({c.split()[0]: [] for c in _FILTERS.split(", ")})
+                return pd.DataFrame(columns=[c.split()[0] for c in _FILTERS.split(", ")], dtype=object)
             row = segment.iloc[0]
             filt = Cuckoo.read(row.slots, row.stash)
             filt.remove(out.h1.to_numpy(dtype=np.int64))
