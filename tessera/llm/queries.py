@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import forest, jaccard, language, lines, mining, mixing, packing, quality, substrings, tokens, topk, warc
+from tessera.llm import forest, jaccard, language, lines, mining, mixing, packing, quality, spelling, substrings, tokens, topk, warc
 from tessera.plans.staging import table
 
 QUALITY_THRESHOLD = 0.3
@@ -77,6 +77,26 @@ o as (select *, case when a is null then x else array_to_string(list_transform(r
 select doc_id, (length(x) // 2)::bigint as n_bytes, gone::bigint as n_removed, spans::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from o"""
 
 
+#: The crc32 over a table of its 256 steps; near words by what is left without one code point.
+SPELLING_SQL = """
+with recursive t as materialized (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)) as tab),
+r as (select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as c
+      from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]{6,}')) as w from documents) group by all),
+b as (select *, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [192 + unicode(x) // 64, 128 + unicode(x) % 64] end)) as bytes from r),
+h as (select w, c, xor(list_reduce(list_prepend(4294967295, bytes), lambda v, y: xor(v // 256, tab[(xor(v, y) & 255) + 1])), 4294967295) as h from b, t),
+s as (select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, c from h),
+v as materialized (select word, sum(c)::bigint as n from s where length(word) >= 6 group by word having sum(c) >= 5),
+e as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from v)),
+p as (select a.word, b.word as other, b.n as m from e a join e b on a.i = b.i and a.rest = b.rest and a.word <> b.word union
+      select e.word, v.word, v.n from e join v on v.word = e.rest union
+      select v.word, e.word, e.n from e join v on v.word = e.rest),
+q as (select word, count(*) as n_near, max(m) as m from p group by word),
+f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 5 * v.n then (select min(other) from p where p.word = v.word and p.m = q.m) end as form, case when m >= 5 * v.n then m end as form_n from v left join q on q.word = v.word),
+g(word, led, form) as (select word, form, form from f where form is not null union all select g.word, f.form, f.form from g join f on f.word = g.led where f.form is not null),
+z as (select g.word, g.led as root from g join f on f.word = g.led where f.form is null)
+select f.word, f.n, f.n_near::bigint as n_near, f.form, f.form_n::bigint as form_n, coalesce(z.root, f.word) as root from f left join z on z.word = f.word"""
+
+
 def held_out(key: str = "doc_id"):
     """Rows of the fifth that no model learns from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
@@ -134,6 +154,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.round("_weight", 9).alias("weight"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), "doc_id", "text", shortest=6, every=199).where("n >= 5")
+    return spelling.variants(words, ratio=5)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     store = lines.LineStore.new(spark, least=3, shortest=20)
@@ -152,7 +177,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing, op12_line_dedup, op13_hard_negatives)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_warc, op4_topk, op5_packing, op6_language, op7_substrings, op8_quality, op9_jaccard, op10_mixing, op11_spelling, op12_line_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -167,6 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "op10_mixing": MIXING_SQL,
         "op7_substrings": SUBSTRINGS_SQL,
         "op9_jaccard": JACCARD_SQL,
+        "op11_spelling": SPELLING_SQL,
         "op12_line_dedup": """
             with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
             l as (select r, doc_id, unnest(a) as line, generate_subscripts(a, 1) as i from d),
