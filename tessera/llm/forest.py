@@ -5,7 +5,8 @@ difference of two of its sample vectors and splits at the median, so a tree's ``
 of the sample, whatever its size; every row, sampled or not, is then routed to one leaf of each tree. A query walks all
 trees from one heap: the node with the least sum of squared margins crossed comes first, whatever its tree,
 until the leaves taken hold a set share of the rows. The vectors of these leaves are measured exactly
-against the query; each task keeps the k nearest of each query it meets, and these lists are merged.
+against the query; each task keeps the k nearest of each query it meets, and these lists are merged. A walk goes on until
+one tree alone, whose leaves share no row, has given k rows beside the query, and until the leaves hold ``least`` rows: small tables are searched nearly whole.
 
 Equal vectors stand as one row of the index with the k + 1 smallest of their ids (as many as one
 answer can name), so copies neither fill a leaf nor hide other neighbours. A leaf of many rows is dealt to several
@@ -54,12 +55,12 @@ class Forest:
             out[:, t] = at
         return out
 
-    def visits(self, query: np.ndarray, sizes: np.ndarray, search: int) -> list[tuple[int, int]]:
-        """The (tree, leaf) pairs that hold ``search`` rows, by least squared margins over all trees."""
+    def visits(self, query: np.ndarray, sizes: np.ndarray, search: int, distinct: int) -> list[tuple[int, int]]:
+        """The (tree, leaf) pairs that hold ``search`` rows, copies over the trees counted, and ``distinct`` rows at least, by least squared margins over all trees."""
         margin = self.normals @ query - self.cuts
         heap = [(0.0, t, 0, 0) for t in range(len(self.cuts))]
-        out, held, last = [], 0, 1 << self.depth
-        while heap and held < search:
+        out, held, last = [], np.zeros(len(self.cuts), dtype=np.int64), 1 << self.depth
+        while heap and (held.sum() < search or held.max() < distinct):  # rows of one tree's leaves are distinct
             worst, t, level, at = heapq.heappop(heap)
             while level < self.depth:
                 m = margin[t, (1 << level) - 1 + at]
@@ -69,7 +70,7 @@ class Forest:
             assert at < last
             if sizes[t, at]:
                 out.append((t, at))
-                held += int(sizes[t, at])
+                held[t] += sizes[t, at]
         return out
 
 
@@ -111,10 +112,10 @@ def fit(rows: DataFrame, trees: int = 16, leaves: int = 512, sample: int = 32768
     return grow(np.array([v for v in got if len(v) == width], dtype=float), trees, leaves, seed)
 
 
-def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, trees: int = 16, leaves: int = 512, sample: int = 32768, share: float = 0.75, crowded: int = CROWDED) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, trees: int = 16, leaves: int = 512, sample: int = 32768, share: float = 0.75, least: int = 1024, crowded: int = CROWDED) -> DataFrame:
     """query_id, rank (from 1), ``key`` and score (distance) of the k nearest found of each row that ``is_query`` marks.
 
-    A query takes leaves, copies over the trees counted, until they hold ``share`` of the rows. ``crowded``: rows of a leaf in one task."""
+    A query takes leaves, copies over the trees counted, until they hold ``share`` of the rows, ``least`` rows and k other rows. ``crowded``: rows of a leaf in one task."""
     spark = rows.sparkSession
     own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("_q"))
     usable = own.where("id is not null and vector is not null and exists(vector, x -> x <> 0) and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
@@ -134,7 +135,7 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, tre
     def paths(batches):
         for batch in batches:
             vectors = batch.column(1).flatten().to_numpy().reshape(len(batch), width)
-            got = [shared.value.visits(v, counted, per_query) for v in vectors]
+            got = [shared.value.visits(v, counted, per_query, k + 1) for v in vectors]
             at = np.repeat(np.arange(len(batch)), [len(g) for g in got])
             flat = np.array([x for g in got for x in g], dtype=np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["tree", "leaf", "id", "vector"])
@@ -145,7 +146,7 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str, vector: str, tre
     sizes = np.zeros((trees, 1 << forest.depth), dtype=np.int64)
     for r in members.groupBy("tree", "leaf").count().collect():  # at most trees * leaves rows
         sizes[r.tree, r.leaf] = r["count"]
-    counted, per_query = sizes, max(k, int(share * sizes[0].sum()))
+    counted, per_query = sizes, max(least, int(share * sizes[0].sum()))
     asked = usable.where(F.col("_q") & (F.size("vector") == width)).groupBy("id").agg(F.min("vector").alias("vector"))
     visits = asked.mapInArrow(paths, "tree int, leaf int, id long, vector array<double>")
     desks = F.array(*(F.lit(int(max(1, -(-n // crowded)))) for n in sizes.ravel()))[F.col("tree") * leaves + F.col("leaf")] if sizes.max() > crowded else F.lit(1)  # tasks of each leaf
@@ -182,11 +183,11 @@ class Nearest:
         row, query, key, apart = (np.concatenate(x) for x in zip(*self.held))
         order = np.lexsort((apart, key, row))
         row, query, key, apart = row[order], query[order], key[order], apart[order]
-        new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]  # one place per candidate, though several trees gave it
+        new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])][: len(row)]  # one place per candidate, though several trees gave it
         row, query, key, apart = row[new], query[new], key[new], apart[new]
         order = np.lexsort((key, apart, row))
         row, query, key, apart = row[order], query[order], key[order], apart[order]
-        nth = np.arange(len(row)) - np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], np.arange(len(row)), 0))
+        nth = np.arange(len(row)) - np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]][: len(row)], np.arange(len(row)), 0))
         self.bound[row[nth == self.k - 1]] = apart[nth == self.k - 1]
         keep = nth < self.k
         self.held, self.size = [(row[keep], query[keep], key[keep], apart[keep])], int(keep.sum())

@@ -70,6 +70,33 @@ def test_neighbours_of_few(spark):
     assert forest.search(few.limit(0), F.col("vec_id") == 0, 5, "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 11, 16, 20, 40, 64])
+def test_neighbours_of_small_tables_are_all_found(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in forest.search(df, F.col("vec_id") < 2, 10, "vec_id", "embedding").orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(min(2, n)):
+        apart = ((x - x[q]) ** 2).sum(axis=1)
+        want += [(q, int(j)) for j in np.argsort(apart, kind="stable") if j != q][:10]
+    assert got == want
+
+
+def test_walks_of_all_small_sizes_give_enough_and_nearly_the_nearest():
+    hits = total = 0
+    for n in range(1, 201):
+        x = np.random.default_rng(n).standard_normal((n, 64))
+        trees = forest.grow(x, 16, 512)
+        leaves, sizes = trees.leaves(x), np.zeros((16, 1 << trees.depth), dtype=np.int64)
+        for t in range(16):
+            np.add.at(sizes[t], leaves[:, t], 1)
+        found = {i for t, leaf in trees.visits(x[0], sizes, max(1024, int(0.75 * n)), 11) for i in np.flatnonzero(leaves[:, t] == leaf).tolist()} - {0}
+        assert len(found) >= min(10, n - 1)
+        near = [int(j) for j in np.argsort(((x - x[0]) ** 2).sum(axis=1), kind="stable") if j != 0][:10]
+        hits, total = hits + len(found & set(near)), total + len(near)
+    assert hits / total > 0.97
+
+
 def test_top_k_is_exact(spark):
     r = random.Random(6)
     rows = [(i, [r.choice([0, 0, 0, r.randrange(-9, 9)]) for _ in range(12)]) for i in range(400)] + [(500, None), (501, [1, None]), (502, [1, 2]), (520, [10**9] * 12), (40, [3] * 12)] + [(77, [5] * 12)] * 3
