@@ -1,11 +1,11 @@
 """Quality scores from compression against dictionaries of good and of bad text.
 
-Two zstandard dictionaries are trained, one on text labelled good and one on text labelled
-bad. A text is compressed with either; how much shorter the good dictionary makes it, divided
-by the longer of the two sizes, is the evidence. A logistic curve fitted on labelled rows that
-trained neither dictionary turns this normalised difference (beside the compressed share of the
-text, as a text that repeats itself shrinks with any dictionary) into a probability. Evidence is kept to the range it had
-on those rows, so that a text of which a dictionary holds a part isn't judged by how little is left of it.
+Two zstandard dictionaries are trained, one on text labelled good and one on text labelled bad. A text is cut into pieces of ``PIECE``
+bytes, each compressed by itself with either, so that only the dictionaries can make it shorter and not what it says twice. How much
+shorter the good dictionary makes all pieces, divided by the text's length, is the evidence, and the only one. A logistic curve
+turns this normalised difference into a probability. It is fitted on labelled rows that trained neither dictionary, with the evidence kept to the range
+in which good and bad rows overlap (from the least that all but ``TAIL`` of the good rows reach to what all but ten times that share of
+the bad rows stay under): far from there it says nothing more.
 
 Fitting reads a bounded sample: at most ``max_per_class`` labelled rows of each class, chosen
 by a hash of the id, of texts up to ``max_fit_bytes`` bytes; dictionaries are trained on pieces of these
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import bound_batches
 
 LEVEL = 3
+#: Bytes of a piece that is compressed by itself; the share of good rows below the range of the evidence.
+PIECE, TAIL = 256, 0.005
 
 
 @dataclass(frozen=True)
@@ -39,10 +41,8 @@ class QualityModel:
     good: bytes
     bad: bytes
     weights: tuple[float, ...]
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    low: tuple[float, ...]
-    high: tuple[float, ...]
+    low: float
+    high: float
     prior: float
 
 
@@ -54,16 +54,14 @@ class Scorer:
         self.pair = [_compressor(d) for d in (model.good, model.bad)] if model.good else None
 
     def sizes(self, text: bytes) -> tuple[int, int, int]:
-        good, bad = self.pair
-        return len(good.compress(text)), len(bad.compress(text)), len(text)
+        return _sizes(self.pair, text)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         m = self.model
         if not self.pair or not texts:
             return np.full(len(texts), m.prior)
         sizes = np.array([self.sizes(t) for t in texts], dtype=float)
-        x = (np.clip(features(sizes), m.low, m.high) - np.array(m.mean)) / np.array(m.scale)
-        out = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -50, 50)))
+        out = 1 / (1 + np.exp(-evidence(sizes, m.low, m.high) @ np.array(m.weights)))
         out[sizes[:, 2] == 0] = m.prior
         return out
 
@@ -74,11 +72,22 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=kept, write_checksum=False, write_content_size=False)
 
 
-def features(sizes: np.ndarray) -> np.ndarray:
-    """Of rows (size with the good, with the bad dictionary, bytes): the constant, the normalised differences, the share left."""
+def _sizes(pair: list[zstandard.ZstdCompressor], text: bytes) -> tuple[int, int, int]:
+    """Bytes of the text's pieces compressed with the good and with the bad dictionary, and as they are."""
+    pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+    good, bad = (sum(len(c.compress(p)) for p in pieces) for c in pair)
+    return good, bad, len(text)
+
+
+def difference(sizes: np.ndarray) -> np.ndarray:
+    """The normalised difference of rows (size with the good, with the bad dictionary, bytes)."""
     good, bad, n = sizes.T
-    left = np.log((np.minimum(good, bad) + 8) / (n + 8))
-    return np.stack([np.ones(len(n)), (bad - good) / np.maximum(np.maximum(good, bad), 1), (bad - good) / (n + 64), left, left**2], axis=1)
+    return (bad - good) / np.maximum(n, 1)
+
+
+def evidence(sizes: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Of each row the constant and the difference, kept to low to high and scaled to -0.5 to 0.5."""
+    return np.stack([np.ones(len(sizes)), (np.clip(difference(sizes), low, high) - low) / (high - low) - 0.5], axis=1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int, max_fit_bytes: int, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict[int, list[bytes]]:
@@ -95,33 +104,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int, max_
     return {y: [bytes(r._t) for r in found if r._y == y] for y in (0, 1)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_fit_bytes: int = 16384, dictionary_bytes: int = 112640, piece_bytes: int = 1024, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_fit_bytes: int = 16384, dictionary_bytes: int = 400_000, piece_bytes: int = 2048, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
     """Fit on the labelled rows of ``docs``; see the module for the bounded sample."""
     counts = {r._y: r.n for r in labels.select(F.col(label).cast("int").alias("_y")).where("_y in (0, 1)").groupBy("_y").agg(F.count("*").alias("n")).collect()}
     return fit_texts(labelled_sample(docs, labels, max_per_class, max_fit_bytes, text, key, label), counts, dictionary_bytes, piece_bytes)
 
 
-def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary_bytes: int = 112640, piece_bytes: int = 1024) -> QualityModel:
+def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary_bytes: int = 400_000, piece_bytes: int = 2048) -> QualityModel:
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     if min(len(sample.get(0, ())), len(sample.get(1, ()))) < 4:
-        return QualityModel(b"", b"", (), (), (), (), (), prior)
+        return QualityModel(b"", b"", (), 0.0, 0.0, prior)
     trained, held = {}, {}
     for y, texts in sample.items():
-        texts = texts[::2] + texts[1::2]  # either half spans the whole sample
-        half = len(texts) // 2
+        texts = [t for k in range(10) for t in texts[k::10]]  # what trains and what calibrates spans the whole sample
+        half = min(len(texts) - 1, -(-len(texts) * 7 // 10))
         trained[y] = _dictionary([t[at : at + piece_bytes] for t in texts[:half] for at in range(0, len(t), piece_bytes)], dictionary_bytes)
         held[y] = texts[half:]
     pair = [_compressor(trained[1]), _compressor(trained[0])]
-    sizes = np.array([[len(pair[0].compress(t)), len(pair[1].compress(t)), len(t)] for y in (0, 1) for t in held[y]], dtype=float)
+    sizes = np.array([_sizes(pair, t) for y in (0, 1) for t in held[y]], dtype=float)
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     weight = np.where(y == 1, counts.get(1, 1) / len(held[1]), counts.get(0, 1) / len(held[0]))
-    x = features(sizes)
-    mean, scale = x.mean(0), x.std(0)
-    mean[0], scale[0] = 0, 1
-    scale[scale == 0] = 1
-    w = _logistic((x - mean) / scale, y, weight * len(y) / weight.sum())
-    return QualityModel(trained[1], trained[0], tuple(w), tuple(mean), tuple(scale), tuple(x.min(0)), tuple(x.max(0)), prior)
+    apart = difference(sizes)
+    low, high = sorted((np.quantile(apart[y == 1], TAIL), np.quantile(apart[y == 0], 1 - 10 * TAIL)))
+    room = 0.1 * (high - low) + 1e-6
+    low, high = float(low - room), float(high + room)
+    return QualityModel(trained[1], trained[0], tuple(_logistic(evidence(sizes, low, high), y, weight * len(y) / weight.sum())), low, high, prior)
 
 
 def _dictionary(pieces: list[bytes], most: int) -> bytes:
