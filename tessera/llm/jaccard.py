@@ -23,8 +23,8 @@ sketches (a lower bound of the differing elements) allow, the likeliest first. L
 blocks. Checks count both sets' shingles exactly.
 
 Defined results: a null text has no words; a text without words has the empty set, which links
-with nothing; one with fewer words than a shingle has one shingle, all its words. Rows with a null id take
-no part. An id that occurs twice is one document whose links are those of either text, and n_shingles the larger size. Extra columns are
+with nothing; one with fewer words than a shingle has one shingle, all its words. Rows with a null id
+link with nothing and have no component. An id that occurs twice is one document whose links are those of either text, and n_shingles the larger size. Extra columns are
 ignored. An empty table gives no rows. Long texts are read whole; a task holds about forty times its longest text.
 """
 
@@ -530,6 +530,12 @@ def _lists(texts: DataFrame, alone: DataFrame, rule: Rule) -> DataFrame:
 
 def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
     """Per id: n_shingles and component_id, the smallest id that links reach from it. ``long``: sets of a list that are compared in one task."""
+    nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
+    return _linked(docs, rule, key, text, long).unionByName(sets(nameless, rule).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def _linked(docs: DataFrame, rule: Rule, key: str, text: str, long: int) -> DataFrame:
+    """``join`` without the rows that have no id."""
     texts = _texts(docs, key, text)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = materialise(sets(texts, rule), "sets")
@@ -565,9 +571,9 @@ def join(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text", l
 
 
 def _of_rows(docs: DataFrame, rule: Rule, key: str, text: str, long: int) -> DataFrame:
-    """``join`` where an id has several texts: rows are joined under numbers of their own, and rows of an id are linked."""
+    """``_linked`` where an id has several texts: rows are joined under numbers of their own, and rows of an id are linked."""
     rows = materialise(_texts(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "rows")
-    got = join(rows, rule, key="row", text="t", long=long).join(rows.select("row", "id"), "row")
+    got = _linked(rows, rule, "row", "t", long).join(rows.select("row", "id"), "row")
     got = materialise(got.groupBy("id", "component_id").agg(F.max("n_shingles").alias("n")), "rows-joined")
     least = got.groupBy("id").agg(F.min("component_id").alias("a"))
     merged = components(got.join(least, "id").select("a", F.col("component_id").alias("b")))

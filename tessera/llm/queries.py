@@ -51,9 +51,9 @@ select doc_id, source, n::bigint as n_tokens, case when n > 0 then passes + (who
 
 #: Shingles by their MD5, all pairs of documents that share one, and what links reach.
 JACCARD_SQL = """
-with recursive t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents where doc_id is not null),
+with recursive t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
 d as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as g from t),
-e as materialized (select doc_id, len(g)::bigint as n, md5_number(unnest(g)) as s from d where len(g) > 0),
+e as materialized (select doc_id, len(g)::bigint as n, md5_number(unnest(g)) as s from d where len(g) > 0 and doc_id is not null),
 p as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as c from e a join e b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
 l as materialized (select a, b from p where 100 * c >= 85 * (n + m - c)),
 y as materialized (select a, b from l union all select b, a from l),
@@ -98,8 +98,8 @@ select f.word, f.n, f.n_near::bigint as n_near, f.form, f.form_n::bigint as form
 
 
 def held_out(key: str = "doc_id"):
-    """Rows of the fifth that no model learns from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Rows of the fifth that no model learns from; a row without an id has no label to learn from, and belongs to them."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
