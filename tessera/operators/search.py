@@ -7,7 +7,7 @@ aggregated row. Scores are exact where rows are ordered and cut by them; roundin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -73,16 +73,21 @@ def bm25(rows: DataFrame, query: str, k: int, key: str, fields: dict[str, float]
     terms = query_terms(rows, query)
     held = term_counts(rows, terms, key, list(fields))
     stats = held.agg(F.count("*").alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields), *(F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms)))).first()
+    best = bm25_scores(fields, terms, stats.n, lambda f, i: stats[f"df_{f}_{i}"], {f: stats[f"avg_{f}"] for f in fields}, k1, b)
+    return held.select(key, best.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+
+
+def bm25_scores(fields: dict[str, float], terms: Sequence[str], n: int, found: Callable[[str, int], int], mean: dict[str, float], k1: float = 1.2, b: float = 0.75) -> Column:
+    """The best weighted BM25 score of rows with ``tf_field_i`` and ``len_field``; found: in how many of n documents a field holds term i."""
     scores = []
     for f, weight in fields.items():
         score = F.lit(0.0)
         for i in range(len(terms)):
-            df, tf = stats[f"df_{f}_{i}"], F.col(f"tf_{f}_{i}")
-            idf = F.log(F.lit(1 + (stats.n - df + 0.5) / (df + 0.5)))
-            score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"len_{f}") / F.lit(stats[f"avg_{f}"] or 1.0)))
+            df, tf = found(f, i), F.col(f"tf_{f}_{i}")
+            idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
+            score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"len_{f}") / F.lit(mean[f] or 1.0)))
         scores.append(score * weight)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return held.select(key, best.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
 def text_rank(rows: DataFrame, query: str, k: int, key: str, text: str) -> DataFrame:
@@ -115,6 +120,11 @@ def fuzzy(rows: DataFrame, query: str, k: int, key: str, text: str, least: float
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def lane_size(k: int) -> int:
+    """How many rows each lane of a fused search of k gives."""
+    return max(40, 4 * k)
+
+
 def fuse(lanes: Sequence[tuple[DataFrame, str, float]], key: str, k: int, constant: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of top lists (rows, score column, weight); ties go by rank in the first lane, then the next."""
     parts = []

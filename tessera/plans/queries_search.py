@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, text
-from tessera.operators import chunking, retrieval, search, store
+from tessera.operators import chunking, postings, retrieval, search, store, vectors
+from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.plans.staging import table
 from tessera.sources import parsers
@@ -28,6 +29,29 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The documents' inverted index, built once for the files as they are."""
+
+    def build() -> postings.Postings:
+        index = postings.Postings(spark, "doc_id", ["text"])
+        index.add(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        return index
+
+    return indexes.over(spark, f"{sf_dir}/documents.parquet", "postings", build)
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The embeddings' index by coarse centroids, likewise."""
+
+    def build() -> vectors.VectorIndex:
+        index, rows = vectors.VectorIndex(spark, "vec_id", "embedding"), table(spark, sf_dir, "embeddings")
+        index.fit(rows)
+        index.add(rows)
+        return index
+
+    return indexes.over(spark, f"{sf_dir}/embeddings.parquet", "vectors", build)
+
+
 EXACT = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
 COSINE = f"round({EXACT}, 6)"
 
@@ -37,6 +61,25 @@ def v1_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding").select("vec_id", rounded("similarity"))
 
 
+@query()
+def v4_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists that the index was fitted to probe."""
+    return vector_index(spark, sf_dir).search(first_vector(spark, sf_dir), 10).select("vec_id", rounded("similarity"))
+
+
+@query(f"select vec_id, label, {COSINE} as similarity from embeddings order by {EXACT} desc, vec_id limit 25")
+def v4_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """And those that the radii of the others don't rule out."""
+    return vector_index(spark, sf_dir).search(first_vector(spark, sf_dir), 25, exact=True).select("vec_id", "label", rounded("similarity"))
+
+
+@query()
+def v4_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth row as a query."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("q"))
+    return vector_index(spark, sf_dir).search_all(rows, 5, "vec_id", "q").select("query_id", "rank", "vec_id", rounded("similarity"))
+
+
 @query(f"select vec_id, label, {COSINE} as similarity from embeddings where {EXACT} > 0.2 order by {EXACT} desc, vec_id limit 40")
 def v2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 40, "vec_id", "embedding", above=0.2).select("vec_id", "label", rounded("similarity"))
@@ -90,7 +133,7 @@ def _bm25_sql(name: str, rows: str, key: str, column: str) -> str:
 
 @query(f"with {_bm25_sql('m', 'documents', 'doc_id', 'text')} select doc_id, round(exact, 6) as score from m where exact > 0 order by exact desc, doc_id limit 40")
 def v8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), ASKED, 40, "doc_id", {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+    return text_index(spark, sf_dir).bm25(ASKED, 40, {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _FIELDS = "(select doc_id, text, source || ' ' || lang || ' that' as heading from documents)"
@@ -103,24 +146,27 @@ def v8_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(docs, ASKED, 40, "doc_id", {"text": 1.0, "heading": 2.0}).select("doc_id", F.round("score", 5).alias("score"))
 
 
-_FUSED = f"""{_bm25_sql('m', 'documents', 'doc_id', 'text')},
-l1 as (select doc_id, row_number() over (order by exact desc, doc_id) as r from (select * from m where exact > 0 order by exact desc, doc_id limit 40)),
-l2 as (select doc_id, row_number() over (order by similarity desc, doc_id) as r from (select vec_id as doc_id, {EXACT} as similarity from embeddings order by similarity desc, doc_id limit 40)),
+def _fused_sql(k: int) -> str:
+    lane = search.lane_size(k)
+    return f"""{_bm25_sql('m', 'documents', 'doc_id', 'text')},
+l1 as (select doc_id, row_number() over (order by exact desc, doc_id) as r from (select * from m where exact > 0 order by exact desc, doc_id limit {lane})),
+l2 as (select doc_id, row_number() over (order by similarity desc, doc_id) as r from (select vec_id as doc_id, {EXACT} as similarity from embeddings order by similarity desc, doc_id limit {lane})),
 f as (select doc_id, coalesce(1.5::double / (60 + l1.r), 0) + coalesce(1.0::double / (60 + l2.r), 0) as score, l1.r as r1, l2.r as r2 from l1 full join l2 using (doc_id))"""
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    lexical = search.bm25(table(spark, sf_dir, "documents"), ASKED, 40, "doc_id", {"text": 1.0})
-    near = search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 40, "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), "similarity")
+    lane = search.lane_size(k)
+    lexical = text_index(spark, sf_dir).bm25(ASKED, lane, {"text": 1.0})
+    near = search.top_vectors(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), lane, "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), "similarity")
     return search.fuse([(lexical, "score", 1.5), (near, "similarity", 1.0)], "doc_id", k)
 
 
-@query(f"with {_FUSED} select doc_id, round(score, 9) as score from f order by f.score desc, r1 nulls last, r2 nulls last, doc_id limit 10")
+@query(f"with {_fused_sql(10)} select doc_id, round(score, 9) as score from f order by f.score desc, r1 nulls last, r2 nulls last, doc_id limit 10")
 def v10_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, 10).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query(f"""with {_FUSED}, k as (select f.doc_id, score, md5(text) as parent_key from f join documents d on d.doc_id = f.doc_id where text <> ''),
+@query(f"""with {_fused_sql(80)}, h as (select * from f order by f.score desc, r1 nulls last, r2 nulls last, doc_id limit 80), k as (select h.doc_id, score, md5(text) as parent_key from h join documents d on d.doc_id = h.doc_id where text <> ''),
 o as (select *, row_number() over (partition by parent_key order by score desc, doc_id) as n from k)
 select doc_id, parent_key, round(score, 9) as score from o where n = 1 order by o.score desc, doc_id limit 10""")
 def v11_dedupe_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
