@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,3 +40,19 @@ def overlap_score(query: str, text: Column) -> Column:
     """Share of the query's words that a text holds: the default reranker."""
     q = F.array_distinct(tokens(F.lit(query)))
     return F.try_divide(F.size(F.array_intersect(q, tokens(text))), F.size(q))
+
+
+def extractive_summary(groups: list[list[str]], most: int = 600) -> list[str]:
+    """The first sentence of each text of a group, each once, up to ``most`` words: the default summary."""
+    out = []
+    for texts in groups:
+        said, left = [], most
+        for t in texts:
+            first = re.split(r"(?<=[.!?。])\s", t.strip(), maxsplit=1)[0].split()[:left]
+            if first and " ".join(first) not in said:
+                said.append(" ".join(first))
+                left -= len(first)
+            if left <= 0:
+                break
+        out.append(" ".join(said))
+    return out

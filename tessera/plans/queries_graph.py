@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lists
 from tessera.functions.text import content_id
-from tessera.operators import edit, graph, merge, retrieval, search, store
+from tessera.operators import edit, graph, merge, retrieval, search, store, summaries
 from tessera.plans import registry
 from tessera.plans.queries_search import CHUNKS, EXACT, first_vector
 from tessera.plans.registry import query
@@ -242,6 +242,15 @@ def a3_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.descriptions(mentions(spark, sf_dir), ["name"], "description", "at", "pos")
 
 
+@query("""with f as (select 's' || l_suppkey as name, 'ordered ' || l_quantity::int || ' of part ' || l_partkey as said from lineitem)
+select name, min(said) as description, count(*) > 1 as summarised from f group by name""")
+def a4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's order lines by map and reduce; the model's place is taken by one whose summary is the least text, which SQL can follow through all rounds."""
+    said = F.concat(F.lit("ordered "), F.col("l_quantity").cast("int"), F.lit(" of part "), "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("name"), said.alias("description"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return summaries.summarise(lines, "name", "description", "pos", most=100, fragments=2, summary=lambda groups: [min(g) for g in groups])
+
+
 @query(f"with {_MENTIONS}, f as (select name, source_id, min(pos) as o from m group by all), r as (select name, source_id, o, row_number() over (partition by name order by o desc) as k from f) select name, string_agg(source_id, ',' order by o) as sources from r where k <= 20 group by name")
 def a6_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = merge.ordered_distinct(mentions(spark, sf_dir), ["name"], "source_id", "pos", 20)
