@@ -16,6 +16,7 @@ from tessera.plans import registry
 from tessera.plans.queries_search import CHUNKS, EXACT, first_vector
 from tessera.plans.registry import query
 from tessera.plans.staging import materialise, new_path, numbered, table
+from tessera.streaming import stateful
 from tessera.streaming import status as streams
 
 
@@ -488,6 +489,37 @@ def stream_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.last_state(chunk_status(spark, sf_dir), "user_id", "status", "ts")
 
 
+@query("""with recursive e as (select event_id, user_id, ts, case event_type when 'view' then 'pending' when 'purchase' then 'done' when 'error' then 'failed' else 'running' end as t, round_even(value, 0)::int as p from events),
+o as (select *, row_number() over (partition by user_id order by ts, event_id) as n from e where user_id is not null),
+m(user_id, n, event_id, f, t, state, progress, refused) as (
+  select user_id, 0::bigint, null::bigint, '', '', '', 0, null::varchar from (select distinct user_id from o) union all
+  select o.user_id, o.n, o.event_id, m.state, o.t,
+    case when ok then o.t else m.state end,
+    case when not ok then m.progress when o.t = 'done' then 100 when o.t = m.state then greatest(m.progress, least(100, greatest(0, o.p))) else least(100, greatest(0, o.p)) end,
+    case when not ok then (case when m.state = '' then 'new' else m.state end) || ' to ' || o.t end
+  from m join o on o.user_id = m.user_id and o.n = m.n + 1,
+    lateral (select (m.state = '' and o.t = 'pending') or (m.state = 'pending' and o.t in ('running', 'failed')) or (m.state = 'running' and o.t in ('running', 'done', 'failed')) or (m.state = 'failed' and o.t = 'pending') as ok) k)
+select event_id, user_id::varchar as key, f as "from", t as "to", state, progress, refused from m where n > 0""")
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as moves of a job for each user, through a stream with keyed state; illegal ones are refused."""
+    out, marks = new_path(spark, "moves"), new_path(spark, "marks")
+    kind = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    events = _stream(spark, sf_dir).withColumn("to", kind)
+    stateful.start(stateful.transitions(events, "user_id", "to", "ts", "event_id", F.bround("value")), out, marks).awaitTermination()
+    return spark.read.parquet(out).select(F.col("seq").alias("event_id"), "key", "from", "to", "state", "progress", "refused")
+
+
+@query("select conv_id::varchar as key, max(turn) + 1 as total from conversations where conv_id is not null group by conv_id having count(distinct turn) = max(turn) + 1")
+def stream_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which every turn has come, each once."""
+    out, marks, path = new_path(spark, "complete"), new_path(spark, "marks"), f"{sf_dir}/conversations.parquet"
+    rows = spark.read.parquet(path)
+    totals = rows.groupBy("conv_id").agg((F.max("turn") + 1).alias("total"))
+    turns = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else sf_dir + "/conversations*.parquet")
+    stateful.start(stateful.complete(turns.join(totals, "conv_id"), "conv_id", "turn", "total"), out, marks).awaitTermination()
+    return spark.read.schema("key string, total long").parquet(out).select("key", "total")
+
+
 _MIX = f"""with {CHUNKS}, near as (select vec_id, {EXACT} as similarity from embeddings where {EXACT} > 0.2 order by similarity desc, vec_id limit 20),
 c as (select c.doc_id, c.chunk_order_index, near.similarity, sum(c.tokens) over (order by near.similarity desc, c.doc_id, c.chunk_order_index rows unbounded preceding) as t from near join chunks c on c.doc_id = near.vec_id)
 select doc_id, chunk_order_index, round(similarity, 6) as similarity from c where t <= 6000"""
