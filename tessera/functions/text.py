@@ -55,7 +55,7 @@ def sanitize(text: Column) -> Column:
 WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９－＋／＊（）—　"
 NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-+/*()- "
 ENCLOSING = ('""', "''", "“”", "‘’", "《》")
-_HAN, _LATIN = "[一-龥]", r"[a-zA-Z0-9()\[\]@#$%!&*\-=+_]"
+HAN, LATIN = "[一-龥]", r"[a-zA-Z0-9()\[\]@#$%!&*\-=+_]"
 
 
 def normalize_name(name: Column, inner_quotes: bool = True) -> Column:
@@ -64,12 +64,12 @@ def normalize_name(name: Column, inner_quotes: bool = True) -> Column:
     ``inner_quotes``: also without typographic quotes and those that touch Chinese characters."""
     out = F.regexp_replace(name, r"(?i)</p\s*>|<p\s*>|<p/>|</br\s*>|<br\s*>|<br/>", "")
     out = F.translate(out, WIDE, NARROW)
-    for before, after in ((_HAN, _HAN), (_HAN, _LATIN), (_LATIN, _HAN)):
+    for before, after in ((HAN, HAN), (HAN, LATIN), (LATIN, HAN)):
         out = F.regexp_replace(out, rf"(?U)(?<={before})\s+(?={after})", "")
     for first, last in ENCLOSING:
         out = F.regexp_replace(out, rf"(?s)^{first}([^{first}{last}]*){last}$", "$1")
     if inner_quotes:
-        out = F.regexp_replace(out, rf"[“”‘’]|['\"]+(?={_HAN})|(?<={_HAN})['\"]+", "")
+        out = F.regexp_replace(out, rf"[“”‘’]|['\"]+(?={HAN})|(?<={HAN})['\"]+", "")
         out = F.regexp_replace(F.translate(out, "\xa0", " "), r"(?<=[^\d])\u202F", " ")
     out = strip(out)
     return F.when(out.rlike(r"^[0-9]+$") & (F.length(out) < 3), "").when(out.rlike(r"^[0-9]*\.[0-9.]*$") & (F.length(out) < 6), "").otherwise(out)

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
 from tessera.functions.tokenizers import Tokenizer, Words
 from tessera.plans.staging import bound_batches
 
 #: Headings, articles of laws, and a sentence's end before a capital (fixed patterns).
 HEADING, ARTICLE = re.compile(r"^(#{1,6})\s+(.*)$"), re.compile(r"Điều\s+\d+")
+#: A table's row and the rule under its header; the marks of list items within a line (fixed patterns).
+TABLE_ROW, TABLE_RULE = re.compile(r"^\s*\|.*\|\s*$"), re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$")
+ITEM = re.compile(r"(?:^|[\s|])(?:[•●▪◦*+\-]|\d+\.)\s+")
 SENTENCE = re.compile(r"(?<=[.?!])\s+(?=[A-ZĐÁÀẢÃẠÂẦẤẨẪẬĂẰẮẲẴẶÉÈẺẼẸÊỀẾỂỄỆÍÌỈĨỊÓÒỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÚÙỦŨỤƯỪỨỬỮỰÝỲỶỸỴ])")
 
 
@@ -65,10 +67,6 @@ def split_chunks(docs: DataFrame, mark: str, size: int, overlap: int, only: bool
     return _chunked(docs, key, text, cut)
 
 
-def count_words(text: str) -> int:
-    return len(text.split())
-
-
 @dataclass
 class Section:
     level: int
@@ -97,46 +95,91 @@ def sections(text: str) -> list[Section]:
 
 
 def is_table(block: str) -> bool:
-    rows = block.strip().splitlines()
-    return len(rows) >= 2 and "|" in rows[0] and bool(re.fullmatch(r"[\s|:-]*-[\s|:-]*", rows[1])) and "|" in rows[1]
+    rows = block.splitlines()
+    return len(rows) >= 2 and bool(TABLE_ROW.match(rows[0]) and TABLE_RULE.match(rows[1]))
 
 
 def blocks(text: str) -> list[str]:
     return [b.strip("\n") for b in re.split(r"\n\s*\n", text) if b.strip()]
 
 
-def packed(pieces: list[str], most: int, join: str, count: Callable[[str], int]) -> Iterator[str]:
-    """Pieces put together greedily up to ``most`` tokens; a longer one is cut into runs of words."""
-    held: list[str] = []
-    for p in pieces:
-        if held and count(join.join([*held, p])) > most:
-            yield join.join(held)
-            held = []
-        if count(p) > most:
-            words = p.split()
-            yield from (" ".join(words[i : i + most]) for i in range(0, len(words), most))
-        else:
-            held.append(p)
-    if held:
-        yield join.join(held)
+@dataclass(frozen=True)
+class Sizes:
+    """Limits of a markdown split in tokens: of a child, of a table that stays whole, of a cell that does, of a pack of list items."""
 
+    child: int = 256
+    table: int = 256
+    cell: int = 80
+    items: int = 400
+    tokenizer: Tokenizer = Words()
 
-def table_pieces(table: str, most: int, cell_most: int = 80, bullets: int = 2, bullets_most: int = 400, count: Callable[[str], int] = count_words) -> Iterator[str]:
-    """A long table by rows under its header; a row with a long bulleted cell by packs of bullets."""
-    head, rule, *rows = table.strip().splitlines()
-    for row in rows:
-        cells = [c.strip() for c in row.strip().strip("|").split("|")]
-        long = next((c for c in cells if count(c) > cell_most and len(re.findall(r"(?:^|<br>)\s*[-*•]\s", c)) >= bullets), None)
-        if long is None:
-            yield "\n".join([head, rule, row])
-            continue
-        parts = [x.strip() for x in re.split(r"(?:^|<br>)\s*(?=[-*•]\s)", long) if x.strip()]
-        for pack in packed(parts, bullets_most, "<br>", count):
-            yield "\n".join([head, rule, "| " + " | ".join(pack if c is long else c for c in cells) + " |"])
+    def count(self, text: str) -> int:
+        return len(self.tokenizer.encode(text))
+
+    def cut(self, text: str) -> list[str]:
+        """Runs of as many tokens as a child has."""
+        return [content for _, content in windows(text, self.child, 0, True, self.tokenizer) if content]
 
 
-def markdown_parts(text: str, child: int = 256, table: int = 256, count: Callable[[str], int] = count_words) -> Iterator[tuple[str, str, str | None]]:
-    """(content, parent text, heading path) of a markdown text's leaf sections: a table ends a part; children carry their headings."""
+def packed(pieces: list[str], most: int, join: str, sizes: Sizes, whole: bool = False) -> Iterator[str]:
+    """Pieces put together greedily while their tokens sum to ``most``; a longer one is cut, or stands by itself (``whole``)."""
+    held, n = [], 0
+    for p in pieces:
+        own = sizes.count(p)
+        if held and n + own > most:
+            yield join.join(held).strip()
+            held, n = [], 0
+        if own > most and not whole:
+            yield from sizes.cut(p)
+        else:
+            held.append(p)
+            n += own
+    if held:
+        yield join.join(held).strip()
+
+
+def list_items(cell: str) -> list[str]:
+    """The items of a list that stands in a table's cell: from each mark on; where there are fewer than two, what semicolons part."""
+    items = [x.strip() for x in ITEM.sub(lambda m: "\n" + m[0].lstrip(), cell).split("\n")]
+    items = [x for x in items if ITEM.match(" " + x)]
+    parts = [x for x in re.split(r"\s*;\s*", cell.strip()) if x] if len(items) < 2 else []
+    return parts if len(parts) >= 2 else items
+
+
+def cells_of(row: str) -> list[str]:
+    return [c.strip() for c in row.strip().removeprefix("|").removesuffix("|").split("|")]
+
+
+def table_pieces(prefix: str, table: str, sizes: Sizes) -> Iterator[str]:
+    """A long table by rows under headings and header; a row with a long cell that holds a list by packs of its items. What is still too long is cut."""
+    rows = table.splitlines()
+    head, body = "\n".join(rows[:2]), [r for r in rows[2:] if r.strip()]
+    if not body:
+        yield (prefix + table).strip()
+    for row in body:
+        cells, made, most = cells_of(row), [row], max(sizes.child, sizes.items)
+        for i, cell in enumerate(cells):
+            items = list_items(cell) if sizes.count(cell) > sizes.cell else []
+            if len(items) >= 2:
+                made = ["| " + " | ".join([*cells[:i], pack, *cells[i + 1 :]]) + " |" for pack in packed(items, sizes.items, " ", sizes, whole=True)]
+                most = max(sizes.child, 2 * sizes.items)
+                break
+        for piece in (f"{prefix}{head}\n{x}".strip() for x in made):
+            yield from [piece] if sizes.count(piece) <= most else sizes.cut(piece)
+
+
+def small_table(prefix: str, caption: str | None, table: str, sizes: Sizes) -> str:
+    """A table in one piece under headings, and with the paragraph before it if both fit."""
+    most = sizes.table + sizes.count(prefix)
+    for said in ([f"{prefix}{caption}\n\n{table}"] if caption else []) + [prefix + table]:
+        if sizes.count(said.strip()) <= most:
+            return said.strip()
+    return table.strip()
+
+
+def markdown_parts(text: str, sizes: Sizes = Sizes()) -> Iterator[tuple[str, str, str | None, int]]:
+    """(content, parent text, heading path, number of the parent) of a markdown text's leaf sections: a table ends a part; children carry their headings."""
+    parent = -1
     for s in sections(text or ""):
         body = "\n".join(s.lines).strip()
         if s.parent or not body:
@@ -153,15 +196,15 @@ def markdown_parts(text: str, child: int = 256, table: int = 256, count: Callabl
         if said:
             parts.append((said, None))
         for words, grid in parts:
-            parent = (prefix + "\n\n".join([*words, *([grid] if grid else [])])).strip()
-            for piece in packed(words, child, "\n\n", count):
-                yield (prefix + piece).strip(), parent, path
-            if grid and count(grid) <= table:
-                caption = words[-1] + "\n\n" if words and count(words[-1]) + count(grid) <= table else ""
-                yield (prefix + caption + grid).strip(), parent, path
+            parent += 1
+            whole = (prefix + "\n\n".join([*words, *([grid] if grid else [])])).strip()
+            for piece in packed(words, sizes.child, "\n\n", sizes):
+                yield (prefix + piece).strip(), whole, path, parent
+            if grid and sizes.count(grid) <= sizes.table:
+                yield small_table(prefix, words[-1] if words else None, grid, sizes), whole, path, parent
             elif grid:
-                for piece in table_pieces(grid, table, count=count):
-                    yield (prefix + piece).strip(), parent, path
+                for piece in table_pieces(prefix, grid, sizes):
+                    yield piece, whole, path, parent
 
 
 def legal_route(text: Column) -> Column:
@@ -224,18 +267,18 @@ def legal_chunks(text: str, target: int = 1500, overlap: int = 200, most: int =
     return out
 
 
-def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text", child: int = 256, table: int = 256) -> DataFrame:
-    """Parent-child chunks of markdown texts; ids are hashes of document, place and content."""
+def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
+    """Parent-child chunks of markdown texts; ids are hashes of document, place and content, so equal parents of a document are two."""
 
     def run(batches):
         for batch in batches:
             rows = ([], [], [], [], [], [], [])
             at = []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                for n, (content, parent, path) in enumerate(markdown_parts(t or "", child, table)):
-                    seed = f"{batch.column(0)[i].as_py()}:{n}"
+                own = batch.column(0)[i].as_py()
+                for n, (content, parent, path, nth) in enumerate(markdown_parts(t or "", sizes)):
                     at.append(i)
-                    for column, x in zip(rows, (hashlib.md5(f"{seed}:{content}".encode()).hexdigest(), content, hashlib.md5(f"{seed.split(':')[0]}:{parent}".encode()).hexdigest(), parent, n, count_words(content), path)):
+                    for column, x in zip(rows, (hashlib.md5(f"{own}:{n}:{content}".encode()).hexdigest(), content, hashlib.md5(f"{own}:{nth}:{parent}".encode()).hexdigest(), parent, n, sizes.count(content), path)):
                         column.append(x)
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rows, kinds))], [key, "id", "content", "parent_id", "parent_text", "chunk_order_index", "tokens", "heading_path"])
@@ -255,42 +298,3 @@ def chunk_legal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32())))], [key, "ordinal", "content", "section_label", "heading_path", "start_line"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ordinal int, content string, section_label string, heading_path array<string>, start_line int")
-
-
-#: The mark between fields, and how it comes back damaged, in order of repair (fixed patterns).
-MARK = "<|#|>"
-DAMAGED = (
-    r"<\|#\|*?#\|>", r"<\|\\#\|>", r"<\|+>", r"<.?\|#\|.?>", r"<\|?#\|?>", r"<[^|]#\|>|<\|#[^|]>", r"<\|#\|+(?!>)",
-    r"<\|#:(?!>)", r"<\|+#>", r"<\|\|(?!>)", r"(?<!<)\|#\|>", r"<\|#\|>\|", r"\|\|#\|\|",
-)
-
-
-def repaired(record: Column) -> Column:
-    """A record with its damaged field marks mended; one that holds none of their characters beside whole marks stays as it is."""
-    out = record
-    for pattern in DAMAGED:
-        out = F.regexp_replace(out, pattern, MARK)
-    return F.when(F.replace(record, F.lit(MARK), F.lit("")).rlike("[<|>]"), out).otherwise(record)
-
-
-def records(output: Column, end: str = "<|COMPLETE|>") -> Column:
-    """Non-empty fields of the records of an extraction output. A field mark that stands for a line break before a record is
-    taken for one, and damaged field marks are mended record by record."""
-    clean = F.regexp_replace(F.coalesce(output, F.lit("")), "|".join(map(re.escape, (end, end.lower()))), "\n")
-    clean = F.regexp_replace(clean, r"<\|#\|>(entity|relation(?:ship)?)(?=<\|#\|>)", "\n$1")
-    rows = F.filter(F.transform(F.split(clean, "\n"), strip), lambda x: x != "")
-    return F.transform(rows, lambda r: F.filter(F.transform(F.split(repaired(r), r"<\|#\|>"), strip), lambda x: x != ""))
-
-
-def entity_record(fields: Column) -> Column:
-    """(name, type, description) of an entity record, or null if it is malformed."""
-    kind = F.lower(F.regexp_replace(fields[2], r"\s+", ""))
-    good = (F.size(fields) == 4) & fields[0].contains("entity") & (fields[1] != "") & (fields[3] != "") & (kind != "") & ~fields[2].rlike(r"['()<>|/\\]")
-    return F.when(good, F.struct(fields[1].alias("name"), kind.alias("type"), fields[3].alias("description")))
-
-
-def relation_record(fields: Column) -> Column:
-    """(src, tgt, keywords, description, weight) of a relation record, or null if it is malformed; the weight is the last field if that is a number, else 1."""
-    good = (F.size(fields) == 5) & fields[0].contains("relation") & (fields[1] != "") & (fields[2] != "") & (fields[1] != fields[2])
-    weight = F.when(fields[4].rlike(r"^[-+]?[0-9]*\.?[0-9]+$"), fields[4].try_cast("double")).otherwise(F.lit(1.0))
-    return F.when(good, F.struct(fields[1].alias("src"), fields[2].alias("tgt"), F.replace(fields[3], F.lit("，"), F.lit(",")).alias("keywords"), fields[4].alias("description"), F.coalesce(weight, F.lit(1.0)).alias("weight")))

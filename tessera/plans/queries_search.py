@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, text
-from tessera.operators import chunking, postings, retrieval, search, store, vectors
+from tessera.operators import chunking, extraction, postings, retrieval, search, store, vectors
 from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.plans.staging import table
@@ -253,13 +253,17 @@ def c11_rerank_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.window_chunks(table(spark, sf_dir, "documents"), 480, 32, tail=False)
 
 
-@query("""with r as (select l_orderkey, l_linenumber, 'p' || l_partkey as src, 's' || l_suppkey as tgt, l_returnflag || '，' || l_linestatus as k, l_quantity from lineitem)
+@query("""with r as (select l_orderkey, l_linenumber, 'p' || l_partkey as src, 's' || l_suppkey as tgt, l_returnflag || '，' || l_linestatus as k, l_quantity from lineitem where l_linenumber <> 5)
 select l_orderkey, l_linenumber, src, tgt, replace(k, '，', ',') as keywords, l_quantity as weight from r""")
 def c12_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("relation<|#|>p"), F.col("l_partkey"), F.lit("<|##|>s"), F.col("l_suppkey"), F.lit("<|#|>"), F.col("l_returnflag"), F.lit("，"), F.col("l_linestatus"), F.lit("<|#|>"), F.col("l_quantity").cast("decimal(12,2)"), F.lit("\n<|COMPLETE|>"))
-    fields = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(chunking.records(line)).alias("f"))
-    got = fields.select("l_orderkey", "l_linenumber", F.explode(F.array(chunking.relation_record(F.col("f")))).alias("r")).where("r is not null")
-    return got.select("l_orderkey", "l_linenumber", "r.src", "r.tgt", "r.keywords", "r.weight")
+    """Damaged marks in every record; names and weights in quotes or tags or full-width letters; fifth lines join a name with itself in quotes."""
+    n = F.col("l_linenumber") % 3
+    src = F.concat(F.lit("p"), "l_partkey")
+    tgt = F.when(F.col("l_linenumber") == 5, F.concat(F.lit('"'), src, F.lit('"'))).when(n == 0, F.concat(F.lit("“s"), "l_suppkey", F.lit("”"))).when(n == 1, F.concat(F.lit("ｓ"), "l_suppkey", F.lit("<br/>"))).otherwise(F.concat(F.lit("'s"), "l_suppkey", F.lit("'")))
+    weight = F.concat(F.lit('"'), F.col("l_quantity").cast("decimal(12,2)"), F.lit('"'))
+    line = F.concat(F.lit("relation<|#|>"), src, F.lit("<|##|>"), tgt, F.lit("<|#|>"), F.col("l_returnflag"), F.lit("，"), F.col("l_linestatus"), F.lit("<|#|>"), weight, F.lit("\n<|COMPLETE|>"))
+    got = extraction.extracted(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("said")), "said", ["l_orderkey", "l_linenumber"])
+    return got.where("kind = 'relation'").select("l_orderkey", "l_linenumber", "src", "tgt", "keywords", "weight")
 
 
 @query()
@@ -271,7 +275,7 @@ def s2_html_md(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with w as (select doc_id, source, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws from documents),
 c as (select source, case when coalesce(length(regexp_replace(text, '[\\p{L}\\p{N}\\p{P}\\s]', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0) > 0.3 then 'IMAGE'
   when (case when len(list_distinct(ws)) / len(ws) < 0.3 then 0 else len(ws) end) >= 20 then 'TEXT' when 0.0 >= 0.5 then 'IMAGE' else 'SPARSE' end as label from w)
-select source, round(avg((label = 'TEXT')::int), 6) as text_share, case when round(avg((label = 'TEXT')::int), 6) >= 0.8 then 'TEXT' else 'HYBRID' end as mode from c group by source""")
+select source, round(avg((label = 'TEXT')::int), 6) as text_share, case when avg((label = 'TEXT')::int) >= 0.8 then 'TEXT' else 'HYBRID' end as mode from c group by source""")
 def s12_doc_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select("source", parsers.page_class(F.col("text"), F.lit(0.0)).alias("label"))
     return parsers.document_mode(pages, "source", "label")

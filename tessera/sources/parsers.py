@@ -294,7 +294,8 @@ def page_class(text: Column, image_share: Column, least_words: int = 20, image_f
 
 def document_mode(pages: DataFrame, doc: str, label: str, least: float = 0.8) -> DataFrame:
     """TEXT for documents of which 80 % or more of the pages are text, else HYBRID."""
-    return pages.groupBy(doc).agg(F.round(F.avg((F.col(label) == "TEXT").cast("double")), 6).alias("text_share")).withColumn("mode", F.when(F.col("text_share") >= least, "TEXT").otherwise("HYBRID"))
+    share = F.avg((F.col(label) == "TEXT").cast("double"))
+    return pages.groupBy(doc).agg(share.alias("_share")).select(doc, F.round("_share", 6).alias("text_share"), F.when(F.col("_share") >= least, "TEXT").otherwise("HYBRID").alias("mode"))
 
 
 def unescaped(text: str) -> str:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, lists, text
-from tessera.operators import chunking, graph, merge, retrieval, search, store
+from tessera.operators import chunking, extraction, graph, merge, retrieval, search, store
 from tessera.sources import parsers
 
 
@@ -70,12 +70,29 @@ def test_merging_in_two_steps_is_merging_at_once(spark):
 
 
 def test_records(spark):
-    raw = "entity<|#|>Oak<|##|>Natural Object<|#|>a tree\nrelation<|#|>Oak<|#|>Elm<|#|>kin，like<|#|>both trees\nrelation<|#|>Oak<|#|>Oak<|#|>x<|#|>loop\nentity<|#|>a<|#|>b<|#|><|COMPLETE|>"
-    f = spark.createDataFrame([(raw,)], "t string").select(F.explode(chunking.records(F.col("t"))).alias("f"))
-    got = f.select(chunking.entity_record(F.col("f")).alias("e"), chunking.relation_record(F.col("f")).alias("r")).collect()
-    assert [tuple(x.e) for x in got if x.e] == [("Oak", "naturalobject", "a tree")]
-    assert [tuple(x.r) for x in got if x.r] == [("Oak", "Elm", "kin,like", "both trees", 1.0)]
-    assert spark.createDataFrame([("",)], "t string").select(F.size(chunking.records(F.col("t")))).first()[0] == 0
+    raw = "entity<|#|>Oak<|##|>Natural Object<|#|>a tree\nrelation<|#|>Oak<|#|>Elm<|#|>kin，like<|#|>both trees\nrelation<|#|>Oak<|#|>\"Oak\"<|#|>x<|#|>loop\nentity<|#|>a<|#|>b<|#|><|COMPLETE|>"
+    df = spark.createDataFrame([(7, raw), (8, None), (9, "")], "chunk long, t string").withColumn("kind", F.lit("clash"))
+    got = sorted(map(tuple, extraction.extracted(df, "t", ["chunk"]).collect()))
+    assert got == [
+        (7, 0, "entity", "Oak", "naturalobject", None, None, None, "a tree", None), (7, 1, "relation", None, None, "Oak", "Elm", "kin,like", "both trees", 1.0),
+        (7, 2, "rejected", None, None, None, None, None, 'relation<|#|>Oak<|#|>"Oak"<|#|>x<|#|>loop', None), (7, 3, "rejected", None, None, None, None, None, "entity<|#|>a<|#|>b", None),
+    ]
+
+
+def test_records_are_cleaned():
+    assert extraction.entity(["entity", '"Ann"', "Natural Object", "a <b>, &amp; b"]) == ("Ann", "naturalobject", "a <b>, & b")
+    assert extraction.entity(["entity", "Ann", "type<bad>", "x"]) is None and extraction.entity(["entity", "12", "t", "x"]) is None and extraction.entity(["entity", "A", "t"]) is None
+    assert extraction.relation(["relation", '"A"', "A", "k", "d"]) is None
+    assert extraction.relation(["relationship", "<p>A</p>", "中 国 “B”", "x，y", '"5"']) == ("A", "中国 B", "x,y", "", 5.0)  # a description that is a short number is none
+    assert extraction.relation(["relation", "A", "B", "k", "'.5'"])[4] == 0.5 and extraction.relation(["relation", "A", "B", "k", "5."])[4] == 1.0
+
+
+def test_fields_are_cleaned_as_names_are(spark):
+    said = ['"Ann"', "'x'", "“中 文”", "ＡＢ １", "<br/>a", "7", "77", "777", "1.2", "1.2.3.4", "a\xa0b", "中\u202f文", "a\u202fb", "it's", "《书》", "中 a", "a 中", "  pad ", "a\x07b", "&lt;p&gt;q", "‘y’ z", "'中'文", "x—y"]
+    df = spark.createDataFrame([(x,) for x in said], "t string")
+    for names in (True, False):
+        want = [r.n for r in df.select(text.normalize_name(text.sanitize(F.col("t")), names).alias("n")).collect()]
+        assert [extraction.cleaned(x, names) for x in said] == want
 
 
 def test_windows_emit_the_tail(spark):
@@ -109,22 +126,61 @@ def test_split_only_raises_over_the_limit(spark):
 
 
 def test_markdown_parts():
-    assert list(chunking.markdown_parts("# Top\n\n## Sub\n\nbody")) == [("# Top\n## Sub\n\nbody", "# Top\n## Sub\n\nbody", "Top > Sub")]
-    assert [p for _, _, p in chunking.markdown_parts("no headings")] == [None]
+    assert list(chunking.markdown_parts("# Top\n\n## Sub\n\nbody")) == [("# Top\n## Sub\n\nbody", "# Top\n## Sub\n\nbody", "Top > Sub", 0)]
+    assert [p for _, _, p, _ in chunking.markdown_parts("no headings")] == [None]
     assert list(chunking.markdown_parts("  \n")) == []
     grid = "| a | b |\n| --- | --- |\n| 1 | 2 |"
     got = list(chunking.markdown_parts(f"## H\n\nsome words\n\n{grid}\n\nafter"))
-    assert [grid in c for c, _, _ in got] == [False, True, False]
-    parts = list(chunking.markdown_parts("\n\n".join(["one two three four five six seven eight"] * 3), child=15))
-    assert len(parts) >= 2 and len({p for _, p, _ in parts}) == 1
+    assert [grid in c for c, *_ in got] == [False, True, False]
+    parts = list(chunking.markdown_parts("\n\n".join(["one two three four five six seven eight"] * 3), chunking.Sizes(child=15)))
+    assert len(parts) >= 2 and len({p for _, p, *_ in parts}) == 1
 
 
 def test_long_tables_go_by_row():
     rows = "\n".join(f"| {i} | {'w ' * 30}|" for i in range(20))
-    got = [c for c, _, _ in chunking.markdown_parts(f"| a | b |\n| --- | --- |\n{rows}")]
+    got = [c for c, *_ in chunking.markdown_parts(f"| a | b |\n| --- | --- |\n{rows}")]
     assert len(got) == 20 and all(c.startswith("| a | b |") for c in got)
 
 
+def test_tables_lose_nothing_and_long_cells_go_by_items():
+    one, w = lambda t, **k: [c for c, *_ in chunking.markdown_parts(t, chunking.Sizes(**k))], lambda n, x="w": " ".join([x] * n)
+    head = "| a | b |\n| --- | --- |"
+    assert one("| " + w(300) + " | b |\n| --- | --- |") == ["| " + w(300) + " | b |\n| --- | --- |"]  # no row, and yet not lost
+    cut = one(f"{head}\n| {w(900)} | x |")
+    assert len(cut) == 4 and all(len(c.split()) <= 256 for c in cut) and " ".join(cut).split().count("w") == 900
+    for marks in ("• ", "1. ", "+ ", "- "):
+        got = one(f"{head}\n| {marks}{w(150)} {marks}{w(150, 'v')} {marks}{w(150, 'u')} | x |")
+        assert [(c.split().count("w"), c.split().count("v"), c.split().count("u")) for c in got] == [(150, 150, 0), (0, 0, 150)] and all(c.startswith(head) and c.endswith("| x |") for c in got)
+    assert [c.split("\n")[2] for c in one(f"{head}\n| {w(150)}; {w(150, 'v')}; {w(150, 'u')} | x |")] == [f"| {w(150)} {w(150, 'v')} | x |", f"| {w(150, 'u')} | x |"]
+    assert one(f"## H\n\ncaption here\n\n{head}\n| 1 | 2 |")[1] == f"## H\n\ncaption here\n\n{head}\n| 1 | 2 |".replace("## H", "# H")
+    assert one(f"{w(250)}\n\n{head}\n| 1 | 2 |")[1] == f"{head}\n| 1 | 2 |"  # the caption doesn't fit
+    assert not chunking.is_table("| a | b |\n| 1 | 2 |") and not chunking.is_table("a | b\n--- | ---")
+
+
+def test_equal_parts_of_a_document_are_parents_of_their_own(spark):
+    df = spark.createDataFrame([(1, "# A\n\nsame\n\n# A\n\nsame")], "doc_id long, text string")
+    rows = chunking.chunk_markdown(df).collect()
+    assert len({r.parent_id for r in rows}) == 2 and {r.parent_text for r in rows} == {"# A\n\nsame"}
+
+
+def test_long_paragraphs_are_cut_by_the_tokenizer(spark):
+    class Letters:
+        def encode(self, t):
+            return list(t)
+
+        def decode(self, tokens):
+            return "".join(tokens)
+
+    got = [c for c, *_ in chunking.markdown_parts("abcdefghij klm", chunking.Sizes(child=5, tokenizer=Letters()))]
+    assert got == ["abcde", "fghij", "klm"]
+
+
+def test_mode_of_a_document_is_decided_by_the_exact_share(spark):
+    rows = [("d", "TEXT" if i % 5 else "IMAGE") for i in range(20)] + [("e", "TEXT" if i % 5 or i == 0 else "IMAGE") for i in range(10)] + [("f", "IMAGE" if i % 5 == 0 else "TEXT") for i in range(11)]
+    got = {r.doc: r.mode for r in parsers.document_mode(spark.createDataFrame(rows, "doc string, label string"), "doc", "label").collect()}
+    assert got == {"d": "TEXT", "e": "TEXT", "f": "HYBRID"}
+
+
 def test_legal_chunks():
     law = "intro\n\nĐiều 1. First\n" + "x " * 120 + "\n\nĐiều 2. Second\n" + "y. " * 1200
     got = chunking.legal_chunks(law)
@@ -277,14 +333,14 @@ def test_keywords_of_a_query():
 
 
 @pytest.mark.parametrize("mark", ["<|##|>", "<|#||#|>", "<|#|||#|>", r"<|\#|>", "<|>", "<||>", "<X|#|>", "<|#|Y>", "<||#||>", "<#>", "<#|>", "<|#>", "<X#|>", "<|#X>", "<|#|", "<|#||", "<|#:", "<||#>", "<||", "|#|>", "<|#|>|", "||#||"])
-def test_damaged_field_marks(spark, mark):
+def test_damaged_field_marks(mark):
     raw = f"entity<|#|>Oak{mark}tree<|#|>tall"
-    assert one(spark, chunking.records(F.col("t")), t=raw) == [["entity", "Oak", "tree", "tall"]]
+    assert extraction.records(raw) == [["entity", "Oak", "tree", "tall"]]
 
 
-def test_records_that_a_field_mark_parts(spark):
+def test_records_that_a_field_mark_parts():
     raw = "entity<|#|>My entity<|#|>a<|#|>b<|#|>relation<|#|>x<|#|>y<|#|>k<|#|>d<|complete|>entity<|#|>c<|#|>t<|#|>u"
-    got = one(spark, chunking.records(F.col("t")), t=raw)
+    got = extraction.records(raw)
     assert got == [["entity", "My entity", "a", "b"], ["relation", "x", "y", "k", "d"], ["entity", "c", "t", "u"]]
 
 
