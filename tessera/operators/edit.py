@@ -51,6 +51,27 @@ def rename(nodes: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[Data
     return nodes.withColumn("entity_id", at("entity_id")), graph.canonical(moved)
 
 
+def edit_relations(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges with new values (src, tgt in either order, some of the other columns) where they aren't null; refused if one isn't there."""
+    asked = graph.canonical(changes)
+    lost = asked.join(edges, ["src", "tgt"], "left_anti").limit(1).collect()
+    if lost:
+        raise Refused(f"no relation {lost[0].src!r} - {lost[0].tgt!r}")
+    new = [c for c in asked.columns if c not in ("src", "tgt")]
+    held = edges.join(asked.select("src", "tgt", *(F.col(c).alias(f"_n_{c}") for c in new)), ["src", "tgt"], "left")
+    return held.select(*(F.coalesce(f"_n_{c}", c).alias(c) if c in new else c for c in edges.columns))
+
+
+def edit_entities(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Nodes with new values (entity_id, some of the other columns) where they aren't null; refused if one isn't there."""
+    lost = changes.join(nodes, "entity_id", "left_anti").limit(1).collect()
+    if lost:
+        raise Refused(f"no entity {lost[0].entity_id!r}")
+    new = [c for c in changes.columns if c != "entity_id"]
+    held = nodes.join(changes.select("entity_id", *(F.col(c).alias(f"_n_{c}") for c in new)), "entity_id", "left")
+    return held.select(*(F.coalesce(f"_n_{c}", c).alias(c) if c in new else c for c in nodes.columns))
+
+
 def entity_row(name: Column, description: Column) -> Column:
     """Id and indexed content of an entity."""
     return F.struct(content_id("ent-", name).alias("id"), F.concat_ws("\n", name, description).alias("content"))

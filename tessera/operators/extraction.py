@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.functions.text import ENCLOSING, HAN, LATIN, NARROW, WIDE
+from tessera.plans.staging import spread
 
 #: The mark between fields, and how it comes back damaged, in order of repair; what ends an output (fixed patterns).
 MARK, END = "<|#|>", "<|COMPLETE|>"
@@ -116,4 +117,4 @@ def extracted(rows: DataFrame, said: str, keep: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]] + [pa.array(c, t) for c, t in zip(columns, kinds)], [*keep, *names])
 
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.select(*keep, said).mapInArrow(run, fields + "nth int, kind string, name string, type string, src string, tgt string, keywords string, description string, weight double")
+    return spread(rows.select(*keep, said)).mapInArrow(run, fields + "nth int, kind string, name string, type string, src string, tgt string, keywords string, description string, weight double")

@@ -99,13 +99,14 @@ def by_document(rows: DataFrame, doc: str, name: str) -> DataFrame:
 
 def merge_field(strategy: str, value: str, order: str) -> Column:
     """An aggregate for one merge strategy of an attribute."""
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))), lambda x: x["v"])
+    given = F.col(value).isNotNull()
+    in_order = F.transform(F.array_sort(F.collect_list(F.when(given, F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))), lambda x: x["v"])
     if strategy == "concatenate":
         return F.array_join(in_order, SEP)
     if strategy == "keep_first":
-        return F.min_by(value, order)
+        return F.min_by(value, F.when(given, F.col(order)))
     if strategy == "keep_last":
-        return F.max_by(value, order)
+        return F.max_by(value, F.when(given, F.col(order)))
     if strategy == "join_unique":
         return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(in_order, lambda x: F.split(x, SEP))))), SEP)
     if strategy == "join_unique_comma":
@@ -115,12 +116,54 @@ def merge_field(strategy: str, value: str, order: str) -> Column:
     raise ValueError(f"no merge strategy {strategy!r}")
 
 
+#: What becomes of the fields of relations, and of entities, that are merged by hand.
+RELATION_FIELDS = {"description": "concatenate", "keywords": "join_unique_comma", "source_id": "join_unique", "file_path": "join_unique", "weight": "max"}
+ENTITY_FIELDS = {"description": "concatenate", "entity_type": "keep_first", "source_id": "join_unique", "file_path": "join_unique"}
+
+
+def merged_fields(rows: DataFrame, keys: list[str], order: str, fields: dict[str, str]) -> DataFrame:
+    """One row a key: each field by its strategy, others as they are first; the only row of a key stays as it is."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    merged = [merge_field(fields[c], c, order) if c in fields else F.min_by(c, order) for c in rest]
+    return rows.groupBy(*keys).agg(*(F.when(F.count(F.lit(1)) == 1, F.min_by(c, order)).otherwise(m).alias(c) for c, m in zip(rest, merged)))
+
+
 def merge_entities(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges after entities are renamed by (old, new): loops dropped, parallel edges joined with the greatest weight."""
+    """Edges after entities are renamed by (old, new): loops dropped; parallel edges joined with the greatest weight, their descriptions one
+    after another in order of their former ends, keywords, sources and files once each."""
+    former = edges.withColumn("_from", F.struct("src", "tgt"))
     for end in ("src", "tgt"):
-        edges = edges.join(names.select(F.col("old").alias(end), F.col("new").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
-    moved = edges.where("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
-    return moved.groupBy("src", "tgt").agg(F.max("weight").alias("weight"))
+        former = former.join(names.select(F.col("old").alias(end), F.col("new").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    moved = former.where("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
+    return merged_fields(moved, ["src", "tgt"], "_from", RELATION_FIELDS).select(edges.columns)
+
+
+def merge_nodes(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """Nodes after entities are merged by (old, new, pos): fields joined in order of ``pos``, those of the entity that has the new name already last; empty ones don't count."""
+    marked = nodes.join(names.select(F.col("old").alias("entity_id"), F.col("new").alias("_new"), F.col("pos").alias("_pos")), "entity_id", "left")
+    targets = names.select(F.col("new").alias("entity_id")).distinct()
+    apart = marked.where("_new is null").join(targets, "entity_id", "left_anti").select(nodes.columns)
+    order = F.struct(F.coalesce(F.col("_pos").cast("long"), F.lit((1 << 62))).alias("p"), F.col("entity_id").alias("e"))
+    mine = marked.where("_new is not null").unionByName(marked.where("_new is null").join(targets, "entity_id", "left_semi"))
+    rest = [c for c in nodes.columns if c != "entity_id"]
+    filled = mine.select(F.coalesce("_new", "entity_id").alias("entity_id"), order.alias("_o"), *(F.when(F.col(c).cast("string") != "", F.col(c)).alias(c) for c in rest))
+    return apart.unionByName(merged_fields(filled, ["entity_id"], "_o", ENTITY_FIELDS).select(nodes.columns))
+
+
+def described_relations(rows: DataFrame) -> DataFrame:
+    """``relations`` with their descriptions, joined as those of entities are."""
+    pairs = rows.where("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
+    said = descriptions(pairs, ["src", "tgt"], "description", "at", "pos").drop("fragments")
+    return relations(pairs).join(said, ["src", "tgt"], "left")
+
+
+def rebuilt_relations(rows: DataFrame) -> DataFrame:
+    """Relations anew from the extractions that are left after a deletion: of each source the longest description (the first, then the least of equals) counts, descriptions
+    stand in order of sources, weights are summed, keywords merged as ``relations`` does."""
+    pairs = rows.where("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
+    told = pairs.groupBy("src", "tgt", "source_id").agg(F.min_by("description", F.struct(-F.coalesce(F.length("description"), F.lit(0)), "pos", "description")).alias("description"), F.min("pos").alias("pos"))
+    said = ordered_distinct(told, ["src", "tgt"], "description", "pos").select("src", "tgt", F.array_join("description", SEP).alias("description"))
+    return relations(pairs).join(said, ["src", "tgt"], "left")
 
 
 def without_document(rows: DataFrame, sources: str, gone: DataFrame) -> DataFrame:

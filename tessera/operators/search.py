@@ -151,6 +151,24 @@ def best_per_base(rows: DataFrame, base: str, per_base: int, score: str, key: st
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(base).orderBy(F.desc(score), key))).where(F.col("_n") <= per_base).drop("_n")
 
 
+def over_bases(searches: dict[str, Callable[[int], DataFrame]], k: int, parent: str, parent_text: str, score: str, key: str, per_base: int = 10, skipped: dict[str, str] | None = None) -> DataFrame:
+    """The k best hits over several knowledge bases with their ``base``, one for each parent. ``searches`` gives for each base what finds its best rows.
+
+    A base whose search fails is left out, and named in ``skipped`` with its error: hits of each are written before they meet, so that a failure shows there."""
+    found = None
+    for base, ask in searches.items():
+        try:
+            hits = materialise(ask(per_base).orderBy(F.desc(score), key).limit(per_base).withColumn("base", F.lit(base)), "hits")
+        except Exception as e:  # whatever keeps a base from answering
+            if skipped is not None:
+                skipped[base] = f"{type(e).__name__}: {e}".split("\n")[0]
+            continue
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        raise ValueError("no knowledge base answered")
+    return one_per_parent(found, k, parent, parent_text, score, key)
+
+
 def scores_by_document(rows: DataFrame, doc: str, score: str, position: str) -> DataFrame:
     """Chunk scores by document: best, mean and that of its first chunk."""
     return rows.groupBy(doc).agg(F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.min_by(score, position).alias("first_score"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lists
 from tessera.functions.text import content_id
-from tessera.operators import edit, graph, merge, retrieval, search, store, summaries
+from tessera.operators import edit, graph, lifecycle, merge, retrieval, search, store, summaries
 from tessera.plans import registry
 from tessera.plans.queries_search import CHUNKS, EXACT, first_vector
 from tessera.plans.registry import query
@@ -417,11 +417,32 @@ def m6_rebuilt_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.rebuilt(left, wired.join(gone, "source_id", "left_anti")).select("name", "type", "description", F.size("source_ids").alias("sources"))
 
 
-@query(f"""with {E}, r as (select case when src like 'p%' and right(src, 1) = '3' then 'p3' else src end as src, tgt, weight from e), n as (select least(src, tgt) as src, greatest(src, tgt) as tgt, weight from r where src <> tgt)
-select src, tgt, max(weight) as weight from n group by all""")
+@query(f"""with {X}, g as (select least(src, tgt) as a, greatest(src, tgt) as b, sum(weight) as weight, max(keywords) as keywords, 'said of ' || least(src, tgt) || ' and ' || greatest(src, tgt) as description, max(source_id) as source_id from x group by all),
+r as (select *, case when right(a, 1) = '3' then 'p3' else a end as src, b as tgt from g), n as (select *, least(src, tgt) as s, greatest(src, tgt) as t from r where src <> tgt)
+select s as src, t as tgt, max(weight) as weight, string_agg(description, '<SEP>' order by a, b) as description, case when count(*) = 1 then max(keywords) else array_to_string(list_sort(list_distinct(flatten(list(string_split(keywords, ','))))), ',') end as keywords,
+  array_to_string(list_sort(list_distinct(list(source_id))), '<SEP>') as source_id from n group by s, t""")
 def m10_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").where("p_partkey % 10 = 3").select(F.concat(F.lit("p"), "p_partkey").alias("old"), F.lit("p3").alias("new"))
-    return merge.merge_entities(edges(spark, sf_dir), names)
+    x = extractions(spark, sf_dir).withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
+    wired = x.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.concat(F.lit("said of "), "src", F.lit(" and "), "tgt").alias("description"), F.max("keywords").alias("keywords"), F.max("source_id").alias("source_id"))
+    return merge.merge_entities(wired, names)
+
+
+@query(f"""with k as (select * from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderpriority = '1-URGENT')),
+r as (select 'p' || l_partkey as src, 's' || l_suppkey as tgt, sum(l_quantity) as weight, array_to_string(list_sort(list_distinct(list(l_returnflag) || list(l_linestatus))), ',') as keywords, count(distinct l_orderkey) as sources from k group by l_partkey, l_suppkey)
+select src, tgt, weight, keywords, sources from r""")
+def m5_graph_after_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders put into a graph store as documents, then the urgent ones taken out."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("source_id", F.col("l_orderkey").cast("string"))
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("chunk"), F.col("o_orderkey").cast("string").alias("document"), F.lit("").alias("content"))
+    said = F.concat_ws(" ", F.lit("sold"), F.col("l_quantity").cast("int"))
+    claims = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"), F.concat_ws(",", "l_returnflag", "l_linestatus").alias("keywords"), said.alias("description"), F.col("l_quantity").alias("weight"), "source_id", F.col("l_shipdate").alias("at"), pos.alias("pos"))
+    mentions = lines.select(F.concat(F.lit("p"), "l_partkey").alias("name"), F.lit("part").alias("type"), said.alias("description"), "source_id", F.col("l_shipdate").alias("at"), pos.alias("pos"))
+    store = lifecycle.GraphStore(spark)
+    store.insert(chunks, mentions, claims)
+    store.delete(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("document")))
+    return store.read("relations").select("src", "tgt", "weight", "keywords", F.size("source_ids").cast("long").alias("sources"))
 
 
 @query("""with s as (select doc_id::varchar as id, case doc_id % 4 when 0 then 'processing' when 1 then 'failed' when 2 then 'processed' else 'pending' end as status, case when doc_id % 4 = 1 then 'e' end as error from documents),

@@ -183,6 +183,20 @@ def v12_multi_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_per_base(rows, "label", 10, "similarity", "vec_id").select("label", "vec_id", rounded("similarity"))
 
 
+@query(f"""with s as (select vec_id, label, {EXACT} as similarity from embeddings), b as (select *, row_number() over (partition by label order by similarity desc, vec_id) as n from s),
+p as (select *, row_number() over (partition by vec_id % 40 order by similarity desc, vec_id) as r from b where n <= 10)
+select 'kb' || label as base, vec_id, round(similarity, 6) as similarity from p where r = 1 order by p.similarity desc, vec_id limit 12""")
+def v12_over_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A knowledge base a label, and one that isn't there: ten hits of each, one for each parent, the twelve best."""
+    asked, rows = first_vector(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumn("parent_id", (F.col("vec_id") % 40).cast("string")).withColumn("text", F.lit(""))
+
+    def base(label: int):
+        return lambda k: search.top_vectors(rows.where(F.col("label") == label), asked, k, "vec_id", "embedding").select("vec_id", "parent_id", "text", "similarity")
+
+    bases = {f"kb{i}": base(i) for i in range(10)} | {"lost": lambda k: spark.read.parquet(f"{sf_dir}/no-such-base.parquet")}
+    return search.over_bases(bases, 12, "parent_id", "text", "similarity", "vec_id").select("base", "vec_id", rounded("similarity"))
+
+
 @query(f"select vec_id, {COSINE} as similarity from embeddings where vec_id between 100 and 199 order by {EXACT} desc, vec_id limit 12")
 def v13_vector_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")

@@ -85,5 +85,11 @@ def numbered(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
     return own.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if they come from fewer splits of files than there are cores, as those of a small source do; for work that costs much a row."""
+    cores, plan = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution().executedPlan().toString()
+    return rows.repartition(cores) if "Exchange" not in plan and rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
