@@ -255,14 +255,19 @@ register(xlsx_markdown, "xlsx")
 register(pptx_markdown, "pptx")
 
 
-def parse(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """name, markdown, parser and error of each file, by its extension."""
+def known() -> set[str]:
+    """Extensions that have a parser."""
+    return set(_PARSERS)
+
+
+def parse(files: DataFrame, name: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """name, markdown, parser and error of each file, by its extension, beside the columns ``keep``."""
     parsers = dict(_PARSERS)
 
     def run(batches):
         for batch in batches:
             out = ([], [], [])
-            for path, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, kind, data in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 try:
                     row = parsers[kind](data or b""), kind, None
                 except KeyError:
@@ -271,9 +276,10 @@ def parse(files: DataFrame, name: str = "path", content: str = "content") -> Dat
                     row = None, kind, f"{type(e).__name__}: {e}"
                 for column, x in zip(out, row):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in out)], ["name", "markdown", "parser", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in out), *batch.columns[3:]], ["name", "markdown", "parser", "error", *keep])
 
-    return files.select(F.col(name).alias("name"), extension(F.col(name)).alias("kind"), F.col(content).cast("binary").alias("data")).mapInArrow(run, "name string, markdown string, parser string, error string")
+    kept = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.select(F.col(name).alias("name"), extension(F.col(name)).alias("kind"), F.col(content).cast("binary").alias("data"), *keep).mapInArrow(run, "name string, markdown string, parser string, error string" + kept)
 
 
 def new_files(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
