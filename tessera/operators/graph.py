@@ -84,25 +84,30 @@ def endpoints(edges: DataFrame, position: str) -> DataFrame:
 def subgraph(edges: DataFrame, start: str, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from a node: (node, level) of at most ``most`` nodes, by level, degree and name, and the edges among them.
 
-    A level is one join of the frontier with the edges; visited nodes are cut by an anti-join and written."""
-    spark = edges.sparkSession
-    arcs, degree = both_ways(edges), degrees(edges)
+    Edges and degrees are written once. A level is a join of the edges with the frontier, which is broadcast: it has at most ``most`` rows, as of a level that
+    is too large only the nodes of highest degree are kept, and none is searched beyond it."""
+    held = materialise(edges, "edges")
+    arcs, degree = both_ways(held), materialise(degrees(held), "degrees")
     reached = materialise(arcs.where(F.col("node") == start).select("node").limit(1).select("node", F.lit(0).alias("level")), "level")
-    frontier = reached
+    frontier, found = reached, reached.count()
     for level in range(1, depth + 1):
-        step = arcs.join(frontier.select("node"), "node").select(F.col("other").alias("node")).distinct().join(reached, "node", "left_anti").select("node", F.lit(level).alias("level"))
-        frontier = materialise(step, "level")
-        reached = reached.unionByName(frontier)
-        if frontier.isEmpty() or reached.count() >= most:
+        if not found or found >= most:
             break
-    kept = materialise(reached.join(degree, "node", "left").orderBy("level", F.desc("degree"), "node").limit(most).select("node", "level"), "nodes")
-    return kept, induced(edges, kept.select("node"))
+        step = arcs.join(F.broadcast(frontier.select("node")), "node", "left_semi").select(F.col("other").alias("node")).distinct().join(F.broadcast(reached.select("node")), "node", "left_anti")
+        frontier = materialise(step.join(degree, "node").orderBy(F.desc("degree"), "node").limit(most - found).select("node", F.lit(level).alias("level")), "level")
+        reached, n = reached.unionByName(frontier), frontier.count()
+        found += n
+        if not n:
+            break
+    kept = materialise(reached, "nodes")
+    return kept, induced(held, kept.select("node"), small=True)
 
 
 def whole_graph(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The ``most`` nodes of highest degree and the edges among them."""
-    kept = popular(edges, most)
-    return kept, induced(edges, kept.select("node"))
+    held = materialise(edges, "edges")
+    kept = materialise(popular(held, most), "popular")
+    return kept, induced(held, kept.select("node"), small=True)
 
 
 def everything(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,8 +115,10 @@ def everything(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return nodes.dropDuplicates(["entity_id"]), edges.dropDuplicates(["src", "tgt"])
 
 
-def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "tgt"), "tgt", "left_semi")
+def induced(edges: DataFrame, nodes: DataFrame, small: bool = False) -> DataFrame:
+    """Edges between some nodes; ``small``: these are a list whose length is bounded, and are broadcast."""
+    few = F.broadcast(nodes) if small else nodes
+    return edges.join(few.withColumnRenamed("node", "src"), "src", "left_semi").join(few.withColumnRenamed("node", "tgt"), "tgt", "left_semi")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,3 +100,12 @@ class Postings:
         mean = {f: sums[f][1] / sums[f][0] if sums.get(f, [0])[0] else 0.0 for f in weights}
         best = bm25_scores(weights, terms, max(n.values(), default=0), lambda f, i: df.get((f, terms[i]), 0), mean, k1, b)
         return held.select(F.col("key").alias(self.key), best.alias("score")).where("score > 0").orderBy(F.desc("score"), self.key).limit(k)
+
+    def text_rank(self, query: str, k: int, field: str) -> DataFrame:
+        """``search.text_rank`` from the postings: the share of a field's tokens that are words of the query."""
+        state, none = self.tables.state(), self.spark.createDataFrame([], f"`{self.key}` long, rank double")
+        if not state.tables:
+            return none
+        rows = self.matching(query_terms(self.spark.range(0), query), state).where(F.col("field") == field)
+        shares = rows.groupBy(F.col("key").alias(self.key)).agg((F.sum("tf") / F.max("len")).alias("rank"))
+        return shares.orderBy(F.desc("rank"), self.key).limit(k)

@@ -99,7 +99,11 @@ def text_rank(rows: DataFrame, query: str, k: int, key: str, text: str) -> DataF
 def hybrid(rows: DataFrame, query: Sequence[float], text_query: str, k: int, key: str, column: str, text: str, alpha: float = 0.5) -> DataFrame:
     """Weighted sum of vector similarity and text rank over the union of both top lists."""
     near = top_vectors(rows, query, k, key, column).select(key, "similarity")
-    said = text_rank(rows, text_query, k, key, text)
+    return weighted(near, text_rank(rows, text_query, k, key, text), k, key, alpha)
+
+
+def weighted(near: DataFrame, said: DataFrame, k: int, key: str, alpha: float = 0.5) -> DataFrame:
+    """The k best of two top lists, (key, similarity) and (key, rank), by weighted sum; what a list lacks counts 0."""
     both = near.join(said, key, "full")
     score = alpha * F.coalesce("similarity", F.lit(0.0)) + (1 - alpha) * F.coalesce("rank", F.lit(0.0))
     return both.select(key, score.alias("score")).distinct().orderBy(F.desc("score"), key).limit(k)

@@ -21,11 +21,11 @@ def fingerprint(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
-def over(spark: SparkSession, path: str, label: str, build: Callable[[], Any]) -> Any:
-    """What ``build`` gives for the source at ``path`` as it is now."""
-    key = (spark.sparkContext.applicationId, label, fingerprint(spark, path))
-    if key not in _built:
-        for old in [k for k in _built if k[:2] == key[:2] and k[2] and key[2] and k[2][0][0] == key[2][0][0]]:
-            del _built[old]  # of files that have changed
-        _built[key] = build()
-    return _built[key]
+def over(spark: SparkSession, path: str | tuple[str, ...], label: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives for the source at ``path`` (or several) as it is now."""
+    paths = (path,) if isinstance(path, str) else path
+    place = (spark.sparkContext.applicationId, label, paths)
+    now = tuple(fingerprint(spark, p) for p in paths)
+    if place not in _built or _built[place][0] != now:
+        _built[place] = (now, build())
+    return _built[place][1]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lists
 from tessera.functions.text import content_id
 from tessera.operators import edit, graph, lifecycle, merge, retrieval, search, store, summaries
-from tessera.plans import registry
+from tessera.plans import indexes, registry
 from tessera.plans.queries_search import CHUNKS, EXACT, first_vector
 from tessera.plans.registry import query
 from tessera.plans.staging import materialise, new_path, numbered, table
@@ -558,21 +558,29 @@ def r4_naive_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "chunk_order_index", F.round("similarity", 6).alias("similarity"))
 
 
+def retrieval_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and chunks with their vectors as ingestion leaves them, written once for the files as they are."""
+    from tessera.operators import chunking
+
+    def build() -> tuple[DataFrame, DataFrame, DataFrame]:
+        vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        windows = chunking.window_chunks(table(spark, sf_dir, "documents"), 100, 20)
+        chunks = windows.select(F.concat_ws("-", "doc_id", "chunk_order_index").alias("chunk"), "doc_id", "content", "tokens", F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file_path"))
+        chunks = chunks.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id").drop("doc_id")
+        source = F.concat_ws("-", "l_orderkey", F.col("l_linenumber") - 1)
+        part = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(source)).alias("sources"))
+        ents = vectors.join(part, F.col("vec_id") == F.col("l_partkey")).select(F.concat(F.lit("p"), "vec_id").alias("entity_id"), "embedding", "sources", F.lit(50).alias("tokens"))
+        wired = edges(spark, sf_dir).withColumn("vec_id", F.regexp_extract("src", r"\d+", 0).cast("long")).join(vectors, "vec_id")
+        rel = wired.select("src", "tgt", "weight", "embedding", F.array(F.concat_ws("-", "vec_id", F.lit(0))).alias("sources"), F.lit(40).alias("tokens"))
+        return materialise(ents, "entities"), materialise(rel, "relations"), materialise(chunks, "chunks")
+
+    return indexes.over(spark, tuple(f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "lineitem")), "retrieval", build)
+
+
 @query()
 def e2e_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole retrieval in mixed mode: entities and relations by vector, degree and budget, chunks of three lanes with references."""
-    from tessera.operators import chunking
-
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    windows = chunking.window_chunks(table(spark, sf_dir, "documents"), 100, 20)
-    chunks = windows.select(F.concat_ws("-", "doc_id", "chunk_order_index").alias("chunk"), "doc_id", "content", "tokens", F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file_path"))
-    chunks = materialise(chunks, "chunks").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id").drop("doc_id")
-    source = F.concat_ws("-", "l_orderkey", F.col("l_linenumber") - 1)
-    part = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(source)).alias("sources"))
-    ents = vectors.join(part, F.col("vec_id") == F.col("l_partkey")).select(F.concat(F.lit("p"), "vec_id").alias("entity_id"), "embedding", "sources", F.lit(50).alias("tokens"))
-    wired = edges(spark, sf_dir).withColumn("vec_id", F.regexp_extract("src", r"\d+", 0).cast("long")).join(vectors, "vec_id")
-    rel = wired.select("src", "tgt", "weight", "embedding", F.array(F.concat_ws("-", "vec_id", F.lit(0))).alias("sources"), F.lit(40).alias("tokens"))
-    ents, rel = materialise(ents, "entities"), materialise(rel, "relations")
+    ents, rel, chunks = retrieval_store(spark, sf_dir)
     got = retrieval.retrieve(ents, rel, chunks, first_vector(spark, sf_dir), retrieval.Query(mode="mix"))
     entities = got["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("name"), "position")
     relations = got["relations"].select(F.lit("relation").alias("kind"), F.concat_ws("-", "src", "tgt").alias("name"), "position")

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -73,8 +74,15 @@ def picked(rows: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi
     return rows.join(F.broadcast(ids) if few else ids, on, how)
 
 
+#: Rows of a list that one task may order.
+LIST_ROWS = 50_000
+
+
 def numbered(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """``rows``, materialised, with their place from 0 in the order: places within ordered parts plus the rows of the parts before."""
+    """``rows``, materialised, with their place from 0 in the order: places within ordered parts plus the rows of the parts before; a short list is ordered in one task."""
+    rows = rows if getattr(rows, "_tessera_path", None) else materialise(rows, "unordered")
+    if rows.count() <= LIST_ROWS:
+        return rows.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long") - 1)
     own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())  # part << 33 | place
     own = materialise(own.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "ordered")
     before, total = [], 0

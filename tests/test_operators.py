@@ -286,7 +286,9 @@ def test_stream_windows_and_once(spark, tmp_path):
     assert sorted(r.n for r in spark.table("win").collect()) == [1, 2]
 
 
-def test_numbered_gives_places_over_all_parts(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_numbered_gives_places_over_all_parts(spark, monkeypatch, few):
+    monkeypatch.setattr("tessera.plans.staging.LIST_ROWS", few)
     from tessera.plans.staging import numbered
 
     rows = spark.range(0, 30011, 1, 7).select(F.col("id"), (F.col("id") * 7919 % 30011).alias("x"))
