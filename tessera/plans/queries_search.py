@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, text
-from tessera.operators import chunking, extraction, postings, retrieval, search, store, vectors
+from tessera.operators import chunking, extraction, inference, postings, retrieval, search, store, vectors
 from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.plans.staging import table
@@ -342,6 +342,13 @@ def r17_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.guarded(table(spark, sf_dir, "conversations"), "text", ["the ing", "and"]).select("conv_id", "turn", "refused")
 
 
+@query("select doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::int as result, null::varchar as error from documents")
+def s13_batched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through calls on batches of like length; a count of pieces stands for the model."""
+    called = inference.batched(table(spark, sf_dir, "documents"), "text", lambda texts: [sum(p != "" for p in t.split(" ")) for t in texts], ["doc_id"], kind="int")
+    return called.select("doc_id", "result", "error")
+
+
 @query()
 def v19_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", hooks.embed(F.col("text")).alias("embedding"))

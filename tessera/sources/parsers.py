@@ -141,7 +141,8 @@ def html_markdown(data: bytes) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith(" ") and x.strip().startswith(("-", "1")) else x.strip() if "```" in x else x.lstrip() for x in lines)).strip()
 
 
-def json_markdown(data: bytes) -> str:
+def json_markdown(data: bytes) -> str | tuple[str, dict]:
+    """JSON, or JSON lines without those that aren't, whose number is noted, or the text as it is; fenced."""
     text = decoded(data)
     try:
         return "```json\n" + json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n```"
@@ -153,7 +154,8 @@ def json_markdown(data: bytes) -> str:
             good.append(json.dumps(json.loads(line), ensure_ascii=False))
         except ValueError:
             bad += 1
-    return "```json\n" + ("\n".join(good) if good else text.strip()) + "\n```"
+    fenced = "```json\n" + ("\n".join(good) if good else text.strip()) + "\n```"
+    return (fenced, {"skipped": bad}) if good and bad else fenced
 
 
 def csv_markdown(data: bytes) -> str:
@@ -237,7 +239,7 @@ def pptx_markdown(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-_PARSERS: dict[str, Callable[[bytes], str]] = {}
+_PARSERS: dict[str, Callable[[bytes], str | tuple[str, dict]]] = {}
 
 
 def register(parser: Callable[[bytes], str], *extensions: str) -> None:
@@ -261,25 +263,25 @@ def known() -> set[str]:
 
 
 def parse(files: DataFrame, name: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """name, markdown, parser and error of each file, by its extension, beside the columns ``keep``."""
+    """name, markdown, parser, error and notes (JSON of what a parser left out) of each file, by its extension, beside the columns ``keep``."""
     parsers = dict(_PARSERS)
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [])
             for _, kind, data in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 try:
-                    row = parsers[kind](data or b""), kind, None
-                except KeyError:
-                    row = None, None, f"unsupported: {kind}"
+                    said = parsers[kind](data or b"") if kind in parsers else None
+                    said, notes = said if isinstance(said, tuple) else (said, None)
+                    row = said, kind if kind in parsers else None, None if kind in parsers else f"unsupported: {kind}", notes and json.dumps(notes)
                 except Exception as e:  # a damaged file is that row's error
-                    row = None, kind, f"{type(e).__name__}: {e}"
+                    row = None, kind, f"{type(e).__name__}: {e}", None
                 for column, x in zip(out, row):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in out), *batch.columns[3:]], ["name", "markdown", "parser", "error", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in out), *batch.columns[3:]], ["name", "markdown", "parser", "error", "notes", *keep])
 
     kept = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
-    return files.select(F.col(name).alias("name"), extension(F.col(name)).alias("kind"), F.col(content).cast("binary").alias("data"), *keep).mapInArrow(run, "name string, markdown string, parser string, error string" + kept)
+    return files.select(F.col(name).alias("name"), extension(F.col(name)).alias("kind"), F.col(content).cast("binary").alias("data"), *keep).mapInArrow(run, "name string, markdown string, parser string, error string, notes string" + kept)
 
 
 def new_files(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def test_parsers_keep_going(spark):
     files = [("a.txt", b" x "), ("b.JSON", b'{"k": 1}'), ("c.csv", b"a,b\n\n1,2\n"), ("d.docx", z.getvalue()), ("e.docx", b"broken"), ("f.xyz", b"?"), ("g.jsonl", b'{"a":1}\nbad\n'), ("h", None)]
     got = {r.name: r for r in parsers.parse(spark.createDataFrame(files, "path string, content binary")).collect()}
     assert got["a.txt"].markdown == "x" and '"k": 1' in got["b.JSON"].markdown and got["c.csv"].markdown.count("|") == 9
-    assert got["d.docx"].markdown == "## Head\n\nbody" and got["e.docx"].error and got["f.xyz"].error == "unsupported: xyz" and '{"a": 1}' in got["g.jsonl"].markdown and got["h"].error
+    assert got["d.docx"].markdown == "## Head\n\nbody" and got["e.docx"].error and got["f.xyz"].error == "unsupported: xyz" and '{"a": 1}' in got["g.jsonl"].markdown and got["g.jsonl"].notes == '{"skipped": 1}' and got["h"].error
 
 
 def test_hash_embedding_is_deterministic(spark):
