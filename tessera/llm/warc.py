@@ -7,10 +7,11 @@ archives under names of its own; only names in rows that Spark committed are eve
 
 Index: a capture's key is its URL with the host reversed (com,example,blog)/path, then its id.
 Captures are sorted by key over the cluster, and each stretch of ``per_block`` lines is one
-compressed block in an index file. The directory is sparse: one row per block with its first
-capture, file, offset and length. A lookup binary-searches the directory, range-reads one block,
-binary-searches its lines, and range-reads the records they name. Many lookups are dealt by block, so that
-a block is read once.
+compressed block in an index file. The directory is sparse: the first capture, offset and length of each block, at the end
+of its index file; one row per index file, of which there are as many as shuffle partitions, tells its first capture and where its directory is. A lookup
+is dealt to its index file by these rows, binary-searches the file's directory, range-reads one block,
+binary-searches its lines, and range-reads the records they name. Lookups of a file are sorted, so that
+its directory and each block are read once.
 
 Files are written and read with pyarrow's file systems, from the URI of the shared folder.
 
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.staging import BROADCAST_ROWS, materialise, new_path, picked
+from tessera.plans.staging import materialise, new_path, picked
 
 LEAST, PER_BLOCK, ARCHIVE_BYTES = 1000, 1000, 256 << 20
 _CAPTURE = "key string, id long, file string, offset long, length long"
@@ -165,12 +166,12 @@ def write(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", t
 
 
 def index(captures: DataFrame, root: str, per_block: int = PER_BLOCK) -> DataFrame:
-    """Write the sorted captures as compressed blocks under ``root``; the directory (first key and id, file, offset, length, captures), materialised."""
+    """Write the sorted captures as compressed blocks and sparse directories under ``root``; a row (first key and id, file, offset and length of its directory, blocks) for each index file, materialised."""
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
 
     def run(batches):
-        files, out, at, lines, first = _Files(root), None, 0, [], None
+        files, out, at, lines, first, held = _Files(root), None, 0, [], None, []
         mine = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.cdx.gz"
 
         def block():
@@ -179,26 +180,28 @@ def index(captures: DataFrame, root: str, per_block: int = PER_BLOCK) -> DataFra
                 out = files.create(mine)
             packed = _gzip("".join(lines).encode(), 6)
             out.write(packed)
-            row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*first, mine, at, len(packed), len(lines)), (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3))], ["first", "first_id", "file", "offset", "length", "captures"])
+            held.append((*first, at, len(packed)))
             at, lines, first = at + len(packed), [], None
-            return row
 
         for batch in batches:
             for key, page, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 first = (key, page) if first is None else first
                 lines.append(json.dumps([key, page, file, offset, length], ensure_ascii=True) + "\n")
                 if len(lines) == per_block:
-                    yield block()
+                    block()
         if lines:
-            yield block()
+            block()
         if out:
+            packed = _gzip("".join(json.dumps(x) + "\n" for x in held).encode(), 6)
+            out.write(packed)
             out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held[0][:2], mine, at, len(packed), len(held)), (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3))], ["first", "first_id", "file", "offset", "length", "blocks"])
 
-    return materialise(ordered.mapInArrow(run, "first string, first_id long, file string, offset long, length long, captures long"), "directory")
+    return materialise(ordered.mapInArrow(run, "first string, first_id long, file string, offset long, length long, blocks long"), "directory")
 
 
 def captures_of(files: _Files, file: str, offset: int, length: int) -> list[tuple]:
-    """The captures of one index block, in the order of their keys."""
+    """The captures of one index block, or the blocks of a directory, in the order of their keys."""
     return [tuple(json.loads(x)) for x in zlib.decompress(files.read(file, offset, length), 31).decode().splitlines()]
 
 
@@ -229,65 +232,44 @@ def wanted(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFram
 def lookup(captures: DataFrame, directory: DataFrame, root: str, texts: bool = False) -> DataFrame:
     """The records of captures (key, id): page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, the payload.
 
-    Each capture's block is found by binary search in the sparse directory, its line by binary search in the block. A directory of more
-    than BROADCAST_ROWS blocks isn't sent to the tasks; then the captures of all blocks are joined with those asked for."""
+    Each capture's index file is found by binary search among the files' first captures, its block by binary search in the file's directory, its line by one in the block."""
     spark = captures.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = captures.distinct()
-    if directory.count() > BROADCAST_ROWS:
-        own = asked.select(F.col("key").alias("k"), F.col("id").alias("i"))
-        lines = _captures(directory, root).join(own, F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-        return _records(lines.repartition(parts, "file").sortWithinPartitions("file", "offset"), root, texts)
-    rows = sorted(((*_order(r["first"], r["first_id"]), r["file"], r["offset"], r["length"]) for r in directory.collect()))  # a row a block, BROADCAST_ROWS at most
+    rows = sorted((*_order(r["first"], r["first_id"]), r["file"], r["offset"], r["length"]) for r in directory.collect())  # a row an index file, one for each partition that wrote
     shared = spark.sparkContext.broadcast(([r[:3] for r in rows], [r[3:] for r in rows]))
 
+    def about(firsts: list[tuple], own: tuple) -> range:
+        """Where captures equal to one may begin: from the last place before it on."""
+        return range(max(0, bisect.bisect_left(firsts, own) - 1), bisect.bisect_right(firsts, own))
+
     def find(batches):
         firsts, places = shared.value
         for batch in batches:
-            out = []
-            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = _order(key, page)
-                low, high = bisect.bisect_left(firsts, own), bisect.bisect_right(firsts, own)
-                out += [(*places[at], key, page) for at in range(max(0, low - 1), high)]  # equal captures may begin in the block before
+            out = [(*places[at], key, page) for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for at in about(firsts, _order(key, page))]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["file", "offset", "length", "key", "id"])
 
     def fetch(batches):
-        files, last, block = _Files(root), None, []
+        files, last, at_block, firsts, blocks, lines = _Files(root), None, None, [], [], []
         for batch in batches:
             got = []
             for file, offset, length, key, page in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, offset) != last:
-                    last, block = (file, offset), captures_of(files, file, offset, length)
-                at = bisect.bisect_left(block, _order(key, page), key=lambda c: _order(*c[:2]))
-                while at < len(block) and block[at][0] == key and block[at][1] == page:
-                    got.append(tuple(block[at][2:]))
-                    at += 1
+                if file != last:
+                    last, at_block, blocks = file, None, captures_of(files, file, offset, length)
+                    firsts = [_order(*x[:2]) for x in blocks]
+                own = _order(key, page)
+                for nth in about(firsts, own):
+                    if nth != at_block:
+                        at_block, lines = nth, captures_of(files, file, *blocks[nth][2:])
+                    at = bisect.bisect_left(lines, own, key=lambda c: _order(*c[:2]))
+                    while at < len(lines) and lines[at][0] == key and lines[at][1] == page:
+                        got.append(tuple(lines[at][2:]))
+                        at += 1
             records = [parse(zlib.decompress(files.read(*place), 31)) for place in sorted(got)]
             yield _batch(records, texts)
 
-    found = asked.mapInArrow(find, "file string, offset long, length long, key string, id long")
-    return found.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(fetch, _RECORD + ", payload binary" * texts)
-
-
-def _captures(directory: DataFrame, root: str) -> DataFrame:
-    def run(batches):
-        files = _Files(root)
-        for batch in batches:
-            for block in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*captures_of(files, *block)), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "id", "file", "offset", "length"])
-
-    return directory.select("file", "offset", "length").mapInArrow(run, _CAPTURE)
-
-
-def _records(captures: DataFrame, root: str, texts: bool) -> DataFrame:
-    def run(batches):
-        files = _Files(root)
-        for batch in batches:
-            places = zip(*(batch.column(batch.schema.names.index(x)).to_pylist() for x in ("file", "offset", "length")))
-            yield _batch([parse(zlib.decompress(files.read(*place), 31)) for place in places], texts)
-
-    return captures.mapInArrow(run, _RECORD + ", payload binary" * texts)
+    found = captures.distinct().mapInArrow(find, "file string, offset long, length long, key string, id long")
+    return found.repartition(parts, "file").sortWithinPartitions("file", "key", F.asc_nulls_first("id")).mapInArrow(fetch, _RECORD + ", payload binary" * texts)
 
 
 def archive(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least: int = LEAST, per_block: int = PER_BLOCK) -> tuple[DataFrame, str]:

@@ -229,10 +229,9 @@ def test_archives_come_back(spark, monkeypatch):
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 5) if page in (1, 3) else ("response", None))
         assert r.payload == (None if page in (1, 3) else data)
-    assert directory.count() >= 4
+    assert directory.agg(F.sum("blocks")).first()[0] >= 4 and directory.count() <= 4  # an index file a partition
     one = spark.createDataFrame([(warc.url_key("http://a.example.com/"), 3), (warc.url_key("http://a.example.com/"), 4), ("nowhere", None)], "key string, id long")
     assert [r.page_id for r in warc.lookup(one, directory, root).collect()] == [3]
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     assert sorted(map(str, warc.lookup(warc.wanted(df), directory, root, texts=True).collect())) == sorted(map(str, every))
     empty, root = warc.archive(spark, df.limit(0))
     assert warc.lookup(warc.wanted(df), empty, root).count() == 0
