@@ -164,6 +164,16 @@ def r6_relation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.relation_chunks(relations, entity).select("chunk", "rank", "occurrences")
 
 
+@query(f"""with {_ITEMS}, i2 as (select 'r' || l_suppkey as item, dense_rank() over (order by l_suppkey) - 1 as rank, l_orderkey as chunk from lineitem),
+o as (select chunk, min(rank) as rank, count(distinct item) as occurrences from i2 group by chunk) select chunk, rank::int as rank, occurrences from o where chunk not in (select chunk from i)""")
+def r6_relation_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's orders but those of the forty dearest parts."""
+    source = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"])
+    relations = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(source.alias("sources"))
+    items = numbered(relations, "l_suppkey").select(F.concat(F.lit("r"), "l_suppkey").alias("item"), F.col("rank").cast("int").alias("rank"), "sources")
+    return retrieval.relation_chunks(items, retrieval.chunks_of(_items(spark, sf_dir), "item", "rank", "sources")).select("chunk", "rank", "occurrences")
+
+
 @query(f"""with {CHUNKS}, s as (select doc_id, chunk_order_index, tokens, sum(tokens) over (partition by doc_id order by chunk_order_index rows unbounded preceding) as t from chunks)
 select doc_id, chunk_order_index, tokens from s where t <= 450""")
 def r7_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import extension
+from tessera.sources.pdf import pdf_markdown
 
 #: Encodings tried in turn (fixed order).
 ENCODINGS = ("utf-8", "utf-16", "gb18030", "latin-1")
@@ -255,6 +256,7 @@ register(epub_markdown, "epub")
 register(docx_markdown, "docx")
 register(xlsx_markdown, "xlsx")
 register(pptx_markdown, "pptx")
+register(pdf_markdown, "pdf")
 
 
 def known() -> set[str]:
