@@ -3,9 +3,9 @@
 Two zstandard dictionaries are trained, one on text labelled good and one on text labelled bad. A text is cut into pieces of ``PIECE``
 bytes, each compressed by itself with either, so that only the dictionaries can make it shorter and not what it says twice. How much
 shorter the good dictionary makes all pieces, divided by the text's length, is the evidence, and the only one. A logistic curve
-turns this normalised difference into a probability. It is fitted on labelled rows that trained neither dictionary, with the evidence kept to the range
-in which good and bad rows overlap (from the least that all but ``TAIL`` of the good rows reach to what all but ten times that share of
-the bad rows stay under): far from there it says nothing more.
+turns this normalised difference into a probability. It is fitted on labelled rows that trained neither dictionary. The range in which good and bad rows
+overlap, from what all but ``TAIL`` of the good rows reach to what all but that share of the bad ones stay under, decides: the farther from its middle, the
+less more of it says (u / (1 + |u|)), so rows stay in the order of their differences.
 
 Fitting reads a bounded sample: at most ``max_per_class`` labelled rows of each class, chosen
 by a hash of the id, of texts up to ``max_fit_bytes`` bytes; dictionaries are trained on pieces of these
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import bound_batches
 
 LEVEL = 3
-#: Bytes of a piece that is compressed by itself; the share of good rows below the range of the evidence.
-PIECE, TAIL = 256, 0.005
+#: Bytes of a piece that is compressed by itself; the share of good rows below the range that decides, and of bad ones above it.
+PIECE, TAIL = 256, 0.01
 
 
 @dataclass(frozen=True)
@@ -86,8 +86,9 @@ def difference(sizes: np.ndarray) -> np.ndarray:
 
 
 def evidence(sizes: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Of each row the constant and the difference, kept to low to high and scaled to -0.5 to 0.5."""
-    return np.stack([np.ones(len(sizes)), (np.clip(difference(sizes), low, high) - low) / (high - low) - 0.5], axis=1)
+    """Of each row the constant and the difference, from -1 to 1 and steepest between low and high."""
+    u = (2 * difference(sizes) - low - high) / (high - low)
+    return np.stack([np.ones(len(sizes)), u / (1 + np.abs(u))], axis=1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int, max_fit_bytes: int, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict[int, list[bytes]]:
@@ -126,9 +127,8 @@ def fit_texts(sample: dict[int, list[bytes]], counts: dict[int, int], dictionary
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     weight = np.where(y == 1, counts.get(1, 1) / len(held[1]), counts.get(0, 1) / len(held[0]))
     apart = difference(sizes)
-    low, high = sorted((np.quantile(apart[y == 1], TAIL), np.quantile(apart[y == 0], 1 - 10 * TAIL)))
-    room = 0.1 * (high - low) + 1e-6
-    low, high = float(low - room), float(high + room)
+    low, high = sorted((np.quantile(apart[y == 1], TAIL), np.quantile(apart[y == 0], 1 - TAIL)))
+    low, high = float(low), float(max(high, low + 1e-6))
     return QualityModel(trained[1], trained[0], tuple(_logistic(evidence(sizes, low, high), y, weight * len(y) / weight.sum())), low, high, prior)
 
 

@@ -303,6 +303,6 @@ def test_quality_scores_against_plain_compression(spark):
         t = "x " * 200_000 if x.doc_id == 900 else (texts + [None])[min(x.doc_id, 160)]
         t = (t or "").encode()
         apart = (size(m.bad, t) - size(m.good, t)) / max(1, min(len(t), 8192))  # the longest text says one thing again and again
-        f = (np.clip(apart, m.low, m.high) - m.low) / (m.high - m.low) - 0.5
-        want = 1 / (1 + np.exp(-(m.weights[0] + m.weights[1] * f))) if t else m.prior
+        u = (apart - (m.low + m.high) / 2) / ((m.high - m.low) / 2)
+        want = 1 / (1 + np.exp(-(m.weights[0] + m.weights[1] * u / (1 + abs(u))))) if t else m.prior
         assert x.score == pytest.approx(want, abs=0.02)
