@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, text
-from tessera.operators import chunking, extraction, inference, postings, retrieval, search, store, vectors
+from tessera.operators import answers, chunking, extraction, inference, postings, retrieval, search, store, vectors
 from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.plans.staging import table
@@ -349,6 +349,15 @@ def s13_batched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return called.select("doc_id", "result", "error")
 
 
+@query("""select conv_id, turn, case when text like '%and%' then '- ' || length(text) || ' characters' else text end as body, false as hit from conversations where text is not null""")
+def r15_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every turn, from a model that knows one of texts with an "and"; the others stand as they are."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null").withColumn("parent_id", F.concat_ws("-", "conv_id", "turn"))
+    store = answers.Answers(spark)
+    got = answers.facts_of(turns, store, lambda texts: [f'{{"facts": ["{len(t)} characters"]}}' if "and" in t else "none" for t in texts], text="text")
+    return got.select("conv_id", "turn", "body", "hit")
+
+
 @query()
 def v19_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", hooks.embed(F.col("text")).alias("embedding"))
