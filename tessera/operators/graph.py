@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.staging import materialise
@@ -126,8 +125,3 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in old.columns if c not in keys]
     both = old.select(*keys, *(F.col(c).alias(f"_o_{c}") for c in rest)).join(new.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in rest)), keys, "full")
     return both.select(*keys, *(F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in rest))
-
-
-def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in an order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

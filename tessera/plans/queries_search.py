@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks, text
-from tessera.operators import answers, chunking, extraction, inference, postings, retrieval, search, store, vectors
+from tessera.operators import answers, chunking, edit, extraction, inference, postings, retrieval, search, store, vectors
 from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.plans.staging import table
@@ -349,6 +349,17 @@ def s13_batched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return called.select("doc_id", "result", "error")
 
 
+@query("""select p_partkey, list_filter(list_transform(string_split(replace(p_name || '##' || p_brand || '; ' || p_type, '##', ';'), ';'), lambda x: trim(x)), lambda x: x <> '') as parts, 'b' || p_size as bucket, p_name || '/' || p_brand as key,
+  'ent-' || md5(p_name) as entity_id, p_name || chr(10) || p_type as content from part""")
+def x4_parts_and_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts split at several marks, buckets and keys of object URLs, rows of an entity's index."""
+    rows = table(spark, sf_dir, "part")
+    place = text.object_place(F.concat(F.lit("s3://b"), "p_size", F.lit("/"), "p_name", F.lit("/"), "p_brand"))
+    own = edit.entity_row(F.col("p_name"), F.col("p_type"))
+    parts = text.parts_of(F.concat("p_name", F.lit("##"), "p_brand", F.lit("; "), "p_type"), "##|;")
+    return rows.select("p_partkey", parts.alias("parts"), place["bucket"].alias("bucket"), place["key"].alias("key"), own["id"].alias("entity_id"), own["content"].alias("content"))
+
+
 @query("""select conv_id, turn, case when text like '%and%' then '- ' || length(text) || ' characters' else text end as body, false as hit from conversations where text is not null""")
 def r15_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of every turn, from a model that knows one of texts with an "and"; the others stand as they are."""

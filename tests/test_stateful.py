@@ -114,3 +114,15 @@ def test_work_is_retried_and_dies_once(spark, tmp_path):
         query.stop()
     got = sorted((x.key, x.outcome, x.attempts, x.result, x.error) for x in spark.read.parquet(out).collect())
     assert got == [("a", "done", 1, "GOOD", None), ("b", "dead", 4, None, "ValueError: bad one"), ("c", "done", 3, "SHAKY", None)]
+
+
+def test_sessions_end_after_a_gap(spark, tmp_path):
+    from tessera.streaming import status
+
+    schema = "user string, at timestamp"
+    rows = [("a", T0 + datetime.timedelta(minutes=m)) for m in (0, 3, 20, 21, 90)] + [("b", T0 + datetime.timedelta(minutes=m)) for m in (1, 200)]
+    written(spark, rows, schema, str(tmp_path / "in"), [])
+    query = status.sessions(stream(spark, schema, str(tmp_path / "in")), "at", "1 minute", "10 minutes", "user").writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.user, r.start, r.n) for r in spark.table("sessions").collect())
+    assert got == [("a", T0, 2), ("a", T0 + datetime.timedelta(minutes=20), 2), ("a", T0 + datetime.timedelta(minutes=90), 1), ("b", T0 + datetime.timedelta(minutes=1), 1)]  # the last is still open
