@@ -62,15 +62,20 @@ def popular(edges: DataFrame, k: int) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "node").limit(k)
 
 
-def label_score(label: Column, query: str) -> Column:
-    """1000 for the label itself, 500 for a beginning, else 100 less its length with 50 for a word's beginning; null if it doesn't hold the query."""
+def label_score(label: Column, query: str, anywhere: bool = False) -> Column:
+    """1000 for the label itself, 500 for a beginning, else 100 less its length with 50 for a word's beginning; null if it doesn't hold the query.
+
+    ``anywhere``: as the relational back end scores; the 50 go to any label that holds the query behind its first character, whatever else it scores."""
     low, q = F.lower(label), query.lower()
-    inner = F.lit(100) - F.length(label) + F.when(low.contains(f" {q}") | low.contains(f"_{q}"), 50).otherwise(0)
-    return F.when(low == q, 1000).when(low.startswith(q), 500).when(low.contains(q), inner)
+    word = F.when(F.substring(low, 2, 1 << 30).contains(q) if anywhere else low.contains(f" {q}") | low.contains(f"_{q}"), 50).otherwise(0)
+    first = F.when(low == q, 1000).when(low.startswith(q), 500)
+    if anywhere:
+        return F.when(low.contains(q), F.coalesce(first, F.lit(100) - F.length(label)) + word)
+    return F.coalesce(first, F.when(low.contains(q), F.lit(100) - F.length(label) + word))
 
 
-def search_labels(nodes: DataFrame, query: str, k: int, label: str = "entity_id") -> DataFrame:
-    scored = nodes.select(F.col(label).alias("label"), label_score(F.col(label), query).alias("score")).where("score is not null")
+def search_labels(nodes: DataFrame, query: str, k: int, label: str = "entity_id", anywhere: bool = False) -> DataFrame:
+    scored = nodes.select(F.col(label).alias("label"), label_score(F.col(label), query, anywhere).alias("score")).where("score is not null")
     return scored.orderBy(F.desc("score"), "label").limit(k)
 
 

@@ -96,6 +96,12 @@ def g9_label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.search_labels(table(spark, sf_dir, "part").select("p_name").distinct(), "ring", 20, "p_name")
 
 
+@query("""with l as (select distinct p_name as label from part where lower(p_name) like '%ring%'), s as (select label, case when lower(label) = 'ring' then 1000 when lower(label) like 'ring%' then 500 else 100 - length(label) end
+  + case when lower(label) like '% ring%' or lower(label) like '%_ring%' then 50 else 0 end as score from l) select label, score::int as score from s order by score desc, label limit 20""")
+def g9b_label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.search_labels(table(spark, sf_dir, "part").select("p_name").distinct(), "ring", 20, "p_name", anywhere=True)
+
+
 @query(f"""with recursive {D}, b as (select src as node, tgt as other from e union all select tgt, src from e),
 v(node, level) as (select 's1', 0 union select other, level + 1 from v join b using (node) where level < 2),
 m as (select node, min(level) as level from v group by node)
