@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, forest, jaccard, substrings, suffix, topk
+from tessera.llm import components, forest, grid, jaccard, substrings, suffix, topk
 
 
 def vectors(spark, n=600, width=16, seed=2):
@@ -408,3 +410,30 @@ def test_every_stage_against_a_loop(spark, tmp_path):
     assert collections.Counter(x.doc_id for x in packed) == collections.Counter(i for i, *_ in rows)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def broadcast_copies(df):
+    """Operators that repeat rows below a broadcast, in the plan before it runs."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: re.search("[A-Za-z]", x) and re.search("[A-Za-z]", x).start() > line.index("BroadcastExchange"), lines[i + 1 :])
+            found += [x for x in below if "Generate" in x]
+    return found
+
+
+def test_top_k_gathers_no_copies_of_blocks_at_the_driver(spark, monkeypatch):
+    """The sides of a search are small by Spark's estimates, as their files are: no plan may broadcast what it repeats of them."""
+    monkeypatch.setattr(topk, "CANDIDATES", 32)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(grid, "KEPT", 2000)
+    monkeypatch.setattr(grid, "PASSED", 2000)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-40, 40, (700, 12))
+    x[100:300] = x[100]  # equal scores beyond a list
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    out = topk.search(df, F.col("vec_id") % 5 == 0, 6, "vec_id", "v")
+    assert not broadcast_copies(out)
+    scores = x @ x.T
+    expected = [(q, k + 1, i, int(scores[q, i])) for q in range(0, 700, 5) for k, i in enumerate(sorted((i for i in range(700) if i != q), key=lambda i: (-scores[q, i], i))[:6])]
+    assert sorted(map(tuple, out.collect())) == expected
