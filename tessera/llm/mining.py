@@ -7,8 +7,7 @@ lies within |anchor| * r of that. Only rows whose interval can still reach a lis
 whole numbers; so lists are exact whatever the codebooks are. First each anchor's best rows of its own label are found
 (its positives); then, for every positive, the best rows of other labels in the window that its score sets.
 
-Blocks of bounded size hold rows sorted by label; each block meets all anchors, which are sent to its task once
-and in blocks too. A block gives at most ``positives`` (``negatives``) rows for each list, which are then merged by rank.
+Blocks of bounded size hold rows sorted by label; each block meets all anchors, which come in blocks too, in the cells of a grid (``grid``). A block gives at most ``positives`` (``negatives``) rows for each list, which are then merged by rank.
 
 Defined results: a row takes no part if its id, label or vector is null or a component is null.
 Vectors of different lengths have no score. A row never meets its own id; an id that occurs twice is two
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm import grid
 from tessera.plans.staging import materialise
 
 #: Components of a subspace; codes of a codebook (one byte).
@@ -36,7 +36,7 @@ SPAN, CODES = 2, 256
 LEAST, MOST, ANCHORS = 4096, 32768, 512
 _KINDS = ("<i2", "<i8")
 _BLOCK = "block long, width int, kind int, n int, ids binary, names array<string>, ends array<int>, codes binary, rest binary, vectors binary"
-_ANCHORS = "width int, n int, ids binary, names array<string>, vectors binary, lists array<array<long>>"
+_ANCHORS = "block long, width int, n int, ids binary, names array<string>, vectors binary, lists array<array<long>>"
 
 
 @dataclass(frozen=True)
@@ -159,12 +159,14 @@ def anchor_blocks(rows: DataFrame, most: int = ANCHORS) -> DataFrame:
     names = [x.split()[0] for x in _ANCHORS.split(", ")]
 
     def run(batches):
-        kept = {}
+        task, made, kept = TaskContext.get().partitionId(), 0, {}
 
         def out(width):
+            nonlocal made
+            made += 1
             ids, labels, vectors, lists = zip(*kept.pop(width))
-            row = [width, len(ids), np.array(ids, dtype="<i8").tobytes(), list(labels), np.array(vectors, dtype="<i8").tobytes(), list(lists)]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.list_(pa.int64()))))], names)
+            row = [(task << 32) + made, width, len(ids), np.array(ids, dtype="<i8").tobytes(), list(labels), np.array(vectors, dtype="<i8").tobytes(), list(lists)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.list_(pa.int64()))))], names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -259,32 +261,22 @@ def negatives_in(block: Block, own: int, label: str, vector: np.ndarray, scores:
     return out
 
 
-def _meet(held: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
-    """Every block of rows beside every block of anchors."""
-    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
-    left = held.select(group.alias("g"), *held.columns).repartition(groups, "g")
-    right = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *(F.col(c).alias("a_" + c) for c in anchors.columns))
-    return left.join(right.repartition(groups, "g"), "g").where("width = a_width").drop("g")
-
-
-def _scan(pairs: DataFrame, books: Codebooks, find) -> DataFrame:
+def _scan(held: DataFrame, anchors: DataFrame, books: Codebooks, find) -> DataFrame:
     """anchor_id, place, id, score of what ``find(block, own, label, vector, list)`` yields for each anchor and block."""
 
-    def run(batches):
-        last, block = None, None
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {name: batch.column(name)[i].as_py() for name in ("block", "width", "a_n", "a_ids", "a_names", "a_vectors", "a_lists")}
-                if row["block"] != last:
-                    last, block = row["block"], Block({name: batch.column(name)[i].as_py() for name in ("width", "kind", "n", "ids", "names", "ends", "codes", "rest", "vectors")}, books)
-                ids = np.frombuffer(row["a_ids"], dtype="<i8")
-                vectors = np.frombuffer(row["a_vectors"], dtype="<i8").reshape(row["a_n"], row["width"])
-                out = [(own, place, found, scores) for own, label, vector, known in zip(ids.tolist(), row["a_names"], vectors, row["a_lists"]) for place, found, scores in find(block, own, label, vector, known)]
+    def meet(asked, rows):
+        known = [(x["width"], np.frombuffer(x["ids"], dtype="<i8"), x["names"], np.frombuffer(x["vectors"], dtype="<i8").reshape(x["n"], x["width"]), x["lists"]) for x in asked]
+        for row in rows:
+            block = Block(row, books)
+            for width, ids, names, vectors, lists in known:
+                if width != block.width:
+                    continue
+                out = [(own, place, found, scores) for own, label, vector, list_ in zip(ids.tolist(), names, vectors, lists) for place, found, scores in find(block, own, label, vector, list_)]
                 n = [len(x[2]) for x in out]
                 columns = [np.repeat(np.array([x[0] for x in out], dtype=np.int64), n), np.repeat(np.array([x[1] for x in out], dtype=np.int32), n)] + [np.concatenate([x[j] for x in out] or [ids[:0]]) for j in (2, 3)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor_id", "place", "id", "score"])
 
-    return pairs.mapInArrow(run, "anchor_id long, place int, id long, score long")
+    return grid.scan(held, anchors, meet, "anchor_id long, place int, id long, score long")
 
 
 def mine(rows: DataFrame, is_anchor: Column, key: str, label: str, vector: str, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
@@ -298,15 +290,14 @@ def mine(rows: DataFrame, is_anchor: Column, key: str, label: str, vector: str,
     books = fit(usable.select("id", "vector"))
     most = max(LEAST, min(MOST, n // (3 * spark.sparkContext.defaultParallelism)))
     held = materialise(blocks(usable.select("id", "label", "vector"), books, most), "coded-blocks")
-    groups = 2 * max(1, held.count())
     anchors = usable.where("_a").groupBy("id").agg(F.min(F.struct("label", "vector")).alias("x")).select("id", "x.*")
     first = anchor_blocks(anchors.withColumn("list", F.array().cast("array<long>")))
     order = W.partitionBy("anchor_id").orderBy(F.desc("score"), "id")
-    found = _scan(_meet(held, materialise(first, "anchors"), groups), books, lambda block, own, name, v, _: [(0, *positives_in(block, own, name, v, positives))])
+    found = _scan(held, materialise(first, "anchors"), books, lambda block, own, name, v, _: [(0, *positives_in(block, own, name, v, positives))])
     best = materialise(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives).select("anchor_id", "place", "id", "score"), "positives")
     known = best.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("place", "score"))).alias("l")).select(F.col("anchor_id").alias("id"), F.col("l.score").alias("list"))
     second = materialise(anchor_blocks(anchors.join(known, "id")), "anchors-with-positives")
-    found = _scan(_meet(held, second, groups), books, lambda block, own, name, v, scores: negatives_in(block, own, name, v, scores, negatives, low, high))
+    found = _scan(held, second, books, lambda block, own, name, v, scores: negatives_in(block, own, name, v, scores, negatives, low, high))
     order = W.partitionBy("anchor_id", "place").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives).withColumn("place", F.col("place") + 1)
     named = best.select("anchor_id", "place", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))

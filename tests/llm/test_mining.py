@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import mining
+from tessera.llm import grid, mining
+from tests.llm.test_pair_operators import broadcast_copies
 
 
 def by_hand(rows, positives, negatives, low, high):
@@ -62,3 +63,18 @@ def test_scores_lie_within_their_bounds():
         true = vectors @ v
         assert (low <= true).all() and (true <= high).all()
         assert np.mean(high - low) < np.ptp(true) / 4  # the bounds tell rows apart
+
+
+def test_mining_gathers_no_copies_of_blocks_at_the_driver(spark, monkeypatch):
+    """The scans of blocks beside anchors, which are small by Spark's estimates, may not be planned as a broadcast of what is repeated."""
+    for name in ("LEAST", "MOST"):
+        monkeypatch.setattr(mining, name, 64)
+    monkeypatch.setattr(mining, "ANCHORS", 7)
+    monkeypatch.setattr(grid, "KEPT", 500)
+    monkeypatch.setattr(grid, "PASSED", 1000)
+    r = random.Random(9)
+    rows = [(i, r.choice("abc"), [r.randrange(-50, 90) for _ in range(7)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, v array<long>")
+    got = mining.mine(df, F.col("vec_id") % 5 == 0, "vec_id", "label", "v", 5, 3, 50, 95)
+    assert not broadcast_copies(got)
+    assert sorted(map(tuple, got.collect())) == by_hand(rows, 5, 3, 50, 95)
