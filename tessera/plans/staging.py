@@ -43,11 +43,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def bound_batches(spark: SparkSession, most: int = 2000) -> None:
-    """At most ``most`` rows in an Arrow batch: whole texts can be long, and a batch stands in memory on both sides."""
+def bound_batches(spark: SparkSession, most: int = 2000, size: int = 4 << 20) -> None:
+    """At most ``most`` rows and about ``size`` bytes in an Arrow batch: whole texts can be long, and a batch stands in memory on both sides, some copies of it in Python."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > most:
         spark.conf.set(name, str(most))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).removesuffix("b") != str(size):
+        spark.conf.set(name, str(size))
 
 
 def release(*frames: DataFrame) -> None:

@@ -6,6 +6,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,17 @@ def test_nulls_repeats_and_nothing(spark):
     empty = lines.LineStore.new(spark)
     empty.insert(df.limit(0))
     assert empty.strip(df.limit(0)).count() == 0 and empty.strip(df).count() == 7
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """What a task holds of texts doesn't grow with their length times the rows of a batch."""
+    lines.LineStore.new(spark).insert(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    docs = spark.range(300, numPartitions=1).selectExpr("id as doc_id", "repeat(cast(id % 10 as string), 100000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64()), pa.array([len(batch)], pa.int64())], ["bytes", "rows"])
+
+    got = docs.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in got) == 300
+    assert max(r.bytes for r in got) < 8 << 20
