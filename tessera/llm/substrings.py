@@ -142,11 +142,9 @@ def repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
     size = np.array([len(p) + 1 for p in parts])
     start = np.cumsum(size) - size
     text = np.frombuffer(b"\xff".join(parts) + b"\xff", dtype=np.uint8)  # a byte that no UTF-8 text holds
-    order = suffix_array(text)
-    before, shared = common_prefixes(text, order, length)
-    inside = np.ones(len(text), dtype=bool)
-    ends = (start + size)[:, None] - np.arange(1, length + 1)[None]
-    inside[ends[ends >= 0]] = False
+    windows = np.maximum(size - length, 0)
+    inside = np.repeat(np.tile([True, False], len(parts)), np.stack([windows, size - windows], axis=1).ravel())
+    before, shared = common_prefixes(text, suffix_array(text), length, wanted=inside)
     hit = np.flatnonzero((shared >= length) & inside)
     dup = np.zeros(len(text), dtype=bool)
     dup[hit] = True

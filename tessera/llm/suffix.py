@@ -120,9 +120,11 @@ def _induced(t: np.ndarray, symbols: int, smaller: np.ndarray, lms: np.ndarray)
             sa[np.repeat(tail[each] - 1 + first[:-1], size) - np.arange(len(symbol))] = before
             tail[each] -= size
 
+    places = np.zeros((2, n), dtype=bool)  # suffixes whose predecessor is placed, downwards and upwards
+    places[0, 1:], places[1, 1:] = smaller[:-1], ~smaller[:-1]
+
     def placed_by(found: np.ndarray, up: bool) -> np.ndarray:
-        before = found[found > 0] - 1
-        return before[smaller[before] != up]
+        return found[places[int(up)][found]] - 1
 
     def place(found: np.ndarray, up: bool) -> None:
         before = placed_by(found, up)
@@ -176,12 +178,14 @@ def _induced(t: np.ndarray, symbols: int, smaller: np.ndarray, lms: np.ndarray)
     return sa
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, stride: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, stride: int = 16, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Before-neighbours and permuted common prefixes: by place in the text, the suffix before it in the order (-1: none) and the length, up to ``most``, of what both share.
 
     ``text``: bytes. A suffix shares at least one byte less than the one that starts a byte before
-    it, so the lengths at every ``stride``-th place bound those between."""
+    it, so the lengths at every ``stride``-th place bound those between. ``wanted`` marks the places whose lengths are asked; those of others
+    may be too short then."""
     n = len(text)
+    wanted = np.ones(n, dtype=bool) if wanted is None else wanted
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     padded = np.r_[text, np.zeros(most + 16, dtype=np.uint8)]
@@ -199,9 +203,10 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, stride: int = 1
             shared[at] = np.minimum(d + same, left)
             at = at[(x == 0) & (d + same < left)]
 
-    extend(np.arange(0, n, stride))
+    places = np.arange(0, n, stride)
+    extend(places[np.logical_or.reduceat(wanted, places)] if n else places)
     base = np.repeat(shared[::stride], stride)[:n]
     shared = np.where(base >= most, np.maximum(base - np.arange(n) % stride, 0), np.maximum(base - np.arange(n) % stride, shared))
     shared[before < 0] = 0
-    extend(np.flatnonzero(np.arange(n) % stride != 0))
+    extend(np.flatnonzero(wanted & (np.arange(n) % stride != 0)))
     return before, shared

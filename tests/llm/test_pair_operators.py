@@ -437,3 +437,21 @@ def test_top_k_gathers_no_copies_of_blocks_at_the_driver(spark, monkeypatch):
     scores = x @ x.T
     expected = [(q, k + 1, i, int(scores[q, i])) for q in range(0, 700, 5) for k, i in enumerate(sorted((i for i in range(700) if i != q), key=lambda i: (-scores[q, i], i))[:6])]
     assert sorted(map(tuple, out.collect())) == expected
+
+
+def test_prefixes_are_compared_only_where_windows_start(monkeypatch):
+    """Of a part, only the windows that lie in it can repeat: lengths of other places aren't asked, and those asked are the same."""
+    rng, asked = random.Random(8), []
+    parts = [bytes(rng.choice(b"ab") for _ in range(n)) for n in (20, 5, 26, 20, 19, 0, 31)] * 2
+    real = suffix.common_prefixes
+
+    def spied(text, order, most, **more):
+        asked.append(more["wanted"])
+        (before, all_), (same, got) = real(text, order, most), real(text, order, most, **more)
+        assert (before == same).all() and (all_[more["wanted"]] == got[more["wanted"]]).all() and (got <= all_).all()
+        return same, got
+
+    monkeypatch.setattr(substrings, "common_prefixes", spied)
+    seen = collections.Counter(p[i : i + 20] for p in parts for i in range(len(p) - 19))
+    assert [x.tolist() for x in substrings.repeats(parts, 20)] == [[i for i in range(len(p) - 19) if seen[p[i : i + 20]] > 1] for p in parts]
+    assert asked[0].sum() == sum(max(0, len(p) - 19) for p in parts)
