@@ -39,14 +39,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, created: str) -> DataFrame:
 
 
 def enqueue(docs: DataFrame, existing: DataFrame, order: str, text: str, path: str) -> DataFrame:
-    """Documents to be processed: sanitised, the first of equal contents; copies of these or of known documents are failed rows of their own."""
+    """Documents to be processed: sanitised, the first of equal contents; copies of these or of known documents are failed rows of their own.
+
+    Of copies that share their place in the order, one is the first."""
     # out of a generator, as Spark would put the expression in each place that uses it; and what is decided and shown needs no texts
     clean = docs.select(order, path, F.inline(F.array(F.struct(sanitize(F.col(text)).alias("content"))))).where("content <> ''")
     thin = clean.select(content_id("doc-", F.col("content")).alias("id"), F.col(order), F.col(path), summary(F.col("content")).alias("content_summary"), F.length("content").alias("content_length"))
-    thin = materialise(thin, "enqueued")
-    first = thin.groupBy("id").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).join(existing.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
+    thin = materialise(thin.withColumn("_at", F.struct(F.col(order).alias("o"), F.monotonically_increasing_id().alias("row"))), "enqueued")
+    first = thin.groupBy("id").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).join(existing.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
     odd = materialise(first.where("_n > 1 or _known"), "copied")
-    marked = picked(thin, odd, ["id"], "left").withColumn("_dup", F.coalesce(F.col("_known"), F.col(order) > F.col("_first"), F.lit(False)))
+    marked = picked(thin, odd, ["id"], "left").withColumn("_dup", F.coalesce(F.col("_known"), F.col("_at") > F.col("_first"), F.lit(False)))
     return marked.select(
         F.when(F.col("_dup"), content_id("dup-", F.concat_ws("-", "id", F.col(order).cast("string")))).otherwise(F.col("id")).alias("id"), F.when(F.col("_dup"), "failed").otherwise("pending").alias("status"),
         "content_summary", "content_length", F.col(path).alias("file_path"), F.col(order).alias("pos"),

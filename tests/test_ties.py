@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.operators import merge
+from tessera.operators import merge, store
 
 
 def test_missing_endpoint_has_the_least_description_though_names_are_prefixes(spark):
@@ -10,3 +10,9 @@ def test_missing_endpoint_has_the_least_description_though_names_are_prefixes(sp
     edges = spark.createDataFrame([("s1", "x", "s1~x"), ("s10", "x", "s10~x"), ("s1", "y", None), ("s10", "y", "s10~y")], "src string, tgt string, description string")
     got = {(r.entity_id, r.entity_type, r.description) for r in merge.missing_endpoints(nodes, edges).collect()}
     assert got == {("x", "UNKNOWN", "s10~x"), ("y", "UNKNOWN", "s10~y")}
+
+
+def test_of_copies_with_one_id_a_single_one_is_enqueued(spark):
+    docs = spark.createDataFrame([(1, "same", "f"), (1, "same", "f"), (1, "same", "f"), (2, "same", "g"), (3, "new", "h"), (3, "other", "h")], "doc_id int, text string, path string").repartition(4)
+    got = sorted((r.pos, r.id[:4], r.status) for r in store.enqueue(docs, spark.createDataFrame([], "id string"), "doc_id", "text", "path").collect())
+    assert got == [(1, "doc-", "pending"), (1, "dup-", "failed"), (1, "dup-", "failed"), (2, "dup-", "failed"), (3, "doc-", "pending"), (3, "doc-", "pending")]
