@@ -5,7 +5,7 @@ The order lines stand for extractions: chunk = order, relation = part and suppli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -241,10 +241,10 @@ def a1_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MENTIONS = "m as (select 'p' || l_partkey as name, l_returnflag as type, l_orderkey * 10 + l_linenumber as pos, l_shipdate as at, l_returnflag || l_linestatus || l_quantity::int as description, l_orderkey::varchar as source_id from lineitem)"
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("p"), "l_partkey").alias("name"), F.col("l_returnflag").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_shipdate").alias("at"),
-        F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int")).alias("description"), F.col("l_orderkey").cast("string").alias("source_id"),
+        F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int")).alias("description"), F.col("l_orderkey").cast("string").alias("source_id"), *more,
     )
 
 
@@ -326,8 +326,10 @@ def a13_longest_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_MENTIONS} select name, arg_min(description, pos) as first, arg_max(description, pos) as last, string_agg(distinct type, '<SEP>' order by type) as types, string_agg(distinct type, ',' order by type) as commas, max(pos) as top, string_agg(type, '<SEP>' order by pos, type) as every from m group by name""")
 def a14_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(spark, sf_dir).groupBy("name").agg(
-        merge.merge_field("keep_first", "description", "pos").alias("first"), merge.merge_field("keep_last", "description", "pos").alias("last"), merge.merge_field("join_unique", "type", "pos").alias("types"),
+    """Lines that share a position count as they stand in the table: the first of them."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
+    return mentions(spark, sf_dir, place).groupBy("name").agg(
+        merge.merge_field("keep_first", "description", "pos", "place").alias("first"), merge.merge_field("keep_last", "description", "pos", "place").alias("last"), merge.merge_field("join_unique", "type", "pos").alias("types"),
         merge.merge_field("join_unique_comma", "type", "pos").alias("commas"), merge.merge_field("max", "pos", "pos").alias("top"), merge.merge_field("concatenate", "type", "pos").alias("every"),
     )
 

@@ -43,3 +43,14 @@ def test_hybrid_and_text_rank_with_repeated_ids_give_what_their_sql_gives(spark,
     for name in ("v5_hybrid_weighted", "v6_text_rank"):
         got, want = (sorted(map(tuple, x)) for x in (registry.QUERIES[name](spark, str(tmp_path)).collect(), duck.sql(registry.SQL[name]).fetchall()))
         assert got == want, name
+
+
+def test_of_lines_at_one_position_the_first_in_the_table_is_kept(spark, tmp_path):
+    rows = [(i // 8, i // 24, 1, 0, float(i), "ANR"[i % 3], "F") for i in range(240)]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, schema).withColumn("l_shipdate", F.lit("2000-01-01").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.name: (r.first, r.last) for r in registry.QUERIES["a14_field_merge"](spark, str(tmp_path)).select("name", "first", "last").collect()}
+    assert got == {f"p{p}": (f"AF{24 * p}", f"{'ANR'[(24 * p + 16) % 3]}F{24 * p + 16}") for p in range(10)}
+    held = spark.createDataFrame([("k", 1, "b"), ("k", 1, "a"), ("k", 0, None)], "name string, pos int, v string")
+    for given in (held, held.orderBy("v")):
+        assert tuple(given.groupBy("name").agg(merge.merge_field("keep_first", "v", "pos").alias("f"), merge.merge_field("keep_last", "v", "pos").alias("l")).first()) == ("k", "a", "b")
