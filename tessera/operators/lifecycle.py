@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SEP
 from tessera.operators import merge
-from tessera.plans.staging import materialise, picked
+from tessera.plans.staging import materialise, picked, scratch
 from tessera.plans.tables import Segments, State
 
 MENTION = ["name", "type", "description", "source_id", "at", "pos"]
@@ -31,26 +31,49 @@ def pair(src: str = "src", tgt: str = "tgt"):
     return F.concat_ws(SEP, F.least(src, tgt), F.greatest(src, tgt))
 
 
-def merged_entities(mentions: DataFrame, claims: DataFrame) -> DataFrame:
-    """Entities of mentions by the rules of merging, and ends of claims that none names."""
-    ends = claims.where("src <> tgt").select(F.explode(F.array("src", "tgt")).alias("name"), F.lit("UNKNOWN").alias("type"), "description", "source_id", "at", "pos")
-    lone = ends.join(mentions.select("name").distinct(), "name", "left_anti")
-    return merge.entities(mentions.select(MENTION).unionByName(lone)).select(ENTITY)
+#: What names a row of each table in changes.
+KEYS = {"chunks": lambda: F.col("chunk"), "mentions": lambda: F.col("source_id"), "claims": lambda: F.col("source_id"), "entities": lambda: F.col("name"), "relations": pair}
 
 
-def rebuilt_entities(mentions: DataFrame, claims: DataFrame) -> DataFrame:
+class GraphTables(Segments):
+    """The store's tables. Keys follow from other columns, so they aren't written."""
+
+    codec = "zstd"
+
+    def read(self, name: str, state: State | None = None) -> DataFrame:
+        rows, key = super().read(name, state), KEYS.get(name)
+        return rows if key is None or "key" in rows.columns else rows.withColumn("key", key())
+
+    def write(self, name: str, frame: DataFrame, by: list[str] | None = None) -> dict:
+        return super().write(name, frame.drop("key") if name in KEYS else frame, by)
+
+
+#: Claims of which the graph is counted at a time, and the most such slices: the disk holds the shuffles of one.
+SLICE_ROWS, SLICES = 10_000_000, 4
+
+
+def merged_entities(mentions: DataFrame, claims: DataFrame, own: Callable[[str], Column] = lambda name: F.lit(True)) -> DataFrame:
+    """Entities of mentions by the rules of merging, and ends of claims that none names; only those whose name is ``own``."""
+    mentions = mentions.where(own("name"))
+    ends = claims.where("src <> tgt").select(F.explode(F.array("src", "tgt")).alias("name"), F.lit("UNKNOWN").alias("type"), "description", "source_id", "at", "pos").where(own("name"))
+    lone = merge.lone_ends(ends, mentions)
+    return merge.entities(mentions.select(MENTION).unionByName(lone), written=True).select(ENTITY)
+
+
+def rebuilt_entities(mentions: DataFrame, claims: DataFrame, own: Callable[[str], Column] = lambda name: F.lit(True)) -> DataFrame:
     """The same by the rules of a rebuild after a deletion."""
-    return merge.rebuilt(mentions, claims.where("src <> tgt")).select(ENTITY)
+    return merge.rebuilt(mentions.where(own("name")), claims.where("src <> tgt").where(own("src") | own("tgt"))).where(own("name")).select(ENTITY)
 
 
 class GraphStore:
     """A graph at ``root`` (a new one where none is given).
 
     ``after_deletion`` rebuilds what a deletion touches: by default with the rules of merging, so that the graph depends on its documents only and not on
-    what was there once; ``(rebuilt_entities, merge.rebuilt_relations)`` are the rules of a rebuild."""
+    what was there once; ``(rebuilt_entities, merge.rebuilt_relations)`` are the rules of a rebuild. A rule for entities
+    is also told which names count (``own``)."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, after_deletion: tuple[Callable[..., DataFrame], Callable[..., DataFrame]] = (merged_entities, merge.described_relations)):
-        self.spark, self.tables, self.after_deletion = spark, Segments(spark, root), after_deletion
+        self.spark, self.tables, self.after_deletion = spark, GraphTables(spark, root), after_deletion
 
     def read(self, name: str, state: State | None = None) -> DataFrame:
         """chunks, mentions, claims, entities or relations, as of a state."""
@@ -68,36 +91,57 @@ class GraphStore:
         before = self.tables.state()
         if not before.tables:
             return before
-        held = self.tables.live("chunks", before, gone="gone-chunks")
-        keys = picked(held, materialise(documents.select("document").distinct(), "deleted"), ["document"]).select("key").distinct()
-        return self._change({}, keys, self.after_deletion)
+        with scratch(self.spark):
+            held = self.tables.live("chunks", before, gone="gone-chunks")
+            keys = picked(held, materialise(documents.select("document").distinct(), "deleted"), ["document"]).select("key").distinct()
+            return self._change({}, keys, self.after_deletion)
 
     def _change(self, new: dict[str, DataFrame], keys: DataFrame, rules: tuple[Callable[..., DataFrame], Callable[..., DataFrame]]) -> State:
-        before, keys = self.tables.state(), materialise(keys, "chunk-keys")
-        segment, appended = before.version + 1, {}
-        touched = {name: [rows] for name, rows in new.items()}
-        for name in ("chunks", "mentions", "claims"):
-            if before.folders(name):
-                touched.setdefault(name, []).append(picked(self.tables.live(name, before, gone=f"gone-{name}"), keys, ["key"]).drop("segment"))
-                appended |= self.tables.overtaken(name, keys, before, gone=f"gone-{name}")
-            if name in new:
-                appended[name] = self.tables.write(name, new[name].withColumn("segment", F.lit(segment)))
-        said, claimed = (self._union(touched.get(x, [])) for x in ("mentions", "claims"))
-        ends = claimed.select(F.explode(F.array("src", "tgt")).alias("key"))
-        names = materialise(said.select(F.col("name").alias("key")).unionByName(ends).distinct(), "names")
-        pairs = materialise(claimed.where("src <> tgt").select(pair().alias("key")).distinct(), "pairs")
-        mid = State(segment, self.tables.with_more(before, appended))
-        left_said = picked(self.read("mentions", mid), names.withColumnRenamed("key", "name"), ["name"])
-        every = self.read("claims", mid)
-        marked = every.withColumn("_row", F.struct(*every.columns)).select("_row", F.explode(F.array("src", "tgt")).alias("name"))
-        left_ends = picked(marked, names.withColumnRenamed("key", "name"), ["name"]).select(F.col("_row.*")).distinct()
-        entities = rules[0](left_said, left_ends)
-        entities = picked(entities, names.withColumnRenamed("key", "name"), ["name"]).withColumn("key", F.col("name"))
-        relations = rules[1](picked(every.withColumn("key", pair()), pairs, ["key"]).drop("key")).select(RELATION).withColumn("key", pair())
-        for name, rows, keyed in (("entities", entities, names), ("relations", relations, pairs)):
-            appended |= self.tables.overtaken(name, keyed, before, gone=f"gone-{name}")
-            appended[name] = self.tables.write(name, rows.withColumn("segment", F.lit(segment)))
-        return self.tables.commit(before, appended=appended)
+        with scratch(self.spark):
+            before, keys = self.tables.state(), materialise(keys, "chunk-keys")
+            segment, appended = before.version + 1, {}
+            touched = {name: [rows] for name, rows in new.items()}
+            for name in ("chunks", "mentions", "claims"):
+                if before.folders(name):
+                    touched.setdefault(name, []).append(picked(self.tables.live(name, before, gone=f"gone-{name}"), keys, ["key"]).drop("segment"))
+                    appended |= self.tables.overtaken(name, keys, before, gone=f"gone-{name}")
+                if name in new:
+                    appended[name] = self.tables.write(name, new[name].withColumn("segment", F.lit(segment)))
+            mid = State(segment, self.tables.with_more(before, appended))
+            named = paired = None  # in a store that was empty all are touched
+            if before.tables:
+                said, claimed = (self._union(touched.get(x, [])) for x in ("mentions", "claims"))
+                ends = claimed.select(F.explode(F.array("src", "tgt")).alias("name"))
+                named = materialise(said.select("name").unionByName(ends).distinct(), "names")
+                paired = materialise(claimed.where("src <> tgt").select(pair().alias("key")).distinct(), "pairs")
+            slices = min(SLICES, 1 + self.read("claims", mid).count() // SLICE_ROWS)
+            for name, rows, keyed in (("entities", self._entities, named), ("relations", self._relations, paired)):
+                if keyed is not None:
+                    appended |= self.tables.overtaken(name, keyed.toDF("key"), before, gone=f"gone-{name}")
+                parts = []
+                for i in range(slices):
+                    own = lambda key, i=i: F.pmod(F.xxhash64(key), F.lit(slices)) == i
+                    with scratch(self.spark):
+                        parts.append(self.tables.write(name, rows(mid, keyed, rules, own).withColumn("segment", F.lit(segment))))
+                appended[name] = {"schema": parts[0]["schema"], "folders": [f for p in parts for f in p["folders"]]}
+            return self.tables.commit(before, appended=appended)
+
+    def _entities(self, mid: State, names: DataFrame | None, rules: tuple[Callable[..., DataFrame], Callable[..., DataFrame]], own: Callable[[str], Column]) -> DataFrame:
+        """Entities of some names (or all) that are in a slice, from what a state holds."""
+        said, claims = self.read("mentions", mid).where(own("name")), self.read("claims", mid).where(own("src") | own("tgt"))
+        if names is not None:
+            said = picked(said, names, ["name"])
+            for end in ("src", "tgt"):
+                claims = picked(claims, names.select(F.col("name").alias(end), F.lit(True).alias(f"_{end}")), [end], "left")
+            claims = claims.where("_src or _tgt").drop("_src", "_tgt")
+        entities = rules[0](said, claims, own)
+        return (entities if names is None else picked(entities, names, ["name"])).withColumn("key", F.col("name"))
+
+    def _relations(self, mid: State, pairs: DataFrame | None, rules: tuple[Callable[..., DataFrame], Callable[..., DataFrame]], own: Callable[[str], Column]) -> DataFrame:
+        """Relations of some pairs (or all), likewise."""
+        claims = self.read("claims", mid).withColumn("key", pair()).where(own("key"))
+        claims = (claims if pairs is None else picked(claims, pairs, ["key"])).drop("key")
+        return rules[1](claims).select(RELATION).withColumn("key", pair())
 
     def _union(self, frames: list[DataFrame]) -> DataFrame:
         out = frames[0]

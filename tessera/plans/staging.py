@@ -8,13 +8,17 @@ re-read and never a recomputation of what came before.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +44,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
+    for paths in getattr(_open, "paths", []):
+        paths.append(path)
     return back
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of each action go when it ends, and at the end what was materialised goes: nothing that is read later may hang on it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, made, outer = spark.conf.get(name, "false"), [], getattr(_open, "paths", [])
+    spark.conf.set(name, "true")
+    _open.paths = [*outer, made]
+    try:
+        yield
+    finally:
+        _open.paths = outer
+        spark.conf.set(name, before)
+        for path in made:
+            delete(spark, path)
+
+
 def bound_batches(spark: SparkSession, most: int = 2000, size: int = 4 << 20) -> None:
     """At most ``most`` rows and about ``size`` bytes in an Arrow batch: whole texts can be long, and a batch stands in memory on both sides, some copies of it in Python."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import edit, lifecycle, merge, search
-from tessera.plans import tables
+from tessera.plans import staging, tables
 
 M = "name string, type string, description string, source_id string, at timestamp, pos long"
 C = "src string, tgt string, keywords string, description string, weight double, source_id string, at timestamp, pos long"
@@ -131,3 +131,20 @@ def test_search_over_bases_skips_those_that_fail(spark):
     assert [(r.base, r.id) for r in got.collect()] == [("three", "e"), ("one", "a"), ("three", "d")] and list(skipped) == ["two"]
     with pytest.raises(ValueError):
         search.over_bases({"two": broken}, 3, "parent", "text", "score", "id")
+
+
+def test_a_graph_counted_in_slices_is_the_same_and_leaves_no_scratch_files(spark, tmp_path, monkeypatch):
+    rows, got = corpus(random.Random(5), [f"d{i}" for i in range(4)]), []
+    monkeypatch.setattr("tessera.plans.staging.shared_dir", lambda s: f"{tmp_path}")
+    monkeypatch.setattr(lifecycle, "SLICES", 2, raising=False)
+    for rows_a_slice in (10**6, 5):
+        monkeypatch.setattr(lifecycle, "SLICE_ROWS", rows_a_slice, raising=False)
+        store = lifecycle.GraphStore(spark)
+        store.insert(*frames(spark, rows))
+        store.delete(spark.createDataFrame([("d2",)], "document string"))
+        assert {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("tessera/*/*")} == {"tables"}
+        got.append({name: sorted(map(repr, store.read(name).collect())) for name in ("entities", "relations")})
+        for left in tmp_path.glob("tessera/*/gone-*"):
+            staging.delete(spark, str(left))
+    assert got[0] == got[1]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
