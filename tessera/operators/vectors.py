@@ -18,16 +18,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.search import cosine, top_vectors
+from tessera.operators.search import top_vectors
 from tessera.plans.staging import materialise
 from tessera.plans.tables import Segments, State
 
 #: Sampled rows; lists at most.
 SAMPLE, LISTS = 16384, 1024
+#: Rows of a block that meets a block of a quarter as many queries.
+BLOCK = 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -35,6 +38,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
 
 
+def cosines(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``search.cosine`` of pairs of rows, summed in the same order."""
+
+    def dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        for d in range(a.shape[1]):
+            out += a[i, d] * b[j, d]
+        return out
+
+    every = [np.arange(len(x)) for x in (q, v)]
+    aa, bb = dots(v, v, every[1], every[1])[j], dots(q, q, every[0], every[0])[i]
+    with np.errstate(all="ignore"):
+        product = aa * bb
+        norms = np.where((product >= 1e-290) & (product <= 1e290), np.sqrt(product), np.sqrt(aa) * np.sqrt(bb))
+        return np.clip(dots(v, q, j, i) / norms, -1, 1)
+
+
 def spherical_means(points: np.ndarray, n: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
     """n unit centroids of unit vectors; one that no point is nearest to moves to a point far from its own."""
     rng = np.random.default_rng(seed)
@@ -168,6 +188,29 @@ class VectorIndex:
         asked = asked.where(f"size(q) = {width} and exists(q, x -> x <> 0) and not exists(q, x -> x is null or isnan(x))")
         spread = materialise(asked.mapInArrow(visits, "query_id long, q array<double>, list int"), "probes")
         rows = self.tables.live("rows", state).select(F.col("key").alias(self.key), F.col(self.column).alias("_v"), "list")
-        scored = spread.join(rows, "list").select("query_id", self.key, cosine(F.col("_v"), F.col("q")).alias("similarity"))
+        key_type, name = rows.schema[self.key].dataType.simpleString(), self.key
+
+        def nearest(batches):
+            """The k best rows of each block for each query of the block beside it. Products of whole blocks pick them, with those that rounding can't tell apart; what is ordered is ``cosine`` to the bit."""
+            for batch in batches:
+                for at in range(len(batch)):
+                    (ids, q), (keys, v) = (batch.column(c)[at].values.flatten() for c in (0, 1))
+                    q, v = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width) for x in (q, v))
+                    near = unit(q) @ unit(v).T
+                    floor = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(q), -np.inf)
+                    i, j = np.nonzero(near >= floor[:, None] - 1e-9)
+                    similarity, place = cosines(q, v, i, j), np.argsort(pc.sort_indices(keys).to_numpy())
+                    order = np.lexsort((place[j], -similarity, i))
+                    i, j, similarity = i[order], j[order], similarity[order]
+                    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[kept])), keys.take(pa.array(j[kept])), pa.array(similarity[kept])], ["query_id", name, "similarity"])
+
+        largest = [max((r.n for r in side.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()), default=0) for side in (spread, rows)]  # a row a list
+
+        def blocks(side: DataFrame, by: str, most: int, size: int, *columns: str) -> DataFrame:
+            return side.groupBy("list", F.pmod(F.xxhash64(by), F.lit(1 + most // size)).alias("_b")).agg(F.collect_list(F.struct(*columns)).alias(f"_of_{by}")).drop("_b")
+
+        met = blocks(spread, "query_id", largest[0], BLOCK // 4, "query_id", "q").join(blocks(rows, name, largest[1], BLOCK, name, "_v").hint("merge"), "list").drop("list")
+        scored = met.mapInArrow(nearest, f"query_id long, `{name}` {key_type}, similarity double")
         order = W.partitionBy("query_id").orderBy(F.desc("similarity"), self.key)
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", self.key, "similarity")

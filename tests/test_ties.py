@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import merge, search, store
+from tessera.operators import merge, search, store, vectors
 from tessera.plans import queries_graph, queries_search, registry  # noqa: F401
 
 
@@ -54,3 +54,20 @@ def test_of_lines_at_one_position_the_first_in_the_table_is_kept(spark, tmp_path
     held = spark.createDataFrame([("k", 1, "b"), ("k", 1, "a"), ("k", 0, None)], "name string, pos int, v string")
     for given in (held, held.orderBy("v")):
         assert tuple(given.groupBy("name").agg(merge.merge_field("keep_first", "v", "pos").alias("f"), merge.merge_field("keep_last", "v", "pos").alias("l")).first()) == ("k", "a", "b")
+
+
+def test_batch_search_is_a_scan_in_blocks_and_joins_no_single_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    held = [(i, (rng.standard_normal(8) if i % 3 else np.ones(8)).astype("float32").tolist()) for i in range(300)]
+    rows = spark.createDataFrame(held, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vectors, "BLOCK", 40, raising=False)
+    index = vectors.VectorIndex(spark, "vec_id", "embedding")
+    index.fit(rows, lists=4)
+    index.add(rows)
+    asked = rows.where("vec_id < 20")
+    got = index.search_all(asked, 6, "vec_id", "embedding", probes=4)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    hits = {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in got.collect()}
+    for q in (0, 7, 13):
+        want = [tuple(r) for r in search.top_vectors(rows, held[q][1], 6, "vec_id", "embedding").select("vec_id", "similarity").collect()]
+        assert [hits[q, n] for n in range(1, 7)] == want
