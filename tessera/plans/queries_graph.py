@@ -15,7 +15,7 @@ from tessera.operators import edit, graph, lifecycle, merge, retrieval, search,
 from tessera.plans import indexes, registry
 from tessera.plans.queries_search import CHUNKS, EXACT, first_vector
 from tessera.plans.registry import query
-from tessera.plans.staging import materialise, new_path, numbered, table
+from tessera.plans.staging import cleared, materialise, new_path, numbered, picked, release, table
 from tessera.streaming import stateful
 from tessera.streaming import status as streams
 
@@ -242,7 +242,11 @@ _MENTIONS = "m as (select 'p' || l_partkey as name, l_returnflag as type, l_orde
 
 
 def mentions(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    return mentions_of(table(spark, sf_dir, "lineitem"), *more)
+
+
+def mentions_of(lines: DataFrame, *more: Column) -> DataFrame:
+    return lines.select(
         F.concat(F.lit("p"), "l_partkey").alias("name"), F.col("l_returnflag").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_shipdate").alias("at"),
         F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int")).alias("description"), F.col("l_orderkey").cast("string").alias("source_id"), *more,
     )
@@ -428,11 +432,15 @@ c as (select name, type, count(*) as n, min(pos) as first from t group by all),
 d as (select name, description, min(pos) as first from t group by all), e as (select name, string_agg(description, '<SEP>' order by first, description) as description from d group by name),
 s as (select name, least(300, count(distinct source_id))::int as sources from t group by name) select name, type, description, sources from r join e using (name) join s using (name) where nth = 1""")
 def m6_rebuilt_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("source_id"))
-    left = mentions(spark, sf_dir).join(gone, "source_id", "left_anti")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    with cleared(spark):
+        gone = materialise(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey")), "urgent")
+        kept = materialise(picked(lines, gone, ["l_orderkey"], "left_anti"), "kept")
     said = F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int")).alias("description")
-    wired = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"), said, F.col("l_orderkey").cast("string").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    return merge.rebuilt(left, wired.join(gone, "source_id", "left_anti")).select("name", "type", "description", F.size("source_ids").alias("sources"))
+    wired = kept.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"), said, F.col("l_orderkey").cast("string").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    got = merge.rebuilt(mentions_of(kept), wired).select("name", "type", "description", F.size("source_ids").alias("sources"))
+    release(gone, kept)
+    return got
 
 
 @query(f"""with {X}, g as (select least(src, tgt) as a, greatest(src, tgt) as b, sum(weight) as weight, max(keywords) as keywords, 'said of ' || least(src, tgt) || ' and ' || greatest(src, tgt) as description, max(source_id) as source_id from x group by all),

@@ -50,17 +50,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of each action go when it ends, and at the end what was materialised goes: nothing that is read later may hang on it."""
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of each action go when it ends."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before, made, outer = spark.conf.get(name, "false"), [], getattr(_open, "paths", [])
+    before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
-    _open.paths = [*outer, made]
     try:
         yield
     finally:
-        _open.paths = outer
         spark.conf.set(name, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """``cleared``, and at the end what was materialised goes: nothing that is read later may hang on it."""
+    made, outer = [], getattr(_open, "paths", [])
+    _open.paths = [*outer, made]
+    try:
+        with cleared(spark):
+            yield
+    finally:
+        _open.paths = outer
         for path in made:
             delete(spark, path)
 

@@ -148,3 +148,12 @@ def test_a_graph_counted_in_slices_is_the_same_and_leaves_no_scratch_files(spark
             staging.delete(spark, str(left))
     assert got[0] == got[1]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_rebuild_goes_step_by_step_and_leaves_its_parts_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.plans.staging.shared_dir", lambda s: f"{tmp_path}")
+    rows = spark.createDataFrame([("a", "t", "x", "1", T, 1), ("a", "t", "longer", "1", T, 2), ("b", "u", "y", "2", T, 3)], M)
+    edges = spark.createDataFrame([("a", "z", "k", "e", 1.0, "2", T, 4)], C)
+    got = sorted(tuple(r) for r in merge.rebuilt(rows, edges).select("name", "type", "description", "source_ids").collect())
+    assert got == [("a", "t", "longer", ["1"]), ("b", "u", "y", ["2"]), ("z", "UNKNOWN", "e", ["2"])]
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.glob("tessera/*/*")) == ["lone", "part", "part", "part"]
